@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, licenses, packing, secrets
+from . import decontaminate, fingerprints, licenses, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(spark, _table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pack, op3_secret_scan, op4_license_scan, op7_fingerprint, op10_decontaminate)
+    for f in (op1_pack, op3_secret_scan, op4_license_scan, op5_toxicity, op7_fingerprint, op10_decontaminate)
 }
 
 ORACLE_SQL: dict[str, str] = {
