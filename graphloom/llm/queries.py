@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, licenses, packing, secrets, toxicity
+from . import chunks, decontaminate, fingerprints, licenses, lines, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,16 +40,34 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed_lines(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pack, op3_secret_scan, op4_license_scan, op5_toxicity, op7_fingerprint, op10_decontaminate)
+    for f in (op1_pack, op3_secret_scan, op4_license_scan, op5_toxicity, op7_fingerprint, op8_substring_dedup, op9_line_dedup, op10_decontaminate)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": r"""
+WITH l AS (SELECT doc_id, coalesce('s' || source, '') AS site, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS body, i - 1 AS pos
+           FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+b AS (SELECT body, min(struct_pack(d := doc_id, p := pos)) AS first FROM l WHERE body <> '' GROUP BY body HAVING count(DISTINCT site) >= 12),
+m AS (SELECT l.*, b.body IS NOT NULL AND struct_pack(d := l.doc_id, p := l.pos) <> b.first AS gone FROM l LEFT JOIN b ON l.body = b.body),
+g AS (SELECT doc_id, count(*) FILTER (WHERE body <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+""",
     "op10_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
