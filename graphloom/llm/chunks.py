@@ -28,7 +28,7 @@ from . import text as tx
 REACH, EVERY, LEAST, MOST = 16, 28, 8, 512
 #: Words of a removed span at least. A cut or two are lost at either end of a repeated passage,
 #: so this is far below the length of passages to find.
-MIN_WORDS = 14
+MIN_WORDS = 20
 
 _GEAR = (tx.mix(np.arange(1, 258, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 _GEAR[256] = 0  # stands between texts
