@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, fingerprints, jaccard, licenses, lines, packing, secrets, toxicity
+from . import chunks, decontaminate, fingerprints, jaccard, language_model, licenses, lines, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(spark, _table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pack, op3_secret_scan, op4_license_scan, op5_toxicity, op6_ngram_jaccard, op7_fingerprint, op8_substring_dedup, op9_line_dedup, op10_decontaminate)
+    for f in (op1_pack, op2_lm_score, op3_secret_scan, op4_license_scan, op5_toxicity, op6_ngram_jaccard, op7_fingerprint, op8_substring_dedup, op9_line_dedup, op10_decontaminate)
 }
 
 ORACLE_SQL: dict[str, str] = {
