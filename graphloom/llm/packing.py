@@ -49,42 +49,55 @@ class WordIds(dict):
     its chunks' ids in a row.
     """
 
-    LIMIT = 300_000
+    #: Chunks of one generation; when it is full, it becomes the old one, from which chunks in use return.
+    LIMIT = 400_000
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        #: For chunks of plain texts, which are in normal form and lower case already.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(max(ends) + 1, dtype=bool)
         self.ends[ends] = True
-        self.pieces: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        split = {c: _PIECE.findall(c) for c in chunks}
-        new = list({p for ps in split.values() for p in ps}.difference(self.pieces))
+        """Encode chunks that are one piece (letters), then those that have several."""
+        new, mixed = [], []
+        for c in chunks:
+            if c.isalpha():
+                new.append(c)
+            elif c[-1] in ".," and c[:-1].isalpha():  # what most others are
+                mixed.append((c, (c[:-1], c[-1])))
+            else:
+                mixed.append((c, _PIECE.findall(c)))
+        new += {p for _, ps in mixed for p in ps}.difference(self, self.old, new)
         for lo in range(0, len(new), 4000):
             part = new[lo : lo + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             raw, at = ids.tobytes(), 0
             for p, to in zip(part, cuts.tolist(), strict=True):
-                self.pieces[p] = raw[at:to]
+                self[p] = raw[at:to]
                 at = to
-        get = self.pieces.__getitem__
-        for c, ps in split.items():
+        get = self.__getitem__
+        for c, ps in mixed:
             self[c] = b"".join(map(get, ps))
 
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = self.old[chunk]
+        return ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > self.LIMIT or len(self.pieces) > self.LIMIT:
+        if len(self) > self.LIMIT:
+            self.old = dict(self)
             self.clear()
-            self.pieces.clear()
         plain = [[] if not t or _OTHER.search(t) else t.lower().split() for t in texts]
-        unknown: set[str] = set()
-        for chunks in plain:
-            unknown.update(chunks)
-        self.learn(unknown.difference(self))
+        self.learn(set().union(*plain).difference(self, self.old))
         get = self.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in plain]
         for i, t in enumerate(texts):
