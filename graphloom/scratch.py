@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -22,3 +23,16 @@ def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(spark: SparkSession, df: DataFrame, order: list[str], column: str, name: str = "numbered") -> DataFrame:
+    """``df`` with ``column`` 0, 1, ... in order; only one count per partition reaches the driver."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    dealt = keep(spark, dealt, name)
+    before, parts = 0, []
+    for r in dealt.groupBy("_part").count().orderBy("_part").collect():
+        parts.append((r["_part"], before))
+        before += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(parts, "_part int, _before long"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_within", within).join(offsets, "_part").withColumn(column, F.col("_before") + F.col("_within") - 1).drop("_part", "_before", "_within")
