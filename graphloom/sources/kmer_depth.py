@@ -21,7 +21,7 @@ def kmer_counts(sequences: DataFrame, k: int, sample: str = "sample", bases: str
 def check_strands(counts: DataFrame) -> DataFrame:
     """The counts, each k-mer in one strand as its lesser one; a k-mer that is there in both fails."""
     strands = counts.select("kmer").distinct().groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("strands"))
-    bad = strands.where("strands > 1").select(F.raise_error(F.concat(F.lit("both strands present: "), F.col("kmer"))).alias("kmer"))
+    bad = strands.where("strands > 1").select(F.raise_error(F.concat(F.lit("both strands present: "), F.col("kmer"))).cast("string").alias("kmer"))
     return counts.withColumn("kmer", canonical(F.col("kmer"))).join(bad, "kmer", "left_anti")
 
 
