@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 12
 #: log2 of a sketch's registers, and the standard errors around the threshold that are counted exactly.
@@ -33,38 +35,39 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h1, h2, sites, first_id, first_pos of the lines on ``min_sites`` sites or more."""
     lines = _lines(docs)
     place = F.struct("doc_id", "pos", "text_hash")
     seen = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(place).alias("first"))
     seen = seen.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"), "first")
     margin = max(1, math.ceil(BAND * 1.04 / math.sqrt(1 << LG_K) * min_sites))
-    spread = seen.where(F.col("sites") >= min_sites - margin)
+    # written out, so that the joins that follow are plain ones, which Spark splits where a line is frequent
+    spread = scratch.keep(spark, seen.where(F.col("sites") >= min_sites - margin), "spread")
     clear = spread.where(F.col("sites") > min_sites + margin)
     near = spread.where(F.col("sites") <= min_sites + margin)
     exact = lines.select("h1", "h2", "site").join(near.select("h1", "h2", "first"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"), F.first("first").alias("first"))
     both = clear.unionByName(exact.where(F.col("sites") >= min_sites))
-    return both.select("h1", "h2", "sites", F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos"))
+    return scratch.keep(spark, both.select("h1", "h2", "sites", F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos")), "boilerplate")
 
 
-def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def removals(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, text_hash and the numbers of the lines that go."""
-    hits = _lines(docs).drop("site").join(boilerplate(docs, min_sites).drop("sites"), ["h1", "h2"])
+    hits = _lines(docs).drop("site").join(boilerplate(spark, docs, min_sites).drop("sites"), ["h1", "h2"])
     hits = hits.where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
     return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
 
 
-def _cleaned(docs: DataFrame, min_sites: int) -> tuple[DataFrame, Column]:
-    gone = removals(docs, min_sites).withColumnsRenamed({"doc_id": "_gone_id", "text_hash": "_gone_hash", "gone": "_gone"})
+def _cleaned(spark: SparkSession, docs: DataFrame, min_sites: int) -> tuple[DataFrame, Column]:
+    gone = removals(spark, docs, min_sites).withColumnsRenamed({"doc_id": "_gone_id", "text_hash": "_gone_hash", "gone": "_gone"})
     rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_hash")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     return rows, F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
 
 
-def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def removed_lines(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Per document: lines that are not blank, lines that go, and a digest of the text that stays."""
-    rows, kept = _cleaned(docs.select("doc_id", "text", "source"), min_sites)
+    rows, kept = _cleaned(spark, docs.select("doc_id", "text", "source"), min_sites)
     filled = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"\S"))
     return rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -74,9 +77,9 @@ def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     )
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def remove_boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Documents without boilerplate lines; those of which only white space is left go. Columns as in ``docs``."""
-    rows, kept = _cleaned(docs, min_sites)
+    rows, kept = _cleaned(spark, docs, min_sites)
     rows = rows.withColumn("_kept", kept).where(F.col("_gone").isNull() | F.col("_kept").rlike(r"\S"))
     kind = dict(docs.dtypes)
     new = {"text": F.col("_kept").alias("text")}

@@ -49,11 +49,11 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.repeated_spans(_table(spark, sf_dir, "documents"))
+    return chunks.repeated_spans(spark, _table(spark, sf_dir, "documents"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.removed_lines(_table(spark, sf_dir, "documents"))
+    return lines.removed_lines(spark, _table(spark, sf_dir, "documents"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
