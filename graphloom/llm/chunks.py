@@ -19,9 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from . import text as tx
 
 #: Bytes that the hash looks back, bytes between cuts on average, and least and largest chunks.
@@ -96,17 +97,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunk_table(docs: DataFrame) -> DataFrame:
     """doc_id, h1, h2 and place (start, length and words packed into one number) of every chunk."""
+    tx.small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     return rows.mapInArrow(_cut, "doc_id long, h1 long, h2 long, place long")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, first_doc_id, start, end, n_words: spans (in code points) that earlier documents have.
 
     ``first_doc_id`` is the least document that has one of the span's chunks.
     """
     chunks = chunk_table(docs)
     several = chunks.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where(F.col("first_doc_id") < F.col("last")).drop("last")
+    several = scratch.keep(spark, several, "chunks")  # so that the join is a plain one, which Spark splits where a digest is frequent
     hits = chunks.join(several, ["h1", "h2"]).where(F.col("doc_id") > F.col("first_doc_id"))
     start, size = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(F.lit(4095))
     hits = hits.select("doc_id", "first_doc_id", start.alias("start"), (start + size).alias("end"), F.col("place").bitwiseAND(F.lit(4095)).alias("words"))
