@@ -39,7 +39,7 @@ PERCENT = 90
 #: Frequent buckets that are broadcast at most (9 bytes each), and least frequency of one.
 MAX_FREQUENT, LEAST_FREQUENT = 1 << 20, 8
 #: Shingles counted before they are written out, and buckets of the filter of set owners.
-FLUSH, FILTER_BUCKETS = 3_000_000, 1 << 23
+FLUSH, FILTER_BUCKETS = 1_000_000, 1 << 23
 #: Seeds of the orders; the first one makes candidates.
 ORDERS = (0x51ED270B, 0x2545F491, 0x9E3779B1)
 
@@ -64,6 +64,7 @@ def _batch_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.
         raw, at = tx.utf8(batch.column("text"))
         for lo, hi in tx.slices(at):
             yield batch.column("doc_id").slice(lo, hi - lo), sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k)
+    tx.release()
 
 
 def _digests(k: int):
@@ -132,7 +133,7 @@ def frequent_buckets(spark: SparkSession, rows: DataFrame, total: int, k: int) -
 
 
 def _prefixes(k: int, percent: int, frequent):
-    """Each order's first keys; a key is the frequency level and then a hash that the order has."""
+    """Each order's first keys; a key is the frequency level (below 64) and then a hash that the order has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, bucket, level = frequent.value
@@ -147,9 +148,10 @@ def _prefixes(k: int, percent: int, frequent):
             offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
             lists = []
             for seed in ORDERS:
-                keys = (rank << np.uint64(56)) | (tx.mix(flat ^ np.uint64(seed)) >> np.uint64(8))
-                first = [np.sort(keys[a:b])[:p] for a, b, p in zip(upto, upto[1:], size.tolist(), strict=False)]
-                lists.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64))))
+                keys = (rank << np.uint64(57)) | (tx.mix(flat ^ np.uint64(seed)) >> np.uint64(7))
+                first = np.concatenate([*[np.sort(keys[a:b])[:p] for a, b, p in zip(upto, upto[1:], size.tolist(), strict=False)], np.zeros(0, np.uint64)])
+                # the orders that only filter need no more than their keys' upper bits
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(first.view(np.int64) if not lists else (first >> np.uint64(32)).astype(np.int32))))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), *lists], ["doc_id", "n", "p0", "p1", "p2"])
 
     return run
@@ -198,6 +200,7 @@ class Join:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> None:
         self.spark, self.words, self.percent = spark, words, percent
+        tx.small_batches(docs)
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.digests = scratch.keep(spark, self.rows.mapInArrow(_digests(words), "doc_id long, n long, d1 long, d2 long"), "digests")
 
@@ -213,9 +216,10 @@ class Join:
         for i in range(len(ORDERS)):
             x, y = F.col(f"a{i}"), F.col(f"b{i}")
             upto = F.least(F.element_at(x, -1), F.element_at(y, -1))
-            known = [F.size(F.filter(z, lambda t: t <= F.least(F.element_at(F.col(f"a{i}"), -1), F.element_at(F.col(f"b{i}"), -1)))) for z in (x, y)]
-            common = F.size(F.filter(F.array_intersect(x, y), lambda t: t <= upto))
-            both = both.where((common > 0) & self.enough(common + F.least(F.col("n_a") - known[0], F.col("n_b") - known[1])))
+            # all tokens before the lesser of the last keys are known on both sides; keys of filters may tie
+            known = [F.size(F.filter(z, lambda t: t < upto)) for z in (x, y)]
+            common = F.size(F.filter(F.array_intersect(x, y), lambda t: t < upto))
+            both = both.where((F.size(F.array_intersect(x, y)) > 0) & self.enough(common + F.least(F.col("n_a") - known[0], F.col("n_b") - known[1])))
         return both.select("a", "b", "n_a", "n_b")
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -241,7 +245,7 @@ class Join:
         classes = usable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
         total = self.digests.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         frequent = spark.sparkContext.broadcast(frequent_buckets(spark, self.rows, total, self.words))
-        prefixes = self.rows.where(F.col("doc_id").isNotNull()).mapInArrow(_prefixes(self.words, percent, frequent), "doc_id long, n long, p0 array<long>, p1 array<long>, p2 array<long>")
+        prefixes = self.rows.where(F.col("doc_id").isNotNull()).mapInArrow(_prefixes(self.words, percent, frequent), "doc_id long, n long, p0 array<long>, p1 array<int>, p2 array<int>")
         reps = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
         prefixes = scratch.keep(spark, prefixes.join(reps, ["doc_id", "n"], "left_semi"), "prefixes")
 
@@ -271,6 +275,7 @@ class Join:
         classes, links = self.links()
         found = components(self.spark, links)
         labelled = classes.join(found, F.col("rep") == F.col("id"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+        labelled = scratch.keep(self.spark, labelled, "classes")  # a plain join follows, which Spark splits where a class is large
         out = self.digests.join(labelled, ["d1", "d2", "n"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import scratch
+from . import text as tx
 
 CAPACITY = 2048
 #: The id that ends each document.
 END = 0
-#: Groups of large lengths, and the largest length that counts as small.
-GROUPS, SMALL = 256, 192
+#: Groups of large lengths and the largest length that counts as small; the best of these is used.
+PLANS = ((256, 192), (1024, 192), (1024, 64))
 #: Pieces ranked together; a block of one length is at most so large on average.
 BLOCK_ROWS = 4000
 
@@ -39,7 +40,16 @@ BLOCK_ROWS = 4000
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _PIECE = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_NUMBERS}]+")
 _OTHER = re.compile("[^\t-\r -~\xa0-ɏ]|<\\|")
-_STATE: dict[str, object] = {}
+#: Bytes of texts that need no closer look: plain ASCII, and what code points up to U+023F are made of.
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC9)])
+
+
+def is_plain(text: str) -> bool:
+    """Whether chunks of the text can be encoded one by one; a fast test comes before the exact one."""
+    raw = text.encode()
+    return not raw.translate(None, _PLAIN) and b"<|" not in raw and (b"\xc2" not in raw or not _OTHER.search(text))
+
+
 
 
 class WordIds(dict):
@@ -50,18 +60,19 @@ class WordIds(dict):
     """
 
     #: Chunks of one generation; when it is full, it becomes the old one, from which chunks in use return.
-    LIMIT = 400_000
+    LIMIT = 300_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers
 
         super().__init__()
         self.old: dict[str, bytes] = {}
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         #: For chunks of plain texts, which are in normal form and lower case already.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
-        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.whole = None
+        ends = [i for token, i in self.plain.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(max(ends) + 1, dtype=bool)
         self.ends[ends] = True
 
@@ -92,26 +103,36 @@ class WordIds(dict):
         self[chunk] = ids = self.old[chunk]
         return ids
 
+    def other(self, text: str) -> list[int]:
+        """Ids of a text by the tokenizer as it is."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > self.LIMIT:
             self.old = dict(self)
             self.clear()
-        plain = [[] if not t or _OTHER.search(t) else t.lower().split() for t in texts]
+        chosen = [bool(t) and is_plain(t) for t in texts]
+        plain = [t.lower().split() if ok else [] for t, ok in zip(texts, chosen, strict=True)]
         self.learn(set().union(*plain).difference(self, self.old))
         get = self.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in plain]
         for i, t in enumerate(texts):
-            if t and not plain[i] and _OTHER.search(t):
-                ids = self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids
-                out[i] = np.array(ids, dtype="<u4").tobytes()
+            if t and not chosen[i]:
+                out[i] = np.array(self.other(t), dtype="<u4").tobytes()
         return out
 
 
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _STATE:  # a worker process keeps what it learned for its next tasks
-            _STATE[path] = WordIds(path)
-        words: WordIds = _STATE[path]
+        if path not in tx.KEPT:
+            tx.release()
+        if path not in tx.KEPT:  # a worker process keeps what it learned for its next tasks
+            tx.KEPT[path] = WordIds(path)
+        words: WordIds = tx.KEPT[path]
         end = np.array([END], dtype="<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -132,6 +153,7 @@ def _cut(path: str, capacity: int):
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
+    tx.small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_cut(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -139,7 +161,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 class Plan:
     """Where each rank of each length goes; made from a histogram of lengths."""
 
-    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> None:
+    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, groups: int = PLANS[0][0], small: int = PLANS[0][1]) -> None:
         self.capacity = capacity
         self.ranks = dict.fromkeys(histogram, 0)
         self.sequences = 0
@@ -270,6 +292,11 @@ class Plan:
         return tuple(rows.T)
 
 
+def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The plan with the fewest sequences among a few settings."""
+    return min((Plan(histogram, capacity, groups, small) for groups, small in PLANS), key=lambda p: p.sequences)
+
+
 def _assign(plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, rank, _, first, per, offset = plan.value
@@ -288,7 +315,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: in
     """Every piece of every document with its sequence and its offset there."""
     cut = scratch.keep(spark, pieces(docs, tokenizer_path, capacity), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    plan = spark.sparkContext.broadcast(Plan(histogram, capacity).table())
+    plan = spark.sparkContext.broadcast(best_plan(histogram, capacity).table())
     blocks = max(1, -(-sum(histogram.values()) // BLOCK_ROWS))
     keyed = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
     before = keyed.groupBy("length", "block").count()

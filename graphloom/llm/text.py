@@ -6,6 +6,9 @@ byte table and hashed with prefix sums, so no Python object is made per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +26,27 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 #: Bytes of text handled at once; bounds the 8-byte arrays derived from them.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+
+#: What a worker process keeps between the tasks of one operator; it goes when another one starts.
+KEPT: dict[str, object] = {}
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POW: list[np.ndarray] = []
 
 
+def release() -> None:
+    """Give memory that a worker process no longer needs back to the system.
+
+    Workers outlive tasks and operators, and allocators keep what large arrays have freed.
+    """
+    KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (murmur3)."""
     x = x ^ (x >> np.uint64(33))
@@ -53,6 +71,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows (null: empty) and the offsets of rows in them."""
+    if KEPT:
+        release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     a = pc.fill_null(column, "").cast(pa.large_string())
@@ -62,6 +82,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def small_batches(df) -> None:
+    """Bound the rows of an Arrow batch for this session, as texts can be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key, "10000")) not in range(1, 513):
+        conf.set(key, "512")
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes each, one row at least."""
     lo, n = 0, len(offsets) - 1
