@@ -2,10 +2,11 @@
 
 The probability of a token is that of its class after its context times that of the token in its
 class. Classes are a maximum-entropy model over hashed features of the context: the word before
-(n-gram), the classes two and three places back (skips) and the pair of the two classes before
-(n-gram). The softmax over 256 classes is factored into 16 groups of 16. Frequent words are
-classes of their own; other words share classes by their ends, and within a class, where the only
-feature is the word itself, the maximum-entropy solution is its smoothed share of the class.
+(n-gram), the class two places back (skip) and the pair of the two classes before (n-gram). The
+softmax over 256 classes is factored into 16 groups of 16; the class in its group depends on the
+word before and the skip only. Frequent words are classes of their own; other words share classes
+by their ends, and within a class, where the only feature is the word itself, the maximum-entropy
+solution is its smoothed share of the class.
 
 Training is by distributed gradient updates: in each round every task starts from the broadcast
 weights, makes mini-batch updates over its share of the training documents, and the tasks' weights
@@ -34,11 +35,13 @@ MAX_FREQUENT = 1 << 17
 #: Classes: the end token, single words, and words by their ends.
 GROUP, SINGLES, ENDS = 16, 191, 64
 CLASSES = GROUP * GROUP
-#: Hashed features: words before, classes two and three back, pairs of classes, and a constant one.
+#: Hashed features: words before, classes two back, pairs of classes, and a constant one.
 BY_WORD, BY_PAIR = 4096, 2048
-FEATURES = BY_WORD + 2 * CLASSES + BY_PAIR + 1
-ROUNDS, BATCH, RATE = 2, 4096, 0.15
-FLUSH, BLOCKS, SALTS = 2_000_000, 64, 256
+FEATURES = BY_WORD + CLASSES + BY_PAIR + 1
+#: Features that the class in its group depends on: the word before, the skip and the constant one.
+INNER = (0, 1, 3)
+ROUNDS, BATCH, RATE = 2, 8192, 0.3
+FLUSH, BLOCKS, SALTS = 500_000, 64, 256
 ROUND_SEED = 17
 
 
@@ -55,6 +58,12 @@ def keys(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (tx.word_hashes(raw, starts, ends) & ~np.uint64(ENDS - 1)) | sub, first
 
 
+def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory is given back before the first one."""
+    tx.release()
+    yield from batches
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, at = tx.utf8(batch.column("text"))
     for lo, hi in tx.slices(at):
@@ -68,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.unique(np.concatenate(parts), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "c"])
 
-    for batch in batches:
+    for batch in _released(batches):
         for _, _, k, _ in _slices(batch):
             parts.append(k)
             if sum(map(len, parts)) > FLUSH:
@@ -92,6 +101,10 @@ class Vocabulary:
         self.single_class = 1 + rank[by_key]
         self.end_count = end_count
         self.norm = np.zeros(CLASSES)
+        #: Tokens of each class in training.
+        self.tokens = np.zeros(CLASSES)
+        self.tokens[0] = end_count
+        self.tokens[self.single_class] = self.count[by_key]
 
     def classes(self, key: np.ndarray) -> np.ndarray:
         out = (CLASSES - ENDS) + (key & np.uint64(ENDS - 1)).astype(np.int64)
@@ -120,17 +133,15 @@ def sequence(key: np.ndarray, first: np.ndarray, words: Vocabulary) -> tuple[np.
     c = np.zeros(total, np.int64)
     k[word], c[word] = key, words.classes(key)
     pos = np.arange(total) - np.repeat(begin[:-1], n)
-    back = [np.concatenate((np.zeros(min(d, total), c.dtype), c[: max(0, total - d)])) for d in (1, 2, 3)]
-    for d in (2, 3):
-        back[d - 1][pos < d] = 0
+    back = [np.concatenate((np.zeros(min(d, total), c.dtype), c[: max(0, total - d)])) for d in (1, 2)]
+    back[1][pos < 2] = 0
     before = np.concatenate((np.zeros(1, np.uint64), k[:-1]))
     before[pos == 0] = 0
-    f = np.empty((total, 5), np.int64)
-    f[:, 0] = (tx.mix(before) % np.uint64(BY_WORD)).astype(np.int64)
+    f = np.empty((total, 4), np.uint16)
+    f[:, 0] = tx.mix(before) % np.uint64(BY_WORD)
     f[:, 1] = BY_WORD + back[1]
-    f[:, 2] = BY_WORD + CLASSES + back[2]
-    f[:, 3] = BY_WORD + 2 * CLASSES + (tx.mix((back[0] * CLASSES + back[1]).astype(np.uint64) + np.uint64(1)) % np.uint64(BY_PAIR)).astype(np.int64)
-    f[:, 4] = FEATURES - 1
+    f[:, 2] = BY_WORD + CLASSES + (tx.mix((back[0] * CLASSES + back[1]).astype(np.uint64) + np.uint64(1)) % np.uint64(BY_PAIR)).astype(np.int64)
+    f[:, 3] = FEATURES - 1
     return f, c, begin
 
 
@@ -143,38 +154,68 @@ class Weights:
         self.group = flat[: FEATURES * GROUP].reshape(FEATURES, GROUP)
         self.inner = flat[FEATURES * GROUP :].reshape(FEATURES * GROUP, GROUP)
 
+    @classmethod
+    def priors(cls, tokens: np.ndarray) -> Weights:
+        """Weights under which every context has the classes' shares of all tokens."""
+        out, n = cls(), (tokens + 1).reshape(GROUP, GROUP)
+        out.group[FEATURES - 1] = np.log(n.sum(1))
+        out.inner[(FEATURES - 1) * GROUP :] = np.log(n)
+        return out
+
     @staticmethod
-    def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        z = table[rows[:, 0]]
-        for j in range(1, rows.shape[1]):
-            z += table[rows[:, j]]
-        z -= z.max(1, keepdims=True)
+    def _softmax(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        z = table.take(rows[0], axis=0)
+        for r in rows[1:]:
+            z += table.take(r, axis=0)
+        np.minimum(z, np.float32(60), out=z)  # weights start at logs of counts, so sums stay in range
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= z.sum(1, keepdims=True) + np.float32(1e-30)
         return z
 
+    @staticmethod
+    def _rows(f: np.ndarray, group: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        rows = [f[:, j].astype(np.int64) for j in range(f.shape[1])]
+        return rows, [rows[j] * GROUP + group for j in INNER]
+
     def log10(self, f: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 probability of the classes c after contexts with features f."""
         out = np.empty(len(c))
-        for lo in range(0, len(c), 16384):
-            x, y = f[lo : lo + 16384], c[lo : lo + 16384]
-            at = np.arange(len(y))
-            p = self._softmax(self.group, x)[at, y // GROUP].astype(np.float64) * self._softmax(self.inner, x * GROUP + (y // GROUP)[:, None])[at, y % GROUP]
-            out[lo : lo + 16384] = np.log10(np.maximum(p, 1e-30))
+        for lo in range(0, len(c), 8192):
+            x, y = f[lo : lo + 8192], c[lo : lo + 8192]
+            at, group = np.arange(len(y)), y // GROUP
+            rows, inner = self._rows(x, group)
+            p = self._softmax(self.group, rows)[at, group].astype(np.float64) * self._softmax(self.inner, inner)[at, y % GROUP]
+            out[lo : lo + 8192] = np.log10(np.maximum(p, 1e-30))
         return out
 
     def update(self, f: np.ndarray, c: np.ndarray, squares: Weights, rate: float) -> None:
-        """One mini-batch Adagrad update."""
-        at = np.arange(len(c))
-        for table, square, rows, y in ((self.group, squares.group, f, c // GROUP), (self.inner, squares.inner, f * GROUP + (c // GROUP)[:, None], c % GROUP)):
-            g = self._softmax(table, rows)
-            g[at, y] -= 1
-            for j in range(rows.shape[1]):
-                order = np.argsort(rows[:, j], kind="stable")
-                row, begin = np.unique(rows[order, j], return_index=True)
-                s = np.add.reduceat(g[order], begin)
-                square[row] += s * s
-                table[row] -= rate * s / np.sqrt(square[row] + 1e-6)
+        """One mini-batch Adagrad update.
+
+        Tokens are sorted by group and then, stably, by each feature, so one order serves both tables.
+        """
+        group, at = c // GROUP, np.arange(len(c))
+        rows, inner = self._rows(f, group)
+        g, h = self._softmax(self.group, rows), self._softmax(self.inner, inner)
+        g[at, group] -= 1
+        h[at, c % GROUP] -= 1
+        by_group = np.argsort(group.astype(np.uint8), kind="stable")
+        for j in range(f.shape[1]):
+            order = by_group[np.argsort(f[by_group, j], kind="stable")]
+            tables = [(self.group, squares.group, rows[j], g)]
+            if j in INNER:
+                tables.append((self.inner, squares.inner, inner[INNER.index(j)], h))
+            for table, square, row, grad in tables:
+                sorted_rows = row[order]
+                begin = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
+                one = sorted_rows[begin]
+                s = np.add.reduceat(grad.take(order, axis=0), begin, axis=0)
+                seen = square.take(one, axis=0)
+                seen += s * s
+                square[one] = seen
+                seen += np.float32(1e-6)
+                s /= np.sqrt(seen, out=seen)
+                s *= np.float32(rate)
+                table[one] = table.take(one, axis=0) - s
 
 
 def _learn(words, weights, rate: float):
@@ -183,7 +224,7 @@ def _learn(words, weights, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Weights(weights.value.copy())
         squares, seen = Weights(), 0
-        for batch in batches:
+        for batch in _released(batches):
             for _, _, k, first in _slices(batch):
                 f, c, _ = sequence(k, first, words.value)
                 for lo in range(0, len(c), BATCH):
@@ -207,8 +248,11 @@ def _average(table: pa.Table) -> pa.Table:
 
 
 def train(spark: SparkSession, rows: DataFrame, words, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
-    """Weights after one pass over the training rows, a share of them in each round."""
-    flat = Weights().flat
+    """Weights after one pass over the training rows, a share of them in each round.
+
+    They start from the classes' shares, so that few documents leave a unigram model.
+    """
+    flat = Weights.priors(words.value.tokens).flat
     shape = "block int, seen long, weights binary"
     for r in range(rounds):
         share = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(ROUND_SEED)), F.lit(rounds)) == r).select("text")
@@ -226,7 +270,7 @@ def _local(words, weights):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, w = Weights(weights.value), words.value
-        for batch in batches:
+        for batch in _released(batches):
             for lo, hi, k, first in _slices(batch):
                 f, c, begin = sequence(k, first, w)
                 word = np.ones(len(c), dtype=bool)
@@ -247,7 +291,7 @@ def _rare(words):
     """(doc_id, text_hash, key, tf) of words whose counts are not broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _released(batches):
             for lo, hi, k, first in _slices(batch):
                 rare = np.flatnonzero(words.value.counts(k) < 0)
                 doc = np.searchsorted(first, rare, "right") - 1
@@ -263,6 +307,7 @@ def _rare(words):
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Unigram base score and the model's score of every document's whole text."""
+    tx.small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     training = rows.where(~held_out())
     counts = scratch.keep(spark, training.select("text").mapInArrow(_count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
@@ -282,6 +327,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = counts.where(~F.col("key").isin(singles)) if singles else counts
     for r in shared.groupBy(end.alias("end")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # ENDS classes
         vocabulary.norm[CLASSES - ENDS + r["end"]] = np.log10(r["c"] + r["n"] + 1)
+        vocabulary.tokens[CLASSES - ENDS + r["end"]] = r["c"]
     words = spark.sparkContext.broadcast(vocabulary)
     weights = spark.sparkContext.broadcast(train(spark, training, words))
 
