@@ -60,7 +60,7 @@ class WordIds(dict):
     """
 
     #: Chunks of one generation; when it is full, it becomes the old one, from which chunks in use return.
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers
