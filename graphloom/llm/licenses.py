@@ -3,7 +3,8 @@
 Rolling hashes of k words of every document are joined in Spark with the positions of the
 same hashes in license templates. Hits with the same document, template and offset (diagonal)
 are votes for one occurrence; neighbouring diagonals are merged, so that an inserted or missing
-word does not split it, and the merged span is verified by the share of the template it covers.
+word does not split it, and the merged span is verified by the share of the template it covers and by
+the version: where a template names one, so must the text, in or closely after a gram of the span.
 
 The templates are fixed text, so the broadcast side has a fixed size.
 
@@ -14,6 +15,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +55,11 @@ K = 3
 NEAR_DIAGONALS = 3
 #: Share of a template's k-grams that a span must have.
 MIN_COVER = 0.6
+#: Words after a gram within which a version belongs to it.
+AFTER = 4
+#: The versions of templates (their first numerals); a version's bit stands in the low bits of grams.
+VERSIONS = sorted({w for t in TEMPLATES.values() for w in re.findall(r"\d+", t)[:1]})
+GRAM_BITS = -(1 << len(VERSIONS))
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -62,9 +69,21 @@ def _hashes(text: str) -> np.ndarray:
 
 
 def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
-    """(gram, template, t_pos, t_size): where each k-gram stands in the templates."""
-    rows = [(int(h), name, i, len(g)) for name, words in TEMPLATES.items() for g in [tx.grams(_hashes(words), k).view(np.int64)] for i, h in enumerate(g)]
-    return spark.createDataFrame(rows, "gram long, template string, t_pos int, t_size int")
+    """(gram, template, t_pos, t_size, version): where each k-gram stands in the templates, and their versions' bits."""
+    version = {name: sum(1 << VERSIONS.index(w) for w in re.findall(r"\d+", words)[:1]) for name, words in TEMPLATES.items()}
+    rows = [(int(h) & GRAM_BITS, name, i, len(g), version[name]) for name, words in TEMPLATES.items() for g in [tx.grams(_hashes(words), k).view(np.int64)] for i, h in enumerate(g)]
+    return spark.createDataFrame(rows, "gram long, template string, t_pos int, t_size int, version long")
+
+
+def _near_versions(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """For each word, the bits of the versions within the k-gram from it on or ``AFTER`` words more of its text."""
+    near = np.zeros(len(h), np.int64)
+    for i, version in enumerate(VERSIONS):
+        at = np.flatnonzero(np.isin(h, _hashes(f"{version} v{version}")))
+        start = first[np.searchsorted(first, at, "right") - 1]
+        for j in range(k + AFTER):
+            near[(at - j)[at - j >= start]] |= 1 << i
+    return near
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -82,6 +101,7 @@ def _rolling(k: int):
             done = 0
             for h, first in _words(batch):
                 grams = tx.grams(h, k).view(np.int64)
+                grams = (grams & GRAM_BITS) | _near_versions(h, first, k)[: len(grams)]
                 n = np.maximum(np.diff(first) - k + 1, 0)
                 at = np.repeat(first[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(grams[at], pa.int64()))
@@ -124,18 +144,22 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def occurrences(spark: SparkSession, docs: DataFrame, k: int = K, near: int = NEAR_DIAGONALS, min_cover: float = MIN_COVER) -> DataFrame:
     """Verified template spans: doc_id, text_hash, template, first_word, end_word, cover."""
     grams = docs.mapInArrow(_rolling(k), "doc_id long, text_hash long, grams array<long>")
-    hits = grams.select("doc_id", "text_hash", F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(template_grams(spark, k)), "gram")
+    grams = grams.select("doc_id", "text_hash", F.posexplode("grams").alias("pos", "both"))
+    grams = grams.withColumns({"gram": F.col("both").bitwiseAND(F.lit(GRAM_BITS)), "near": F.col("both").bitwiseAND(F.lit(~GRAM_BITS))}).drop("both")
+    hits = grams.join(F.broadcast(template_grams(spark, k)), "gram")
     key = ["doc_id", "text_hash", "template"]
-    votes = hits.groupBy(*key, "t_size", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("seen"))
+    votes = hits.groupBy(*key, "t_size", "version", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("seen"), F.bit_or("near").alias("near"))
     order = Window.partitionBy(*key).orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > near).cast("int"), F.lit(1))
     merged = votes.withColumn("fresh", fresh).withColumn("group", F.sum("fresh").over(order))
-    spans = merged.groupBy(*key, "t_size", "group").agg(
+    spans = merged.groupBy(*key, "t_size", "version", "group").agg(
+        F.bit_or("near").alias("near"),
         F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"),
         F.min(F.col("diagonal") + F.array_min("seen")).alias("first_word"),
         (F.max(F.col("diagonal") + F.array_max("seen")) + k).alias("end_word"),
     )
     cover = F.size("seen") / F.col("t_size")
+    spans = spans.where(F.col("near").bitwiseAND(F.col("version")) == F.col("version"))
     return spans.select(*key, "first_word", "end_word", cover.alias("cover")).where((F.col("cover") >= min_cover) & (F.col("end_word") - F.col("first_word") <= F.lit(1.5) * (F.col("t_size") + k)))
 
 

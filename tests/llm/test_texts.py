@@ -156,6 +156,23 @@ def test_licenses(spark, odd, odd_rows, nothing):
     assert licenses.scan(spark, nothing).collect() == []
 
 
+def test_license_versions_are_told_apart(spark):
+    texts = {
+        "Licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+        "This work is licensed under the GNU General Public License version 2": "gpl,gpl-2.0",
+        "This work is licensed under the GNU General Public License (GPL) v3": "gpl,gpl-3.0",
+        "This work is licensed under the GNU General Public License, version 2 or version 3": "gpl,gpl-2.0,gpl-3.0",
+        "Section 2. This work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+        "This work is licensed under the GNU General Public License": "gpl",
+        "Licensed under the Apache License, Version 1.1": "",
+        "Licensed under the Apache License, Version 2.0": "apache-2.0",
+        "2 3 4 v2": "",
+    }
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark, table(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == list(texts.values())
+
+
 def toxic_rows(n=500):
     rng, bad = random.Random(9), ["worthless", "disgusting", "pathetic", "moronic"]
     rows = []
