@@ -42,6 +42,8 @@ MAX_FREQUENT, LEAST_FREQUENT = 1 << 20, 8
 FLUSH, FILTER_BUCKETS = 1_000_000, 1 << 23
 #: Seeds of the orders; the first one makes candidates.
 ORDERS = (0x51ED270B, 0x2545F491, 0x9E3779B1)
+#: Low bits that the keys of the other orders lose.
+CUT_BITS = 32
 
 
 def sets(raw: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
@@ -151,7 +153,7 @@ def _prefixes(k: int, percent: int, frequent):
                 keys = (rank << np.uint64(57)) | (tx.mix(flat ^ np.uint64(seed)) >> np.uint64(7))
                 first = np.concatenate([*[np.sort(keys[a:b])[:p] for a, b, p in zip(upto, upto[1:], size.tolist(), strict=False)], np.zeros(0, np.uint64)])
                 # the orders that only filter need no more than their keys' upper bits
-                lists.append(pa.ListArray.from_arrays(offsets, pa.array(first.view(np.int64) if not lists else (first >> np.uint64(32)).astype(np.int32))))
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(first.view(np.int64) if not lists else (first >> np.uint64(CUT_BITS)).astype(np.int32))))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), *lists], ["doc_id", "n", "p0", "p1", "p2"])
 
     return run
@@ -216,8 +218,9 @@ class Join:
         for i in range(len(ORDERS)):
             x, y = F.col(f"a{i}"), F.col(f"b{i}")
             upto = F.least(F.element_at(x, -1), F.element_at(y, -1))
-            # all tokens before the lesser of the last keys are known on both sides; keys of filters may tie
-            known = [F.size(F.filter(z, lambda t: t < upto)) for z in (x, y)]
+            # all tokens before the lesser of the last keys are known on both sides; keys of filters may tie,
+            # so known and common ones are both counted by distinct key, which never bounds the overlap too low
+            known = [F.size(F.array_distinct(F.filter(z, lambda t: t < upto))) for z in (x, y)]
             common = F.size(F.filter(F.array_intersect(x, y), lambda t: t < upto))
             both = both.where((F.size(F.array_intersect(x, y)) > 0) & self.enough(common + F.least(F.col("n_a") - known[0], F.col("n_b") - known[1])))
         return both.select("a", "b", "n_a", "n_b")

@@ -48,6 +48,12 @@ def test_components_when_most_buckets_are_frequent(spark, varied, varied_rows, m
     assert got == {i: c for i, (_, c) in linked(varied_rows, 3, 90).items()}
 
 
+def test_components_when_short_keys_tie(spark, varied, varied_rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "CUT_BITS", 54)  # 3 bits of hash are left
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(spark, varied).collect()}
+    assert got == {i: c for i, (_, c) in linked(varied_rows, 3, 90).items()}
+
+
 def test_components_of_odd_rows(spark, odd, odd_rows, nothing):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(spark, odd).collect())
     want = linked(odd_rows, 3, 90)
