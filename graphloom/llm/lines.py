@@ -3,7 +3,8 @@
 Every line hash gets a HyperLogLog sketch of the sites (sources) that show it; sketches merge by
 aggregation. Lines whose estimate lies near the threshold get exact distinct counts. Lines on
 ``min_sites`` sites or more are boilerplate: they go everywhere but at their first place, so that
-nothing is lost from the corpus as a whole.
+nothing is lost from the corpus as a whole. Unless given, ``min_sites`` follows the number of sites of
+the whole table; its floor lies above what groups of near copies reach.
 
 Data moves as line hashes; texts move once, to meet the numbers of the lines that go.
 
@@ -21,22 +22,34 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 
-#: Sites from which on a line is boilerplate.
-MIN_SITES = 12
+#: A line on this share of the table's sites is boilerplate, if these are ``LEAST_SITES`` at least.
+SITE_SHARE, LEAST_SITES = 0.01, 10
 #: log2 of a sketch's registers, and the standard errors around the threshold that are counted exactly.
 LG_K, BAND = 12, 4
 
 
+def site_threshold(docs: DataFrame) -> int:
+    """Sites from which on a line is boilerplate: a share of all sites with a floor."""
+    sites = docs.agg(F.countDistinct(_site())).first()[0]
+    return max(LEAST_SITES, math.ceil(SITE_SHARE * sites))
+
+
+def _site() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, site, pos, h1, h2: one row per line that is not blank; 128 bits of hash."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _site().alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
     rows = rows.withColumn("line", line).where(F.col("line") != "")
     return rows.select("doc_id", "text_hash", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2"))
 
 
-def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int | None = None) -> DataFrame:
     """h1, h2, sites, first_id, first_pos of the lines on ``min_sites`` sites or more."""
+    if min_sites is None:
+        min_sites = site_threshold(docs)
     lines = _lines(docs)
     place = F.struct("doc_id", "pos", "text_hash")
     seen = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(place).alias("first"))
@@ -51,21 +64,21 @@ def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES
     return scratch.keep(spark, both.select("h1", "h2", "sites", F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos")), "boilerplate")
 
 
-def removals(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def removals(spark: SparkSession, docs: DataFrame, min_sites: int | None = None) -> DataFrame:
     """doc_id, text_hash and the numbers of the lines that go."""
     hits = _lines(docs).drop("site").join(boilerplate(spark, docs, min_sites).drop("sites"), ["h1", "h2"])
     hits = hits.where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
     return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
 
 
-def _cleaned(spark: SparkSession, docs: DataFrame, min_sites: int) -> tuple[DataFrame, Column]:
+def _cleaned(spark: SparkSession, docs: DataFrame, min_sites: int | None) -> tuple[DataFrame, Column]:
     gone = removals(spark, docs, min_sites).withColumnsRenamed({"doc_id": "_gone_id", "text_hash": "_gone_hash", "gone": "_gone"})
     rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_hash")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     return rows, F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
 
 
-def removed_lines(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def removed_lines(spark: SparkSession, docs: DataFrame, min_sites: int | None = None) -> DataFrame:
     """Per document: lines that are not blank, lines that go, and a digest of the text that stays."""
     rows, kept = _cleaned(spark, docs.select("doc_id", "text", "source"), min_sites)
     filled = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"\S"))
@@ -77,7 +90,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SIT
     )
 
 
-def remove_boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def remove_boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int | None = None) -> DataFrame:
     """Documents without boilerplate lines; those of which only white space is left go. Columns as in ``docs``."""
     rows, kept = _cleaned(spark, docs, min_sites)
     rows = rows.withColumn("_kept", kept).where(F.col("_gone").isNull() | F.col("_kept").rlike(r"\S"))

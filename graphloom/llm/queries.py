@@ -53,7 +53,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.removed_lines(spark, _table(spark, sf_dir, "documents"))
+    return lines.removed_lines(spark, _table(spark, sf_dir, "documents"), 12)  # as the SQL below has it
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

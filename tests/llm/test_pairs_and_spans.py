@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import chunks, decontaminate, fingerprints, jaccard, lines
 
@@ -132,6 +133,14 @@ def test_lines_match_exact_counts(spark):
         assert got[i] == (sum(bool(x.strip()) for x in ls), len(ls) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
 
 
+def test_threshold_follows_the_sites(spark):
+    rows = [(i, f"own {i}\n" + "eleven sites show this" * (i % 20 < 11) + "\n" + "nine sites show this" * (i % 20 < 9), f"s{i % 20}") for i in range(40)]
+    kept = "\n".join(r["text"] for r in lines.remove_boilerplate(spark, table(spark, rows)).collect())
+    assert kept.count("eleven sites") == 1 and kept.count("nine sites") == 18
+    many = spark.range(4000).select("id", F.concat(F.lit("s"), F.col("id")).alias("source"))
+    assert lines.site_threshold(many) == 40 and lines.site_threshold(table(spark, rows)) == 10
+
+
 def test_lines_of_odd_rows(spark, odd, odd_rows, nothing):
     out = lines.remove_boilerplate(spark, odd, 3)
     assert out.columns == odd.columns
