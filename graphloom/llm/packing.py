@@ -42,111 +42,140 @@ _PIECE = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LE
 _OTHER = re.compile("[^\t-\r -~\xa0-ɏ]|<\\|")
 #: Bytes of texts that need no closer look: plain ASCII, and what code points up to U+023F are made of.
 _PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC9)])
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[48:58] = _ALNUM[97:123] = True
 
 
-def is_plain(text: str) -> bool:
-    """Whether chunks of the text can be encoded one by one; a fast test comes before the exact one."""
-    raw = text.encode()
-    return not raw.translate(None, _PLAIN) and b"<|" not in raw and (b"\xc2" not in raw or not _OTHER.search(text))
+def is_plain(raw: bytes) -> bool:
+    """Whether words of the text can be encoded one by one; a fast test comes before the exact one."""
+    return not raw.translate(None, _PLAIN) and b"<|" not in raw and (b"\xc2" not in raw or not _OTHER.search(raw.decode()))
 
 
+def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in lower case, starts and ends of white-space separated words, and rows' first words.
 
-
-class WordIds(dict):
-    """Ids of white-space separated chunks as little-endian bytes, remembered between texts.
+    A comma or full stop that ends a word after an ASCII letter or digit is a word of its own, as it is
+    a piece of its own for the tokenizer.
+    """
+    raw = tx.LOWER[raw]
+    wide = np.flatnonzero(raw[:-1] == 0xC2)
+    wide = wide[raw[wide + 1] == 0xA0]  # no-break space
+    raw[wide] = raw[wide + 1] = 32
+    starts, ends, first = tx.spans(raw, at, tx.SPACED)
+    mark = raw[ends - 1]
+    two = ((mark == 44) | (mark == 46)) & (ends - starts > 1) & _ALNUM[raw[ends - 2]]
+    n = 1 + two
+    upto = np.concatenate(([0], np.cumsum(n)))
+    head = upto[:-1][two]
+    starts, ends, cut = np.repeat(starts, n), np.repeat(ends, n), ends[two] - 1
+    ends[head] = starts[head + 1] = cut
+    return raw, starts, ends, upto[first]
+
+
+class WordIds:
+    """Ids of words, remembered between texts in a table of fixed size.
 
     The tokenizer's pre-tokenizer never joins characters across white space, so a text's ids are
-    its chunks' ids in a row.
+    its words' ids in a row. A word's 64-bit hash names its slot, and a word that comes later takes
+    the slot over; so the table never grows, and a wrong id needs two words of equal hash
+    (less than one in 10**13 for a new word).
     """
 
-    #: Chunks of one generation; when it is full, it becomes the old one, from which chunks in use return.
-    LIMIT = 400_000
+    #: log2 of the slots, and ids of a word that a slot can hold: 27 bytes a slot.
+    SLOT_BITS, WIDTH = 20, 8
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers
 
-        super().__init__()
-        self.old: dict[str, bytes] = {}
         self.path = path
-        #: For chunks of plain texts, which are in normal form and lower case already.
+        #: For words of plain texts, which are in normal form and lower case already.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.whole = None
-        ends = [i for token, i in self.plain.get_vocab().items() if token.endswith("</w>")]
+        vocabulary = self.plain.get_vocab()
+        ends = [i for token, i in vocabulary.items() if token.endswith("</w>")]
         self.ends = np.zeros(max(ends) + 1, dtype=bool)
         self.ends[ends] = True
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode chunks that are one piece (letters), then those that have several."""
-        new, mixed = [], []
-        for c in chunks:
-            if c.isalpha():
-                new.append(c)
-            elif c[-1] in ".," and c[:-1].isalpha():  # what most others are
-                mixed.append((c, (c[:-1], c[-1])))
+        slots = 1 << self.SLOT_BITS
+        self.key = np.zeros(slots, dtype=np.uint64)
+        self.count = np.zeros(slots, dtype=np.uint8)
+        self.ids = np.zeros((slots, self.WIDTH), dtype=np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32)
+
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words in a row, and how many each word has."""
+        pieces, n = [], []
+        for word in new:
+            if word.isalpha():
+                pieces.append(word)
+                n.append(1)
             else:
-                mixed.append((c, _PIECE.findall(c)))
-        new += {p for _, ps in mixed for p in ps}.difference(self, self.old, new)
-        for lo in range(0, len(new), 4000):
-            part = new[lo : lo + 4000]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            raw, at = ids.tobytes(), 0
-            for p, to in zip(part, cuts.tolist(), strict=True):
-                self[p] = raw[at:to]
-                at = to
-        get = self.__getitem__
-        for c, ps in mixed:
-            self[c] = b"".join(map(get, ps))
-
-    def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = ids = self.old[chunk]
-        return ids
-
-    def other(self, text: str) -> list[int]:
+                own = _PIECE.findall(word)
+                pieces += own
+                n.append(len(own))
+        ids = [np.array(self.plain.encode_batch_fast([" ".join(pieces[lo : lo + 4000])], add_special_tokens=False)[0].ids, dtype=np.uint32) for lo in range(0, len(pieces), 4000)]
+        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        upto = np.concatenate(([0], np.flatnonzero(self.ends[flat]) + 1))
+        return flat, np.diff(upto[np.concatenate(([0], np.cumsum(n, dtype=np.int64)))])
+
+    def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in a row, and how many each word has."""
+        found, example, place = np.unique(tx.word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        slot = (found >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        n = self.count[slot].astype(np.int64)
+        known = (self.key[slot] == found) & (n > 0)
+        old, missing = np.flatnonzero(known), np.flatnonzero(~known)
+        flat = self.ids[slot[old]][np.arange(self.WIDTH) < n[old][:, None]].astype(np.uint32)
+        begin = np.zeros(len(found), dtype=np.int64)
+        begin[old] = np.cumsum(n[old]) - n[old]
+        if len(missing):
+            whole = raw.tobytes()
+            own, size = self.learn([whole[a:b].decode().lower() for a, b in zip(starts[example[missing]].tolist(), ends[example[missing]].tolist(), strict=True)])
+            n[missing] = size
+            begin[missing] = len(flat) + np.cumsum(size) - size
+            flat = np.concatenate([flat, own])
+            short = missing[(size <= self.WIDTH) & (size > 0)]
+            self.key[slot[short]], self.count[slot[short]] = found[short], n[short]
+            self.ids[slot[short]] = flat[np.minimum(begin[short][:, None] + np.arange(self.WIDTH), len(flat) - 1)]
+        each = n[place]
+        return flat[np.repeat(begin[place] - (np.cumsum(each) - each), each) + np.arange(each.sum())], each
+
+    def other(self, text: str) -> np.ndarray:
         """Ids of a text by the tokenizer as it is."""
         if self.whole is None:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.path)
-        return self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > self.LIMIT:
-            self.old = dict(self)
-            self.clear()
-        chosen = [bool(t) and is_plain(t) for t in texts]
-        plain = [t.lower().split() if ok else [] for t, ok in zip(texts, chosen, strict=True)]
-        self.learn(set().union(*plain).difference(self, self.old))
-        get = self.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in plain]
-        for i, t in enumerate(texts):
-            if t and not chosen[i]:
-                out[i] = np.array(self.other(t), dtype="<u4").tobytes()
-        return out
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        raw, at = tx.utf8(column, self)
+        for lo, hi in tx.slices(at):
+            part, own = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+            whole = part.tobytes()
+            plain = [is_plain(whole[a:b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+            low, starts, ends, first = words(part, own)
+            use = np.repeat(plain, np.diff(first))
+            flat, n = self.of(low, starts[use], ends[use])
+            upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(np.where(plain, np.diff(first), 0))))].tolist()
+            for i, ok in enumerate(plain):
+                yield flat[upto[i] : upto[i + 1]] if ok else self.other(whole[own[i] : own[i + 1]].decode())
 
 
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in tx.KEPT:
-            tx.release()
-        if path not in tx.KEPT:  # a worker process keeps what it learned for its next tasks
-            tx.KEPT[path] = WordIds(path)
-        words: WordIds = tx.KEPT[path]
-        end = np.array([END], dtype="<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                rows: list[tuple[int | None, int, int, int, int]] = []
-                for doc, raw in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist()), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        part = raw[4 * start : 4 * (start + capacity)]
-                        rows.append((doc, piece, start, len(part) // 4, zlib.crc32(part)))
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids = tx.kept(path, WordIds)  # a worker process keeps what it learned for its next tasks
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        for batch in batches:
+            rows: list[tuple[int | None, int, int, int, int]] = []
+            for doc, own in zip(batch.column("doc_id").to_pylist(), ids.encode(batch.column("text")), strict=True):
+                raw = np.append(own, np.uint32(END)).astype("<u4").tobytes()
+                n = len(raw) // 4
+                for piece, start in enumerate(range(0, n, capacity)):
+                    part = raw[4 * start : 4 * (start + capacity)]
+                    rows.append((doc, piece, start, len(part) // 4, zlib.crc32(part)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

@@ -69,9 +69,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all rows (null: empty) and the offsets of rows in them."""
-    if KEPT:
+def kept(name: str, make) -> object:
+    """What this worker process keeps under a name; anything that it keeps for another operator goes."""
+    if name not in KEPT:
+        release()
+        KEPT[name] = make(name)
+    return KEPT[name]
+
+
+def utf8(column: pa.Array, user: object = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all rows (null: empty) and the offsets of rows in them; what is kept for others than ``user`` goes."""
+    if KEPT and user not in KEPT.values():
         release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
