@@ -1,18 +1,21 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The items' words form one automaton, built per block of items; documents stream through
-it and the longest match that ends at each word is tracked. No shuffle is needed: each
-document is read once per block of items.
+Items are dealt to blocks of bounded size; Spark tasks build one automaton of each block's
+words, written out as arrays. Documents stream through one automaton at a time and the longest match
+that ends at each word is tracked. One block, which most benchmarks are, needs no shuffle; with
+more, the hits of each block are written out and documents meet them by the hash of their text.
 
 Defined cases: a null or empty text has no words and no hit; an item without words has no
 window; an item shorter than ``window`` words is one window; repeated items are reported
-each; an empty benchmark hits nothing; further columns are kept.
+each; an empty benchmark hits nothing; rows that repeat an id, or have none, are rows of their
+own; further columns are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,108 +23,167 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import scratch
 from . import text as tx
 
-#: Item words in one automaton (about 100 bytes of memory each); more items take more blocks.
-BLOCK_WORDS = 1_000_000
+#: Item words of one automaton, about (blocks are half full on average): 70 bytes each as arrays, 200 in a task that builds or scans.
+BLOCK_WORDS = 250_000
+#: Words of a long item that stay together; its parts overlap, so that each window is in one of them.
+PART_WORDS = 20_000
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over integer words.
+    """Generalised suffix automaton over integer words, being built.
 
-    ``link`` and ``length`` are the usual suffix links and longest lengths.
+    ``link`` and ``length`` are the usual suffix links and longest lengths. Edges are in one table
+    by state and word; each state's words are a chain.
     """
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        for _, words in items:
-            last = 0
-            for w in words:
-                last = self._extend(last, w)
-        #: By state, the windows that end there: length to item names.
-        self.ends: dict[int, dict[int, set[str]]] = {}
-        for name, words in items:
-            for size, state in self._windows(words, window):
-                self.ends.setdefault(state, {}).setdefault(size, set()).add(name)
-        #: The nearest state up the links, itself included, at which windows end.
-        self.near = [-1] * len(self.link)
-        for v in sorted(range(len(self.link)), key=self.length.__getitem__):
-            self.near[v] = v if v in self.ends else (self.near[self.link[v]] if self.link[v] >= 0 else -1)
-
-    def _extend(self, last: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        q = nxt[last].get(w)
-        if q is not None and length[q] == length[last] + 1:
-            return q
-        if q is not None:
-            return self._split(last, w, q)
-        cur = len(length)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p >= 0 and w not in nxt[p]:
-            nxt[p][w] = cur
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][w]
-            link[cur] = q if length[q] == length[p] + 1 else self._split(p, w, q)
-        return cur
-
-    def _split(self, p: int, w: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        copy = len(length)
-        nxt.append(dict(nxt[q]))
-        link.append(link[q])
-        length.append(length[p] + 1)
-        link[q] = copy
-        while p >= 0 and nxt[p].get(w) == q:
-            nxt[p][w] = copy
-            p = link[p]
+    def __init__(self) -> None:
+        self.edges: dict[int, int] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.last_edge, self.words, self.before = array("i", [-1]), array("i"), array("i")
+
+    def _state(self, link: int, length: int) -> int:
+        self.link.append(link)
+        self.length.append(length)
+        self.last_edge.append(-1)
+        return len(self.link) - 1
+
+    def _join(self, state: int, word: int, to: int) -> None:
+        self.edges[state << 32 | word] = to
+        self.before.append(self.last_edge[state])
+        self.last_edge[state] = len(self.words)
+        self.words.append(word)
+
+    def extend(self, last: int, word: int) -> int:
+        """The state of what ``last`` stands for and one word more."""
+        edges, link, length = self.edges, self.link, self.length
+        to = edges.get(last << 32 | word)
+        if to is not None:
+            return to if length[to] == length[last] + 1 else self._split(last, word, to)
+        new = self._state(0, length[last] + 1)
+        at = last
+        while at >= 0 and (at << 32 | word) not in edges:
+            self._join(at, word, new)
+            at = link[at]
+        if at >= 0:
+            to = edges[at << 32 | word]
+            link[new] = to if length[to] == length[at] + 1 else self._split(at, word, to)
+        return new
+
+    def _split(self, at: int, word: int, to: int) -> int:
+        edges, link = self.edges, self.link
+        copy = self._state(link[to], self.length[at] + 1)
+        edge = self.last_edge[to]
+        while edge >= 0:
+            self._join(copy, self.words[edge], edges[to << 32 | self.words[edge]])
+            edge = self.before[edge]
+        link[to] = copy
+        while at >= 0 and edges.get(at << 32 | word) == to:
+            edges[at << 32 | word] = copy
+            at = link[at]
         return copy
 
-    def _windows(self, words: list[int], window: int) -> Iterator[tuple[int, int]]:
-        """Length and state of each window of an item."""
-        size = min(window, len(words))
-        if not size:
-            return
-        state, got = 0, 0
-        for w in words:
-            state, got = self.next[state][w], got + 1
+    def window_ends(self, words: list[int], size: int) -> Iterator[int]:
+        """The state at which each window of so many words of an item ends."""
+        state = got = 0
+        for word in words:
+            state, got = self.edges[state << 32 | word], got + 1
             while self.length[self.link[state]] >= size:
                 state = self.link[state]
                 got = self.length[state]
             if got >= size:
-                yield size, state
+                yield state
 
-    def scan(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Word spans covered by windows, and the items whose windows occur."""
-        hits: list[tuple[int, int]] = []
-        found: set[str] = set()
-        nxt, link, length, near, ends = self.next, self.link, self.length, self.near, self.ends
+
+def build(items: list[tuple[str, np.ndarray]], window: int) -> dict[str, bytes | list[str]]:
+    """The automaton of some items' hashed words as sorted arrays.
+
+    ``ends`` are states at which windows end, ``sizes`` their windows' words and ``owners`` the items;
+    ``near`` leads from a state to the nearest one up the links, itself included, at which windows end.
+    """
+    vocabulary = np.unique(np.concatenate([*[w for _, w in items], np.zeros(0, np.uint64)]))
+    coded = [(name, np.searchsorted(vocabulary, w).tolist()) for name, w in items]
+    a = SuffixAutomaton()
+    for _, words in coded:
+        last = 0
+        for word in words:
+            last = a.extend(last, word)
+    names = sorted({name for name, words in coded if words})
+    number = {name: i for i, name in enumerate(names)}
+    ends = {(state, size, number[name]) for name, words in coded if words for size in [min(window, len(words))] for state in a.window_ends(words, size)}
+    table = np.array(sorted(ends), dtype=np.int32).reshape(-1, 3)
+    link, length = np.array(a.link, dtype=np.int32), np.array(a.length, dtype=np.int32)
+    near = np.full(len(link), -1, dtype=np.int32)
+    near[table[:, 0]] = table[:, 0]
+    for state in np.argsort(length, kind="stable")[1:].tolist():
+        if near[state] < 0:
+            near[state] = near[link[state]]
+    keys = np.fromiter(a.edges.keys(), np.int64, len(a.edges))
+    order = np.argsort(keys)
+    to = np.fromiter(a.edges.values(), np.int32, len(a.edges))[order]
+    return {
+        "vocabulary": vocabulary.tobytes(), "edges": keys[order].tobytes(), "targets": to.tobytes(), "link": link.tobytes(), "length": length.tobytes(), "near": near.tobytes(),
+        "ends": table[:, 0].tobytes(), "sizes": table[:, 1].tobytes(), "owners": table[:, 2].tobytes(), "names": names,
+    }
+
+
+AUTOMATON = "block long, vocabulary binary, edges binary, targets binary, link binary, length binary, near binary, ends binary, sizes binary, owners binary, names array<string>"
+
+
+class Matcher:
+    """One block's automaton, ready to scan."""
+
+    def __init__(self, parts: dict[str, bytes | list[str]]) -> None:
+        self.vocabulary = np.frombuffer(parts["vocabulary"], np.uint64)
+        self.edges = dict(zip(np.frombuffer(parts["edges"], np.int64).tolist(), np.frombuffer(parts["targets"], np.int32).tolist(), strict=True))
+        self.link, self.length, self.near = (array("i", parts[c]) for c in ("link", "length", "near"))
+        self.sizes, self.owners = array("i", parts["sizes"]), array("i", parts["owners"])
+        ends = np.frombuffer(parts["ends"], np.int32)
+        state, lo = np.unique(ends, return_index=True)
+        self.ends = dict(zip(state.tolist(), zip(lo.tolist(), [*lo[1:].tolist(), len(ends)], strict=True), strict=True))
+        self.names = parts["names"]
+        self.shortest = min(self.sizes, default=0)
+
+    def scan(self, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+        """Word spans covered by windows, and the items whose windows occur.
+
+        Only runs of words of the vocabulary, long enough for a window, can match.
+        """
+        if len(hashes) < self.shortest or not self.ends:
+            return [], set()
+        ids = np.searchsorted(self.vocabulary, hashes)
+        ids[ids == len(self.vocabulary)] = 0
+        known = self.vocabulary[ids] == hashes
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], known, [False])).view(np.int8)))
+        lo, hi = edges[::2], edges[1::2]
+        long = hi - lo >= self.shortest
+        spans: list[tuple[int, int]] = []
+        found: set[int] = set()
+        for a, b in zip(lo[long].tolist(), hi[long].tolist(), strict=True):
+            self._walk(ids[a:b].tolist(), a, spans, found)
+        return _merged(spans), {self.names[i] for i in found}
+
+    def _walk(self, words: list[int], at: int, spans: list[tuple[int, int]], found: set[int]) -> None:
+        edges, link, length, near, ends, sizes = self.edges, self.link, self.length, self.near, self.ends, self.sizes
         state = matched = 0
-        for i, w in enumerate(words):
-            to = nxt[state].get(w)
+        for i, word in enumerate(words, at + 1):
+            to = edges.get(state << 32 | word)
             while to is None and state:
                 state = link[state]
                 matched = length[state]
-                to = nxt[state].get(w)
+                to = edges.get(state << 32 | word)
             if to is None:
                 continue
             state, matched = to, matched + 1
-            v = near[state]
-            while v >= 0:
-                for size, names in ends[v].items():
-                    if size <= matched:
-                        lo = i + 1 - size
-                        if hits and lo <= hits[-1][1]:
-                            hits[-1] = (min(hits[-1][0], lo), i + 1)
-                        else:
-                            hits.append((lo, i + 1))
-                        found |= names
-                v = near[link[v]] if link[v] >= 0 else -1
-        return _merged(hits), found
+            end = near[state]
+            while end >= 0:
+                for e in range(*ends[end]):
+                    if sizes[e] <= matched:
+                        spans.append((i - sizes[e], i))
+                        found.add(self.owners[e])
+                end = near[link[end]] if link[end] >= 0 else -1
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -134,140 +196,149 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _item_words(texts: list[str | None]) -> list[np.ndarray]:
-    raw, at = tx.utf8(pa.array(texts, pa.string()))
-    raw = tx.LOWER[raw]
-    starts, ends, first = tx.spans(raw, at, tx.ALNUM)
-    h = tx.word_hashes(raw, starts, ends)
-    return [h[first[i] : first[i + 1]] for i in range(len(texts))]
+def _item_parts(window: int):
+    """Hashed words of items in parts that overlap by a window less one word; all windows are in one part."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, parts = [], []
+            raw, at = tx.utf8(batch.column("text"))
+            for lo, hi in tx.slices(at):
+                low, own = tx.LOWER[raw[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo]
+                starts, ends, first = tx.spans(low, own, tx.ALNUM)
+                h = tx.word_hashes(low, starts, ends)
+                for name, a, b in zip(batch.column("item_id").slice(lo, hi - lo).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    for part in range(a, max(b - window + 1, a + 1), PART_WORDS) if b > a else ():
+                        names.append(name if name is not None else "")
+                        parts.append(h[part : min(b, part + PART_WORDS + window - 1)].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(p) // 8 for p in parts], pa.int64()), pa.array(parts, pa.binary())], ["item_id", "n", "words"])
 
-class Matcher:
-    """An automaton and the vocabulary that its words come from."""
+    return run
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        words = _item_words([t for _, t in items])
-        self.vocabulary = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
-        self.shortest = min([window, *(len(w) for w in words if len(w))])
-        self.automaton = SuffixAutomaton([(n, np.searchsorted(self.vocabulary, w).tolist()) for (n, _), w in zip(items, words, strict=True)], window)
 
-    def scan(self, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Only runs of words of the vocabulary, long enough for a window, can match."""
-        if len(hashes) < self.shortest or not len(self.vocabulary):
-            return [], set()
-        ids = np.searchsorted(self.vocabulary, hashes)
-        ids[ids == len(self.vocabulary)] = 0
-        known = self.vocabulary[ids] == hashes
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], known, [False])).view(np.int8)))
-        lo, hi = edges[::2], edges[1::2]
-        long = hi - lo >= self.shortest
-        spans: list[tuple[int, int]] = []
-        found: set[str] = set()
-        for a, b in zip(lo[long].tolist(), hi[long].tolist(), strict=True):
-            got, names = self.automaton.scan(ids[a:b].tolist())
-            spans += [(a + x, a + y) for x, y in got]
-            found |= names
-        return spans, found
+def automata(spark: SparkSession, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
+    """A row of arrays for each block of items, written out, and how many blocks there may be."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    parts = scratch.keep(spark, items.mapInArrow(_item_parts(window), "item_id string, n long, words binary"), "items")
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-2 * total // block_words)) if total > block_words else 1  # twice as many as needed, as hashing deals unevenly
+    dealt = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)))
 
+    def one(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("item_id").to_pylist(), table.column("words").to_pylist(), strict=True))
+        arrays = build([(name, np.frombuffer(w, np.uint64)) for name, w in rows], window)
+        return pa.table({"block": table.column("block").slice(0, 1), **{k: pa.array([v], pa.list_(pa.string()) if k == "names" else pa.binary()) for k, v in arrays.items()}})
+
+    return scratch.keep(spark, dealt.groupBy("block").applyInArrow(one, AUTOMATON), "automata"), blocks
+
+
+#: What a pass makes of a batch, its rows' numbers of words, spans and items.
+Finish = Callable[[pa.RecordBatch, list[int], list[list[list[int]]], list[list[str]]], pa.RecordBatch]
+
+
+def _pass(parts, finish: Finish):
+    """Scan documents with one automaton (none: count words only) and add what earlier blocks have found."""
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of bounded size."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    block, size = [], 0
-    for row in items.toLocalIterator():
-        n = 1 + len(row["text"] or "") // 2
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row["item_id"] if row["item_id"] is not None else "", row["text"]))
-        size += n
-    if block:
-        yield block
-
-
-def _scanner(matcher):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher.value
+        m = Matcher(parts.value) if parts is not None else None
         for batch in batches:
             raw, at = tx.utf8(batch.column("text"))
-            n_words, spans, items = [], batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+            n_words, spans, items = [], [], []
             for lo, hi in tx.slices(at):
-                part, own = tx.LOWER[raw[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo]
-                starts, ends, first = tx.spans(part, own, tx.ALNUM)
-                h = tx.word_hashes(part, starts, ends)
-                for i in range(hi - lo):
-                    got, names = m.scan(h[first[i] : first[i + 1]])
-                    n_words.append(int(first[i + 1] - first[i]))
-                    spans[lo + i] += [[a, b, int(starts[first[i] + a] - own[i]), int(ends[first[i] + b - 1] - own[i])] for a, b in got]
-                    items[lo + i] = sorted({*items[lo + i], *names})
-            columns = [batch.column("row"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                low, own = tx.LOWER[raw[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo]
+                starts, ends, first = tx.spans(low, own, tx.ALNUM)
+                h = tx.word_hashes(low, starts, ends) if m else None
+                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    got, names = m.scan(h[a:b]) if m else ([], ())
+                    n_words.append(b - a)
+                    spans.append([[x, y, int(starts[a + x] - own[i]), int(ends[a + y - 1] - own[i])] for x, y in got])
+                    items.append(sorted(names))
+            if "found_spans" in batch.schema.names:
+                for i, (s, x) in enumerate(zip(batch.column("found_spans").to_pylist(), batch.column("found_items").to_pylist(), strict=True)):
+                    if s:
+                        spans[i] += s
+                        items[i] = sorted({*items[i], *x})
+            yield finish(batch, n_words, spans, items)
 
     return run
 
 
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``row`` (all columns but the text), ``text``, ``n_words``, ``spans`` and ``items`` for each document.
+_SPANS, _ITEMS = pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
 
-    A span is [first word, word after, first byte, byte after]; items are the sorted ids with
-    windows that occur. Each block of items takes one more pass in the same stage: documents
-    are never shuffled, and what is broadcast is bounded by ``BLOCK_WORDS``.
+
+def _hits(batch: pa.RecordBatch, n_words: list[int], spans: list, items: list) -> pa.RecordBatch:
+    some = [i for i, s in enumerate(spans) if s]
+    keys = [batch.column(c).take(pa.array(some, pa.int64())) for c in ("h1", "h2")]
+    return pa.RecordBatch.from_arrays([*keys, pa.array([spans[i] for i in some], _SPANS), pa.array([items[i] for i in some], _ITEMS)], ["h1", "h2", "spans", "items"])
+
+
+def matched(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, finish: Finish, schema, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """What ``finish`` makes of documents and their matches; it gets batches of ``docs``, which has a column ``text``.
+
+    A span is [first word, word after, first byte, byte after]; items are the sorted ids with windows
+    that occur. A block of items is one pass; only one block's automaton is broadcast at a time.
     """
-    rest = [c for c in docs.columns if c != "text"]
     tx.small_batches(docs)
-    empty = F.array()
-    out = docs.select(F.struct(*rest).alias("row"), "text", F.lit(0).cast("long").alias("n_words"), empty.cast("array<array<long>>").alias("spans"), empty.cast("array<string>").alias("items"))
-    blocks = item_blocks(benchmark)
-    block: list | None = next(blocks, [])
-    while block is not None:
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(Matcher(block, window))), out.schema)
-        block = next(blocks, None)
-    return out
+    table, blocks = automata(spark, benchmark, window, block_words)
+    fetch = lambda i: [{k: v if k == "names" else bytes(v) for k, v in r.asDict().items() if k != "block"} for r in table.where(F.col("block") == i).collect()]  # noqa: E731  one row, bounded by block_words
+    sent = lambda rows: spark.sparkContext.broadcast(rows[0]) if rows else None
+    if blocks > 1:
+        keyed = docs.select("text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+        parts = []
+        for i in range(blocks - 1):
+            block = sent(fetch(i))
+            if block is not None:
+                parts.append(scratch.keep(spark, keyed.mapInArrow(_pass(block, _hits), "h1 long, h2 long, spans array<array<bigint>>, items array<string>"), "hits"))
+                block.destroy()
+        if parts:
+            all_hits = parts[0]
+            for p in parts[1:]:
+                all_hits = all_hits.union(p)
+            once = all_hits.distinct().groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("found_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("found_items"))
+            once = scratch.keep(spark, once, "found").withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
+            docs = docs.join(once, (F.xxhash64("text") == F.col("_h1")) & (F.xxhash64(F.lit(7), "text") == F.col("_h2")), "left").drop("_h1", "_h2")
+    return docs.mapInArrow(_pass(sent(fetch(blocks - 1)), finish), schema)
 
 
 def _hit_words(spans: list) -> int:
     return sum(hi - lo for lo, hi in _merged([(s[0], s[1]) for s in spans]))
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: words, words in windows of items, items, and whether any window occurs."""
-    found = matches(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window)
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit = [_hit_words(s) for s in b.column("spans").to_pylist()]
-            items = b.column("items").to_pylist()
-            columns = [b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([x > 0 for x in hit], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def digest(batch: pa.RecordBatch, n_words: list[int], spans: list, items: list) -> pa.RecordBatch:
+        hit = [_hit_words(s) for s in spans]
+        columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([x > 0 for x in hit], pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return found.select("row.doc_id", "n_words", "spans", "items").mapInArrow(digest, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return matched(spark, rows, benchmark, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", window, block_words)
 
 
-def remove_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def remove_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents without the matched spans; those covered beyond ``max_coverage`` go. Columns as in ``docs``.
 
     A span reaches from its first word's first byte to its last word's last byte. ``n_chars``,
     where there is one, follows a changed text.
     """
-    found = matches(spark, docs, benchmark, window)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            stay, texts = [], []
-            for text, n, spans in zip(b.column("text").to_pylist(), b.column("n_words").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                stay.append(_hit_words(spans) <= max_coverage * n)
-                if spans:
-                    raw, out, at = text.encode(), [], 0
-                    for lo, hi in _merged([(s[2], s[3]) for s in spans]):
-                        out.append(raw[at:lo])
-                        at = hi
-                    text = b"".join([*out, raw[at:]]).decode()
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array([bool(s) for s in b.column("spans").to_pylist()], pa.bool_())], ["row", "text", "changed"]).filter(pa.array(stay, pa.bool_()))
-
-    row = found.schema["row"].dataType
-    out = found.mapInArrow(cut, T.StructType([T.StructField("row", row), T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())]))
+
+    def cut(batch: pa.RecordBatch, n_words: list[int], spans: list, items: list) -> pa.RecordBatch:
+        stay = [_hit_words(s) <= max_coverage * n for n, s in zip(n_words, spans, strict=True)]
+        texts = batch.column("text").to_pylist()
+        for i, own in enumerate(spans):
+            if own and stay[i]:
+                raw, out, at = texts[i].encode(), [], 0
+                for lo, hi in _merged([(s[2], s[3]) for s in own]):
+                    out.append(raw[at:lo])
+                    at = hi
+                texts[i] = b"".join([*out, raw[at:]]).decode()
+        columns = [batch.column("row"), pa.array(texts, pa.string()), pa.array([bool(s) for s in spans], pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["row", "text", "changed"]).filter(pa.array(stay, pa.bool_()))
+
+    packed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+    out = matched(spark, packed, benchmark, cut, schema, window, block_words)
     kind = dict(docs.dtypes)
     new = {"text": F.col("text")} | ({"n_chars": F.when(F.col("changed"), F.length("text").cast(kind["n_chars"])).otherwise(F.col("row.n_chars"))} if "n_chars" in kind else {})
     return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -169,23 +169,31 @@ def hits(text, items, window):
 ITEMS = [(1, "alphabeta gammadelta alphabeta gammadelta alphabeta gammadelta"), (10, "one two"), (2, None), (3, ""), (11, "One, two!"), (12, "b c"), (13, "mumu")]
 
 
-@pytest.mark.parametrize("block", [1, 1_000_000])
+@pytest.mark.parametrize("block", [60, 1_000_000])
 def test_windows_match_brute_force(spark, odd, odd_rows, varied_rows, nothing, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
-    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (block,))
+    if block == 60:
+        monkeypatch.setattr(decontaminate, "PART_WORDS", 3)  # items in many overlapping parts, parts in several blocks
     items = ITEMS + [(20 + i, " ".join(t.split()[3:20]) + " end") for i, t, _ in varied_rows[:5 if block == 1 else 12]]
     rows = odd_rows + varied_rows
-    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.contamination(spark, table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), 6).collect())
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.contamination(spark, table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), 6, block).collect())
     assert got == sorted((i, *hits(t, items, 6)) for i, t, _ in rows)
     assert decontaminate.contamination(spark, nothing, spark.createDataFrame(ITEMS, "item_id long, text string")).collect() == []
 
 
 def test_automaton_on_repetitive_items():
     items = [("a", [1, 1, 1, 2, 1, 1, 2]), ("b", [1, 2]), ("c", [2, 1, 1])]
-    found = decontaminate.SuffixAutomaton(items, 4)
-    spans, names = found.scan([3, 1, 1, 2, 1, 1, 2, 3, 1, 2])
+    found = decontaminate.Matcher(decontaminate.build([(n, np.array(w, np.uint64)) for n, w in items], 4))
+    spans, names = found.scan(np.array([3, 1, 1, 2, 1, 1, 2, 3, 1, 2], np.uint64))
     assert names == {"a", "b", "c"} and spans == [(1, 7), (8, 10)]
-    assert found.scan([2, 2, 3]) == ([], set())
+    assert found.scan(np.array([2, 2, 3], np.uint64)) == ([], set())
+
+
+def test_a_full_block_is_small():
+    """The words of a full block, as arrays: the sum of what is broadcast at a time."""
+    rng = np.random.default_rng(5)
+    words = rng.zipf(1.2, 60_000).astype(np.uint64)
+    arrays = decontaminate.build([(str(i), words[lo : lo + 200]) for i, lo in enumerate(range(0, len(words), 200))], 10)
+    assert sum(len(v) for k, v in arrays.items() if k != "names") < 150 * len(words)
 
 
 def test_removed_spans(spark, odd, nothing):
