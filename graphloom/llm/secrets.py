@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,10 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
 # Words by which a sensitive context is known.
 SENSITIVE = re.compile(rb"passw|passphrase|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|credential|bearer|signature")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+#: Characters of a candidate at least.
+LEAST = 16
+_DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
 # Identifiers that code often has; they prime the compressor.
 IDENTIFIERS = """access_key access_token account api_key api_secret application authorization bearer certificate
 client_id client_secret config connection_string credentials database default description development document
@@ -67,20 +71,40 @@ def _hex_runs(raw: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int]
 
 
 def _novel(text: bytes, low: bytes, novelty: Novelty, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Incompressible candidates in a sensitive context that no base span has."""
-    out: dict[int, int] = {}
-    for word in SENSITIVE.finditer(low):
-        for c in CANDIDATE.finditer(text, word.end()):
-            lo, hi = c.span()
-            if lo > word.end() + REACH:
-                break
-            value = c.group()
-            if lo in out or any(a < hi and lo < b for a, b in known) or not (re.search(rb"[0-9]", value) and re.search(rb"[A-Za-z]", value)):
+    """Incompressible candidates in a sensitive context that no base span has.
+
+    Sensitive words and runs of key-like characters are each found in one pass. A run is a candidate if a
+    word ends shortly before it; if it is none or has nothing new, then what follows the last word within it.
+    """
+    words = [m.end() for m in SENSITIVE.finditer(low)]
+    if not words:
+        return []
+    known = _merged(known)
+    known_ends = [hi for _, hi in known]
+    out: list[tuple[int, int]] = []
+    for run in RUN.finditer(text, max(0, words[0] - 1)):
+        lo, hi = run.span()
+        before, within = bisect_right(words, lo), bisect_right(words, hi - LEAST)
+        starts = [lo] if before and words[before - 1] >= lo - REACH else []
+        starts += [words[within - 1]] if within > before else []
+        for at in starts:
+            base, value = bisect_right(known_ends, at), text[at:hi]
+            if base < len(known) and known[base][0] < hi or not (_DIGIT.search(value) and _LETTER.search(value)):
                 continue
-            around = text[max(0, lo - AROUND) : lo] + text[hi : hi + AROUND]
-            if novelty.marginal(around, value) >= NOVEL * len(value):
-                out[lo] = hi
-    return list(out.items())
+            if novelty.marginal(text[max(0, at - AROUND) : at] + text[hi : hi + AROUND], value) >= NOVEL * len(value):
+                out.append((at, hi))
+                break
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo < out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def find(text: bytes, hexes: list[tuple[int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -136,6 +137,36 @@ def test_secrets(spark, odd, odd_rows, nothing):
     assert secrets.scan(nothing).collect() == []
 
 
+def test_secrets_in_long_texts_take_linear_time():
+    novelty = secrets.Novelty()
+    for unit in (b"token ", b"token", b"password=", b"key0Aa9"):
+        began = time.perf_counter()
+        secrets.find(unit * (5_000_000 // len(unit)), [], novelty)
+        assert time.perf_counter() - began < 20
+
+
+def test_novel_spans_match_one_call_a_candidate():
+    """Each run after a sensitive word by itself, with zstandard called plainly."""
+    import zstandard
+
+    rng = random.Random(9)
+    primed = zstandard.ZstdCompressionDict(secrets.IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda b: len(zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False).compress(b))
+    text = b""
+    for i in range(120):
+        value = bytes(rng.choices(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" if i % 3 else b"ab1", k=rng.randint(10, 40)))
+        text += rng.choice([b"auth header ", b"the bearer is ", b"see page ", b"x " * 40]) + value + b" and so on "
+    want = []
+    for m in re.finditer(rb"[A-Za-z0-9+/_=-]{16,}", text):
+        lo, hi = m.span()
+        near = text[max(0, lo - secrets.REACH - 20) : lo].lower()
+        reach = any(lo - len(near) + w.end() >= lo - secrets.REACH for w in secrets.SENSITIVE.finditer(near))
+        around = text[max(0, lo - secrets.AROUND) : lo] + text[hi : hi + secrets.AROUND]
+        if reach and re.search(rb"\d", m.group()) and re.search(rb"[A-Za-z]", m.group()) and size(around + m.group()) - size(around) >= secrets.NOVEL * (hi - lo):
+            want.append((lo, 3, hi))
+    assert 5 < len(want) < 100 and secrets.find(text, [], secrets.Novelty()) == want
+
+
 def test_licenses(spark, odd, odd_rows, nothing):
     mit = licenses.TEMPLATES["mit-notice"]
     broken = mit.replace("free of charge", "free of any charge").replace("software", "Software,")
