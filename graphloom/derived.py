@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.sequence import dbg_edges, kmers
 from .model import AssemblyGraph
+from .operators import build
 
 #: k of the k-mers, and bases by which unitigs advance.
 K, STEP = 15, 100
@@ -45,14 +45,25 @@ def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select(F.concat("unitig", F.lit(" LN:i:"), F.length("bases").cast("string"), F.lit(" KC:i:1 km:f:1.0"), links).alias("header"), "bases")
 
 
+def _next_in_time(rows: DataFrame) -> DataFrame:
+    """(src, dst) of each row and the next one by time; no task has more than an hour of rows.
+
+    The last row of an hour is followed by the first one of the next hour that has rows; only the hours' first
+    rows, one each, meet in one window.
+    """
+    hourly = rows.withColumn("hour", F.date_trunc("hour", "ts"))
+    inner = hourly.withColumn("dst", F.lead("event_id").over(Window.partitionBy("hour").orderBy("ts", "event_id")))
+    firsts = hourly.groupBy("hour").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    after = firsts.select("hour", F.lead("first.event_id").over(Window.orderBy("hour")).alias("after"))
+    return inner.join(F.broadcast(after), "hour").select(F.col("event_id").alias("src"), F.coalesce("dst", "after").alias("dst"))
+
+
 def event_graph(spark: SparkSession, sf_dir: str) -> AssemblyGraph:
     e = table(spark, sf_dir, "events")
     order = ["ts", "event_id"]
     by_user = F.lead("event_id").over(Window.partitionBy("user_id").orderBy(*order))
-    by_type = F.lead("event_id").over(Window.partitionBy("event_type").orderBy(*order))
     users = e.select(F.col("event_id").alias("src"), by_user.alias("dst"))
-    buys = e.where("event_type = 'purchase'").select(F.col("event_id").alias("src"), by_type.alias("dst"))
-    edges = users.union(buys).where("dst is not null").distinct()
+    edges = users.union(_next_in_time(e.where("event_type = 'purchase'").select("event_id", "ts"))).where("dst is not null").distinct()
     depth = F.array(F.col("value"), F.col("value") * 0.5 + 1, F.abs(F.col("value") - 10), (F.col("user_id") % 10).cast("double"))
     vertices = e.select(F.col("event_id").alias("vid"), (1 + F.col("event_id") % 7).alias("length"), F.array(F.concat(F.col("event_id").cast("string"), F.lit("+"))).alias("segments"), depth.alias("depth"))
     return AssemblyGraph(vertices, edges, K, SAMPLES)
@@ -77,16 +88,12 @@ def segment_graph(spark: SparkSession, sf_dir: str) -> AssemblyGraph:
 
 def kmer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kmer, n): the k-mers of all documents and how often they occur."""
-    return sequences(spark, sf_dir).select(F.explode(kmers(F.col("bases"), K)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return build.kmer_table(sequences(spark, sf_dir), K)
 
 
 def dbg(spark: SparkSession, sf_dir: str) -> AssemblyGraph:
-    """The de Bruijn graph of all documents; k-mers are the ids, and those without edges are absent."""
-    counts = kmer_table(spark, sf_dir)
-    edges = dbg_edges(counts)
-    ends = edges.select(F.col("src").alias("vid")).union(edges.select("dst")).distinct()
-    vertices = counts.select(F.col("kmer").alias("vid"), F.lit(1).cast("long").alias("length"), F.array("kmer").alias("segments"), F.array(F.col("n").cast("double")).alias("depth")).join(ends, "vid", "left_semi")
-    return AssemblyGraph(vertices, edges, K, ("all",))
+    """The de Bruijn graph of all documents."""
+    return build.annotated_dbg(sequences(spark, sf_dir), K)
 
 
 # The same in DuckDB SQL, as common table expressions.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..model import AssemblyGraph
+from ..model import AssemblyGraph, validate
 from ..operators import deconvolve, flow, results, rewrite, topology
 from ..sources import fasta, kmer_depth, layout
 
@@ -26,6 +26,11 @@ def load(spark: SparkSession, records: DataFrame, k: int, dialect: str = "bcalm"
     return AssemblyGraph(vertices, edges, k, samples), unitigs
 
 
+def depth(unitigs: DataFrame, counts: DataFrame, k: int, samples: tuple[str, ...]) -> DataFrame:
+    """(unitig, sample, depth) from counts (kmer, sample, n) that may have either strand of a k-mer, but not both."""
+    return kmer_depth.mean_depth(unitigs, kmer_depth.check_strands(counts), k, samples)
+
+
 def press(spark: SparkSession, graph: AssemblyGraph) -> AssemblyGraph:
     """Merge all paths without branches."""
     return rewrite.merge(spark, graph, scratch.keep(spark, topology.unitig_paths(spark, graph), "paths"))
@@ -49,11 +54,12 @@ def focus(spark: SparkSession, graph: AssemblyGraph, vertices: DataFrame | None
 
 @dataclass(frozen=True)
 class UnzipSettings:
-    """Settings of the rounds; the gates' defaults are those of the command line."""
+    """Settings of the rounds; the defaults are those of the command line."""
 
     model: str = "Default"
     score: str = "bic"
     max_rounds: int = 100
+    drop_low_depth: bool = True
     min_depth: float = 0.0
     margin: float = 10.0
     relative: float = 0.1
@@ -62,44 +68,105 @@ class UnzipSettings:
     excess: int = 0
     extra_large: float = 100
     skip: tuple[str, ...] = ()
-    balance: bool = False
+    balance: bool = True
+    swap: bool = True
+    #: Candidates of a junction beyond which it is searched greedily.
+    exhaustive_up_to: float = deconvolve.EXHAUSTIVE
     flow_eps: float = 1e-6
     flow_iter: int = 1000
+    if_not_converged: str = "error"
 
 
 def _flows(spark: SparkSession, graph: AssemblyGraph, s: UnzipSettings) -> DataFrame:
-    return flow.estimate(spark, graph.edges, graph.vertices.select("vid", "length"), flow.long_depths(graph.vertices), s.flow_eps, s.flow_iter, if_not_converged="error")[0]
+    return flow.estimate(spark, graph.edges, graph.vertices.select("vid", "length"), flow.long_depths(graph.vertices), s.flow_eps, s.flow_iter, if_not_converged=s.if_not_converged)[0]
+
+
+def _solved(spark: SparkSession, problems: DataFrame, s: UnzipSettings) -> tuple[DataFrame, DataFrame]:
+    """All decisions, written out, and those that pass the gates."""
+    solved = scratch.keep(spark, deconvolve.solve(spark, problems, s.model, s.score, s.balance, s.swap, s.exhaustive_up_to), "solved")
+    return solved, deconvolve.gated(solved, s.margin, s.relative, s.absolute, s.completeness, s.excess)
 
 
 def unzip(spark: SparkSession, graph: AssemblyGraph, settings: UnzipSettings = UnzipSettings(), folder: str | None = None) -> AssemblyGraph:
     """Split junctions whose paths are clear, merge paths, and go on until nothing changes.
 
-    All classes of junctions of a round are solved on the same graph. Each round's graph is written
-    out, to ``folder`` if given, from where a broken run can go on.
+    All classes of junctions of a round are solved on the same graph. Each round's graph is written to
+    ``folder`` (default: a new one), and so are its problems, by round and kind, whether they are
+    solved or skipped. A folder that has rounds already is gone on with from its last whole one.
     """
-    folder = folder or f"{scratch.folder(spark)}/graphloom/unzip"
-    kept = flow.low_flow_edges(_flows(spark, graph, settings), settings.min_depth)
-    graph = press(spark, graph.with_(edges=kept))
-    for i in range(settings.max_rounds):
-        graph = layout.checkpoint(spark, graph, folder, i)
+    folder = folder or scratch.new_path(spark, "unzip")
+    start = 0
+    while scratch.exists(spark, f"{folder}/checkpoint_{start}/meta/_SUCCESS"):
+        start += 1
+    if start:
+        start -= 1
+        graph = layout.load_graph(spark, f"{folder}/checkpoint_{start}")
+    else:
+        validate(graph, {name: rule for name, rule in rewrite.RULES.items() if name in graph.vertices.columns})
+        if settings.drop_low_depth:
+            graph = graph.with_(edges=flow.low_flow_edges(_flows(spark, graph, settings), settings.min_depth))
+        graph = layout.checkpoint(spark, press(spark, graph), folder, 0)
+    for i in range(start, settings.max_rounds):
         flows = scratch.keep(spark, flow.flow_vectors(_flows(spark, graph, settings)), "flows")
-        wanted = deconvolve.junction_classes(graph, settings.extra_large)
-        wanted = wanted.where(~F.col("kind").isin(list(settings.skip))) if settings.skip else wanted
-        found = deconvolve.problems(graph, flows, deconvolve.without_unidentifiable(graph, wanted))
-        solved = scratch.keep(spark, deconvolve.solve(found, settings.model, settings.score, settings.balance), "solved")
-        accepted = deconvolve.gated(solved, settings.margin, settings.relative, settings.absolute, settings.completeness, settings.excess)
+        kinds = deconvolve.junction_classes(graph, settings.extra_large)
+        found = deconvolve.problems(graph, flows, deconvolve.without_unidentifiable(graph, kinds)).join(kinds.select(F.col("vid").alias("junction"), "kind"), "junction")
+        found.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/problems_{i}")
+        found = spark.read.schema(found.schema).parquet(f"{folder}/problems_{i}")
+        wanted = found.where(~F.col("kind").isin(list(settings.skip))) if settings.skip else found
+        _, accepted = _solved(spark, wanted.drop("kind"), settings)
         paths = scratch.keep(spark, deconvolve.split_paths(accepted), "split")
         if paths.isEmpty():
             break
-        graph = press(spark, rewrite.split(spark, graph, paths))
+        graph = layout.checkpoint(spark, press(spark, rewrite.split(spark, graph, paths)), folder, i + 1)
     return graph
 
 
-def benchmark(problems: DataFrame, settings: UnzipSettings = UnzipSettings()) -> DataFrame:
-    """Fits of saved problems and whether the gates accept them."""
-    solved = deconvolve.solve(problems, settings.model, settings.score, settings.balance)
-    accepted = deconvolve.gated(solved, settings.margin, settings.relative, settings.absolute, settings.completeness, settings.excess)
-    return solved.join(accepted.select("junction", F.lit(True).alias("accepted")), "junction", "left").fillna(False, ["accepted"])
+def benchmark(spark: SparkSession, problems: DataFrame, settings: UnzipSettings = UnzipSettings(), part: tuple[int, int] | None = None) -> DataFrame:
+    """How well a model fits saved problems, and whether the gates accept its decisions.
+
+    ``part`` takes problems by their number in ascending order of junctions, the first included, the last not.
+    """
+    problems = problems.drop("kind") if "kind" in problems.columns else problems
+    if part is not None:
+        numbered = scratch.numbered(spark, problems, ["junction"], "number")
+        problems = numbered.where((F.col("number") >= part[0]) & (F.col("number") < part[1])).drop("number")
+    solved, accepted = _solved(spark, problems, settings)
+    path = F.transform(F.arrays_zip("left", "right"), lambda p: F.concat(p["left"].cast("string"), F.lit(">"), p["right"].cast("string")))
+    table = solved.join(accepted.select("junction", F.lit(True).alias("accepted")), "junction", "left").fillna(False, ["accepted"])
+    return table.select(
+        "junction", "converged", "loglik", "num_params", "rmse", "mae", "completeness", "excess_paths", "score_margin", deconvolve.identifiable(settings.relative, settings.absolute).alias("identifiable"),
+        F.lit(settings.score).alias("score_name"), F.lit(settings.model).alias("model"), F.concat_ws(",", path).alias("paths"), "accepted",
+    )
+
+
+def smooth(spark: SparkSession, graph: AssemblyGraph, samples: list[str] | None = None, symmetric: bool = False, eps: float = 1e-4, **settings) -> AssemblyGraph:
+    """The graph of all samples or some of them, with depths that flows explain.
+
+    With ``symmetric``, a vertex and its twin, which has the reverse complement of its segments, both get
+    their mean smoothed depth; vertices without a twin keep theirs.
+    """
+    names = list(samples) if samples is not None else list(graph.samples)
+    if unknown := set(names) - set(graph.samples):
+        raise ValueError(f"no such samples: {sorted(unknown)}")
+    at = [graph.samples.index(n) for n in names]
+    chosen = graph.with_(vertices=graph.vertices.withColumn("depth", F.array(*[F.element_at("depth", i + 1) for i in at])), samples=tuple(names))
+    out = flow.smooth(spark, chosen, eps=eps, **settings)
+    if not symmetric:
+        return out
+    vertices = scratch.keep(spark, out.vertices, "smooth")
+    near = results.twins(vertices).join(vertices.select(F.col("vid").alias("twin"), F.col("depth").alias("other")), "twin")
+    other = near.groupBy("vid").agg(F.min_by("other", "twin").alias("other"))
+    mean = F.when(F.col("other").isNull(), F.col("depth")).otherwise(F.zip_with("depth", "other", lambda a, b: (a + b) / 2))
+    return out.with_(vertices=vertices.join(other, "vid", "left").withColumn("depth", mean).drop("other"))
+
+
+def add_depth(spark: SparkSession, graph: AssemblyGraph, depths: DataFrame, samples: tuple[str, ...]) -> AssemblyGraph:
+    """A loaded graph of single unitigs with the depths (unitig, sample, depth) of its unitigs; one that lacks them fails."""
+    vectors = kmer_depth.depth_vectors(depths)
+    segment = F.element_at("segments", 1)
+    named = graph.vertices.withColumn("unitig", F.substr(segment, F.lit(1), F.length(segment) - 1))
+    named = named.drop("depth") if "depth" in named.columns else named
+    return graph.with_(vertices=kmer_depth.add_depth(named, vectors).drop("unitig"), samples=tuple(samples))
 
 
 def contigs(graph: AssemblyGraph, unitigs: DataFrame, min_depth: float = 0.0, derep: bool = True) -> DataFrame:

@@ -1,7 +1,8 @@
 """Which edge into a junction goes on as which edge out of it.
 
-Relational parts are DataFrame operations; one junction's candidates are fitted by a small numpy
-helper, junctions being independent rows of a distributed table.
+A junction's candidates are rows: a block of some of them is what a task fits, by a small numpy helper,
+so that one junction with many candidates is spread over the cluster. The best candidate and the
+second best are aggregates over blocks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..model import AssemblyGraph
 from .models import MODELS, Model
 from .topology import blackbox_vertices, degrees, self_loops
@@ -49,6 +51,19 @@ def minimal_pathsets(n: int, m: int) -> Iterator[Pathset]:
             yield tuple(sorted(pairs if n >= m else ((b, a) for a, b in pairs)))
 
 
+def nth_pathset(index: int, n: int, m: int) -> Pathset:
+    """The candidate that ``minimal_pathsets`` gives at an index, without those before it."""
+    short, long = min(n, m), max(n, m)
+    order, rest = divmod(index, short ** (long - short))
+    left, head = list(range(short)), []
+    for i in range(short, 0, -1):
+        at, order = divmod(order, math.factorial(i - 1))
+        head.append(left.pop(at))
+    tail = [rest // short**p % short for p in range(long - short - 1, -1, -1)]
+    pairs = enumerate([*head, *tail])
+    return tuple(sorted(pairs if n >= m else ((b, a) for a, b in pairs)))
+
+
 def random_pathset(n: int, m: int, excess: int, rng: np.random.Generator) -> Pathset:
     """A random minimal pathset and some paths more."""
     short, long = min(n, m), max(n, m)
@@ -145,44 +160,85 @@ def problems(graph: AssemblyGraph, flows: DataFrame, junctions: DataFrame) -> Da
     )
 
 
-def solve_one(row, model: Model, score: str, balance: bool, swap: bool, search: bool) -> dict:
-    """Decision for one junction, with the numbers that the gates ask for."""
-    depth = np.asarray(row["depth"], float)
-    sides = [np.array([list(f) for f in row[c]], float) for c in ("in_flows", "out_flows")]
-    names = [list(row["in_nb"]), list(row["out_nb"])]
-    swapped = swap and should_swap(*sides)
-    if swapped:
-        sides, names = sides[::-1], names[::-1]
-    if balance:
-        sides = [balanced(f, depth) for f in sides]
-    n, m = map(len, names)
-    paths, _, margin = best_of((greedy if search else exhaustive)(*sides, model, score))
-    x = design(paths, n, m)
-    fit = model.fit(np.concatenate(sides), x)
-    ends = [(names[0][i], names[1][j]) for i, j in paths]
-    return {
-        "junction": row["junction"], "converged": bool(fit.converged), "score_margin": float(margin),
-        "completeness": float((x.sum(1) > 0).mean()), "excess_paths": len(paths) - max(n, m),
-        "relative_stderr": (fit.stderr / (np.abs(fit.beta) + 1)).tolist(), "absolute_stderr": fit.stderr.tolist(),
-        "left": [b if swapped else a for a, b in ends], "right": [a if swapped else b for a, b in ends],
-        "path_depth": np.maximum(fit.beta, 0).tolist(), "loglik": float(fit.loglik),
-    }
-
-
-SOLVED = "junction long, converged boolean, score_margin double, completeness double, excess_paths int, relative_stderr array<array<double>>, absolute_stderr array<array<double>>, left array<long>, right array<long>, path_depth array<array<double>>, loglik double"
-
-
-def solve(found: DataFrame, model: str = "Default", score: str = "bic", balance: bool = True, swap: bool = False, search: bool = False, **settings) -> DataFrame:
-    """Fit all problems; junctions are dealt evenly, as some take far longer than others."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class Problem:
+    """One junction's flows in canonical orientation, balanced, with the neighbours' names."""
+
+    def __init__(self, row, balance: bool, swap: bool) -> None:
+        sides = [np.array([list(f) for f in row[c]], float) for c in ("in_flows", "out_flows")]
+        names = [list(row["in_nb"]), list(row["out_nb"])]
+        self.swapped = swap and should_swap(*sides)
+        if self.swapped:
+            sides, names = sides[::-1], names[::-1]
+        if balance:
+            sides = [balanced(f, np.asarray(row["depth"], float)) for f in sides]
+        self.sides, self.names = sides, names
+
+    def decide(self, paths: Pathset, model: Model) -> dict:
+        """The decision for some paths, with the numbers that the gates and reports ask for."""
+        n, m = map(len, self.names)
+        x, y = design(paths, n, m), np.concatenate(self.sides)
+        fit = model.fit(y, x)
+        residual = y - x @ fit.beta
+        ends = [(self.names[0][i], self.names[1][j]) for i, j in paths]
+        return {
+            "converged": bool(fit.converged), "completeness": float((x.sum(1) > 0).mean()), "excess_paths": len(paths) - max(n, m),
+            "relative_stderr": (fit.stderr / (np.abs(fit.beta) + 1)).tolist(), "absolute_stderr": fit.stderr.tolist(),
+            "left": [b if self.swapped else a for a, b in ends], "right": [a if self.swapped else b for a, b in ends],
+            "path_depth": np.maximum(fit.beta, 0).tolist(), "loglik": float(fit.loglik), "num_params": int(fit.n_params),
+            "rmse": float(np.sqrt(np.mean(residual**2))), "mae": float(np.mean(np.abs(residual))),
+        }
+
+
+SOLVED = """junction long, score_margin double, converged boolean, completeness double, excess_paths int, relative_stderr array<array<double>>, absolute_stderr array<array<double>>,
+left array<long>, right array<long>, path_depth array<array<double>>, loglik double, num_params int, rmse double, mae double"""
+
+#: Candidates that one row of work has, and candidates of a junction up to which all are fitted.
+BLOCK, EXHAUSTIVE = 64, 1_000_000
+
+
+def solve(spark: SparkSession, found: DataFrame, model: str = "Default", score: str = "bic", balance: bool = True, swap: bool = True, exhaustive_up_to: float = EXHAUSTIVE, **settings) -> DataFrame:
+    """The decision for each problem, by all minimal pathsets of a junction.
+
+    Junctions with more candidates than ``exhaustive_up_to`` are searched greedily instead, as no machine
+    fits, say, the 10**13 candidates of 15 edges by 15.
+    """
+
+    def top_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fitted = MODELS[model](**settings)
+        for batch in batches:
+            rows = []
+            for r in batch.to_dict("records"):
+                p = Problem(r, balance, swap)
+                n, m = map(len, p.names)
+                if r["block"] < 0:
+                    paths, best, margin = best_of(greedy(*p.sides, fitted, score))
+                    rows.append((r["junction"], best, -1, best - margin if math.isfinite(margin) else -math.inf, [list(x) for x in paths]))
+                    continue
+                y = np.concatenate(p.sides)
+                scores = [(_scored(y, nth_pathset(i, n, m), n, m, fitted, score), -i) for i in range(int(r["block"]) * BLOCK, min((int(r["block"]) + 1) * BLOCK, int(r["candidates"])))]
+                scores.sort(reverse=True)
+                best, at = scores[0]
+                rows.append((r["junction"], best, -at, scores[1][0] if len(scores) > 1 else -math.inf, [list(x) for x in nth_pathset(-at, n, m)]))
+            yield pd.DataFrame(rows, columns=["junction", "best", "index", "second", "paths"])
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fitted = MODELS[model](**settings)
         for batch in batches:
-            rows = [solve_one(r, fitted, score, balance, swap, search) for r in batch.to_dict("records")]
+            rows = []
+            for r in batch.to_dict("records"):
+                p = Problem(r, balance, swap)
+                margin = r["best"] - r["second"] if math.isfinite(r["best"]) else -math.inf
+                rows.append({"junction": r["junction"], "score_margin": float(margin), **p.decide(tuple((int(i), int(j)) for i, j in r["paths"]), fitted)})
             if rows:
                 yield pd.DataFrame(rows)
 
-    return found.repartition("junction").mapInPandas(run, SOLVED)
+    sized = found.withColumn("candidates", n_minimal_pathsets(F.size("in_nb"), F.size("out_nb")))
+    blocks = F.when(F.col("candidates") <= exhaustive_up_to, F.sequence(F.lit(0).cast("long"), F.floor((F.col("candidates") - 1) / BLOCK))).otherwise(F.array(F.lit(-1).cast("long")))
+    work = sized.withColumn("block", F.explode(blocks)).repartition("junction", "block")
+    fits = scratch.keep(spark, work.mapInPandas(top_two, "junction long, best double, index long, second double, paths array<array<int>>"), "fits")
+    top = fits.groupBy("junction").agg(F.max(F.struct("best", -F.col("index"), "paths")).alias("top")).select("junction", F.col("top.best").alias("best"), F.col("top.paths").alias("paths"), (-F.col("top.col2")).alias("index"))
+    second = fits.join(top.select("junction", F.col("index").alias("chosen")), "junction").groupBy("junction").agg(F.max(F.when(F.col("index") == F.col("chosen"), F.col("second")).otherwise(F.col("best"))).alias("second"))
+    return found.join(top.drop("index"), "junction").join(second, "junction").mapInPandas(decide, SOLVED)
 
 
 def identifiable(relative: float, absolute: float) -> Column:

@@ -51,18 +51,6 @@ def stepped(state: DataFrame) -> DataFrame:
     return with_delta(state).withColumn("flow", F.greatest(F.col("flow") + F.col("delta"), F.lit(0.0))).drop("delta")
 
 
-def fixed_steps(edges: DataFrame, lengths: DataFrame, depths: DataFrame, steps: int) -> DataFrame:
-    """(src, dst, sample, flow) after so many steps without and so many with lengths; one plan."""
-    state = static_terms(edges, lengths, depths, 0.0).withColumn("flow", F.lit(1.0))
-    for _ in range(steps):
-        state = stepped(state)
-    flow = state.select("src", "dst", "sample", "flow")
-    state = static_terms(edges, lengths, depths, 1.0).join(flow, ["src", "dst", "sample"])
-    for _ in range(steps):
-        state = stepped(state)
-    return state.select("src", "dst", "sample", "flow")
-
-
 def _not_converged(what: str, how: str) -> None:
     if how == "error":
         raise RuntimeError(f"{what} did not converge")
@@ -74,17 +62,18 @@ def estimate(spark: SparkSession, edges: DataFrame, lengths: DataFrame, depths:
     """Flows (src, dst, sample, flow) and each sample's losses.
 
     First the ends of an edge count alike, then by length. A sample stops when its loss, the norm of
-    the corrections over the sum of its depths, is 0 (before the update) or below eps (after it).
+    the corrections over the sum of its depths, is 0 (before the update) or below eps (after it). Each
+    round is written out and reads the one before; a sample that stops is put aside.
     """
     total = {r["sample"]: r["d"] for r in depths.groupBy("sample").agg(F.sum("depth").alias("d")).collect()}  # a row per sample
     losses: dict[int, list[float]] = {s: [] for s in total}
     for alpha in (0.0, 1.0):
         state = static_terms(edges, lengths, depths, alpha)
         state = state.withColumn("flow", F.lit(1.0)) if flow is None else state.join(flow, ["src", "dst", "sample"])
-        state = scratch.keep(spark, state, "flow")
-        live = set(total)
+        rounds, ended = scratch.Rounds(spark, "flow"), []
+        state, live = rounds.keep(state), set(total)
         for _ in range(max_iter):
-            moved = scratch.keep(spark, with_delta(state.where(F.col("sample").isin(list(live)))), "flow")
+            moved = rounds.keep(with_delta(state))
             sums = moved.groupBy("sample").agg(F.sum(F.col("delta") * F.col("delta")).alias("s")).collect()
             done, still = set(live) - {r["sample"] for r in sums}, set()
             for r in sums:
@@ -94,17 +83,24 @@ def estimate(spark: SparkSession, edges: DataFrame, lengths: DataFrame, depths:
                 losses[r["sample"]].append(loss)
                 if loss == 0:
                     still.add(r["sample"])
-                if loss < eps:
+                if loss == 0 or loss < eps:
                     done.add(r["sample"])
-            kept = F.when(F.col("sample").isin(list(still)), F.col("flow")).otherwise(F.greatest(F.col("flow") + F.col("delta"), F.lit(0.0))) if still else F.greatest(F.col("flow") + F.col("delta"), F.lit(0.0))
-            state = moved.withColumn("flow", kept).drop("delta").unionByName(state.where(~F.col("sample").isin(list(live))))
+            corrected = F.greatest(F.col("flow") + F.col("delta"), F.lit(0.0))
+            state = moved.withColumn("flow", F.when(F.col("sample").isin(list(still)), F.col("flow")).otherwise(corrected) if still else corrected).drop("delta")
             live -= done
             if not live:
                 break
+            if done:
+                ended.append(scratch.keep(spark, state.where(F.col("sample").isin(list(done))).select("src", "dst", "sample", "flow"), "flow"))
+                state = state.where(F.col("sample").isin(list(live)))
         else:
             _not_converged("flow", if_not_converged)
         flow = state.select("src", "dst", "sample", "flow")
-    return scratch.keep(spark, flow, "flow"), losses
+        for part in ended:
+            flow = flow.unionByName(part)
+        flow = scratch.keep(spark, flow, "flow")
+        rounds.end()
+    return flow, losses
 
 
 def vertex_flows(vertices: DataFrame, flow: DataFrame) -> DataFrame:
@@ -145,19 +141,21 @@ def smooth(spark: SparkSession, graph: AssemblyGraph, eps: float = 1e-6, max_ite
     """The graph with depths that flows explain: a fixpoint of flows and depths; pseudoflows stay at the first depths."""
     pseudo = scratch.keep(spark, pseudoflow(graph.vertices), "pseudo")
     lengths = graph.vertices.select("vid", "length")
-    now = graph.vertices.select("vid", "depth")
+    rounds, now = scratch.Rounds(spark, "depths"), graph.vertices.select("vid", "depth")
     for _ in range(max_iter):
         flow, _ = estimate(spark, graph.edges, lengths, long_depths(now), flow_eps, flow_iter, if_not_converged=if_not_converged)
-        new = scratch.keep(spark, depth_from_flow(now, flow, pseudo), "depths")
-        both = new.join(long_depths(now).withColumnRenamed("depth", "was"), ["vid", "sample"])
+        new = depth_from_flow(now, flow, pseudo).join(long_depths(now).withColumnRenamed("depth", "was"), ["vid", "sample"])
+        both = rounds.keep(new)
         loss = [math.sqrt(r["s"]) / r["d"] if r["d"] else 0.0 for r in both.groupBy("sample").agg(F.sum(F.pow(F.col("depth") - F.col("was"), 2)).alias("s"), F.sum("was").alias("d")).collect()]
         if max(loss, default=0.0) == 0:
             break
-        now = scratch.keep(spark, vectors(new), "depths")
+        now = vectors(both.select("vid", "sample", "depth"))
         if max(loss) < eps:
             break
     else:
         _not_converged("depths", if_not_converged)
+    now = scratch.keep(spark, now, "depths")
+    rounds.end()
     return graph.with_(vertices=graph.vertices.drop("depth").join(now, "vid"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..model import AssemblyGraph
+from ..model import AssemblyGraph, validate
 
 
 class Rule(Protocol):
@@ -99,6 +99,12 @@ class Touched:
 RULES: Mapping[str, Rule] = {"length": Length(), "segments": Segments(), "depth": Depth(), "position": Position(), "touched": Touched()}
 
 
+def _rules_for(graph: AssemblyGraph, rules: Mapping[str, Rule]) -> list[str]:
+    """The names of the vertices' properties, once each is known to have a rule."""
+    validate(graph, {name: rule for name, rule in rules.items() if name in graph.vertices.columns})
+    return [c for c in graph.vertices.columns if c != "vid"]
+
+
 def trim(graph: AssemblyGraph, gone: DataFrame) -> AssemblyGraph:
     """The graph without some vertices and their edges."""
     ids = gone.select("vid").distinct()
@@ -138,9 +144,9 @@ def split(spark: SparkSession, graph: AssemblyGraph, paths: DataFrame, rules: Ma
 
     Edges carry no properties afterwards; they are estimated anew.
     """
+    names = _rules_for(graph, rules)
     children = number_children(spark, graph, paths, ["parent", "path"])
     sizes = paths.groupBy("parent").agg(F.count("*").alias("paths"))
-    names = [c for c in graph.vertices.columns if c != "vid"]
     rows = children.join(sizes, "parent").join(graph.vertices.withColumnRenamed("vid", "parent"), "parent")
     born = rows.select(F.col("child").alias("vid"), *[rules[c].on_split(c).alias(c) for c in names])
     rest = trim(graph, paths.select(F.col("parent").alias("vid")))
@@ -160,9 +166,9 @@ def merge(spark: SparkSession, graph: AssemblyGraph, paths: DataFrame, rules: Ma
 
     It inherits the edges into the first and out of the last vertex; a cycle becomes a loop.
     """
+    names = _rules_for(graph, rules)
     ids = number_children(spark, graph, paths.groupBy("path").agg((F.count("*") - 1).alias("last")), ["path"])
     members = paths.join(ids, "path")
-    names = [c for c in graph.vertices.columns if c != "vid"]
     born = members.join(graph.vertices, "vid").groupBy(F.col("child").alias("vid")).agg(*[rules[c].on_merge(c).alias(f"new_{c}") for c in names])
     born = born.withColumnsRenamed({f"new_{c}": c for c in names})
     head = members.select(F.col("vid").alias("dst"), F.col("child").alias("to"), (F.col("rank") == 0).alias("first"))

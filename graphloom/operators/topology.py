@@ -76,12 +76,13 @@ def weak_components(spark: SparkSession, graph: AssemblyGraph) -> DataFrame:
     Rounds of least neighbouring labels with pointer jumping, each written out.
     """
     links = scratch.keep(spark, backlinked(graph.edges).where("src <> dst").distinct(), "links")
-    labels = scratch.keep(spark, graph.vertices.select("vid", F.col("vid").alias("component")), "labels")
+    rounds = scratch.Rounds(spark, "labels")
+    labels = rounds.keep(graph.vertices.select("vid", F.col("vid").alias("component")))
     while True:
         near = links.join(labels, links["dst"] == labels["vid"]).groupBy("src").agg(F.min("component").alias("near"))
         hooked = labels.join(near, labels["vid"] == near["src"], "left").select("vid", F.least("component", F.coalesce("near", "component")).alias("to"), F.col("component").alias("old"))
         jump = labels.select(F.col("vid").alias("at"), F.col("component").alias("next"))
-        new = scratch.keep(spark, hooked.join(jump, F.col("to") == F.col("at")).select("vid", F.least("to", "next").alias("component"), "old"), "labels")
+        new = rounds.keep(hooked.join(jump, F.col("to") == F.col("at")).select("vid", F.least("to", "next").alias("component"), "old"))
         labels = new.drop("old")
         if new.where("component <> old").isEmpty():
             return labels
@@ -99,12 +100,13 @@ def _doubled(spark: SparkSession, before: DataFrame) -> tuple[DataFrame, DataFra
 
     Returns (vid, head, rank) of vertices that have a head, and (vid, least) of those on cycles.
     """
-    state = scratch.keep(spark, before.select("vid", F.coalesce("prev", "vid").alias("at"), F.col("prev").isNotNull().cast("long").alias("hops"), F.col("prev").isNull().alias("done"), F.least("vid", F.coalesce("prev", "vid")).alias("least")), "walk")
+    rounds = scratch.Rounds(spark, "walk")
+    state = rounds.keep(before.select("vid", F.coalesce("prev", "vid").alias("at"), F.col("prev").isNotNull().cast("long").alias("hops"), F.col("prev").isNull().alias("done"), F.least("vid", F.coalesce("prev", "vid")).alias("least")))
     steps, n = 1, state.count()
     while steps < 2 * max(n, 1):
         there = state.select(F.col("vid").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"), F.col("done").alias("over"), F.col("least").alias("low"))
         walking = state.where("not done").join(there, "at").select("vid", F.col("next").alias("at"), (F.col("hops") + F.col("more")).alias("hops"), F.col("over").alias("done"), F.least("least", "low").alias("least"))
-        state = scratch.keep(spark, state.where("done").unionByName(walking), "walk")
+        state = rounds.keep(state.where("done").unionByName(walking))
         steps *= 2
         if state.where("not done").isEmpty():
             break
@@ -141,15 +143,18 @@ def distances(spark: SparkSession, graph: AssemblyGraph, roots: DataFrame, max_l
     links = scratch.keep(spark, backlinked(graph.edges).distinct().join(weight, "src"), "links")
     own = graph.vertices.join(roots.select("vid").distinct(), "vid", "left_semi")
     start = own.select("vid", (-F.col("length").cast("double") if adjusted else F.lit(0.0)).alias("distance"))
-    found = scratch.keep(spark, start, "distances")
-    front = found
-    while not front.isEmpty():
-        step = links.join(front, links["src"] == front["vid"]).groupBy("dst").agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
+    rounds = scratch.Rounds(spark, "distances")
+    found = rounds.keep(start.withColumn("better", F.lit(True)))
+    while True:
+        front = found.where("better")
+        if front.isEmpty():
+            return found.drop("better")
+        step = links.join(front, links["src"] == front["vid"]).groupBy(F.col("dst").alias("to")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
         if max_length is not None:
             step = step.where(F.col("new") <= max_length)
-        both = scratch.keep(spark, found.join(step, found["vid"] == step["dst"], "full").select(F.coalesce("vid", "dst").alias("vid"), F.least(F.coalesce("distance", "new"), F.coalesce("new", "distance")).alias("distance"), (F.coalesce(F.col("new") < F.col("distance"), F.col("vid").isNull())).alias("better")), "distances")
-        found, front = both.drop("better"), both.where("better").drop("better")
-    return found
+        both = found.join(step, found["vid"] == step["to"], "full")
+        nearer = F.col("vid").isNull() | (F.col("new") < F.col("distance"))
+        found = rounds.keep(both.select(F.coalesce("vid", "to").alias("vid"), F.least(F.coalesce("distance", "new"), F.coalesce("new", "distance")).alias("distance"), F.coalesce(nearer, F.lit(False)).alias("better")))
 
 
 def pairwise_distances(spark: SparkSession, graph: AssemblyGraph, chosen: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -157,11 +162,12 @@ def pairwise_distances(spark: SparkSession, graph: AssemblyGraph, chosen: DataFr
     sub = induced(graph, chosen)
     weight = sub.vertices.select(F.col("vid").alias("src"), F.col("length").cast("double").alias("weight"))
     links = scratch.keep(spark, backlinked(sub.edges).distinct().join(weight, "src"), "links")
-    found = scratch.keep(spark, sub.vertices.select(F.col("vid").alias("root"), "vid", F.lit(0.0).alias("distance")), "pairs")
+    kept = scratch.Rounds(spark, "pairs")
+    found = kept.keep(sub.vertices.select(F.col("vid").alias("root"), "vid", F.lit(0.0).alias("distance")))
     while rounds is None or rounds > 0:
         step = links.join(found, links["src"] == found["vid"]).select("root", F.col("dst").alias("vid"), (F.col("distance") + F.col("weight")).alias("distance"))
         both = found.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False))).groupBy("root", "vid").agg(F.min("distance").alias("distance"), F.min(F.when(F.col("old"), F.col("distance"))).alias("was"))
-        both = scratch.keep(spark, both, "pairs")
+        both = kept.keep(both)
         found = both.drop("was")
         rounds = None if rounds is None else rounds - 1
         if both.where("was is null or distance < was").isEmpty():
@@ -180,6 +186,43 @@ def biclique(spark: SparkSession, n: int, m: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(n).cast("long"), F.lit(n + m - 1).cast("long"))).alias("dst"))
 
 
+def motifs(graph: AssemblyGraph, pattern: list[tuple[int, int]]) -> DataFrame:
+    """(vertices): induced occurrences of a small connected pattern of directed edges (no loops), once for each set of vertices.
+
+    Entry i of ``vertices`` stands for the pattern's vertex i; of several ways to place the pattern on a set
+    the least counts. Pattern edges are joined one after another, each to a vertex that is placed already, and
+    what has an edge or loop that the pattern lacks is dropped.
+    """
+    edges = graph.edges.select("src", "dst").distinct()
+    wanted = list(dict.fromkeys(pattern))
+    names = sorted({v for e in wanted for v in e})
+    if names != list(range(len(names))) or any(a == b for a, b in wanted):
+        raise ValueError("a pattern has vertices 0, 1, ... and no loops")
+    first, left = wanted[0], wanted[1:]
+    placed = edges.where("src <> dst").select(F.col("src").alias(f"v{first[0]}"), F.col("dst").alias(f"v{first[1]}"))
+    done = set(first)
+    while left:
+        a, b = next((e for e in left if done & set(e)), (None, None))
+        if a is None:
+            raise ValueError("a pattern is connected")
+        left.remove((a, b))
+        if {a, b} <= done:
+            placed = placed.join(edges.select(F.col("src").alias(f"v{a}"), F.col("dst").alias(f"v{b}")), [f"v{a}", f"v{b}"], "left_semi")
+            continue
+        old, new = (a, b) if a in done else (b, a)
+        step = edges.select(F.col("src" if old == a else "dst").alias(f"v{old}"), F.col("dst" if old == a else "src").alias(f"v{new}"))
+        placed = placed.join(step, f"v{old}")
+        for v in sorted(done):
+            placed = placed.where(F.col(f"v{new}") != F.col(f"v{v}"))
+        done.add(new)
+    found = placed.select(F.array(*[F.col(f"v{v}") for v in names]).alias("vertices"))
+    once = found.groupBy(F.array_sort("vertices").alias("members")).agg(F.min("vertices").alias("vertices"))
+    others = [(a, b) for a in names for b in names if (a, b) not in wanted]
+    extra = F.explode(F.array(*[F.struct(F.element_at("vertices", a + 1).alias("src"), F.element_at("vertices", b + 1).alias("dst")) for a, b in others]))
+    bad = once.select("members", extra.alias("e")).select("members", "e.src", "e.dst").join(edges, ["src", "dst"], "left_semi").select("members").distinct()
+    return once.join(bad, "members", "left_anti").select("vertices")
+
+
 def blackboxes(graph: AssemblyGraph) -> DataFrame:
     """(a, b, c, d): induced 2x2 bicliques, a and b before c and d.
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import derived as d
+from . import scratch
 from .functions import sequence as sq
 from .jobs import apps
+from .model import AssemblyGraph
 from .operators import cluster, deconvolve, flow, results, rewrite, topology
 from .sources import fasta, kmer_depth
 
@@ -160,6 +162,22 @@ def io_08_mean_sequence_depth(spark, sf_dir):
     return _depths(spark, sf_dir).select("unitig", "sample", _six("depth"))
 
 
+@query("SELECT translate(reverse(kmer), 'ACGT', 'TGCA') AS other, kmer, sample, n FROM kc", d.SQL_DNA, d.SQL_KMERS, d.SQL_UNITIGS, _DEPTHS)
+def io_08_strand_check(spark, sf_dir):
+    """Counts of greater strands come back as those of lesser ones."""
+    counts = kmer_depth.kmer_counts(d.sequences(spark, sf_dir), d.K)
+    checked = kmer_depth.check_strands(counts.withColumn("kmer", sq.reverse_complement(F.col("kmer"))))
+    return checked.select(sq.reverse_complement(F.col("kmer")).alias("other"), "kmer", "sample", "n")
+
+
+@query("SELECT unitig, bases FROM uni", d.SQL_DNA, d.SQL_UNITIGS)
+def io_05_fasta_files(spark, sf_dir):
+    """Unitigs read again from the FASTA files that they are written to."""
+    path = scratch.new_path(spark, "fasta")
+    fasta.to_fasta(d.unitigs(spark, sf_dir), "unitig").write.text(path)
+    return fasta.read_records(spark, path).select(F.col("header").alias("unitig"), "bases")
+
+
 @query("SELECT sample, round(sum(depth), 4) AS depth, count(*) AS n FROM cube GROUP BY sample", d.SQL_DNA, d.SQL_KMERS, d.SQL_UNITIGS, _DEPTHS)
 def io_11_depth_job(spark, sf_dir):
     return _depths(spark, sf_dir).groupBy("sample").agg(F.round(F.sum("depth"), 4).alias("depth"), F.count("*").alias("n"))
@@ -171,6 +189,15 @@ def io_12_load_job(spark, sf_dir):
     return graph.vertices.select(F.element_at("segments", 1).alias("vertex"), "length", F.round(F.element_at("depth", 2), 6).alias("en"))
 
 
+@query("SELECT vertex, round(c.depth, 6) AS fr FROM nv JOIN uni ON uni.unitig = vertex[:-2] JOIN cube c ON c.unitig = uni.unitig AND c.sample = 'fr'", d.SQL_DNA, d.SQL_KMERS, d.SQL_UNITIGS, _DEPTHS, _LINKS, _NAMED)
+def io_13_add_depth_job(spark, sf_dir):
+    """A graph loaded without depths gets them."""
+    graph, unitigs = apps.load(spark, d.fasta_records(spark, sf_dir), d.K)
+    counts = kmer_depth.kmer_counts(d.sequences(spark, sf_dir), d.K)
+    out = apps.add_depth(spark, graph, apps.depth(unitigs, counts, d.K, LANGUAGES), LANGUAGES)
+    return out.vertices.select(F.element_at("segments", 1).alias("vertex"), F.round(F.element_at("depth", 4), 6).alias("fr"))
+
+
 @query("SELECT unitig, string_agg(CAST(round(depth, 3) AS DECIMAL(18, 3)), ',' ORDER BY sample) AS depth FROM cube GROUP BY unitig", d.SQL_DNA, d.SQL_KMERS, d.SQL_UNITIGS, _DEPTHS)
 def io_14_depth_cube(spark, sf_dir):
     v = kmer_depth.depth_vectors(_depths(spark, sf_dir))
@@ -279,6 +306,13 @@ def tp_16_motif_occurrences(spark, sf_dir):
     return topology.blackboxes(d.dbg(spark, sf_dir))
 
 
+@query("SELECT a, b, c, d FROM ok", d.SQL_DNA, d.SQL_KMERS, d.SQL_DBG, _BOXES)
+def tp_15_motif_search(spark, sf_dir):
+    """The same pattern by the general search."""
+    found = topology.motifs(d.dbg(spark, sf_dir), [(0, 2), (0, 3), (1, 2), (1, 3)])
+    return found.select(*[F.element_at("vertices", i + 1).alias(c) for i, c in enumerate("abcd")])
+
+
 @query("SELECT DISTINCT unnest([a, b, c, d]) AS vid FROM ok", d.SQL_DNA, d.SQL_KMERS, d.SQL_DBG, _BOXES)
 def tp_17_blackbox_vertices(spark, sf_dir):
     return topology.blackbox_vertices(d.dbg(spark, sf_dir))
@@ -438,8 +472,17 @@ _SIDES = """sd AS (SELECT dl.vid, dl.sample, dl.depth, coalesce(i.f, 0) AS into_
  FROM dl LEFT JOIN (SELECT dst AS vid, sample, sum(flow) AS f FROM f4 GROUP BY dst, sample) i ON i.vid = dl.vid AND i.sample = dl.sample LEFT JOIN (SELECT src AS vid, sample, sum(flow) AS f FROM f4 GROUP BY src, sample) o ON o.vid = dl.vid AND o.sample = dl.sample)"""
 
 
-def _two_steps(graph):
-    return flow.fixed_steps(graph.edges, graph.vertices.select("vid", "length"), flow.long_depths(graph.vertices), 2)
+def _two_steps(spark, graph):
+    """Flows after two corrections by equal shares and two by lengths, as the SQL has them."""
+    return flow.estimate(spark, graph.edges, graph.vertices.select("vid", "length"), flow.long_depths(graph.vertices), eps=0.0, max_iter=2, if_not_converged="ignore")[0]
+
+
+#: Where iterations of the converged queries stop; the library's own defaults are far stricter.
+LOOSE = {"eps": 1e-3, "max_iter": 60, "if_not_converged": "ignore"}
+
+
+def _converged(spark, graph):
+    return flow.estimate(spark, graph.edges, graph.vertices.select("vid", "length"), flow.long_depths(graph.vertices), **LOOSE)[0]
 
 
 @query("SELECT src, dst, sample, d_src, d_dst, round(w, 6) AS w_src FROM t1", EVENTS, _TERMS)
@@ -458,24 +501,30 @@ def fl_02_correction(spark, sf_dir):
 
 @query("SELECT src, dst, sample, round(flow, 6) AS flow FROM f4", *_FLOW)
 def fl_03_estimate_flow(spark, sf_dir):
-    return _two_steps(d.event_graph(spark, sf_dir)).select("src", "dst", "sample", _six("flow"))
+    return _two_steps(spark, d.event_graph(spark, sf_dir)).select("src", "dst", "sample", _six("flow"))
+
+
+@query()
+def fl_03_converged_flow(spark, sf_dir):
+    """Every sample's flows when its corrections are below a thousandth of its depths."""
+    return _converged(spark, d.event_graph(spark, sf_dir)).select("src", "dst", "sample", _six("flow"))
 
 
 @query("SELECT sample, round(sum(flow), 4) AS flow, count(*) AS n FROM f4 GROUP BY sample", *_FLOW)
 def fl_04_all_flows(spark, sf_dir):
-    return _two_steps(d.event_graph(spark, sf_dir)).groupBy("sample").agg(F.round(F.sum("flow"), 4).alias("flow"), F.count("*").alias("n"))
+    return _two_steps(spark, d.event_graph(spark, sf_dir)).groupBy("sample").agg(F.round(F.sum("flow"), 4).alias("flow"), F.count("*").alias("n"))
 
 
 @query("SELECT vid, sample, round(((depth - into_) + (depth - out_)) / 2, 6) AS residual FROM sd", *_FLOW, _SIDES)
 def fl_06_mean_residual(spark, sf_dir):
     graph = d.event_graph(spark, sf_dir)
-    return flow.mean_residual(graph.vertices, _two_steps(graph)).select("vid", "sample", _six("residual"))
+    return flow.mean_residual(graph.vertices, _two_steps(spark, graph)).select("vid", "sample", _six("residual"))
 
 
 @query("SELECT vid, sample, round((CASE WHEN has_in THEN into_ ELSE pseudo END + CASE WHEN has_out THEN out_ ELSE pseudo END) / 2, 6) AS depth FROM sd", *_FLOW, _SIDES)
 def fl_07_depth_from_flow(spark, sf_dir):
     graph = d.event_graph(spark, sf_dir)
-    return flow.depth_from_flow(graph.vertices, _two_steps(graph), flow.pseudoflow(graph.vertices)).select("vid", "sample", _six("depth"))
+    return flow.depth_from_flow(graph.vertices, _two_steps(spark, graph), flow.pseudoflow(graph.vertices)).select("vid", "sample", _six("depth"))
 
 
 @query("SELECT vid, sample, round(depth * (1 + vid % 7) / (2 + vid % 7), 6) AS pseudoflow FROM dl", EVENTS, _TERMS)
@@ -485,7 +534,14 @@ def fl_08_pseudoflow(spark, sf_dir):
 
 @query("SELECT src, dst FROM f4 GROUP BY src, dst HAVING sum(flow) >= 60", *_FLOW)
 def fl_11_low_flow_edges(spark, sf_dir):
-    return flow.low_flow_edges(_two_steps(d.event_graph(spark, sf_dir)), 60)
+    return flow.low_flow_edges(_two_steps(spark, d.event_graph(spark, sf_dir)), 60)
+
+
+@query()
+def fl_10_smooth_job(spark, sf_dir):
+    """Depths of two samples after two rounds of flows and depths."""
+    out = apps.smooth(spark, d.event_graph(spark, sf_dir), ["s0", "s2"], symmetric=True, eps=1e-2, max_iter=2, flow_eps=1e-2, flow_iter=20, if_not_converged="ignore")
+    return flow.long_depths(out.vertices).select("vid", "sample", _six("depth"))
 
 
 # -- deconvolution -----------------------------------------------------------------------------
@@ -522,9 +578,9 @@ def dc_07_enumerated_pathsets(spark, sf_dir):
     return shapes.mapInPandas(count, "n long, m long, found long")
 
 
-def _problems(spark, sf_dir):
+def _problems(spark, sf_dir, flows=_two_steps):
     graph = d.event_graph(spark, sf_dir)
-    return deconvolve.problems(graph, flow.flow_vectors(_two_steps(graph)), topology.junctions(graph))
+    return deconvolve.problems(graph, flow.flow_vectors(flows(spark, graph)), topology.junctions(graph))
 
 
 @query("""SELECT jc.vid AS junction, i.nb AS in_nb, o.nb AS out_nb, round(i.f, 4) AS in_flow, round(o.f, 4) AS out_flow FROM jc
@@ -536,14 +592,20 @@ def dc_13_problems(spark, sf_dir):
 
 @query()
 def dc_16_solve_junctions(spark, sf_dir):
-    """Best pathset of every junction under the default model."""
-    return deconvolve.solve(_problems(spark, sf_dir)).select("junction", "converged", "score_margin", "completeness", "excess_paths", "left", "right", "loglik")
+    """Best pathset of every junction under the default model, from converged flows."""
+    return deconvolve.solve(spark, _problems(spark, sf_dir, _converged)).select("junction", "converged", "score_margin", "completeness", "excess_paths", "left", "right", "loglik")
 
 
 @query()
 def dc_18_gates(spark, sf_dir):
     """Paths of the junctions that pass all gates of the library's defaults."""
-    return deconvolve.split_paths(deconvolve.gated(deconvolve.solve(_problems(spark, sf_dir)), min_margin=20.0, max_excess=1))
+    return deconvolve.split_paths(deconvolve.gated(deconvolve.solve(spark, _problems(spark, sf_dir, _converged)), min_margin=20.0, max_excess=1))
+
+
+@query()
+def dc_21_benchmark_job(spark, sf_dir):
+    """How well the default model fits all junctions, and what the gates make of it."""
+    return apps.benchmark(spark, _problems(spark, sf_dir, _converged))
 
 
 @query("SELECT vid, in_degree, out_degree, kind FROM jc", EVENTS, _CLASSES)
@@ -759,6 +821,24 @@ def ap_02_focus_job(spark, sf_dir):
     return apps.focus(spark, d.event_graph(spark, sf_dir), vertices=_roots(spark, sf_dir), radius=12).edges
 
 
+@query()
+def ap_03_unzip_job(spark, sf_dir):
+    """Vertices after two rounds of unzipping with the command line's gates and loose flows."""
+    settings = apps.UnzipSettings(max_rounds=2, flow_eps=LOOSE["eps"], flow_iter=LOOSE["max_iter"], if_not_converged="ignore")
+    out = apps.unzip(spark, d.event_graph(spark, sf_dir), settings).vertices
+    return out.select("vid", "length", F.concat_ws(",", "segments").alias("segments"), *[F.round(F.element_at("depth", i + 1), 6).alias(s) for i, s in enumerate(d.SAMPLES)])
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS name, bases FROM (SELECT doc_id, bases[:(last * 100 + 114)] AS bases FROM (SELECT *, CAST(floor((length(bases) - 15) / 100) AS BIGINT) AS last FROM dna WHERE length(bases) >= 15)) WHERE doc_id % 3 < 2""", d.SQL_DNA)
+def ap_04_contigs(spark, sf_dir):
+    """Bases of the documents' contigs, put together from their unitigs; a third is too shallow."""
+    u = d.unitigs(spark, sf_dir).withColumn("segment", F.concat("unitig", F.lit("+")))
+    paths = u.groupBy(F.col("doc_id").alias("vid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "segment"))), lambda x: x["segment"]).alias("segments"), F.sum("i").alias("length"))
+    vertices = paths.withColumn("depth", F.array(F.when(F.col("vid") % 3 < 2, 2.0).otherwise(0.5)))
+    graph = AssemblyGraph(vertices, vertices.select(F.col("vid").alias("src"), F.col("vid").alias("dst")).limit(0), d.K, ("s",))
+    return apps.contigs(graph, u.select("unitig", "bases"), min_depth=1.0)
+
+
 @query("""SELECT string_agg(vid, '_' ORDER BY vid) AS name, array_to_string(least(segments, rev), ',') AS segments FROM rc WHERE list_sum(depth) > 40 GROUP BY least(segments, rev)""", d.SQL_SEGMENTS)
 def ap_04_contig_names(spark, sf_dir):
     v = d.segment_vertices(spark, sf_dir)

@@ -10,21 +10,64 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one of our own only if it names none."""
+    """The shared folder that the session names; a local one of our own only if it names none and is local itself."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+
+
 def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it from there."""
-    path = f"{folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, found = _path(spark, path)
+    return fs.exists(found)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, found = _path(spark, path)
+    fs.delete(found, True)
+
+
+class Rounds:
+    """The written states of an iteration. A state is read until the next one is written, so the last two stay."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.paths = spark, name, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, self.name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        if len(self.paths) > 2:
+            delete(self.spark, self.paths.pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def end(self) -> None:
+        """Drop all states, once what is left of them is written elsewhere."""
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths.clear()
+
+
 def numbered(spark: SparkSession, df: DataFrame, order: list[str], column: str, name: str = "numbered") -> DataFrame:
     """``df`` with ``column`` 0, 1, ... in order; only one count per partition reaches the driver."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())

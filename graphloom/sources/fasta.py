@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, line) of text files; the offset orders the lines of a file."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("offset"), F.col("value").alias("line"))
-    return lines
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, bases) of FASTA files, which split like any text: each record is a row by itself.
+
+    Records begin at a ">" that begins a line. Blank lines before the first record are skipped; of several
+    sequence lines the last counts, and a record without one has null bases.
+    """
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"^\s*>|\r", "").alias("value"))
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    found = rows.select("file", lines.alias("lines")).where(F.size("lines") > 0)
+    return found.select("file", F.element_at("lines", 1).alias("header"), F.when(F.size("lines") > 1, F.element_at("lines", -1)).alias("bases"))
 
 
 def records(lines: DataFrame, group: str = "file", order: str = "offset") -> DataFrame:
-    """(group, header, bases) of FASTA lines in order.
+    """(group, header, bases) of FASTA lines that have an order of their own, in groups of bounded size.
 
     Blank lines before a record are skipped; of several sequence lines the last counts; no
-    lines give no records.
+    lines give no records. Files are read by ``read_records``, without a group for each.
     """
     in_order = Window.partitionBy(group).orderBy(order)
     is_header = F.col("line").startswith(">")

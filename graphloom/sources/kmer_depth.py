@@ -19,10 +19,15 @@ def kmer_counts(sequences: DataFrame, k: int, sample: str = "sample", bases: str
 
 
 def check_strands(counts: DataFrame) -> DataFrame:
-    """The counts, each k-mer in one strand as its lesser one; a k-mer that is there in both fails."""
-    strands = counts.select("kmer").distinct().groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("strands"))
-    bad = strands.where("strands > 1").select(F.raise_error(F.concat(F.lit("both strands present: "), F.col("kmer"))).cast("string").alias("kmer"))
-    return counts.withColumn("kmer", canonical(F.col("kmer"))).join(bad, "kmer", "left_anti")
+    """(kmer, sample, n) with each k-mer as its lesser strand; a k-mer that is there in both strands fails.
+
+    A table that rows repeat in is summed. The failure is in the aggregate's result itself, so that no
+    rule can move it before the comparison.
+    """
+    lesser = counts.groupBy(canonical(F.col("kmer")).alias("key"), "sample").agg(F.sum("n").alias("n"), F.min("kmer").alias("lo"), F.max("kmer").alias("hi"))
+    both = F.raise_error(F.concat(F.lit("both strands present: "), F.col("lo"))).cast("string")
+    ends = lesser.groupBy("key").agg(F.collect_list(F.struct("sample", "n")).alias("samples"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return ends.select(F.when(F.col("lo") == F.col("hi"), F.col("key")).otherwise(both).alias("kmer"), F.explode("samples").alias("s")).select("kmer", "s.sample", "s.n")
 
 
 def mean_depth(unitigs: DataFrame, counts: DataFrame, k: int, samples: Sequence[str], unitig: str = "unitig", bases: str = "bases") -> DataFrame:

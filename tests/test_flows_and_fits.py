@@ -43,10 +43,37 @@ def test_flow_says_when_it_does_not_converge(spark):
         flows(spark, edges, depths, max_iter=2, eps=1e-10)
     with pytest.raises(RuntimeError, match="did not converge"):
         flows(spark, edges, depths, max_iter=1, eps=1e-10, if_not_converged="error")
-    v, e = parts(spark, edges, depths)
-    fixed = flow.fixed_steps(e, v.select("vid", "length"), flow.long_depths(v), 1)
-    two, _ = flows(spark, edges, depths, max_iter=1, eps=1e-10, if_not_converged="ignore")
-    assert {(r["src"], r["dst"]): pytest.approx(r["flow"]) for r in fixed.collect()} == two
+
+
+def plain_flow(edges, d, lengths, rounds, start=1.0):
+    """The corrections in numpy: so many rounds with equal shares, so many by lengths."""
+    src, dst = np.array(edges).T
+    d, size, f, n = np.asarray(d, float), np.asarray(lengths, float), np.full(len(edges), start), len(d)
+    for alpha in (0, 1):
+        share = size[src] ** alpha / (size[src] ** alpha + size[dst] ** alpha)
+        for _ in range(rounds):
+            out, into = np.bincount(src, f, n)[src], np.bincount(dst, f, n)[dst]
+            f = np.maximum(0, f + (d[src] - out) * f / out * share + (d[dst] - into) * f / into * (1 - share))
+    return dict(zip(edges, f.tolist(), strict=True))
+
+
+def test_flows_match_numpy(spark):
+    """Three samples that stop after different numbers of rounds, and a number of rounds that is given."""
+    rng = np.random.default_rng(3)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (30, 2)) if a != b})
+    d, lengths = rng.uniform(1, 50, (12, 2)), rng.integers(1, 9, 12)
+    rows = [(i, int(lengths[i]), [*d[i].tolist(), 0.0]) for i in range(12)]
+    v = spark.createDataFrame(rows, "vid long, length long, depth array<double>")
+    e = spark.createDataFrame(edges, "src long, dst long")
+    for rounds in (2, 40):
+        out, losses = flow.estimate(spark, e, v.select("vid", "length"), flow.long_depths(v), eps=0.0, max_iter=rounds, if_not_converged="ignore")
+        got = {(r["src"], r["dst"], r["sample"]): r["flow"] for r in out.collect()}
+        assert len(got) == 3 * len(edges) and len(losses[0]) == 2 * rounds
+        for s in (0, 1):
+            want = plain_flow(edges, d[:, s], lengths, rounds)
+            assert [got[*k, s] for k in edges] == pytest.approx([want[k] for k in edges], rel=1e-6)
+    out, losses = flow.estimate(spark, e, v.select("vid", "length"), flow.long_depths(v), eps=1e-3, max_iter=300)
+    assert all(x[-1] < 1e-3 for x in losses.values()) and out.count() == 3 * len(edges)
 
 
 def test_flow_formula_reaches_its_limit():
@@ -86,6 +113,7 @@ def test_candidates():
     for n in range(1, 5):
         for m in range(1, 5):
             found = list(deconvolve.minimal_pathsets(n, m))
+            assert found == [deconvolve.nth_pathset(i, n, m) for i in range(len(found))]
             a, b = max(n, m), min(n, m)
             assert len(found) == math.factorial(b) * b ** (a - b)
             counts = {}
@@ -102,17 +130,19 @@ def test_candidates():
     assert len(p) == 4 and {j for _, j in p} == {0, 1}
 
 
+# The paths of the fit below.
 PATHS = ((0, 1), (0, 2), (1, 0))  # columns 1, 2, 3 of a 2 x 3 junction
 
 
 def test_exact_depths_are_recovered():
     x = deconvolve.design(PATHS, 2, 3)
-    beta = np.array([[4, 4, 0], [100, 500, 6000], [90, 90, 2.0]])
+    beta = np.array([[7, 3, 0], [120, 40, 900], [55, 80, 1.5]])
     fit = MODELS["Default"]().fit(x @ beta, x)
     assert np.allclose(fit.beta, beta, rtol=1e-4, atol=1e-3) and np.allclose(fit.scale, 0, atol=1e-4) and math.isfinite(fit.score())
 
 
-# Noise on the logs of five edges in three samples, and what a fit to them must give.
+# True depths, noise on the logs of five edges in three samples, and what a fit to them must give.
+TRUE = [[4.3, 554.2, 0], [148.6, 0, 6765.2], [99.2, 0, 213460]]
 NOISE = [[1.08081191, 0.48431215, 0.57914048], [-0.18158257, 1.41020463, -0.37447169], [0.27519832, -0.96075461, 0.37692697], [0.03343893, 0.68056724, -1.56349669], [-0.56669762, -0.24214951, 1.51439128]]
 BETA = [[4.5765247, 992.2348, -2.7179718e-05], [191.12575, -1.0251999e-04, 19269.342], [103.97991, -6.5565109e-07, 213723.84]]
 STDERR = [[3.0417686, 43.542957, 0.37935179], [74.494919, 0.06198924, 5169.2056], [40.011986, 0.043839715, 57332.566]]
@@ -120,8 +150,7 @@ STDERR = [[3.0417686, 43.542957, 0.37935179], [74.494919, 0.06198924, 5169.2056]
 
 def test_noisy_fit_has_the_known_numbers():
     x = deconvolve.design(PATHS, 2, 3)
-    beta = np.array([[4.3, 554.2, 0], [148.6, 0, 6765.2], [99.2, 0, 213460]])
-    fit = MODELS["OffsetLogNormal"]().fit(x @ beta * np.exp(NOISE), x)
+    fit = MODELS["OffsetLogNormal"]().fit(x @ np.array(TRUE) * np.exp(NOISE), x)
     assert np.allclose(fit.beta, BETA, rtol=5e-4, atol=1e-3)
     assert np.allclose(fit.scale, [[0.53901196, 0.06199879, 0.37936726]], rtol=5e-4)
     assert np.allclose(fit.stderr, STDERR, rtol=1e-3, atol=1e-4)
@@ -171,16 +200,67 @@ def test_two_strains_are_told_apart(spark, tmp_path):
     assert out.edges.count() == 0
 
 
+def test_blocks_of_candidates_give_the_best_of_all(spark, monkeypatch):
+    """Junctions in several blocks against every candidate in one list, and a greedy one."""
+    monkeypatch.setattr(deconvolve, "BLOCK", 5)
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for j, (n, m) in enumerate([(2, 2), (3, 3), (2, 4), (4, 2), (1, 3), (1, 1)]):
+        into, out = rng.uniform(5, 90, (n, 2)), rng.uniform(5, 90, (m, 2))
+        rows.append((j, [50.0, 50.0], list(range(n)), list(range(10, 10 + m)), into.tolist(), out.tolist()))
+        p = deconvolve.Problem(dict(in_flows=into, out_flows=out, in_nb=range(n), out_nb=range(10, 10 + m), depth=[50.0, 50.0]), True, True)
+        best, _, margin = deconvolve.best_of(deconvolve.exhaustive(*p.sides, MODELS["Default"]()))
+        ends = {(p.names[0][a], p.names[1][b]) for a, b in best}
+        want[j] = ({(b, a) for a, b in ends} if p.swapped else ends, margin)
+    found = spark.createDataFrame(rows, "junction long, depth array<double>, in_nb array<long>, out_nb array<long>, in_flows array<array<double>>, out_flows array<array<double>>")
+    solved = {r["junction"]: r for r in deconvolve.solve(spark, found).collect()}
+    for j, (ends, margin) in want.items():
+        assert set(zip(solved[j]["left"], solved[j]["right"], strict=True)) == ends and solved[j]["score_margin"] == pytest.approx(margin)
+    fast = {r["junction"]: r for r in deconvolve.solve(spark, found, exhaustive_up_to=3).collect()}
+    assert set(fast) == set(want) and fast[0]["left"] == solved[0]["left"]
+
+
+def test_unzip_goes_on_from_a_folder(spark, tmp_path):
+    settings = apps.UnzipSettings(max_rounds=1)
+    apps.unzip(spark, strains(spark), settings, str(tmp_path))
+    saved = spark.read.parquet(f"{tmp_path}/problems_0")
+    assert [r["kind"] for r in saved.collect()] == ["canonical"] and apps.benchmark(spark, saved).first()["accepted"]
+    again = apps.unzip(spark, strains(spark).with_(vertices=strains(spark).vertices.limit(0)), apps.UnzipSettings(max_rounds=3), str(tmp_path))
+    assert {tuple(r["segments"]) for r in again.vertices.collect()} == {("0+", "2+", "3+"), ("1+", "2+", "4+")}
+    first, second = (apps.unzip(spark, strains(spark), settings) for _ in range(2))
+    assert first.vertices.count() == second.vertices.count() == 2
+
+
+def test_smoothing_by_samples_and_strands(spark):
+    rows = [(0, 3, ["a+"], [4.0, 1.0]), (1, 3, ["b+"], [6.0, 2.0]), (2, 3, ["b-"], [8.0, 2.0]), (3, 3, ["a-"], [2.0, 2.0])]
+    v = spark.createDataFrame(rows, "vid long, length long, segments array<string>, depth array<double>")
+    g = AssemblyGraph(v, spark.createDataFrame([(0, 1), (2, 3)], "src long, dst long"), 3, ("x", "y"))
+    plain = apps.smooth(spark, g, ["y"], max_iter=2, flow_iter=4, if_not_converged="ignore")
+    even = apps.smooth(spark, g, ["y"], True, max_iter=2, flow_iter=4, if_not_converged="ignore")
+    a, b = ({r["vid"]: r["depth"] for r in x.vertices.collect()} for x in (plain, even))
+    assert plain.samples == ("y",) and all(len(d) == 1 for d in a.values())
+    # one round by hand: the flow of one edge between depths, then each vertex the mean of flow and pseudoflow
+    assert b[0] == b[3] == pytest.approx([(a[0][0] + a[3][0]) / 2]) and b[1] == b[2] == pytest.approx([(a[1][0] + a[2][0]) / 2])
+    once = apps.smooth(spark, g, ["y"], max_iter=1, flow_iter=60, if_not_converged="ignore").vertices
+    f = plain_flow([(0, 1), (2, 3)], [1, 2, 2, 2], [3] * 4, 60)
+    want = {0: (f[0, 1] + 0.75) / 2, 1: (f[0, 1] + 1.5) / 2, 2: (f[2, 3] + 1.5) / 2, 3: (f[2, 3] + 1.5) / 2}
+    assert {r["vid"]: r["depth"][0] for r in once.collect()} == pytest.approx(want, rel=1e-5)
+    with pytest.raises(ValueError, match="no such samples"):
+        apps.smooth(spark, g, ["z"])
+
+
 def test_gates(spark):
     g = strains(spark)
     f = spark.createDataFrame([(0, 2, [1.0] * 4), (1, 2, [2.0] * 4), (2, 3, [1.0] * 4), (2, 4, [2.0] * 4)], "src long, dst long, flow array<double>")
     found = deconvolve.problems(g, f, spark.createDataFrame([(2,)], "vid long"))
     row = found.first()
     assert row["in_nb"] == [0, 1] and row["out_nb"] == [3, 4] and row["in_flows"][1] == [2.0] * 4
-    solved = deconvolve.solve(found, balance=False)
+    solved = deconvolve.solve(spark, found, balance=False)
     assert solved.first()["left"] == [0, 1] and solved.first()["right"] == [3, 4]
     assert deconvolve.gated(solved, min_margin=0).count() == 1 and deconvolve.gated(solved, min_margin=1e9).count() == 0
-    assert apps.benchmark(found).first()["accepted"]
+    row = apps.benchmark(spark, found).first()
+    assert row["accepted"] and row["identifiable"] and row["paths"] == "0>3,1>4" and row["rmse"] < 0.01 and row["num_params"] > 0
+    assert apps.benchmark(spark, found, part=(0, 1)).count() == 1 and apps.benchmark(spark, found, part=(1, 5)).count() == 0
     assert {r["vid"]: r["kind"] for r in deconvolve.junction_classes(g).collect()} == {2: "canonical"}
 
 

@@ -36,26 +36,58 @@ def test_random_sequences_are_seeded(spark):
     assert a == b and all(len(r["bases"]) == 50 and set(r["bases"]) <= set("ACGT") for r in a)
 
 
-RECORDS = {
-    "0": (53, "L:+:47189:+ L:-:15297:+"), "3289": (86, "L:+:47189:-"), "15297": (143, "L:-:0:+"), "47189": (101, "L:+:3289:- L:-:0:-"), "47188": (101, ""),
-}
+#: name: bases, links as (own strand, other, other's strand)
+RECORDS = {"7": (23, [("+", "12", "+"), ("-", "30", "-")]), "12": (31, [("+", "44", "-")]), "30": (28, [("+", "7", "+")]), "44": (40, []), "51": (22, [])}
 
 
 @pytest.mark.parametrize("dialect", ["bcalm", "ggcat"])
-def test_linked_fasta(spark, dialect):
-    lines = [""]
+def test_linked_fasta(spark, tmp_path, dialect):
+    lines, want = ["", "  "], set()
     for name, (size, links) in RECORDS.items():
-        lines += [f">{name} LN:i:{size} " + ("KC:i:5 km:f:1.5 " if dialect == "bcalm" else "") + links, "ACGT" if name == "47188" else "A" * size]
+        said = " ".join(f"L:{a}:{other}:{b}" for a, other, b in links)
+        lines += [f">{name} LN:i:{size} " + ("KC:i:9 km:f:2.0 " if dialect == "bcalm" else "") + said, "C" * size]
+        want |= {(name + a, other + b) for a, other, b in links}
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, offset long, line string")
-    unitigs = fasta.parse(fasta.records(df), 51, dialect)
-    edges = fasta.link_edges(unitigs)
-    assert {tuple(r) for r in edges.collect()} == {("0+", "47189+"), ("0-", "15297+"), ("3289+", "47189-"), ("15297-", "0+"), ("47189+", "3289-"), ("47189-", "0-")}
-    vertices = fasta.oriented_vertices(unitigs, edges).collect()
-    assert len(vertices) == 10 and {r["vertex"]: r["length"] for r in vertices}["0+"] == 3
-    assert unitigs.count() == 5
-    graph, _ = apps.load(spark, fasta.records(df), 51, dialect)
-    assert graph.vertices.count() == 10 and graph.edges.count() == 6
-    assert sorted(r["vid"] for r in graph.vertices.collect()) == list(range(10))
+    (tmp_path / "u.fa").write_text("\n".join(lines) + "\n")
+    for found in (fasta.records(df), fasta.read_records(spark, f"{tmp_path}/u.fa")):
+        unitigs = fasta.parse(found, 21, dialect)
+        edges = fasta.link_edges(unitigs)
+        assert {tuple(r) for r in edges.collect()} == want
+        ends = {v for e in want for v in e} | {"44+", "44-", "51+", "51-"}
+        vertices = {r["vertex"]: r["length"] for r in fasta.oriented_vertices(unitigs, edges).collect()}
+        assert vertices == {v: RECORDS[v[:-1]][0] - 20 for v in ends}
+    graph, _ = apps.load(spark, fasta.records(df), 21, dialect)
+    assert graph.edges.count() == len(want) and sorted(r["vid"] for r in graph.vertices.collect()) == list(range(len(ends)))
+
+
+def test_fasta_files_split_anywhere(spark, tmp_path):
+    """Small splits cut records; each is read once, with its own bases."""
+    import random
+
+    rng = random.Random(4)
+    want = {f"r{i} x>y": "".join(rng.choices("ACGT", k=rng.randint(1, 400))) for i in range(300)}
+    (tmp_path / "a.fa").write_text("\n\n" + "".join(f">{h}\r\nIGNORED\r\n{b}\r\n\r\n" if i % 9 == 0 else f">{h}\n{b}\n" for i, (h, b) in enumerate(want.items())) + ">last")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        rows = fasta.read_records(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 301 and {r["header"]: r["bases"] for r in rows} == {**want, "last": None}
+
+
+def test_graph_from_circular_sequences_and_both_strands(spark):
+    from graphloom.operators import build
+
+    s = spark.createDataFrame([("ACGGT",), ("TTG",)], "bases string")
+    whole = [x + x[:2] for x in ("ACGGT", "TTG")]
+    other = [x[::-1].translate(str.maketrans("ACGT", "TGCA")) for x in ("ACGGT", "TTG")]
+    want = [w[i : i + 3] for w in [*whole, *[x + x[:2] for x in other]] for i in range(len(w) - 2)]
+    got = {r["kmer"]: r["n"] for r in build.kmer_table(s, 3, circular=True, both_strands=True).collect()}
+    assert got == {k: want.count(k) for k in want}
+    g = build.annotated_dbg(s, 3, circular=True, both_strands=True)
+    assert {(r["src"], r["dst"]) for r in g.edges.collect()} == {(a, b) for a in want for b in want if a[1:] == b[:2]}
+    assert {r["vid"]: r["depth"] for r in g.vertices.collect()} == {k: [float(want.count(k))] for k in want}
 
 
 def test_fasta_oddities(spark):
@@ -80,11 +112,16 @@ def test_depths_count_repeats_and_both_strands(spark):
 
 
 def test_both_strands_fail(spark):
-    counts = spark.createDataFrame([("AAA", "s", 1), ("TTT", "s", 1)], "kmer string, sample string, n long").repartition(2)
+    schema = "kmer string, sample string, n long"
+    counts = spark.createDataFrame([("AAA", "s", 1), ("TTT", "s", 1)], schema).repartition(2)
     with pytest.raises(Exception, match="both strands"):
         kmer_depth.check_strands(counts).collect()
-    counts = spark.createDataFrame([("TTT", "s", 1)], counts.schema)
-    assert kmer_depth.check_strands(counts).first()["kmer"] == "AAA"
+    apart = spark.createDataFrame([("ACC", "s", 1), ("CCC", "s", 4), ("GGT", "t", 1)], schema)  # in different samples
+    with pytest.raises(Exception, match="both strands present: ACC"):
+        apps.depth(spark.createDataFrame([("u", "ACCC")], "unitig string, bases string"), apart, 3, ("s", "t")).collect()
+    single = spark.createDataFrame([("TTT", "s", 1), ("ACC", "s", 2), ("ACC", "t", 3), ("GGC", "t", 5), ("TTT", "s", 4)], schema)
+    assert {tuple(r) for r in kmer_depth.check_strands(single).collect()} == {("AAA", "s", 5), ("ACC", "s", 2), ("ACC", "t", 3), ("GCC", "t", 5)}
+    assert kmer_depth.check_strands(single.limit(0)).collect() == []
 
 
 def test_files_round_trip(spark, tmp_path):
