@@ -65,15 +65,15 @@ def test_flows_match_numpy(spark):
     rows = [(i, int(lengths[i]), [*d[i].tolist(), 0.0]) for i in range(12)]
     v = spark.createDataFrame(rows, "vid long, length long, depth array<double>")
     e = spark.createDataFrame(edges, "src long, dst long")
-    for rounds in (2, 40):
+    for rounds in (2, 10):
         out, losses = flow.estimate(spark, e, v.select("vid", "length"), flow.long_depths(v), eps=0.0, max_iter=rounds, if_not_converged="ignore")
         got = {(r["src"], r["dst"], r["sample"]): r["flow"] for r in out.collect()}
         assert len(got) == 3 * len(edges) and len(losses[0]) == 2 * rounds
         for s in (0, 1):
             want = plain_flow(edges, d[:, s], lengths, rounds)
             assert [got[*k, s] for k in edges] == pytest.approx([want[k] for k in edges], rel=1e-6)
-    out, losses = flow.estimate(spark, e, v.select("vid", "length"), flow.long_depths(v), eps=1e-3, max_iter=300)
-    assert all(x[-1] < 1e-3 for x in losses.values()) and out.count() == 3 * len(edges)
+    out, losses = flow.estimate(spark, e, v.select("vid", "length"), flow.long_depths(v), eps=0.03, max_iter=60)
+    assert all(x[-1] < 0.03 for x in losses.values()) and out.count() == 3 * len(edges)
 
 
 def test_flow_formula_reaches_its_limit():
@@ -195,7 +195,7 @@ def strains(spark, depth=30.0):
 
 
 def test_two_strains_are_told_apart(spark, tmp_path):
-    out = apps.unzip(spark, strains(spark), apps.UnzipSettings(max_rounds=3), str(tmp_path))
+    out = apps.unzip(spark, strains(spark), apps.UnzipSettings(max_rounds=2, flow_eps=1e-4), str(tmp_path))
     assert {tuple(r["segments"]) for r in out.vertices.collect()} == {("0+", "2+", "3+"), ("1+", "2+", "4+")}
     assert out.edges.count() == 0
 
@@ -221,14 +221,15 @@ def test_blocks_of_candidates_give_the_best_of_all(spark, monkeypatch):
 
 
 def test_unzip_goes_on_from_a_folder(spark, tmp_path):
-    settings = apps.UnzipSettings(max_rounds=1)
+    loose = dict(flow_eps=1e-2, flow_iter=10, if_not_converged="ignore", drop_low_depth=False)
+    settings = apps.UnzipSettings(max_rounds=1, **loose)
     apps.unzip(spark, strains(spark), settings, str(tmp_path))
     saved = spark.read.parquet(f"{tmp_path}/problems_0")
     assert [r["kind"] for r in saved.collect()] == ["canonical"] and apps.benchmark(spark, saved).first()["accepted"]
-    again = apps.unzip(spark, strains(spark).with_(vertices=strains(spark).vertices.limit(0)), apps.UnzipSettings(max_rounds=3), str(tmp_path))
+    again = apps.unzip(spark, strains(spark).with_(vertices=strains(spark).vertices.limit(0)), apps.UnzipSettings(max_rounds=2, **loose), str(tmp_path))
     assert {tuple(r["segments"]) for r in again.vertices.collect()} == {("0+", "2+", "3+"), ("1+", "2+", "4+")}
-    first, second = (apps.unzip(spark, strains(spark), settings) for _ in range(2))
-    assert first.vertices.count() == second.vertices.count() == 2
+    other = apps.unzip(spark, strains(spark), apps.UnzipSettings(max_rounds=0, **loose))  # in a folder of its own
+    assert other.vertices.count() == 5 and again.vertices.count() == 2
 
 
 def test_smoothing_by_samples_and_strands(spark):
@@ -241,8 +242,8 @@ def test_smoothing_by_samples_and_strands(spark):
     assert plain.samples == ("y",) and all(len(d) == 1 for d in a.values())
     # one round by hand: the flow of one edge between depths, then each vertex the mean of flow and pseudoflow
     assert b[0] == b[3] == pytest.approx([(a[0][0] + a[3][0]) / 2]) and b[1] == b[2] == pytest.approx([(a[1][0] + a[2][0]) / 2])
-    once = apps.smooth(spark, g, ["y"], max_iter=1, flow_iter=60, if_not_converged="ignore").vertices
-    f = plain_flow([(0, 1), (2, 3)], [1, 2, 2, 2], [3] * 4, 60)
+    once = apps.smooth(spark, g, ["y"], max_iter=1, flow_iter=15, if_not_converged="ignore").vertices
+    f = plain_flow([(0, 1), (2, 3)], [1, 2, 2, 2], [3] * 4, 15)
     want = {0: (f[0, 1] + 0.75) / 2, 1: (f[0, 1] + 1.5) / 2, 2: (f[2, 3] + 1.5) / 2, 3: (f[2, 3] + 1.5) / 2}
     assert {r["vid"]: r["depth"][0] for r in once.collect()} == pytest.approx(want, rel=1e-5)
     with pytest.raises(ValueError, match="no such samples"):
