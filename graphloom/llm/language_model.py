@@ -43,6 +43,8 @@ INNER = (0, 1, 3)
 ROUNDS, BATCH, RATE = 2, 8192, 0.3
 FLUSH, BLOCKS, SALTS = 500_000, 64, 256
 ROUND_SEED = 17
+#: Upper bits of a key by which the broadcast counts are found.
+BUCKET_BITS = 18
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -93,6 +95,8 @@ class Vocabulary:
     def __init__(self, key: np.ndarray, count: np.ndarray, end_count: int) -> None:
         order = np.argsort(key)
         self.key, self.count = key[order], count[order]
+        #: The first of the sorted keys that have some upper bits or greater ones.
+        self.bucket = np.searchsorted(self.key >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)).astype(np.int32)
         top = np.lexsort((key, -count))[:SINGLES]
         by_key = top[np.argsort(key[top])]
         self.single, self.single_class = key[by_key], np.empty(len(top), np.int64)
@@ -115,11 +119,20 @@ class Vocabulary:
         return out
 
     def counts(self, key: np.ndarray) -> np.ndarray:
-        """Counts of frequent words; -1 for the others."""
+        """Counts of frequent words; -1 for the others. Keys are hashes, so few share their upper bits."""
+        out = np.full(len(key), -1, np.int64)
         if not len(self.key):
-            return np.full(len(key), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.count[at], -1)
+            return out
+        bucket = (key >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        at, end = self.bucket[bucket], self.bucket[bucket + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            place = at[left]
+            hit = self.key[place] == key[left]
+            out[left[hit]] = self.count[place[hit]]
+            at[left] += 1
+            left = left[~hit & (place + 1 < end[left])]
+        return out
 
 
 def sequence(key: np.ndarray, first: np.ndarray, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,9 +308,10 @@ def _rare(words):
             for lo, hi, k, first in _slices(batch):
                 rare = np.flatnonzero(words.value.counts(k) < 0)
                 doc = np.searchsorted(first, rare, "right") - 1
-                order = np.lexsort((k[rare], doc))
+                # by a hash of both, which brings repeats together; where hashes tie, a word may be told in two rows
+                order = np.argsort(tx.mix(k[rare] + tx.mix(doc.astype(np.uint64))))
                 d, x = doc[order], k[rare][order]
-                new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (x[1:] != x[:-1]))[: 1 + bool(len(d))]))[: len(d)] if len(d) else np.zeros(0, np.int64)
+                new = np.flatnonzero(np.concatenate((np.ones(min(len(d), 1), dtype=bool), (d[1:] != d[:-1]) | (x[1:] != x[:-1]))))
                 tf = np.diff(np.concatenate((new, [len(d)])))
                 part = batch.slice(lo, hi - lo).take(pa.array(d[new], pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(x[new].view(np.int64)), pa.array(tf, pa.int32())], ["doc_id", "text_hash", "key", "tf"])
