@@ -2,9 +2,8 @@
 
 The probability of a token is that of its class after its context times that of the token in its
 class. Classes are a maximum-entropy model over hashed features of the context: the word before
-(n-gram), the class two places back (skip) and the pair of the two classes before (n-gram). The
-softmax over 256 classes is factored into 16 groups of 16; the class in its group depends on the
-word before and the skip only. Frequent words are classes of their own; other words share classes
+(n-gram), the classes two and three places back (skips) and the pair of the two classes before (n-gram).
+The softmax over 256 classes is factored into 16 groups of 16. Frequent words are classes of their own; other words share classes
 by their ends, and within a class, where the only feature is the word itself, the maximum-entropy
 solution is its smoothed share of the class.
 
@@ -35,11 +34,9 @@ MAX_FREQUENT = 1 << 17
 #: Classes: the end token, single words, and words by their ends.
 GROUP, SINGLES, ENDS = 16, 191, 64
 CLASSES = GROUP * GROUP
-#: Hashed features: words before, classes two back, pairs of classes, and a constant one.
+#: Hashed features: words before, classes two and three back, pairs of classes, and a constant one.
 BY_WORD, BY_PAIR = 4096, 2048
-FEATURES = BY_WORD + CLASSES + BY_PAIR + 1
-#: Features that the class in its group depends on: the word before, the skip and the constant one.
-INNER = (0, 1, 3)
+FEATURES = BY_WORD + 2 * CLASSES + BY_PAIR + 1
 ROUNDS, BATCH, RATE = 2, 8192, 0.3
 FLUSH, BLOCKS, SALTS = 500_000, 64, 256
 ROUND_SEED = 17
@@ -146,15 +143,17 @@ def sequence(key: np.ndarray, first: np.ndarray, words: Vocabulary) -> tuple[np.
     c = np.zeros(total, np.int64)
     k[word], c[word] = key, words.classes(key)
     pos = np.arange(total) - np.repeat(begin[:-1], n)
-    back = [np.concatenate((np.zeros(min(d, total), c.dtype), c[: max(0, total - d)])) for d in (1, 2)]
+    back = [np.concatenate((np.zeros(min(d, total), c.dtype), c[: max(0, total - d)])) for d in (1, 2, 3)]
     back[1][pos < 2] = 0
+    back[2][pos < 3] = 0
     before = np.concatenate((np.zeros(1, np.uint64), k[:-1]))
     before[pos == 0] = 0
-    f = np.empty((total, 4), np.uint16)
+    f = np.empty((total, 5), np.uint16)
     f[:, 0] = tx.mix(before) % np.uint64(BY_WORD)
     f[:, 1] = BY_WORD + back[1]
-    f[:, 2] = BY_WORD + CLASSES + (tx.mix((back[0] * CLASSES + back[1]).astype(np.uint64) + np.uint64(1)) % np.uint64(BY_PAIR)).astype(np.int64)
-    f[:, 3] = FEATURES - 1
+    f[:, 2] = BY_WORD + CLASSES + back[2]
+    f[:, 3] = BY_WORD + 2 * CLASSES + (tx.mix((back[0] * CLASSES + back[1]).astype(np.uint64) + np.uint64(1)) % np.uint64(BY_PAIR)).astype(np.int64)
+    f[:, 4] = FEATURES - 1
     return f, c, begin
 
 
@@ -180,15 +179,15 @@ class Weights:
         z = table.take(rows[0], axis=0)
         for r in rows[1:]:
             z += table.take(r, axis=0)
-        np.minimum(z, np.float32(60), out=z)  # weights start at logs of counts, so sums stay in range
+        z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True) + np.float32(1e-30)
+        z /= z.sum(1, keepdims=True)
         return z
 
     @staticmethod
     def _rows(f: np.ndarray, group: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         rows = [f[:, j].astype(np.int64) for j in range(f.shape[1])]
-        return rows, [rows[j] * GROUP + group for j in INNER]
+        return rows, [r * GROUP + group for r in rows]
 
     def log10(self, f: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 probability of the classes c after contexts with features f."""
@@ -214,10 +213,7 @@ class Weights:
         by_group = np.argsort(group.astype(np.uint8), kind="stable")
         for j in range(f.shape[1]):
             order = by_group[np.argsort(f[by_group, j], kind="stable")]
-            tables = [(self.group, squares.group, rows[j], g)]
-            if j in INNER:
-                tables.append((self.inner, squares.inner, inner[INNER.index(j)], h))
-            for table, square, row, grad in tables:
+            for table, square, row, grad in ((self.group, squares.group, rows[j], g), (self.inner, squares.inner, inner[j], h)):
                 sorted_rows = row[order]
                 begin = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
                 one = sorted_rows[begin]
