@@ -38,7 +38,9 @@ CLASSES = GROUP * GROUP
 BY_WORD, BY_PAIR = 4096, 2048
 FEATURES = BY_WORD + 2 * CLASSES + BY_PAIR + 1
 ROUNDS, BATCH, RATE = 2, 8192, 0.3
-FLUSH, BLOCKS, SALTS = 500_000, 64, 256
+FLUSH, BLOCKS = 500_000, 64
+#: Tokens that a task learns from at least, where there are so many, and tasks whose weights are averaged first.
+LEARNER_TOKENS, NEAR_TASKS = 500_000, 32
 ROUND_SEED = 17
 #: Upper bits of a key by which the broadcast counts are found.
 BUCKET_BITS = 18
@@ -259,14 +261,16 @@ def _average(table: pa.Table) -> pa.Table:
 def train(spark: SparkSession, rows: DataFrame, words, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
     """Weights after one pass over the training rows, a share of them in each round.
 
-    They start from the classes' shares, so that few documents leave a unigram model.
+    They start from the classes' shares, so that few documents leave a unigram model. What moves is one copy
+    of the weights for each task; so small partitions are read by one task together.
     """
     flat = Weights.priors(words.value.tokens).flat
+    learners = min(1 << 20, max(1, int(words.value.tokens.sum()) // (rounds * LEARNER_TOKENS)))
     shape = "block int, seen long, weights binary"
     for r in range(rounds):
         share = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(ROUND_SEED)), F.lit(rounds)) == r).select("text")
-        local = share.mapInArrow(_learn(words, spark.sparkContext.broadcast(flat), rate), shape)
-        salted = local.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        local = share.coalesce(learners).mapInArrow(_learn(words, spark.sparkContext.broadcast(flat), rate), shape)
+        salted = local.withColumn("salt", F.floor(F.spark_partition_id() / NEAR_TASKS))
         mean = salted.groupBy("block", "salt").applyInArrow(_average, shape).groupBy("block").applyInArrow(_average, shape)
         got = mean.select("block", "weights").collect()  # BLOCKS rows
         if got:
