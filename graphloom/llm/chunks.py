@@ -9,7 +9,7 @@ Chunks move as digests, twice: to find the least and the largest document of eac
 which Spark splits where a digest is frequent).
 
 Defined cases: a null or empty text has no chunks; repeats within one document stay; rows with
-one id count as one document; further columns are ignored.
+one id count as one document; rows without an id give no spans; further columns are ignored.
 """
 
 from __future__ import annotations
