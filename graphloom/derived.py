@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.sequence import windows
 from .model import AssemblyGraph
 from .operators import build
 
@@ -31,10 +32,10 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, i, last, unitig, bases): stretches of STEP + K - 1 bases, each overlapping the next by K - 1."""
-    long = sequences(spark, sf_dir).where(F.length("bases") >= K)
-    last = F.floor((F.length("bases") - K) / STEP)
-    each = long.withColumn("last", last).select("doc_id", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("i"), "bases")
-    return each.select("doc_id", "i", "last", (F.col("doc_id") * 100000 + F.col("i")).cast("string").alias("unitig"), F.substr("bases", (F.col("i") * STEP + 1).cast("int"), F.lit(STEP + K - 1)).alias("bases"))
+    stretches = windows(F.col("bases"), STEP + K - 1, STEP, K)
+    each = sequences(spark, sf_dir).select("doc_id", F.floor((F.length("bases") - K) / STEP).alias("last"), F.posexplode(stretches).alias("at", "bases"))
+    at = F.col("at").cast("long")
+    return each.select("doc_id", at.alias("i"), "last", (F.col("doc_id") * 100000 + at).cast("string").alias("unitig"), "bases")
 
 
 def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:

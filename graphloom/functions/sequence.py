@@ -22,11 +22,19 @@ def canonical(kmer: Column) -> Column:
     return F.least(kmer, reverse_complement(kmer))
 
 
+def windows(sequence: Column, size: int, step: int = 1, at_least: int | None = None) -> Column:
+    """Array of the stretches of ``size`` characters that begin every ``step`` characters, in one pass.
+
+    The last ones may be shorter, down to ``at_least`` (default: ``size``). A null or too short sequence has none.
+    A match looks ahead at a stretch and takes ``step`` characters, so that no stretch is counted off from the start.
+    """
+    pattern = f"(?s)(?=(.{{{size if at_least is None else at_least},{size}}})).{{1,{step}}}"
+    return F.coalesce(F.regexp_extract_all(sequence, F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))
+
+
 def kmers(sequence: Column, k: int, circular: bool = False) -> Column:
     """Array of all substrings of length k; a circular sequence goes on with its start."""
-    whole = F.concat(sequence, F.substring(sequence, 1, k - 1)) if circular else sequence
-    at = F.sequence(F.lit(1), F.length(whole) - (k - 1))
-    return F.when(F.length(whole) >= k, F.transform(at, lambda i: F.substr(whole, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return windows(F.concat(sequence, F.substring(sequence, 1, k - 1)) if circular else sequence, k)
 
 
 def dbg_edges(nodes: DataFrame, column: str = "kmer") -> DataFrame:
