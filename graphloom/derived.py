@@ -25,8 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, sample, bases): whole texts as bases; the sample is the language."""
-    docs = table(spark, sf_dir, "documents")
+    """(doc_id, sample, bases): whole texts as bases; the sample is the language.
+
+    A file of few row groups is read by as few tasks, which would then have all k-mers: rows of a table with
+    fewer splits than cores are dealt over the cores first.
+    """
+    docs, cores = table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
     return docs.select("doc_id", F.col("lang").alias("sample"), F.regexp_replace(F.translate(F.lower("text"), LETTERS, BASES), "[^ACGT]", "").alias("bases"))
 
 

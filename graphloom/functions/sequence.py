@@ -37,6 +37,14 @@ def kmers(sequence: Column, k: int, circular: bool = False) -> Column:
     return windows(F.concat(sequence, F.substring(sequence, 1, k - 1)) if circular else sequence, k)
 
 
+def canonical_kmers(sequence: Column, k: int) -> Column:
+    """Array of the lesser of each k-mer and its reverse complement, in order.
+
+    The reverse complements are those of the sequence's other strand, turned round, so that no k-mer is turned by itself.
+    """
+    return F.zip_with(kmers(sequence, k), F.reverse(kmers(reverse_complement(sequence), k)), lambda a, b: F.least(a, b))
+
+
 def dbg_edges(nodes: DataFrame, column: str = "kmer") -> DataFrame:
     """(src, dst) for distinct k-mers of which one's last k-1 characters are the other's first."""
     distinct = nodes.select(column).distinct()

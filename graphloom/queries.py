@@ -58,8 +58,8 @@ def sq_03_reverse_complement(spark, sf_dir):
 
 @query("SELECT least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) AS kmer, count(*) AS n FROM kms GROUP BY 1", d.SQL_DNA, d.SQL_KMERS)
 def sq_04_canonical_kmer(spark, sf_dir):
-    each = d.sequences(spark, sf_dir).select(F.explode(sq.kmers(F.col("bases"), d.K)).alias("kmer"))
-    return each.groupBy(sq.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+    each = d.sequences(spark, sf_dir).select(F.explode(sq.canonical_kmers(F.col("bases"), d.K)).alias("kmer"))
+    return each.groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 @query("SELECT kmer, count(*) AS n FROM kms GROUP BY kmer", d.SQL_DNA, d.SQL_KMERS)

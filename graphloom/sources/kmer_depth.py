@@ -7,15 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import canonical, kmers
+from ..functions.sequence import canonical, canonical_kmers, kmers
 
 
 def kmer_counts(sequences: DataFrame, k: int, sample: str = "sample", bases: str = "bases", canonicalise: bool = True) -> DataFrame:
     """(kmer, sample, n): how often each k-mer is seen in a sample."""
-    each = sequences.select(F.col(sample).alias("sample"), F.explode(kmers(F.col(bases), k)).alias("kmer"))
-    if canonicalise:
-        each = each.withColumn("kmer", canonical(F.col("kmer")))
-    return each.groupBy("kmer", "sample").agg(F.count("*").alias("n"))
+    found = canonical_kmers(F.col(bases), k) if canonicalise else kmers(F.col(bases), k)
+    return sequences.select(F.col(sample).alias("sample"), F.explode(found).alias("kmer")).groupBy("kmer", "sample").agg(F.count("*").alias("n"))
 
 
 def check_strands(counts: DataFrame) -> DataFrame:
@@ -35,8 +33,8 @@ def mean_depth(unitigs: DataFrame, counts: DataFrame, k: int, samples: Sequence[
 
     Counts are of lesser k-mers, in long form; one distributed join serves all unitigs.
     """
-    each = unitigs.select(F.col(unitig).alias("unitig"), F.explode(kmers(F.col(bases), k)).alias("kmer"))
-    tally = each.groupBy("unitig", canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("m"))
+    each = unitigs.select(F.col(unitig).alias("unitig"), F.explode(canonical_kmers(F.col(bases), k)).alias("kmer"))
+    tally = each.groupBy("unitig", "kmer").agg(F.count("*").alias("m"))
     sums = tally.join(counts, "kmer").groupBy("unitig", "sample").agg(F.sum(F.col("m") * F.col("n")).alias("total"))
     size = unitigs.select(F.col(unitig).alias("unitig"), (F.length(bases) - (k - 1)).alias("n_kmers")).where("n_kmers > 0")
     grid = size.withColumn("sample", F.explode(F.array(*map(F.lit, samples))))  # every unitig has a depth in each sample
