@@ -26,6 +26,24 @@ def test_scalars(spark):
         one(spark, sq.base_pair(F.col("s"), strict=True), s="ACGN")
 
 
+def test_windows_and_lesser_kmers(spark):
+    text = "ACGTTGCAAC" * 3 + "G"
+    for size, step, at_least in ((4, 1, 4), (8, 3, 5), (40, 7, 2), (31, 31, 1), (32, 5, 32)):
+        want = [text[i : i + size] for i in range(0, len(text), step) if len(text) - i >= at_least]
+        assert one(spark, sq.windows(F.col("s"), size, step, at_least), s=text) == want
+    turned = [min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA"))) for x in (text[i : i + 5] for i in range(len(text) - 4))]
+    assert one(spark, sq.canonical_kmers(F.col("s"), 5), s=text) == turned
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "ACG"), (4, "ACNGT")], "id int, s string")
+    assert {r["id"]: r["x"] for r in rows.select("id", sq.canonical_kmers(F.col("s"), 4).alias("x")).collect()} == {1: [], 2: [], 3: [], 4: ["ACNG", "ACNG"]}
+
+
+def test_kmers_of_a_long_sequence(spark):
+    """A million bases: one pass, where counting each k-mer off from the start would take hours."""
+    long = spark.range(1).select(F.repeat(F.lit("ACGTT"), 200_000).alias("s"))
+    found = long.select(F.explode(sq.canonical_kmers(F.col("s"), 15)).alias("kmer")).groupBy("kmer").count().collect()
+    assert len(found) == 5 and sum(r["count"] for r in found) == 1_000_000 - 14
+
+
 def test_dbg_edges_have_self_edges(spark):
     nodes = spark.createDataFrame([("AAA",), ("AAC",), ("ACT",), ("ACT",), ("GGG",)], "kmer string")
     assert {tuple(r) for r in sq.dbg_edges(nodes).collect()} == {("AAA", "AAA"), ("AAA", "AAC"), ("AAC", "ACT"), ("GGG", "GGG")}
