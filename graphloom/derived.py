@@ -52,25 +52,33 @@ def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select(F.concat("unitig", F.lit(" LN:i:"), F.length("bases").cast("string"), F.lit(" KC:i:1 km:f:1.0"), links).alias("header"), "bases")
 
 
-def _next_in_time(rows: DataFrame) -> DataFrame:
-    """(src, dst) of each row and the next one by time; no task has more than an hour of rows.
+def _next_in_time(rows: DataFrame, by: list[str], unit: str) -> DataFrame:
+    """(src, dst) of each row and the next one by time among those with equal ``by``; no task has more than a unit's rows of a value.
 
-    The last row of an hour is followed by the first one of the next hour that has rows; only the hours' first
-    rows, one each, meet in one window.
+    The last row of a unit (an hour, a day) is followed by the first one of the next unit that has rows; only the
+    units' first rows, one each, meet in one window.
     """
-    hourly = rows.withColumn("hour", F.date_trunc("hour", "ts"))
-    inner = hourly.withColumn("dst", F.lead("event_id").over(Window.partitionBy("hour").orderBy("ts", "event_id")))
-    firsts = hourly.groupBy("hour").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    after = firsts.select("hour", F.lead("first.event_id").over(Window.orderBy("hour")).alias("after"))
-    return inner.join(F.broadcast(after), "hour").select(F.col("event_id").alias("src"), F.coalesce("dst", "after").alias("dst"))
+    dated = rows.withColumn("unit", F.date_trunc(unit, "ts"))
+    inner = dated.withColumn("dst", F.lead("event_id").over(Window.partitionBy(*by, "unit").orderBy("ts", "event_id")))
+    firsts = dated.groupBy(*by, "unit").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    after = firsts.select(*by, "unit", F.lead("first.event_id").over(Window.partitionBy(*by).orderBy("unit")).alias("after"))
+    return inner.join(after, [*by, "unit"]).select(F.col("event_id").alias("src"), F.coalesce("dst", "after").alias("dst"))
+
+
+def _ranked(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with their ``rank`` by time among those with equal ``by``; a day's rows of a value are in one task, not all of them."""
+    daily = rows.withColumn("day", F.date_trunc("day", "ts"))
+    within = daily.withColumn("rank", F.row_number().over(Window.partitionBy(by, "day").orderBy("ts", "event_id")))
+    before = daily.groupBy(by, "day").agg(F.count("*").alias("n"))
+    before = before.select(by, "day", (F.sum("n").over(Window.partitionBy(by).orderBy("day")) - F.col("n")).alias("before"))
+    return within.join(before, [by, "day"]).withColumn("rank", F.col("before") + F.col("rank")).drop("day", "before")
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> AssemblyGraph:
     e = table(spark, sf_dir, "events")
-    order = ["ts", "event_id"]
-    by_user = F.lead("event_id").over(Window.partitionBy("user_id").orderBy(*order))
-    users = e.select(F.col("event_id").alias("src"), by_user.alias("dst"))
-    edges = users.union(_next_in_time(e.where("event_type = 'purchase'").select("event_id", "ts"))).where("dst is not null").distinct()
+    users = _next_in_time(e.select("user_id", "event_id", "ts"), ["user_id"], "day")
+    purchases = _next_in_time(e.where("event_type = 'purchase'").select("event_id", "ts"), [], "hour")
+    edges = users.union(purchases).where("dst is not null").distinct()
     depth = F.array(F.col("value"), F.col("value") * 0.5 + 1, F.abs(F.col("value") - 10), (F.col("user_id") % 10).cast("double"))
     vertices = e.select(F.col("event_id").alias("vid"), (1 + F.col("event_id") % 7).alias("length"), F.array(F.concat(F.col("event_id").cast("string"), F.lit("+"))).alias("segments"), depth.alias("depth"))
     return AssemblyGraph(vertices, edges, K, SAMPLES)
@@ -79,9 +87,12 @@ def event_graph(spark: SparkSession, sf_dir: str) -> AssemblyGraph:
 def segment_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vid, length, segments, depth): an event and the user's next three as oriented segments."""
     e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    named = e.withColumn("seg", F.concat("event_type", F.when(F.col("value") >= 30, "+").otherwise("-")))
-    rows = named.select(F.col("event_id").alias("vid"), "value", F.col("seg").alias("a"), *[F.lead("seg", i).over(w).alias(c) for i, c in ((1, "b"), (2, "c"), (3, "d"))]).where("d is not null")
+    seg = F.concat("event_type", F.when(F.col("value") >= 30, "+").otherwise("-"))
+    ranked = _ranked(e.select("user_id", "event_id", "ts", "value", seg.alias("seg")), "user_id")
+    # each event goes to its own rank and to the three before it
+    placed = ranked.select("user_id", "rank", "event_id", "value", "seg", F.explode(F.array(*map(F.lit, range(4)))).alias("i")).withColumn("at", F.col("rank") - F.col("i"))
+    of = lambda i, column: F.max(F.when(F.col("i") == i, F.col(column)))
+    rows = placed.groupBy("user_id", "at").agg(of(0, "event_id").alias("vid"), of(0, "value").alias("value"), *[of(i, "seg").alias(c) for i, c in enumerate("abcd")]).where("vid is not null and d is not null")
     return rows.select("vid", (1 + F.col("vid") % 7).alias("length"), F.array("a", "b", "c", "d").alias("segments"), F.array(F.col("value"), F.col("value") * 0.5 + 1).alias("depth"))
 
 
