@@ -26,6 +26,8 @@ from .. import scratch
 SITE_SHARE, LEAST_SITES = 0.01, 10
 #: log2 of a sketch's registers, and the standard errors around the threshold that are counted exactly.
 LG_K, BAND = 12, 4
+#: Characters that lines are compared without, at both ends.
+WHITE = " \t\n\x0b\f\r"
 
 
 def site_threshold(docs: DataFrame) -> int:
@@ -41,8 +43,7 @@ def _site() -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, site, pos, h1, h2: one row per line that is not blank; 128 bits of hash."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _site().alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    rows = rows.withColumn("line", line).where(F.col("line") != "")
+    rows = rows.withColumn("line", F.btrim("line", F.lit(WHITE))).where(F.col("line") != "")
     return rows.select("doc_id", "text_hash", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2"))
 
 
