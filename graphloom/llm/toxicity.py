@@ -7,13 +7,14 @@ document is as toxic as its most toxic window, so a long text does not hide a sh
 document's score is a logistic function of that window, fitted on labelled documents that the
 embeddings have not seen.
 
-Training reads at most ``MAX_LABELLED`` labelled documents, those with the least hashes; labels
-give only the target. Scoring is one pass over whole texts without a shuffle: as the model is linear
+Training reads at most ``MAX_LABELLED`` labelled documents and ``MAX_LABELLED_BYTES`` of text, those
+with the least hashes; labels give only the target. Scoring is one pass over whole texts without a shuffle: as the model is linear
 in the embeddings, one number per n-gram bucket suffices.
 
 Defined cases: a null or empty text, or one without words, scores like a window without n-grams;
 without labelled rows all scores are 0; with one label all scores are that label; documents with
-several labels count once for each; further columns are ignored.
+several labels count once for each; of rows that repeat a labelled id, the least text is learned from;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from . import text as tx
 
 #: Labelled documents that training reads at most.
 MAX_LABELLED = 4000
+#: Bytes of text that training reads at most; a text of more than a sixteenth of them is not learned from.
+MAX_LABELLED_BYTES = 128 << 20
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4, 5)
 #: Words of a window.
 WINDOW = 5
@@ -224,13 +228,27 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, limit_bytes: int = MAX_LABELLED_BYTES) -> Model:
     """A model from a bounded sample of labelled documents that are not held out."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     sample = usable.select("doc_id", "toxic", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id", "toxic").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("order", "doc_id", "text", "toxic").collect()  # at most ``limit`` labels
-    rows.sort(key=lambda r: (r["order"], r["doc_id"], r["toxic"], r["text"] or ""))
-    return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+    spark = docs.sparkSession
+    ids = sample.select("order", "doc_id").distinct()  # at most ``limit``
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("order", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = scratch.keep(spark, found.withColumn("size", F.octet_length("text").cast("long")).where(F.col("size") <= limit_bytes // 16), "labelled")
+    total, cut = 0, None
+    for r in found.select("order", "doc_id", "size").orderBy("order", "doc_id").toLocalIterator():  # numbers only
+        total += r["size"]
+        if total > limit_bytes:
+            break
+        cut = r
+    if cut is None:
+        return train([], [])
+    within = (F.col("order") < cut["order"]) | ((F.col("order") == cut["order"]) & (F.col("doc_id") <= cut["doc_id"]))
+    texts = {r["doc_id"]: r["text"] for r in found.where(within).select("doc_id", "text").collect()}  # at most ``limit_bytes``
+    rows = [r for r in sample.collect() if r["doc_id"] in texts]
+    rows.sort(key=lambda r: (r["order"], r["doc_id"], r["toxic"]))
+    return train([texts[r["doc_id"]] for r in rows], [int(r["toxic"] > 0) for r in rows])
 
 
 def _score(model):

@@ -240,3 +240,45 @@ def test_phrases_are_lempel_ziv():
     assert len(fingerprints.phrases([1, 2, 1, 2, 1, 2, 1])) == 4  # 1, 2, 12, 121
     a, b = fingerprints.sketch(set(range(1, 4000))), fingerprints.sketch(set(range(1000, 5000)))
     assert abs(fingerprints.likeness(a, b) - 3000 / 5000) < 0.2
+
+
+def plain_phrases(text):
+    """Lempel-Ziv phrases of the words of a text, as tuples."""
+    known, phrase = set(), ()
+    for w in re.findall(r"\S+", text):
+        phrase += (w,)
+        if phrase not in known:
+            known.add(phrase)
+            phrase = ()
+    return known
+
+
+def test_likeness_estimates_that_of_plain_phrase_sets(spark, varied, varied_rows):
+    text = dict((i, t) for i, t, _ in varied_rows)
+    order = sorted(text)
+    off = []
+    for r in fingerprints.compare(spark, varied).collect():
+        i = r["doc_id"]
+        t, u = text[i], text[order[(order.index(i) + 1) % len(order)]]
+        q = len(t) // 4
+        mine = plain_phrases(t)
+        for other, near in ((t[: len(t) - q] + u[:q], r["near_edited"]), (u, r["near_next"])):
+            theirs = plain_phrases(other)
+            both = len(mine | theirs)
+            exact = len(mine & theirs) / both
+            if not 0 < exact < 1:
+                assert abs(near - exact) < 0.02  # 16 bits may collide
+                continue
+            off.append((near - exact) / np.sqrt(exact * (1 - exact) / min(fingerprints.PLACES, both)))
+    # errors of drawing that many places at random: none on the whole, about one standard deviation each
+    assert abs(np.mean(off)) < 4 / np.sqrt(len(off)) and 0.5 < np.sqrt(np.mean(np.square(off))) < 1.5
+
+
+def test_rows_without_an_id_have_results(spark):
+    a = "one two three four five six seven eight nine ten\n" * 2
+    rows = [(None, a, "a"), (None, a, "a"), (None, None, "b"), (1, a, "a"), (1, a, None), (2, "", "a")]
+    docs = table(spark, rows)
+    items = spark.createDataFrame([(None, a), (1, None), (2, a)], "item_id long, text string")
+    for found in (jaccard.link(spark, docs), lines.removed_lines(spark, docs, 2), decontaminate.contamination(spark, docs, items), fingerprints.compare(spark, docs)):
+        assert sorted(str(r["doc_id"]) for r in found.collect()) == sorted(str(i) for i, _, _ in rows)
+    assert jaccard.keep_one(spark, docs).count() == len(rows)

@@ -247,3 +247,25 @@ def test_held_out_labels_are_not_learned(spark):
     flip = lambda r: 1 - r[3] if zlib.crc32(str(r[0]).encode()) % 4 == 2 else r[3]
     scores = [{r["doc_id"]: r["score"] for r in toxicity.score(spark, docs, spark.createDataFrame([(r[0], f(r)) for r in rows], "doc_id long, toxic int")).collect()} for f in (lambda r: r[3], flip)]
     assert scores[0] == scores[1]
+
+
+def test_repeated_ids_and_bytes_bound_what_is_learned(spark):
+    rows = toxic_rows(120)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    once = toxicity.learn(table(spark, [r[:3] for r in rows]), labels)
+    often = toxicity.learn(table(spark, [r[:3] for r in rows for _ in range(1 + 30 * (r[0] == 1))] + [(1, "~ greater than its other text", "b")]), labels)
+    assert np.array_equal(once.logistic, often.logistic)
+    size = sum(len(r[1]) for r in rows)
+    few = toxicity.learn(table(spark, [r[:3] for r in rows] + [(500, "x" * size, "a")]), labels.union(spark.createDataFrame([(500, 1)], labels.schema)), limit_bytes=size // 2)
+    assert not np.array_equal(once.logistic, few.logistic)
+    assert np.array_equal(toxicity.learn(table(spark, [r[:3] for r in rows]), labels, limit_bytes=1).logistic, toxicity.train([], []).logistic)
+
+
+def test_rows_without_an_id_are_scored(spark):
+    a = sentence(random.Random(2), 40)
+    rows = [(None, a, "a"), (None, a, "a"), (None, None, "b"), (1, a, "a"), (1, a, None), (2, "", "a")]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame([(1, 1), (None, 1)], "doc_id long, toxic int")
+    for found in (secrets.scan(docs), licenses.scan(spark, docs), toxicity.score(spark, docs, labels), language_model.score(spark, docs)):
+        assert sorted(str(r["doc_id"]) for r in found.collect()) == sorted(str(i) for i, _, _ in rows)
+    assert toxicity.keep_clean(spark, docs, labels.limit(0)).count() == len(rows)
