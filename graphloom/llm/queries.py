@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, fingerprints, jaccard, language_model, licenses, lines, packing, secrets, toxicity
+from . import chunks, decontaminate, fim, fingerprints, jaccard, language_model, licenses, lines, packing, resampling, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pack, op2_lm_score, op3_secret_scan, op4_license_scan, op5_toxicity, op6_ngram_jaccard, op7_fingerprint, op8_substring_dedup, op9_line_dedup, op10_decontaminate)
+    for f in (
+        op1_pack, op2_lm_score, op3_secret_scan, op4_license_scan, op5_toxicity, op6_ngram_jaccard, op7_fingerprint, op8_substring_dedup, op9_line_dedup, op10_decontaminate,
+        op11_fim, op12_importance_resample,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,5 +113,37 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+""",
+    "op11_fim": r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+d AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, n, form, t, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM f),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p),
+r AS (SELECT *, split_part(output, '<M>', 2) AS m, split_part(output[4:], '<M>', 1) AS head FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN split_part(head, '<S>', 1) || m || split_part(head, '<S>', 2) ELSE split_part(head, '<P>', 2) || m || split_part(head, '<P>', 1) END) AS restored_sha256
+FROM r
+""",
+    "op12_importance_resample": r"""
+WITH tab AS MATERIALIZED (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)),
+rows_ AS (SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 't', '', text FROM benchmark),
+w AS MATERIALIZED (SELECT kind, id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM rows_),
+l AS (SELECT kind, row, i, word, lead(word, 1) OVER p AS second, lead(word, 2) OVER p AS third FROM (SELECT kind, row, unnest(w) AS word, unnest(range(len(w))) AS i FROM w) WINDOW p AS (PARTITION BY row ORDER BY i)),
+g AS MATERIALIZED (SELECT kind, row, word AS gram FROM l UNION ALL SELECT kind, row, word || ' ' || second FROM l WHERE second IS NOT NULL UNION ALL SELECT kind, row, word || ' ' || second || ' ' || third FROM l WHERE third IS NOT NULL),
+hexed AS (SELECT gram, hex(encode(gram)) AS x FROM (SELECT DISTINCT gram FROM g)),
+crc AS (SELECT gram, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexed, tab),
+f AS MATERIALIZED (SELECT kind, row, bucket, count(*) AS n FROM g JOIN crc USING (gram) GROUP BY 1, 2, 3),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE kind = 't'), 0) AS t FROM f GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM c),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(((CAST(t AS DOUBLE) + 1) * (CAST(s_all AS DOUBLE) + 10000)) / ((CAST(s AS DOUBLE) + 1) * (CAST(t_all AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM c, a),
+d AS (SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM f JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY row),
+h AS (SELECT row, CAST(id AS BIGINT) AS doc_id, len(w) AS n_words, CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise FROM w WHERE kind = 'd'),
+o AS (SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + noise AS score FROM h LEFT JOIN d USING (row)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, (SELECT count(*) FROM o WHERE n_words >= 20) AS able FROM o WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, r.rank FROM o LEFT JOIN (SELECT * FROM r WHERE rank <= (5 * able) // 100) r USING (doc_id)
 """,
 }
