@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, fim, fingerprints, jaccard, language_model, licenses, lines, packing, resampling, secrets, toxicity
+from . import chunks, decontaminate, embeddings, fim, fingerprints, jaccard, language_model, licenses, lines, packing, resampling, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +68,15 @@ def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near(spark, _table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pack, op2_lm_score, op3_secret_scan, op4_license_scan, op5_toxicity, op6_ngram_jaccard, op7_fingerprint, op8_substring_dedup, op9_line_dedup, op10_decontaminate,
-        op11_fim, op12_importance_resample,
+        op11_fim, op12_importance_resample, op13_embedding_dedup,
     )
 }
 
@@ -145,5 +149,14 @@ h AS (SELECT row, CAST(id AS BIGINT) AS doc_id, len(w) AS n_words, CAST(floor(-1
 o AS (SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + noise AS score FROM h LEFT JOIN d USING (row)),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, (SELECT count(*) FROM o WHERE n_words >= 20) AS able FROM o WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, r.rank FROM o LEFT JOIN (SELECT * FROM r WHERE rank <= (5 * able) // 100) r USING (doc_id)
+""",
+    "op13_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, x FROM v WHERE len(x) > 0 AND NOT list_contains(list_transform(x, lambda c: coalesce(isfinite(c), false)), false) AND list_aggregate(list_transform(x, lambda c: abs(c)), 'max') > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+r(vec_id, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.b, r.seen FROM r JOIN e ON r.vec_id = e.a WHERE r.seen < e.b),
+c AS (SELECT vec_id, min(seen) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON v.vec_id = c.vec_id LEFT JOIN n ON v.vec_id = n.a
 """,
 }
