@@ -1,7 +1,7 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 1. Equal directions are one class; what follows sees one vector of each.
-2. A rotation of the centred, decorrelated vectors is learned on a bounded sample by iterative
+2. A rotation of the decorrelated vectors is learned on a bounded sample by iterative
    quantisation: signs of the rotated vectors are the codes, and the rotation is moved to where it is
    nearest to its signs. One rotation gives as many bits as a vector has components; more bits come
    from rotations that start elsewhere.
@@ -45,6 +45,8 @@ COSINE = 0.9
 RECALL = 0.98
 #: Vectors and bytes of them that rotations are learned on, at most, and lengths of vectors that have one; others take a random rotation.
 SAMPLE, SAMPLE_BYTES, FITTED_LENGTHS = 20_000, 64 << 20, 4
+#: Vectors of the sample whose pairs are all looked at, the share of links among them to be found, and a sample's least size to be centred.
+CHECKED, ENOUGH, LEAST_CENTRED = 1000, 0.95, 256
 #: Rounds of the quantisation.
 ROUNDS = 30
 #: Bits by which substrings are shorter than log2(vectors), and their least and greatest length.
@@ -88,14 +90,15 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def quantisation(x: np.ndarray, rotations: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The mean, and a matrix whose columns give the bits: ``rotations`` times as many as a vector has components."""
-    mean = x.mean(0)
-    _, axes = np.linalg.eigh(np.cov(x - mean, rowvar=False).reshape(x.shape[1], -1) if len(x) > 1 else np.eye(x.shape[1]))
+def quantisation(x: np.ndarray, rotations: int, centred: bool, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The centre, and a matrix whose columns give the bits: ``rotations`` times as many as a vector has components."""
+    d = x.shape[1]
+    mean = x.mean(0) if centred else np.zeros(d)
+    _, axes = np.linalg.eigh((x - mean).T @ (x - mean))
     v = (x - mean) @ axes
     out = []
     for i in range(rotations):
-        r = np.linalg.qr(np.random.default_rng([seed, i]).standard_normal((x.shape[1], x.shape[1])))[0]
+        r = np.linalg.qr(np.random.default_rng([seed, i]).standard_normal((d, d)))[0]
         for _ in range(ROUNDS):
             left, _, right = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
             r = (left @ right).T
@@ -103,6 +106,11 @@ def quantisation(x: np.ndarray, rotations: int, seed: int = 7) -> tuple[np.ndarr
     return mean, np.concatenate(out, axis=1)
 
 
+def random_rotations(d: int, rotations: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng([11, d])
+    return np.zeros(d), np.concatenate([np.linalg.qr(draw.standard_normal((d, d)))[0] for _ in range(rotations)], axis=1)
+
+
 class Codes:
     """What the tasks need to encode a vector: number and length of substrings, and a matrix for each fitted length."""
 
@@ -121,12 +129,30 @@ class Codes:
         return self.fitted[length]
 
     def fit(self, length: int, sample: np.ndarray | None) -> None:
+        """Learn the bits for vectors of a length, or draw them at random without a sample.
+
+        Centring balances the bits, but parts vectors that all lie in one narrow cone; so what is learned is held
+        against all pairs of ``CHECKED`` vectors of the sample, and the first of three ways that finds enough is taken:
+        centred, not centred, random rotations (whose recall is the one that the number of tables is made for).
+        """
         rotations = -(-self.bits * self.tables // length)
         if sample is None:
-            draw = np.random.default_rng([11, length])
-            self.fitted[length] = np.zeros(length), np.concatenate([np.linalg.qr(draw.standard_normal((length, length)))[0] for _ in range(rotations)], axis=1)
-        else:
-            self.fitted[length] = quantisation(sample, rotations)
+            self.fitted[length] = random_rotations(length, rotations)
+            return
+        checked = sample[:CHECKED]
+        p, q = np.nonzero(np.triu(checked @ checked.T >= math.cos(self.angle), 1))
+        tried = []
+        for way in (True, False, None):
+            if way and len(sample) < LEAST_CENTRED:
+                continue
+            self.fitted[length] = random_rotations(length, rotations) if way is None else quantisation(sample, rotations, way)
+            keys, first = self.encode(checked)
+            near = np.bitwise_count((first[p] ^ first[q]).view(np.uint64)).sum(1) <= self.distance
+            found = float(((keys[p] == keys[q]).any(1) & near).mean()) if len(p) else 1.0
+            tried.append((found, self.fitted[length]))
+            if found >= ENOUGH:
+                return
+        self.fitted[length] = max(tried, key=lambda t: t[0])[1]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tables) substrings of each vector of one length, and its first bits as two numbers."""
