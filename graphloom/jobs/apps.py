@@ -70,8 +70,6 @@ class UnzipSettings:
     skip: tuple[str, ...] = ()
     balance: bool = True
     swap: bool = True
-    #: Candidates of a junction beyond which it is searched greedily.
-    exhaustive_up_to: float = deconvolve.EXHAUSTIVE
     flow_eps: float = 1e-6
     flow_iter: int = 1000
     if_not_converged: str = "error"
@@ -83,7 +81,7 @@ def _flows(spark: SparkSession, graph: AssemblyGraph, s: UnzipSettings) -> DataF
 
 def _solved(spark: SparkSession, problems: DataFrame, s: UnzipSettings) -> tuple[DataFrame, DataFrame]:
     """All decisions, written out, and those that pass the gates."""
-    solved = scratch.keep(spark, deconvolve.solve(spark, problems, s.model, s.score, s.balance, s.swap, s.exhaustive_up_to), "solved")
+    solved = scratch.keep(spark, deconvolve.solve(spark, problems, s.model, s.score, s.balance, s.swap), "solved")
     return solved, deconvolve.gated(solved, s.margin, s.relative, s.absolute, s.completeness, s.excess)
 
 

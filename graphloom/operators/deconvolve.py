@@ -1,8 +1,8 @@
 """Which edge into a junction goes on as which edge out of it.
 
-A junction's candidates are rows: a block of some of them is what a task fits, by a small numpy helper,
-so that one junction with many candidates is spread over the cluster. The best candidate and the
-second best are aggregates over blocks.
+A junction's candidates are searched by branch and bound (``branch``). The first choice of the search makes
+rows of work, so that one junction with many candidates is spread over the cluster; the best candidate
+and the second best are aggregates over them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..model import AssemblyGraph
-from .models import MODELS, Model
+from .branch import Search
+from .models import MODELS, Model, criterion
 from .topology import blackbox_vertices, degrees, self_loops
 
 Pathset = tuple[tuple[int, int], ...]
@@ -192,16 +193,18 @@ class Problem:
 SOLVED = """junction long, score_margin double, converged boolean, completeness double, excess_paths int, relative_stderr array<array<double>>, absolute_stderr array<array<double>>,
 left array<long>, right array<long>, path_depth array<array<double>>, loglik double, num_params int, rmse double, mae double"""
 
-#: Candidates that one row of work has, and candidates of a junction up to which all are fitted.
-BLOCK, EXHAUSTIVE = 64, 1_000_000
+#: Candidates that one row of work has, and rows of work that are dealt out together.
+BLOCK, DEALT = 64, 4096
 
 
-def solve(spark: SparkSession, found: DataFrame, model: str = "Default", score: str = "bic", balance: bool = True, swap: bool = True, exhaustive_up_to: float = EXHAUSTIVE, **settings) -> DataFrame:
-    """The decision for each problem, by all minimal pathsets of a junction.
+def solve(spark: SparkSession, found: DataFrame, model: str = "Default", score: str = "bic", balance: bool = True, swap: bool = True, **settings) -> DataFrame:
+    """The decision for each problem: the best of all minimal pathsets, and its margin to the second best.
 
-    Junctions with more candidates than ``exhaustive_up_to`` are searched greedily instead, as no machine
-    fits, say, the 10**13 candidates of 15 edges by 15.
+    Both are exact, by branch and bound; a junction of many candidates is as many rows of work as its larger edge has
+    partners. A model that is fitted to all edges at once has no bound: its candidates are fitted one by one, in blocks.
+    Candidates of equal scores are told apart by the order of the search, which is the same in every run.
     """
+    separable = MODELS[model](**settings).separable
 
     def top_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fitted = MODELS[model](**settings)
@@ -210,16 +213,15 @@ def solve(spark: SparkSession, found: DataFrame, model: str = "Default", score:
             for r in batch.to_dict("records"):
                 p = Problem(r, balance, swap)
                 n, m = map(len, p.names)
-                if r["block"] < 0:
-                    paths, best, margin = best_of(greedy(*p.sides, fitted, score))
-                    rows.append((r["junction"], best, -1, best - margin if math.isfinite(margin) else -math.inf, [list(x) for x in paths]))
-                    continue
                 y = np.concatenate(p.sides)
-                scores = [(_scored(y, nth_pathset(i, n, m), n, m, fitted, score), -i) for i in range(int(r["block"]) * BLOCK, min((int(r["block"]) + 1) * BLOCK, int(r["candidates"])))]
-                scores.sort(reverse=True)
-                best, at = scores[0]
-                rows.append((r["junction"], best, -at, scores[1][0] if len(scores) > 1 else -math.inf, [list(x) for x in nth_pathset(-at, n, m)]))
-            yield pd.DataFrame(rows, columns=["junction", "best", "index", "second", "paths"])
+                if separable:
+                    k = fitted.n_params(max(n, m), y.shape[1])
+                    top = [(criterion(score, ll, k, y.size), paths) for ll, paths in Search(*p.sides, fitted).run(None if r["work"] < 0 else int(r["work"]))]
+                else:
+                    some = range(int(r["work"]) * BLOCK, min((int(r["work"]) + 1) * BLOCK, int(r["candidates"])))
+                    top = sorted(((_scored(y, c, n, m, fitted, score), c) for c in (nth_pathset(i, n, m) for i in some)), key=lambda t: -t[0])[:2]
+                rows += [(r["junction"], float(-math.inf if math.isnan(v) else v), [list(x) for x in c]) for v, c in top]
+            yield pd.DataFrame(rows, columns=["junction", "value", "paths"])
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fitted = MODELS[model](**settings)
@@ -233,12 +235,18 @@ def solve(spark: SparkSession, found: DataFrame, model: str = "Default", score:
                 yield pd.DataFrame(rows)
 
     sized = found.withColumn("candidates", n_minimal_pathsets(F.size("in_nb"), F.size("out_nb")))
-    blocks = F.when(F.col("candidates") <= exhaustive_up_to, F.sequence(F.lit(0).cast("long"), F.floor((F.col("candidates") - 1) / BLOCK))).otherwise(F.array(F.lit(-1).cast("long")))
-    work = sized.withColumn("block", F.explode(blocks)).repartition("junction", "block")
-    fits = scratch.keep(spark, work.mapInPandas(top_two, "junction long, best double, index long, second double, paths array<array<int>>"), "fits")
-    top = fits.groupBy("junction").agg(F.max(F.struct("best", -F.col("index"), "paths")).alias("top")).select("junction", F.col("top.best").alias("best"), F.col("top.paths").alias("paths"), (-F.col("top.col2")).alias("index"))
-    second = fits.join(top.select("junction", F.col("index").alias("chosen")), "junction").groupBy("junction").agg(F.max(F.when(F.col("index") == F.col("chosen"), F.col("second")).otherwise(F.col("best"))).alias("second"))
-    return found.join(top.drop("index"), "junction").join(second, "junction").mapInPandas(decide, SOLVED)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    if separable:
+        work = sized.withColumn("work", F.explode(F.when(F.col("candidates") <= BLOCK, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.least(F.size("in_nb"), F.size("out_nb")).cast("long") - 1))))
+    else:  # in two steps, so that no row ever holds a list of all blocks
+        blocks = F.ceil(F.col("candidates") / BLOCK)
+        work = sized.withColumn("_some", upto(F.ceil(blocks / DEALT))).withColumn("work", F.explode(F.sequence(F.col("_some") * DEALT, F.least((F.col("_some") + 1) * DEALT, blocks.cast("long")) - 1))).drop("_some")
+    work = work.repartition("junction", "work")
+    fits = scratch.keep(spark, work.mapInPandas(top_two, "junction long, value double, paths array<array<int>>"), "fits").distinct()
+    # two rows of a row of work at most reach a junction's aggregate, whose state is one struct
+    top = fits.groupBy("junction").agg(F.max(F.struct("value", "paths")).alias("top")).select("junction", F.col("top.value").alias("best"), F.col("top.paths").alias("paths"))
+    second = fits.join(top.withColumnRenamed("paths", "chosen"), "junction").where(F.col("paths") != F.col("chosen")).groupBy("junction").agg(F.max("value").alias("second"))
+    return found.join(top, "junction").join(second, "junction", "left").fillna({"second": -math.inf}).mapInPandas(decide, SOLVED)
 
 
 def identifiable(relative: float, absolute: float) -> Column:

@@ -39,16 +39,19 @@ class Fit:
     stderr: np.ndarray
 
     def score(self, name: str = "bic") -> float:
-        """The negative criterion; higher is better. The BIC's penalty is 2 k ln n."""
-        k, n = self.n_params, self.n_observations
-        aic = -2 * self.loglik + 2 * k
-        if name == "aic":
-            return -aic
-        if name == "bic":
-            return -(-2 * self.loglik + 2 * k * math.log(n))
-        if name == "aicc":
-            return -(aic + (2 * k * k + 2 * k) / (n - k - 1)) if n != k + 1 else -math.inf
-        raise ValueError(f"no such score: {name}")
+        return criterion(name, self.loglik, self.n_params, self.n_observations)
+
+
+def criterion(name: str, loglik: float, k: int, n: int) -> float:
+    """The negative criterion for k parameters and n observations; higher is better. The BIC's penalty is 2 k ln n."""
+    aic = -2 * loglik + 2 * k
+    if name == "aic":
+        return -aic
+    if name == "bic":
+        return -(-2 * loglik + 2 * k * math.log(n))
+    if name == "aicc":
+        return -(aic + (2 * k * k + 2 * k) / (n - k - 1)) if n != k + 1 else -math.inf
+    raise ValueError(f"no such score: {name}")
 
 
 def damped_fit(y: np.ndarray, x: np.ndarray, link: Callable, slope: Callable, value: Callable, derivative: Callable, loss: Callable, weight: Callable, max_iter: int) -> tuple[np.ndarray, int]:
@@ -88,7 +91,13 @@ def damped_fit(y: np.ndarray, x: np.ndarray, link: Callable, slope: Callable, va
 
 
 class Model:
-    """Least squares with beta = softplus(t), and what subclasses change in it."""
+    """Least squares with beta = softplus(t), and what subclasses change in it.
+
+    Where ``separable``, paths that share no edge are fitted apart, and the likelihood is ``loglik_of`` what ``statistic``
+    gives for each edge; where ``additive``, of its sums over edges.
+    """
+
+    separable, additive = True, True
 
     def __init__(self, max_iter: int = 10_000) -> None:
         self.max_iter = max_iter
@@ -122,6 +131,19 @@ class Model:
         """Second derivative of -logpdf by mu."""
         return np.broadcast_to(1 / scale**2, mu.shape)
 
+    def statistic(self, y: np.ndarray, mu: np.ndarray) -> np.ndarray:
+        return (self.value(y) - self.value(mu)) ** 2
+
+    def loglik_of(self, rest: np.ndarray, n: int) -> np.ndarray:
+        """Likelihoods of n edges from nodes x edges x samples of the statistic; edges that are missing have none."""
+        total = rest.sum(-2)
+        square = np.maximum(total / n, FLOOR**2)
+        return (-total / square / 2 - n * (np.log(square) + LOG_2PI) / 2).sum(-1)
+
+    def least(self, sums: np.ndarray, sizes: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """No more than the sums of ``statistic`` of groups of so many edges with such sums, and one edge against them."""
+        return (sums - short) ** 2 / (sizes + 1)
+
     def betas(self, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, bool]:
         found = [damped_fit(y[:, s], x, self.link, self.slope, self.value, self.derivative, self.loss, self.weight, self.max_iter) for s in range(y.shape[1])]
         return np.stack([self.link(t) for t, _ in found], axis=1), all(n < self.max_iter for _, n in found)
@@ -156,6 +178,11 @@ class NormalPooled(Model):
     def scales(self, y, mu):
         return np.full((1, y.shape[1]), max(math.sqrt(np.mean((y - mu) ** 2)), FLOOR))
 
+    def loglik_of(self, rest, n):
+        total, n = rest.sum((-2, -1)), n * rest.shape[-1]
+        square = np.maximum(total / n, FLOOR**2)
+        return -total / square / 2 - n * (np.log(square) + LOG_2PI) / 2
+
     def n_params(self, paths, samples):
         return paths * samples + 1
 
@@ -179,6 +206,13 @@ class OffsetLogNormal(Model):
     def derivative(self, mu):
         return 1 / np.maximum(mu + self.alpha, 1e-300)
 
+    def least(self, sums, sizes, short):
+        """The square of the least residual, if all edges of a group share it, that closes the gap between both sides."""
+        a, own = self.alpha, short + self.alpha
+        top, off = np.maximum(sums + sizes * a, 1e-300), (sizes - 1) * a
+        root = np.sqrt(off**2 + 4 * top * own)
+        return np.log(np.where(top - off > own, (root - off) / (2 * own), (root + off) / (2 * top))) ** 2
+
     def curvature(self, y, mu, scale):
         r = self.value(y) - self.value(mu)
         return (1 + r) / (mu + self.alpha) ** 2 / scale**2
@@ -196,6 +230,17 @@ class Laplace(Model):
     def scales(self, y, mu):
         return np.maximum(np.mean(np.abs(y - mu), axis=0, keepdims=True), FLOOR)
 
+    def statistic(self, y, mu):
+        return np.abs(y - mu)
+
+    def loglik_of(self, rest, n):
+        total = rest.sum(-2)
+        scale = np.maximum(total / n, FLOOR)
+        return (-total / scale - n * np.log(2 * scale)).sum(-1)
+
+    def least(self, sums, sizes, short):
+        return np.abs(sums - short)
+
     def logpdf(self, y, mu, scale):
         return -np.abs(y - mu) / scale - np.log(2 * scale)
 
@@ -207,6 +252,11 @@ class LaplacePooled(Laplace):
     def scales(self, y, mu):
         return np.full((1, y.shape[1]), max(np.mean(np.abs(y - mu)), FLOOR))
 
+    def loglik_of(self, rest, n):
+        total, n = rest.sum((-2, -1)), n * rest.shape[-1]
+        scale = np.maximum(total / n, FLOOR)
+        return -total / scale - n * np.log(2 * scale)
+
     def n_params(self, paths, samples):
         return paths * samples + 1
 
@@ -214,16 +264,28 @@ class LaplacePooled(Laplace):
 class StudentsT(Model):
     """Least squares betas; then t noise whose scale maximises the likelihood."""
 
+    additive = False
+
     def __init__(self, df: float = 5.0, max_iter: int = 10_000) -> None:
         super().__init__(max_iter)
         self.df = df
 
     def scales(self, y, mu):
-        """Fixed point of the likelihood's scale equation."""
-        square = (y - mu) ** 2
-        s = np.maximum(np.mean(square, axis=0, keepdims=True), FLOOR**2)
+        return self._scale_of((y - mu) ** 2, len(y))
+
+    def loglik_of(self, rest, n):
+        scale = self._scale_of(rest, n)
+        missing = (n - rest.shape[-2]) * (self.logpdf(0, 0, scale))
+        return (self.logpdf(np.sqrt(rest), 0, scale).sum(-2, keepdims=True) + missing).sum((-2, -1))
+
+    def least(self, sums, sizes, short):
+        return np.zeros(np.broadcast_shapes(sums.shape, short.shape))
+
+    def _scale_of(self, square: np.ndarray, n: int) -> np.ndarray:
+        """Fixed point of the likelihood's scale equation for n edges; those that are missing have no residual."""
+        s = np.maximum(square.sum(-2, keepdims=True) / n, FLOOR**2)
         for _ in range(500):
-            new = np.maximum(np.mean((self.df + 1) * square / (self.df + square / s), axis=0, keepdims=True), FLOOR**2)
+            new = np.maximum(((self.df + 1) * square / (self.df + square / s)).sum(-2, keepdims=True) / n, FLOOR**2)
             if np.allclose(new, s, rtol=1e-12, atol=0):
                 break
             s = new
@@ -256,6 +318,9 @@ class Huber(Model):
     def scales(self, y, mu):
         return np.ones((1, y.shape[1]))
 
+    def loglik_of(self, rest, n):
+        return (-rest.sum(-2) / 2 - n * LOG_2PI / 2).sum(-1)
+
     def n_params(self, paths, samples):
         return paths * samples
 
@@ -263,9 +328,11 @@ class Huber(Model):
 class NormalScaled2(Model):
     """Normal noise whose scale grows with the mean: s0 + s1 mu**alpha.
 
-    Betas and scales are fitted in turns, ten times, the betas by scoring steps.
+    Betas and scales are fitted in turns, ten times, the betas by scoring steps. All edges share the scales.
     """
 
+    separable = False
+
     def __init__(self, alpha: float = 1.0, max_iter: int = 10_000) -> None:
         super().__init__(max_iter)
         self.alpha = alpha
