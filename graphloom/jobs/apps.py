@@ -177,11 +177,19 @@ def contigs(graph: AssemblyGraph, unitigs: DataFrame, min_depth: float = 0.0, de
     return results.assemble(named.select("vid", "segments"), unitigs, graph.k).join(named.select("vid", "name"), "vid").select("name", "bases")
 
 
-def dump(spark: SparkSession, graph: AssemblyGraph, unitigs: DataFrame, folder: str) -> None:
-    """Contigs as FASTA, depths and segments as tab-separated tables."""
-    fasta.to_fasta(contigs(graph, unitigs)).write.mode("overwrite").text(f"{folder}/contigs.fasta")
-    layout.write_tsv(results.depth_table(graph.vertices, graph.samples), f"{folder}/depth.tsv")
-    layout.write_tsv(graph.vertices.select("vid", F.concat_ws(",", "segments")), f"{folder}/segments.tsv", header=False)
+def dump(graph: AssemblyGraph, unitigs: DataFrame, folder: str) -> None:
+    """Contigs as FASTA, depths and segments as tab-separated tables, the longest vertices first (then the least).
+
+    Each is sorted by ranges, so the folder's files follow each other and no task has all vertices.
+    """
+    longest_first = lambda df, n: df.orderBy(F.desc(n), *[c for c in ("vid", "name") if c in df.columns])
+    bases = contigs(graph, unitigs)
+    ordered = longest_first(bases.withColumn("_n", F.length("bases")), "_n").drop("_n")
+    fasta.to_fasta(ordered).write.mode("overwrite").text(f"{folder}/contigs.fasta")
+    lengths = graph.vertices.select("vid", F.col("length").alias("_n"))
+    depth = results.depth_table(graph.vertices, graph.samples).join(lengths, "vid")
+    layout.write_tsv(longest_first(depth, "_n").drop("_n"), f"{folder}/depth.tsv")
+    layout.write_tsv(longest_first(graph.vertices, "length").select("vid", F.concat_ws(",", "segments")), f"{folder}/segments.tsv", header=False)
 
 
 def info(graph: AssemblyGraph) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.sequence import canonical_segments, reverse_complement_segments
 from ..model import AssemblyGraph
 from .topology import degrees, neighbors
@@ -37,23 +38,29 @@ def segment_depth(vertices: DataFrame) -> DataFrame:
     return each.select("segment", F.posexplode("depth").alias("sample", "d")).groupBy("segment", "sample").agg(F.sum("d").alias("depth"))
 
 
+#: Parts that are put together at once.
+PARTS = 4096
+
+
 def assemble(vertices: DataFrame, unitigs: DataFrame, k: int) -> DataFrame:
     """(vid, bases) of the vertices' segments in a row, overlapping by k - 1 bases.
 
-    Segments name a unitig and a strand; an overlap that does not fit fails. k is 2 or more.
+    Segments name a unitig and a strand; an overlap that does not fit fails. k is 2 or more. Each part is checked
+    against the end of the one before it by a join of positions; then blocks of positions are put together, and then
+    blocks of blocks, so the work is in proportion to the bases.
     """
+    overlap = k - 1
     each = vertices.select("vid", F.posexplode("segments").alias("pos", "segment"))
     named = each.withColumn("unitig", F.substr("segment", F.lit(1), F.length("segment") - 1)).join(unitigs.select("unitig", "bases"), "unitig")
     strand = F.substr("segment", F.length("segment"))
-    read = named.withColumn("bases", F.when(strand == "+", F.col("bases")).otherwise(F.translate(F.reverse("bases"), "ACGT", "TGCA")))
-    parts = read.groupBy("vid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "bases"))), lambda x: x["bases"]).alias("parts"))
-    overlap = k - 1
-
-    def joined(so_far, part):
-        fits = F.substr(so_far, F.length(so_far) - (overlap - 1)) == F.substr(part, F.lit(1), F.lit(overlap))
-        return F.when(fits, F.concat(so_far, F.substr(part, F.lit(overlap + 1)))).otherwise(F.raise_error(F.lit("segments do not overlap")))
-
-    return parts.select("vid", F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.element_at("parts", 1), joined).alias("bases"))
+    read = named.select("vid", "pos", F.when(strand == "+", F.col("bases")).otherwise(F.translate(F.reverse("bases"), "ACGT", "TGCA")).alias("bases"))
+    ends = read.select("vid", (F.col("pos") + 1).alias("pos"), F.substr("bases", F.length("bases") - (overlap - 1)).alias("end"))
+    fits = F.col("end") == F.substr("bases", F.lit(1), F.lit(overlap))
+    part = F.when(F.col("pos") == 0, F.col("bases")).when(fits, F.substr("bases", F.lit(overlap + 1))).otherwise(F.raise_error(F.lit("segments do not overlap")))
+    parts = read.join(ends, ["vid", "pos"], "left").select("vid", "pos", part.alias("part"))
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias("part")
+    blocks = parts.groupBy("vid", F.floor(F.col("pos") / PARTS).alias("block")).agg(in_order).withColumnRenamed("block", "pos")
+    return blocks.groupBy("vid").agg(in_order).select("vid", F.col("part").alias("bases"))
 
 
 def deduplicate(data: DataFrame) -> DataFrame:
@@ -133,3 +140,14 @@ def summary(graph: AssemblyGraph) -> DataFrame:
 def normalized_rmse(df: DataFrame, observed: str, predicted: str) -> DataFrame:
     """The root of the summed squared differences over the sum of what was observed."""
     return df.agg((F.sqrt(F.sum(F.pow(F.col(observed) - F.col(predicted), 2))) / F.sum(observed)).alias("nrmse"))
+
+
+def length_curve(spark: SparkSession, graph: AssemblyGraph) -> DataFrame:
+    """(vid, length, weight, cumulated): from the longest vertex on, the sum so far of length times total depth.
+
+    A distributed prefix sum: vertices are dealt out by ranges of the order, and what stands before a range is one
+    number, so no task has all vertices. Vertices of equal length follow by id.
+    """
+    weight = F.col("length") * F.aggregate("depth", F.lit(0.0), lambda a, x: a + x)
+    rows = graph.vertices.select("vid", "length", weight.alias("weight"), (-F.col("length")).alias("_down"))
+    return scratch.cumulated(spark, rows, ["_down", "vid"], "weight", "cumulated").drop("_down")

@@ -659,6 +659,20 @@ def rs_05_assemble_segments(spark, sf_dir):
     return results.assemble(u.select(F.col("unitig").alias("vid"), F.array(F.concat("unitig", F.lit("+"))).alias("segments")), u, d.K)
 
 
+_SOME = """pt AS (SELECT doc_id, i, bases, last, CAST(unitig AS BIGINT) AS vid, lead(bases, 1) OVER w AS b, lead(bases, 2) OVER w AS c FROM uni WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ps AS (SELECT vid, bases || coalesce(b[15:], '') || coalesce(c[15:], '') AS bases FROM pt)"""
+
+
+@query("SELECT vid, bases FROM ps UNION ALL SELECT -vid - 1, reverse(translate(bases, 'ACGT', 'TGCA')) FROM ps", d.SQL_DNA, d.SQL_UNITIGS, _SOME)
+def rs_05_assemble_paths(spark, sf_dir):
+    """Each unitig and the two that follow it, as far as there are any, on both strands."""
+    u = d.unitigs(spark, sf_dir)
+    here = F.col("unitig").cast("long")
+    forward = u.select(here.alias("vid"), F.transform(F.sequence(here, here + F.least(F.lit(2), F.col("last") - F.col("i"))), lambda n: F.concat(n.cast("string"), F.lit("+"))).alias("segments"))
+    backward = forward.select((-F.col("vid") - 1).alias("vid"), sq.reverse_complement_segments(F.col("segments")).alias("segments"))
+    return results.assemble(forward.union(backward), u, d.K)
+
+
 @query("SELECT arg_max(vid, struct_pack(t := total_depth, v := -vid)) AS vid, round(sum(total_depth), 4) AS total_depth, array_to_string(segments, ',') AS segments, count(*) AS n FROM vd GROUP BY segments", *_SEG)
 def rs_06_deduplicate(spark, sf_dir):
     out = results.deduplicate(results.vertex_data(d.segment_graph(spark, sf_dir)))
@@ -711,6 +725,13 @@ def rs_14_where_true(spark, sf_dir):
     return results.where_true(v, "vid", "deep")
 
 
+@query("SELECT vid, length, CAST(round(weight * 1000) AS BIGINT) AS weight, CAST(round(1000 * sum(weight) OVER (ORDER BY length DESC, vid)) AS BIGINT) AS cumulated FROM (SELECT vid, length, length * list_sum(depth) AS weight FROM vx)", EVENTS)
+def rs_15_length_curve(spark, sf_dir):
+    """Length against cumulated length times depth (in thousandths), from the longest vertex on."""
+    curve = results.length_curve(spark, d.event_graph(spark, sf_dir))
+    return curve.select("vid", "length", *[F.round(F.col(c) * 1000).cast("long").alias(c) for c in ("weight", "cumulated")])
+
+
 @query("SELECT count(*) AS n FROM vx", EVENTS)
 def st_01_num_vertices(spark, sf_dir):
     return d.event_graph(spark, sf_dir).vertices.agg(F.count("*").alias("n"))
@@ -846,6 +867,28 @@ def ap_04_contig_names(spark, sf_dir):
     return results.dereplicate(deep).select(F.concat_ws("_", "vertices").alias("name"), F.concat_ws(",", "canonical_segments").alias("segments"))
 
 
+_DUMP = """dp AS (SELECT doc_id AS vid, CAST(sum(i) AS BIGINT) AS length, string_agg(unitig || '+', ',' ORDER BY i) AS segments, round(0.5 + doc_id % 4, 1) AS depth, any_value(dna.bases) AS bases FROM uni JOIN dna USING (doc_id) GROUP BY doc_id)"""
+
+
+@query(
+    """SELECT 'contigs.fasta' AS file, '>' || vid AS line FROM dp UNION ALL SELECT 'contigs.fasta', bases FROM dp UNION ALL SELECT 'depth.tsv', vid || chr(9) || depth FROM dp UNION ALL SELECT 'segments.tsv', vid || chr(9) || segments FROM dp""",
+    d.SQL_DNA, d.SQL_UNITIGS, _DUMP,
+)
+def ap_04_dump(spark, sf_dir):
+    """All three files that a dump writes, line by line."""
+    u = d.unitigs(spark, sf_dir).withColumn("segment", F.concat("unitig", F.lit("+")))
+    paths = u.groupBy(F.col("doc_id").alias("vid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "segment"))), lambda x: x["segment"]).alias("segments"), F.sum("i").alias("length"))
+    vertices = paths.withColumn("depth", F.array(0.5 + F.col("vid") % 4))
+    graph = AssemblyGraph(vertices, vertices.select(F.col("vid").alias("src"), F.col("vid").alias("dst")).limit(0), d.K, ("s",))
+    folder = scratch.new_path(spark, "dump")
+    apps.dump(graph, u.select("unitig", "bases"), folder)
+    depth = spark.read.csv(f"{folder}/depth.tsv", sep="\t", header=True)  # each part has a header
+    lines = depth.select(F.lit("depth.tsv").alias("file"), F.concat_ws("\t", "vid", "s").alias("line"))
+    for name in ("contigs.fasta", "segments.tsv"):
+        lines = lines.union(spark.read.text(f"{folder}/{name}").select(F.lit(name), "value"))
+    return lines
+
+
 @query("SELECT CAST(15 AS INTEGER) AS kmer_length, CAST(4 AS INTEGER) AS num_samples, CAST(total_length AS BIGINT) AS total_length, num_vertices, (SELECT count(*) FROM ed) AS num_edges, round(total_kmers, 2) AS total_kmers, round(dw, 6) AS depth_weighted_mean_tig_length FROM sm", EVENTS, _SUMMARY)
 def ap_05_info_job(spark, sf_dir):
     s = apps.info(d.event_graph(spark, sf_dir))

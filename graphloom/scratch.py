@@ -68,14 +68,29 @@ class Rounds:
         self.paths.clear()
 
 
-def numbered(spark: SparkSession, df: DataFrame, order: list[str], column: str, name: str = "numbered") -> DataFrame:
-    """``df`` with ``column`` 0, 1, ... in order; only one count per partition reaches the driver."""
+def _dealt(spark: SparkSession, df: DataFrame, order: list[str], weight, name: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` by ranges of an order, written with the range's number, and each range's sum of ``weight`` over those before it."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     dealt = keep(spark, dealt, name)
     before, parts = 0, []
-    for r in dealt.groupBy("_part").count().orderBy("_part").collect():
+    for r in dealt.groupBy("_part").agg(F.sum(weight).alias("sum")).orderBy("_part").collect():  # a row a range
         parts.append((r["_part"], before))
-        before += r["count"]
-    offsets = F.broadcast(spark.createDataFrame(parts, "_part int, _before long"))
+        before += r["sum"] or 0
+    kind = dealt.select(F.sum(weight).alias("sum")).schema["sum"].dataType.simpleString()
+    if kind == "double":
+        parts = [(p, float(b)) for p, b in parts]
+    return dealt, F.broadcast(spark.createDataFrame(parts, f"_part int, _before {kind}"))
+
+
+def numbered(spark: SparkSession, df: DataFrame, order: list[str], column: str, name: str = "numbered") -> DataFrame:
+    """``df`` with ``column`` 0, 1, ... in order; only one count per partition reaches the driver."""
+    dealt, offsets = _dealt(spark, df, order, F.lit(1), name)
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return dealt.withColumn("_within", within).join(offsets, "_part").withColumn(column, F.col("_before") + F.col("_within") - 1).drop("_part", "_before", "_within")
+
+
+def cumulated(spark: SparkSession, df: DataFrame, order: list[str], weight: str, column: str, name: str = "cumulated") -> DataFrame:
+    """``df`` with ``column``, the sum of ``weight`` over the row and all before it in order; only one sum per partition reaches the driver."""
+    dealt, offsets = _dealt(spark, df, order, F.col(weight), name)
+    within = F.sum(weight).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_within", within).join(offsets, "_part").withColumn(column, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")

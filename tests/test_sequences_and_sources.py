@@ -1,5 +1,8 @@
 """Sequences, linked FASTA and k-mer depths."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,7 +153,7 @@ def test_files_round_trip(spark, tmp_path):
     again = layout.checkpoint(spark, graph, str(tmp_path), 3)
     assert (again.k, again.samples) == (5, ("s",)) and again.vertices.orderBy("vid").collect() == v.collect()
     unitigs = spark.createDataFrame([("1", "AAAACCC"), ("2", "ACGTAA"), ("3", "ACGTTT")], "unitig string, bases string")
-    apps.dump(spark, graph, unitigs.where("unitig <> '2'").union(spark.createDataFrame([("2", "ACGTCC")], unitigs.schema)), f"{tmp_path}/out")
+    apps.dump(graph, unitigs.where("unitig <> '2'").union(spark.createDataFrame([("2", "ACGTCC")], unitigs.schema)), f"{tmp_path}/out")
     lines = [r["value"] for r in spark.read.text(f"{tmp_path}/out/contigs.fasta").collect()]
     assert ">0" in lines and "AAAACCC" in lines and "GGACGTTT" in lines
     (tmp_path / "names").write_text(" 1+ \n\n2-\n")
@@ -162,3 +165,48 @@ def test_assembly_checks_overlaps(spark):
     u = spark.createDataFrame([("1", "AACC"), ("2", "GGTT")], "unitig string, bases string")
     with pytest.raises(Exception, match="do not overlap"):
         results.assemble(v, u, 3).collect()
+
+
+def cut(bases, size, k):
+    """Stretches of a sequence that overlap by k - 1 bases."""
+    return [bases[i : i + size + k - 1] for i in range(0, len(bases) - k + 1, size)]
+
+
+def test_assembly_of_long_paths_takes_time_in_proportion(spark):
+    """A contig of 16,000 segments, of which some are read from the other strand."""
+    k, rng = 7, random.Random(5)
+    flip = str.maketrans("ACGT", "TGCA")
+    results.assemble(spark.createDataFrame([(0, ["1+"])], "vid long, segments array<string>"), spark.createDataFrame([("1", "AACCAAC")], "unitig string, bases string"), k).collect()
+    took = {}
+    for n in (2000, 16_000):
+        bases = "".join(rng.choices("ACGT", k=50 * n + k - 1))
+        parts = cut(bases, 50, k)
+        assert len(parts) == n
+        strands = [rng.choice("+-") for _ in parts]
+        u = spark.createDataFrame([(str(i), p if s == "+" else p.translate(flip)[::-1]) for i, (p, s) in enumerate(zip(parts, strands, strict=True))], "unitig string, bases string").repartition(4).cache()
+        v = spark.createDataFrame([(9, [f"{i}{s}" for i, s in enumerate(strands)])], "vid long, segments array<string>").cache()
+        u.count(), v.count()
+        began = time.perf_counter()
+        assert [tuple(r) for r in results.assemble(v, u, k).collect()] == [(9, bases)]
+        took[n] = time.perf_counter() - began
+    assert took[16_000] < 8 and took[16_000] < 16 * took[2000] + 2
+    wrong = v.select("vid", F.concat(F.slice("segments", 1, 10_000), F.slice("segments", 10_002, 6000)).alias("segments"))
+    with pytest.raises(Exception, match="do not overlap"):
+        results.assemble(wrong, u, k).collect()
+    missing = u.where("unitig <> '12000'")
+    with pytest.raises(Exception, match="do not overlap"):
+        results.assemble(v, missing, k).collect()
+
+
+def test_cumulated_lengths(spark):
+    from graphloom.model import AssemblyGraph
+
+    rng = random.Random(1)
+    rows = [(i, rng.randint(1, 30), [rng.randint(0, 9) / 2, 1.0]) for i in range(500)]
+    v = spark.createDataFrame(rows, "vid long, length long, depth array<double>").repartition(7)
+    got = sorted((r.asDict() for r in results.length_curve(spark, AssemblyGraph(v, None)).collect()), key=lambda r: (-r["length"], r["vid"]))
+    total = 0.0
+    for r, (vid, n, d) in zip(got, sorted(rows, key=lambda x: (-x[1], x[0])), strict=True):
+        total += n * sum(d)
+        assert r == {"vid": vid, "length": n, "weight": n * sum(d), "cumulated": pytest.approx(total)}
+    assert results.length_curve(spark, AssemblyGraph(v.limit(0), None)).collect() == []
