@@ -1,7 +1,7 @@
 """Flows along edges that explain the depths of vertices.
 
-State is long: one row per edge and sample. An iteration is two aggregates and two joins, so any
-size of graph is spread over the cluster; samples converge on their own.
+State is long: one row per edge and sample. Edges are dealt to blocks that do not depend on each other,
+which iterate in tasks; only the sums of squared corrections meet. Samples converge on their own.
 """
 
 from __future__ import annotations
@@ -9,11 +9,14 @@ from __future__ import annotations
 import math
 import warnings
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
 from ..model import AssemblyGraph
+from .topology import contracted
 
 
 def long_depths(vertices: DataFrame) -> DataFrame:
@@ -58,48 +61,141 @@ def _not_converged(what: str, how: str) -> None:
         warnings.warn(f"{what} did not converge", stacklevel=3)
 
 
-def estimate(spark: SparkSession, edges: DataFrame, lengths: DataFrame, depths: DataFrame, eps: float = 1e-6, max_iter: int = 1000, flow: DataFrame | None = None, if_not_converged: str = "warn") -> tuple[DataFrame, dict[int, list[float]]]:
+#: Rows (edge and sample) of a connected set that one task may hold, rows of a block, about, and rounds of the first pass.
+LARGE, BLOCK, PASS = 1 << 20, 1 << 17, 48
+
+
+def connected_sets(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(src, dst, set, size): edges whose flows depend on each other, however far.
+
+    A correction looks at the edges out of the same source and into the same target, not from one side of a vertex to its
+    other side; so sources and targets are apart, and the sets are far smaller than the graph's components.
+    """
+    ends = edges.select("src", "dst").distinct()
+    name = lambda c, side: F.struct(F.col(c).alias("vid"), F.lit(side).alias("side"))
+    pairs = scratch.keep(spark, ends.select("src", "dst", name("src", 0).alias("a"), name("dst", 1).alias("b")), "ends")
+    roots = contracted(spark, pairs.select("a", "b").union(pairs.select("b", "a")))
+    found = pairs.join(roots, pairs["a"] == roots["vid"]).select("src", "dst", F.xxhash64("root").alias("set"))  # sets of equal hashes are one, which is as right
+    sized = found.join(found.groupBy("set").agg(F.count("*").alias("size")), "set")
+    return scratch.keep(spark, sized.select("src", "dst", "set", "size"), "sets")
+
+
+def _in_rounds(rounds: int, upto: dict[int, int] | None):
+    """Corrections of one block, so many or as many as its sample has: rows of flows, and a row for each round's sum of squares."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        sample = int(block["sample"].iloc[0])
+        n = rounds if upto is None else upto[sample]
+        (i, sources), (j, targets) = (pd.factorize(block[c]) for c in ("src", "dst"))
+        d_src, d_dst, w, flow = (block[c].to_numpy() for c in ("d_src", "d_dst", "w_src", "flow"))
+        sums = np.zeros(n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for r in range(n):
+                out, into = np.bincount(i, flow, len(sources))[i], np.bincount(j, flow, len(targets))[j]
+                delta = (d_src - out) * np.where(out == 0, 1.0, flow / out) * w + (d_dst - into) * np.where(into == 0, 1.0, flow / into) * (1 - w)
+                sums[r] = delta @ delta
+                flow = np.maximum(flow + delta, 0.0)
+        state = block[["src", "dst", "sample", "set"]].assign(d_src=d_src, d_dst=d_dst, w_src=w, flow=flow, round=-1, square=0.0)
+        losses = pd.DataFrame({"sample": sample, "set": block["set"].iloc[0], "flow": 0.0, "round": np.arange(n), "square": sums})
+        return pd.concat([state, losses.astype({"sample": state["sample"].dtype})], ignore_index=True)[["src", "dst", "sample", "set", "d_src", "d_dst", "w_src", "flow", "round", "square"]]
+
+    return run
+
+
+class _Phase:
+    """Corrections with one weighting of the ends, sample by sample until its loss is small."""
+
+    def __init__(self, spark: SparkSession, state: DataFrame, total: dict[int, float], losses: dict[int, list[float]]) -> None:
+        self.spark, self.total, self.losses = spark, total, losses
+        self.live, self.ended = set(total), []
+        state = scratch.keep(spark, state, "state")
+        self.large = state.where(F.col("size") > LARGE).drop("size")
+        self.has_large = not self.large.isEmpty()
+        self.small = state.where(F.col("size") <= LARGE).drop("size")
+        cores = spark.sparkContext.defaultParallelism
+        self.blocks = max(1, -(-self.small.count() // BLOCK), cores // max(1, len(total)))
+
+    def block_rounds(self, state: DataFrame, rounds: int, upto: dict[int, int] | None = None) -> DataFrame:
+        kinds = dict(state.dtypes)
+        schema = f"src {kinds['src']}, dst {kinds['dst']}, sample {kinds['sample']}, set long, d_src double, d_dst double, w_src double, flow double, round int, square double"
+        dealt = state.groupBy("sample", F.pmod("set", F.lit(self.blocks)).alias("block"))
+        return scratch.keep(self.spark, dealt.applyInPandas(_in_rounds(rounds, upto), schema), "pass")
+
+    def loss(self, sample: int, square: float) -> float:
+        if not self.total[sample]:
+            return 0.0 if square == 0 else math.inf
+        return math.sqrt(square) / self.total[sample]
+
+    def go(self, eps: float, max_iter: int) -> bool:
+        """Whether all samples converged; their flows are then in ``ended``."""
+        done_rounds, rounds = 0, PASS
+        while self.live and done_rounds < max_iter:
+            n = min(rounds, max_iter - done_rounds)
+            after = self.block_rounds(self.small, n)
+            squares: dict[tuple[int, int], float] = {(r["sample"], r["round"]): r["s"] for r in after.where("round >= 0").groupBy("sample", "round").agg(F.sum("square").alias("s")).collect()}
+            stop: dict[int, int] = {}
+            walk = scratch.Rounds(self.spark, "flow")
+            for i in range(n):
+                if self.has_large:  # as a join and two aggregates a round, over all tasks
+                    moved = walk.keep(with_delta(self.large))
+                    for r in moved.groupBy("sample").agg(F.sum(F.col("delta") * F.col("delta")).alias("s")).collect():
+                        squares[r["sample"], i] = squares.get((r["sample"], i), 0.0) + r["s"]
+                    self.large = moved.withColumn("flow", F.greatest(F.col("flow") + F.col("delta"), F.lit(0.0))).drop("delta")
+                for sample in self.live - set(stop):
+                    if (sample, i) not in squares:  # a sample without edges
+                        stop[sample] = i
+                        continue
+                    loss = self.loss(sample, squares[sample, i])
+                    self.losses[sample].append(loss)
+                    if loss < eps or loss == 0:
+                        stop[sample] = i + 1
+                if self.has_large and (over := [s for s, r in stop.items() if r == i + 1]):
+                    self.end(self.large.where(F.col("sample").isin(over)))
+                    self.large = self.large.where(~F.col("sample").isin(over))
+                if len(stop) == len(self.live):
+                    break
+            if self.has_large:
+                self.large = scratch.keep(self.spark, self.large, "large")
+                walk.end()
+            if stop:
+                self.end(self.block_rounds(self.small.where(F.col("sample").isin(list(stop))), n, stop).where("round < 0"))
+            self.live -= set(stop)
+            self.small = after.where("round < 0").drop("round", "square").where(F.col("sample").isin(list(self.live)))
+            done_rounds, rounds = done_rounds + n, rounds * 2
+        return not self.live
+
+    def end(self, state: DataFrame) -> None:
+        self.ended.append(scratch.keep(self.spark, state.select("src", "dst", "sample", "flow"), "flow"))
+
+    def flow(self) -> DataFrame:
+        out = self.small.select("src", "dst", "sample", "flow")
+        if self.has_large:
+            out = out.unionByName(self.large.select("src", "dst", "sample", "flow"))
+        for part in self.ended:
+            out = out.unionByName(part)
+        return out
+
+
+def estimate(spark: SparkSession, edges: DataFrame, lengths: DataFrame, depths: DataFrame, eps: float = 1e-6, max_iter: int = 1000, flow: DataFrame | None = None, if_not_converged: str = "warn", sets: DataFrame | None = None) -> tuple[DataFrame, dict[int, list[float]]]:
     """Flows (src, dst, sample, flow) and each sample's losses.
 
     First the ends of an edge count alike, then by length. A sample stops when its loss, the norm of
-    the corrections over the sum of its depths, is 0 (before the update) or below eps (after it). Each
-    round is written out and reads the one before; a sample that stops is put aside.
+    the corrections over the sum of its depths, is 0 or, with that correction made, below eps. Edges whose flows depend on
+    each other are in one block, which makes many rounds in a task; the loss is a sum over blocks and rounds, and a sample
+    that stopped within a pass makes its rounds up to there once more. Sets of edges too large for a task make
+    theirs one by one over the cluster. ``sets`` are the edges' ``connected_sets``, if they are known.
     """
     total = {r["sample"]: r["d"] for r in depths.groupBy("sample").agg(F.sum("depth").alias("d")).collect()}  # a row per sample
     losses: dict[int, list[float]] = {s: [] for s in total}
-    for alpha in (0.0, 1.0):
-        state = static_terms(edges, lengths, depths, alpha)
+    sets = connected_sets(spark, edges) if sets is None else sets
+    terms = scratch.keep(spark, static_terms(sets, lengths, depths, 1.0).join(sets, ["src", "dst"]), "terms")
+    for by_length in (False, True):
+        state = terms if by_length else terms.withColumn("w_src", F.lit(0.5))
         state = state.withColumn("flow", F.lit(1.0)) if flow is None else state.join(flow, ["src", "dst", "sample"])
-        rounds, ended = scratch.Rounds(spark, "flow"), []
-        state, live = rounds.keep(state), set(total)
-        for _ in range(max_iter):
-            moved = rounds.keep(with_delta(state))
-            sums = moved.groupBy("sample").agg(F.sum(F.col("delta") * F.col("delta")).alias("s")).collect()
-            done, still = set(live) - {r["sample"] for r in sums}, set()
-            for r in sums:
-                loss = math.sqrt(r["s"]) / total[r["sample"]] if total[r["sample"]] else (math.nan if r["s"] == 0 else math.inf)
-                if math.isnan(loss):
-                    loss = 0.0
-                losses[r["sample"]].append(loss)
-                if loss == 0:
-                    still.add(r["sample"])
-                if loss == 0 or loss < eps:
-                    done.add(r["sample"])
-            corrected = F.greatest(F.col("flow") + F.col("delta"), F.lit(0.0))
-            state = moved.withColumn("flow", F.when(F.col("sample").isin(list(still)), F.col("flow")).otherwise(corrected) if still else corrected).drop("delta")
-            live -= done
-            if not live:
-                break
-            if done:
-                ended.append(scratch.keep(spark, state.where(F.col("sample").isin(list(done))).select("src", "dst", "sample", "flow"), "flow"))
-                state = state.where(F.col("sample").isin(list(live)))
-        else:
+        phase = _Phase(spark, state, total, losses)
+        if not phase.go(eps, max_iter):
             _not_converged("flow", if_not_converged)
-        flow = state.select("src", "dst", "sample", "flow")
-        for part in ended:
-            flow = flow.unionByName(part)
-        flow = scratch.keep(spark, flow, "flow")
-        rounds.end()
+        flow = scratch.keep(spark, phase.flow(), "flow")
     return flow, losses
 
 
@@ -140,10 +236,10 @@ def flow_vectors(flow: DataFrame) -> DataFrame:
 def smooth(spark: SparkSession, graph: AssemblyGraph, eps: float = 1e-6, max_iter: int = 1000, flow_eps: float = 1e-6, flow_iter: int = 1000, if_not_converged: str = "warn") -> AssemblyGraph:
     """The graph with depths that flows explain: a fixpoint of flows and depths; pseudoflows stay at the first depths."""
     pseudo = scratch.keep(spark, pseudoflow(graph.vertices), "pseudo")
-    lengths = graph.vertices.select("vid", "length")
+    lengths, sets = graph.vertices.select("vid", "length"), connected_sets(spark, graph.edges)
     rounds, now = scratch.Rounds(spark, "depths"), graph.vertices.select("vid", "depth")
     for _ in range(max_iter):
-        flow, _ = estimate(spark, graph.edges, lengths, long_depths(now), flow_eps, flow_iter, if_not_converged=if_not_converged)
+        flow, _ = estimate(spark, graph.edges, lengths, long_depths(now), flow_eps, flow_iter, if_not_converged=if_not_converged, sets=sets)
         new = depth_from_flow(now, flow, pseudo).join(long_depths(now).withColumnRenamed("depth", "was"), ["vid", "sample"])
         both = rounds.keep(new)
         loss = [math.sqrt(r["s"]) / r["d"] if r["d"] else 0.0 for r in both.groupBy("sample").agg(F.sum(F.pow(F.col("depth") - F.col("was"), 2)).alias("s"), F.sum("was").alias("d")).collect()]

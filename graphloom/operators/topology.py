@@ -70,22 +70,41 @@ def neighbors(graph: AssemblyGraph) -> DataFrame:
     )
 
 
-def weak_components(spark: SparkSession, graph: AssemblyGraph) -> DataFrame:
-    """(vid, component): the least vertex reachable over edges in either direction.
+def contracted(spark: SparkSession, links: DataFrame, sizes: list[int] | None = None) -> DataFrame:
+    """(vid, root) for the ends of links (a, b), which stand in both directions: vertices with equal roots are connected.
 
-    Rounds of least neighbouring labels with pointer jumping, each written out.
+    Random contraction: each round a vertex goes to the least of itself and its neighbours in an order that is drawn anew, and
+    only links between different targets go on. In expectation a quarter of the vertices or more goes each
+    round, whatever the graph, so rounds are logarithmic; the table of links shrinks with them. Targets
+    are then followed back from the smallest table to the largest. ``sizes`` takes the links of each round.
     """
-    links = scratch.keep(spark, backlinked(graph.edges).where("src <> dst").distinct(), "links")
-    rounds = scratch.Rounds(spark, "labels")
-    labels = rounds.keep(graph.vertices.select("vid", F.col("vid").alias("component")))
-    while True:
-        near = links.join(labels, links["dst"] == labels["vid"]).groupBy("src").agg(F.min("component").alias("near"))
-        hooked = labels.join(near, labels["vid"] == near["src"], "left").select("vid", F.least("component", F.coalesce("near", "component")).alias("to"), F.col("component").alias("old"))
-        jump = labels.select(F.col("vid").alias("at"), F.col("component").alias("next"))
-        new = rounds.keep(hooked.join(jump, F.col("to") == F.col("at")).select("vid", F.least("to", "next").alias("component"), "old"))
-        labels = new.drop("old")
-        if new.where("component <> old").isEmpty():
-            return labels
+    edges = scratch.keep(spark, links.select("a", "b").where("a <> b").distinct(), "links")
+    maps: list[DataFrame] = []
+    n = edges.count()
+    while n:
+        if sizes is not None:
+            sizes.append(n)
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), c).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
+        near = edges.groupBy("a").agg(F.min(order("b")).alias("least"))
+        to = scratch.keep(spark, near.select("a", F.least("least", order("a"))["v"].alias("to")), "targets")
+        maps.append(to)
+        moved = edges.join(to, "a").select(F.col("to").alias("a"), "b").join(to.select(F.col("a").alias("b"), F.col("to").alias("other")), "b")
+        edges = scratch.keep(spark, moved.select("a", F.col("other").alias("b")).where("a <> b").distinct(), "links")
+        n = edges.count()
+    if not maps:
+        return edges.select(F.col("a").alias("vid"), F.col("b").alias("root"))
+    roots = maps.pop()
+    while maps:
+        after = roots.select(F.col("a").alias("to"), F.col("to").alias("root"))
+        roots = scratch.keep(spark, maps.pop().join(after, "to", "left").select("a", F.coalesce("root", "to").alias("to")), "roots")
+    return roots.select(F.col("a").alias("vid"), F.col("to").alias("root"))
+
+
+def weak_components(spark: SparkSession, graph: AssemblyGraph) -> DataFrame:
+    """(vid, component): the least vertex reachable over edges in either direction."""
+    roots = contracted(spark, backlinked(graph.edges).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    least = roots.groupBy("root").agg(F.min("vid").alias("component"))
+    return graph.vertices.select("vid").join(roots.join(least, "root"), "vid", "left").select("vid", F.coalesce("component", "vid").alias("component"))
 
 
 def component_tables(spark: SparkSession, graph: AssemblyGraph) -> DataFrame:

@@ -477,12 +477,9 @@ def _two_steps(spark, graph):
     return flow.estimate(spark, graph.edges, graph.vertices.select("vid", "length"), flow.long_depths(graph.vertices), eps=0.0, max_iter=2, if_not_converged="ignore")[0]
 
 
-#: Where iterations of the converged queries stop; the library's own defaults are far stricter.
-LOOSE = {"eps": 1e-3, "max_iter": 60, "if_not_converged": "ignore"}
-
-
 def _converged(spark, graph):
-    return flow.estimate(spark, graph.edges, graph.vertices.select("vid", "length"), flow.long_depths(graph.vertices), **LOOSE)[0]
+    """Flows at the library's own limits; a sample that does not converge fails the query."""
+    return flow.estimate(spark, graph.edges, graph.vertices.select("vid", "length"), flow.long_depths(graph.vertices), if_not_converged="error")[0]
 
 
 @query("SELECT src, dst, sample, d_src, d_dst, round(w, 6) AS w_src FROM t1", EVENTS, _TERMS)
@@ -506,7 +503,7 @@ def fl_03_estimate_flow(spark, sf_dir):
 
 @query()
 def fl_03_converged_flow(spark, sf_dir):
-    """Every sample's flows when its corrections are below a thousandth of its depths."""
+    """Every sample's flows when its corrections are below a millionth of its depths."""
     return _converged(spark, d.event_graph(spark, sf_dir)).select("src", "dst", "sample", _six("flow"))
 
 
@@ -539,8 +536,8 @@ def fl_11_low_flow_edges(spark, sf_dir):
 
 @query()
 def fl_10_smooth_job(spark, sf_dir):
-    """Depths of two samples after two rounds of flows and depths."""
-    out = apps.smooth(spark, d.event_graph(spark, sf_dir), ["s0", "s2"], symmetric=True, eps=1e-2, max_iter=2, flow_eps=1e-2, flow_iter=20, if_not_converged="ignore")
+    """Depths of two samples when a round changes them by less than 0.5 % of their sum; what does not converge fails."""
+    out = apps.smooth(spark, d.event_graph(spark, sf_dir), ["s0", "s2"], symmetric=True, eps=5e-3, if_not_converged="error")
     return flow.long_depths(out.vertices).select("vid", "sample", _six("depth"))
 
 
@@ -598,7 +595,7 @@ def dc_16_solve_junctions(spark, sf_dir):
 
 @query()
 def dc_18_gates(spark, sf_dir):
-    """Paths of the junctions that pass all gates of the library's defaults."""
+    """Paths of the junctions that pass all gates, with a margin of 20 and one path in excess allowed."""
     return deconvolve.split_paths(deconvolve.gated(deconvolve.solve(spark, _problems(spark, sf_dir, _converged)), min_margin=20.0, max_excess=1))
 
 
@@ -844,9 +841,8 @@ def ap_02_focus_job(spark, sf_dir):
 
 @query()
 def ap_03_unzip_job(spark, sf_dir):
-    """Vertices after two rounds of unzipping with the command line's gates and loose flows."""
-    settings = apps.UnzipSettings(max_rounds=2, flow_eps=LOOSE["eps"], flow_iter=LOOSE["max_iter"], if_not_converged="ignore")
-    out = apps.unzip(spark, d.event_graph(spark, sf_dir), settings).vertices
+    """Vertices after two rounds of unzipping with the command line's gates; flows that do not converge fail."""
+    out = apps.unzip(spark, d.event_graph(spark, sf_dir), apps.UnzipSettings(max_rounds=2)).vertices
     return out.select("vid", "length", F.concat_ws(",", "segments").alias("segments"), *[F.round(F.element_at("depth", i + 1), 6).alias(s) for i, s in enumerate(d.SAMPLES)])
 
 

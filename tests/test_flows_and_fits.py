@@ -276,3 +276,48 @@ def test_clusters(spark):
     assert len({r["merged"] for r in merged.collect()}) == 2
     shared = cluster.shared_segments(v, spark.createDataFrame([(i, i % 2) for i in range(40)], "vid long, cluster long")).first()
     assert (shared["shared"], shared["total_a"], shared["total_b"]) == (5, 5, 5)
+
+
+def test_large_sets_and_blocks_give_the_same_flows(spark, monkeypatch):
+    """Sets in one task, all sets round by round over the cluster, and both mixed: flows, losses and stops are those of plain numpy."""
+    rng = np.random.default_rng(9)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (45, 2)) if a != b} | {(100 + i, 101 + i) for i in range(20)} | {(200, 201 + i) for i in range(9)})
+    ids = sorted({v for e in edges for v in e})
+    at = {v: i for i, v in enumerate(ids)}
+    d, lengths = rng.uniform(1, 50, (len(ids), 2)), rng.integers(1, 9, len(ids))
+    v = spark.createDataFrame([(x, int(lengths[i]), d[i].tolist()) for i, x in enumerate(ids)], "vid long, length long, depth array<double>").cache()
+    e = spark.createDataFrame(edges, "src long, dst long").cache()
+    sets = flow.connected_sets(spark, e).collect()
+    parent = {x: x for a, b in edges for x in ((a, 0), (b, 1))}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[root((a, 0))] = root((b, 1))
+    groups = {}
+    for r in sets:
+        groups.setdefault(root((r["src"], 0)), set()).add(r["set"])
+    assert len(sets) == len(edges) and all(len(g) == 1 for g in groups.values()) and len({s for g in groups.values() for s in g}) == len(groups)
+    monkeypatch.setattr(flow, "PASS", 4)
+    results = []
+    for large in (flow.LARGE, 0, 8):
+        monkeypatch.setattr(flow, "LARGE", large)
+        found, losses = flow.estimate(spark, e, v.select("vid", "length"), flow.long_depths(v), eps=2e-2, max_iter=11, if_not_converged="ignore")
+        results.append(({(r["src"], r["dst"], r["sample"]): r["flow"] for r in found.collect()}, losses))
+    for found, losses in results:
+        assert found == pytest.approx(results[0][0]) and {s: len(x) for s, x in losses.items()} == {s: len(x) for s, x in results[0][1].items()}
+    for s in (0, 1):  # plain numpy, with the same rule to stop
+        src, dst = (np.array([at[x[k]] for x in edges]) for k in (0, 1))
+        f, dd = np.ones(len(edges)), d[:, s]
+        for alpha in (0, 1):
+            share = lengths[src] ** alpha / (lengths[src] ** alpha + lengths[dst] ** alpha)
+            for _ in range(11):
+                out, into = np.bincount(src, f, len(ids))[src], np.bincount(dst, f, len(ids))[dst]
+                delta = (dd[src] - out) * np.where(out == 0, 1, f / np.where(out == 0, 1, out)) * share + (dd[dst] - into) * np.where(into == 0, 1, f / np.where(into == 0, 1, into)) * (1 - share)
+                f = np.maximum(0, f + delta)
+                if np.sqrt(delta @ delta) / dd.sum() < 2e-2:
+                    break
+        assert [results[0][0][a, b, s] for a, b in edges] == pytest.approx(f.tolist())

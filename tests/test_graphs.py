@@ -277,3 +277,14 @@ def test_twins_and_positions(spark):
     lengths = spark.createDataFrame([("1+", 5), ("2-", 7), ("2+", 7), ("1-", 5)], "segment string, length long")
     at = {(r["vid"], r["segment"]): (r["left"], r["right"]) for r in results.segment_positions(v, lengths, 3).collect()}
     assert at[0, "1+"] == (0, 7) and at[0, "2-"] == (5, 14)
+
+
+def test_contraction_of_a_long_path(spark):
+    """A path of 10^6 vertices with shuffled ids: few rounds, and the table of links shrinks in each."""
+    n = 1_000_000
+    name = lambda c: F.pmod(c * 611_953 + 7, F.lit(n))
+    path = spark.range(n - 1).select(name(F.col("id")).alias("src"), name(F.col("id") + 1).alias("dst"))
+    sizes = []
+    roots = topology.contracted(spark, topology.backlinked(path).select(F.col("src").alias("a"), F.col("dst").alias("b")), sizes)
+    assert roots.agg(F.countDistinct("root"), F.count("*")).first()[:] == (1, n)
+    assert len(sizes) <= 25 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False))
