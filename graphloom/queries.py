@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import derived as d
@@ -36,6 +36,11 @@ def _six(column: str) -> F.Column:
     return F.round(F.col(column), 6).alias(column)
 
 
+def _millionths(name: str) -> Column:
+    """Six places as the SQL rounds them: the double's product with a million, to the nearest whole number."""
+    return (F.round(F.col(name) * 1e6) / 1e6).alias(name)
+
+
 def _joined(column: str):
     return F.concat_ws(",", F.transform(column, lambda x: x.cast("string"))).alias(column)
 
@@ -515,13 +520,13 @@ def fl_04_all_flows(spark, sf_dir):
 @query("SELECT vid, sample, round(((depth - into_) + (depth - out_)) / 2, 6) AS residual FROM sd", *_FLOW, _SIDES)
 def fl_06_mean_residual(spark, sf_dir):
     graph = d.event_graph(spark, sf_dir)
-    return flow.mean_residual(graph.vertices, _two_steps(spark, graph)).select("vid", "sample", _six("residual"))
+    return flow.mean_residual(graph.vertices, _two_steps(spark, graph)).select("vid", "sample", _millionths("residual"))
 
 
 @query("SELECT vid, sample, round((CASE WHEN has_in THEN into_ ELSE pseudo END + CASE WHEN has_out THEN out_ ELSE pseudo END) / 2, 6) AS depth FROM sd", *_FLOW, _SIDES)
 def fl_07_depth_from_flow(spark, sf_dir):
     graph = d.event_graph(spark, sf_dir)
-    return flow.depth_from_flow(graph.vertices, _two_steps(spark, graph), flow.pseudoflow(graph.vertices)).select("vid", "sample", _six("depth"))
+    return flow.depth_from_flow(graph.vertices, _two_steps(spark, graph), flow.pseudoflow(graph.vertices)).select("vid", "sample", _millionths("depth"))
 
 
 @query("SELECT vid, sample, round(depth * (1 + vid % 7) / (2 + vid % 7), 6) AS pseudoflow FROM dl", EVENTS, _TERMS)
