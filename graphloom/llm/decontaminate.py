@@ -140,9 +140,13 @@ class Matcher:
         self.edges = dict(zip(np.frombuffer(parts["edges"], np.int64).tolist(), np.frombuffer(parts["targets"], np.int32).tolist(), strict=True))
         self.link, self.length, self.near = (array("i", parts[c]) for c in ("link", "length", "near"))
         self.sizes, self.owners = array("i", parts["sizes"]), array("i", parts["owners"])
-        ends = np.frombuffer(parts["ends"], np.int32)
-        state, lo = np.unique(ends, return_index=True)
-        self.ends = dict(zip(state.tolist(), zip(lo.tolist(), [*lo[1:].tolist(), len(ends)], strict=True), strict=True))
+        # for each state, its windows' sizes in ascending order and where the owners of each size begin
+        self.ends: dict[int, tuple[int, ...]] = {}
+        ends, own = np.frombuffer(parts["ends"], np.int32), np.frombuffer(parts["sizes"], np.int32)
+        lo = np.flatnonzero(np.append(True, (ends[1:] != ends[:-1]) | (own[1:] != own[:-1]))) if len(ends) else np.zeros(0, np.int64)
+        for state, size, a in zip(ends[lo].tolist(), own[lo].tolist(), lo.tolist(), strict=True):
+            self.ends[state] = (*self.ends.get(state, ()), size, a)
+        self.stops = np.append(lo[1:], len(ends)).astype(np.int64)  # where the owners of each run end
         self.names = parts["names"]
         self.shortest = min(self.sizes, default=0)
 
@@ -160,13 +164,18 @@ class Matcher:
         lo, hi = edges[::2], edges[1::2]
         long = hi - lo >= self.shortest
         spans: list[tuple[int, int]] = []
-        found: set[int] = set()
+        seen: set[int] = set()
         for a, b in zip(lo[long].tolist(), hi[long].tolist(), strict=True):
-            self._walk(ids[a:b].tolist(), a, spans, found)
-        return _merged(spans), {self.names[i] for i in found}
+            self._walk(ids[a:b].tolist(), a, spans, seen)
+        return spans, {self.names[i] for a in seen for i in self.owners[a : self.stops[np.searchsorted(self.stops, a, "right")]]}
 
-    def _walk(self, words: list[int], at: int, spans: list[tuple[int, int]], found: set[int]) -> None:
-        edges, link, length, near, ends, sizes = self.edges, self.link, self.length, self.near, self.ends, self.sizes
+    def _walk(self, words: list[int], at: int, spans: list[tuple[int, int]], seen: set[int]) -> None:
+        """Merge what is covered into ``spans``; ``seen`` gets where the owners of occurring windows begin.
+
+        Windows that end at one place are nested, so the longest covers it; owners are looked up once for a text,
+        however many items share a window and however often it occurs.
+        """
+        edges, link, length, near, ends = self.edges, self.link, self.length, self.near, self.ends
         state = matched = 0
         for i, word in enumerate(words, at + 1):
             to = edges.get(state << 32 | word)
@@ -177,13 +186,19 @@ class Matcher:
             if to is None:
                 continue
             state, matched = to, matched + 1
-            end = near[state]
+            end, longest = near[state], 0
             while end >= 0:
-                for e in range(*ends[end]):
-                    if sizes[e] <= matched:
-                        spans.append((i - sizes[e], i))
-                        found.add(self.owners[e])
+                runs = ends[end]
+                for r in range(0, len(runs), 2):
+                    if runs[r] <= matched:
+                        longest = max(longest, runs[r])
+                        seen.add(runs[r + 1])
                 end = near[link[end]] if link[end] >= 0 else -1
+            if longest:
+                start = i - longest
+                while spans and start <= spans[-1][1]:
+                    start = min(start, spans.pop()[0])
+                spans.append((start, i))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
