@@ -125,12 +125,27 @@ def spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _long_hash(word: np.ndarray) -> np.uint64:
+    """The hash of one long word, a slice at a time."""
+    up, _ = _powers(SLICE_BYTES + 1)
+    h, ahead = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for lo in range(0, len(word), SLICE_BYTES):
+        part = word[lo : lo + SLICE_BYTES]
+        h += ((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)]).sum(dtype=np.uint64) * ahead
+        ahead *= up[SLICE_BYTES]
+    return mix(h + np.array([len(word)], np.uint64) * np.uint64(0xD6E8FEB86659FD93))[0]
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash per word, equal for equal bytes wherever they stand."""
     out = np.empty(len(starts), dtype=np.uint64)
     lo = 0
     while lo < len(starts):
         base = starts[lo]
+        if ends[lo] - base > SLICE_BYTES:
+            out[lo] = _long_hash(raw[base : ends[lo]])
+            lo += 1
+            continue
         hi = max(lo + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
         part = raw[base : ends[hi - 1]]
         up, down = _powers(len(part) + 1)

@@ -43,37 +43,54 @@ EPOCHS, BATCH, RATE, SEED = 3, 1024, 0.3, 7
 FIT_SHARE = 0.75
 
 
-def ngrams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word's n-grams (with marks around the word) and of the word; and offsets."""
+#: Bytes of a word whose n-grams are taken in one piece, and bytes of pieces that are taken at once.
+PIECE, PIECES = 1 << 14, 1 << 16
+
+
+def ngrams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of each word's n-grams (with marks around the word) and of the word, in the words' order, some bytes at a time; and their words.
+
+    A long word is several pieces, each with the bytes that its last n-grams have of the next one.
+    """
     size = ends - starts + 2
-    at = np.cumsum(size) - size
-    total = int(size.sum())
-    word = np.repeat(np.arange(len(size)), size)
-    inner = np.arange(total) - at[word]
-    byte = raw[np.clip(starts[word] + inner - 1, 0, max(len(raw) - 1, 0))].astype(np.uint64) if total else np.zeros(0, np.uint64)
-    byte[inner == 0] = 60
-    byte[inner == size[word] - 1] = 62
-    found, owner = [hashes], [np.arange(len(size))]
-    h = np.zeros(total, np.uint64)
-    for n in range(1, max(NGRAMS) + 1):
-        h = h[: total - n + 1] * np.uint64(0x100000001B3) + byte[n - 1 :] + np.uint64(1) if n > 1 else byte + np.uint64(1)
-        if n in NGRAMS:
-            keep = np.flatnonzero(inner[: len(h)] + n <= size[word[: len(h)]])
-            found.append(h[keep] + np.uint64(n << 56))
-            owner.append(word[keep])
-    where = np.concatenate(owner)
-    order = np.argsort(where, kind="stable")
-    buckets = (tx.mix(np.concatenate(found)) & np.uint64(BUCKETS - 1)).astype(np.int32)[order]
-    return buckets, np.concatenate(([0], np.cumsum(np.bincount(where, minlength=len(size)))))
-
-
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words' hashes, their buckets and offsets; each word's place among them; rows' first words."""
+    parts = -(-size // PIECE)
+    word = np.repeat(np.arange(len(size)), parts)
+    begin = (np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)) * PIECE
+    length = np.minimum(size[word] - begin, PIECE + max(NGRAMS) - 1)
+    upto = np.cumsum(length)
+    lo = 0
+    while lo < len(word):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PIECES, "right")))
+        own, n_bytes = slice(lo, hi), length[lo:hi]
+        piece = np.repeat(np.arange(hi - lo), n_bytes)
+        total = len(piece)
+        inner = np.arange(total) - (np.cumsum(n_bytes) - n_bytes)[piece]
+        place = begin[own][piece] + inner
+        of = word[own][piece]
+        byte = raw[np.clip(starts[of] + place - 1, 0, max(len(raw) - 1, 0))].astype(np.uint64)
+        byte[place == 0] = 60
+        byte[place == size[of] - 1] = 62
+        whole = word[own][begin[own] == 0]
+        found, owner = [hashes[whole]], [whole]
+        h = np.zeros(total, np.uint64)
+        for n in range(1, max(NGRAMS) + 1):
+            h = h[: total - n + 1] * np.uint64(0x100000001B3) + byte[n - 1 :] + np.uint64(1) if n > 1 else byte + np.uint64(1)
+            if n in NGRAMS:
+                keep = np.flatnonzero((inner[: len(h)] < PIECE) & (inner[: len(h)] + n <= n_bytes[piece[: len(h)]]))
+                found.append(h[keep] + np.uint64(n << 56))
+                owner.append(of[keep])
+        where = np.concatenate(owner)
+        order = np.argsort(where, kind="stable")
+        yield (tx.mix(np.concatenate(found)) & np.uint64(BUCKETS - 1)).astype(np.int32)[order], where[order]
+        lo = hi
+
+
+def distinct_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Distinct words' hashes; each word's place among them; rows' first words; the distinct words' n-grams."""
     raw = tx.LOWER[raw]
     starts, ends, first = tx.spans(raw, at, tx.ALNUM)
     distinct, example, place = np.unique(tx.word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-    buckets, offsets = ngrams(raw, starts[example], ends[example], distinct)
-    return distinct, buckets, offsets, place, first
+    return distinct, place, first, ngrams(raw, starts[example], ends[example], distinct)
 
 
 def windows(first: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +114,13 @@ class Bags:
         raw, at = tx.utf8(pa.array(texts, pa.string()))
         hashes, buckets, sizes, tokens, firsts = [], [], [], [], [np.zeros(1, np.int64)]
         for lo, hi in tx.slices(at):
-            distinct, b, offsets, place, first = words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            distinct, place, first, grams = distinct_words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
             hashes.append(distinct)
-            buckets.append(b)
-            sizes.append(np.diff(offsets))
+            n = np.zeros(len(distinct), np.int64)
+            for b, word in grams:
+                buckets.append(b)
+                n += np.bincount(word, minlength=len(distinct))
+            sizes.append(n)
             tokens.append(distinct[place])
             firsts.append(first[1:] + firsts[-1][-1])
         none = np.zeros(0, np.uint64)
@@ -129,12 +149,16 @@ class Model:
 
     def peaks(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each row's largest window logit, and its number of windows."""
-        _, buckets, offsets, place, first = words(raw, at)
+        distinct, place, first, grams = distinct_words(raw, at)
         starts, upto = windows(first)
         peak = np.full(len(first) - 1, self.bias)
         if len(starts):
-            value = np.add.reduceat(self.weights[buckets], offsets[:-1])[place]
-            logit = np.add.reduceat(value, starts) / np.add.reduceat(np.diff(offsets)[place], starts) + self.bias
+            value, n = np.zeros(len(distinct), self.weights.dtype), np.zeros(len(distinct), np.int64)
+            for buckets, word in grams:
+                new = np.flatnonzero(np.diff(word, prepend=-1))
+                value[word[new]] += np.add.reduceat(self.weights[buckets], new)
+                n[word[new]] += np.diff(new, append=len(word))
+            logit = np.add.reduceat(value[place], starts) / np.add.reduceat(n[place], starts) + self.bias
             full = np.flatnonzero(np.diff(upto))
             peak[full] = np.maximum.reduceat(logit, upto[full])
         return peak, np.diff(upto)
