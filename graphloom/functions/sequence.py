@@ -45,13 +45,48 @@ def canonical_kmers(sequence: Column, k: int) -> Column:
     return F.zip_with(kmers(sequence, k), F.reverse(kmers(reverse_complement(sequence), k)), lambda a, b: F.least(a, b))
 
 
-def dbg_edges(nodes: DataFrame, column: str = "kmer") -> DataFrame:
-    """(src, dst) for distinct k-mers of which one's last k-1 characters are the other's first."""
-    distinct = nodes.select(column).distinct()
-    k = F.length(column)
-    left = distinct.select(F.col(column).alias("src"), F.substr(F.col(column), F.lit(2)).alias("overlap"))
-    right = distinct.select(F.col(column).alias("dst"), F.substr(F.col(column), F.lit(1), k - 1).alias("overlap"))
-    return left.join(right, "overlap").select("src", "dst")
+def dbg_overlaps(nodes: DataFrame, column: str = "kmer", letters: str = "ACGT") -> DataFrame:
+    """(overlap, before, after): stretches of k-1 characters that end one k-mer and begin another.
+
+    ``before`` has a bit for each letter that comes before the overlap in a k-mer, ``after`` for each that comes after it,
+    so both roles of an overlap meet in one aggregate of two numbers. K-mers may be repeated; one that begins or ends with
+    another character fails.
+    """
+
+    def bit(letter: Column) -> Column:
+        known = F.when(letter == letters[0], 1)
+        for i, c in enumerate(letters[1:], 1):
+            known = known.when(letter == c, 1 << i)
+        return known.otherwise(F.raise_error(F.concat(F.lit("no such letter: "), letter)).cast("int"))
+
+    kmer, none = F.col(column), F.lit(0)
+    role = lambda overlap, before, after: F.struct(overlap.alias("overlap"), before.alias("before"), after.alias("after"))
+    roles = F.explode(F.array(role(F.substr(kmer, F.lit(2)), bit(F.left(kmer, F.lit(1))), none), role(F.substr(kmer, F.lit(1), F.length(kmer) - 1), none, bit(F.right(kmer, F.lit(1))))))
+    ends = nodes.select(roles.alias("r")).select("r.*")
+    return ends.groupBy("overlap").agg(F.bit_or("before").alias("before"), F.bit_or("after").alias("after")).where("before > 0 and after > 0")
+
+
+def _letters(mask: str, letters: str) -> Column:
+    return F.array_compact(F.array(*[F.when(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for i, c in enumerate(letters)]))
+
+
+def overlap_edges(overlaps: DataFrame, letters: str = "ACGT") -> DataFrame:
+    """(src, dst) of the overlaps' k-mers."""
+    srcs = overlaps.select("overlap", "after", F.explode(_letters("before", letters)).alias("first"))
+    each = srcs.select("overlap", "first", F.explode(_letters("after", letters)).alias("last"))
+    return each.select(F.concat("first", "overlap").alias("src"), F.concat("overlap", "last").alias("dst"))
+
+
+def overlap_kmers(overlaps: DataFrame, letters: str = "ACGT") -> DataFrame:
+    """(kmer) of the k-mers that have edges, at most twice each."""
+    firsts = F.transform(_letters("before", letters), lambda c: F.concat(c, F.col("overlap")))
+    lasts = F.transform(_letters("after", letters), lambda c: F.concat(F.col("overlap"), c))
+    return overlaps.select(F.explode(F.concat(firsts, lasts)).alias("kmer"))
+
+
+def dbg_edges(nodes: DataFrame, column: str = "kmer", letters: str = "ACGT") -> DataFrame:
+    """(src, dst) for distinct k-mers of which one's last k-1 characters are the other's first; k is 2 or more."""
+    return overlap_edges(dbg_overlaps(nodes, column, letters), letters)
 
 
 def flip(segment: Column) -> Column:

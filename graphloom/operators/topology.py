@@ -242,25 +242,59 @@ def motifs(graph: AssemblyGraph, pattern: list[tuple[int, int]]) -> DataFrame:
     return once.join(bad, "members", "left_anti").select("vertices")
 
 
-def blackboxes(graph: AssemblyGraph) -> DataFrame:
-    """(a, b, c, d): induced 2x2 bicliques, a and b before c and d.
+def _target_classes(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(unit, ss, ts): sources with equal sets of two targets or more, and these targets, both in order; written out."""
+    out = edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("ts")).where(F.size("ts") > 1)
+    classes = out.groupBy("ts").agg(F.array_sort(F.collect_list("src")).alias("ss"))
+    return scratch.keep(spark, classes.select(F.monotonically_increasing_id().alias("unit"), "ss", "ts"), "classes")
+
 
-    Pairs of sources come from shared targets; a pair of them with the same two targets is a
-    biclique unless a further edge or loop joins two of the four.
+def _boxes(spark: SparkSession, graph: AssemblyGraph) -> tuple[DataFrame, DataFrame]:
+    """Classes (ss, ts) of which any two sources and any two targets are an induced biclique; and all other ones, as (a, b, c, d).
+
+    Sources with equal targets are one class, and a class is tested as a whole: what could spoil a biclique of it is a
+    source that is a target too, or an edge from a target to a source or target. Only where there is one, and
+    where two classes have two targets in common, are bicliques looked at one by one.
     """
-    edges = graph.edges.select("src", "dst").distinct()
-    e, f = edges.select(F.col("src").alias("a"), F.col("dst").alias("t")), edges.select(F.col("src").alias("b"), F.col("dst").alias("t"))
-    shared = e.join(f, "t").where("a < b").groupBy("a", "b").agg(F.sort_array(F.collect_list("t")).alias("ts")).where(F.size("ts") >= 2)
-    first = shared.select("a", "b", "ts", F.posexplode("ts").alias("i", "c"))
-    boxes = first.select("a", "b", "c", F.explode(F.expr("slice(ts, i + 2, size(ts))")).alias("d"))
+    edges = graph.edges.select("src", "dst")
+    classes = _target_classes(spark, edges)
+    wide = classes.where(F.size("ss") > 1)
+    members = wide.select("unit", F.explode(F.array_union("ss", "ts")).alias("dst"))
+    back = wide.select("unit", F.explode("ts").alias("src")).join(edges, "src").select("unit", "dst").join(members, ["unit", "dst"], "left_semi").select("unit")
+    spoilt = scratch.keep(spark, back.union(wide.where(F.arrays_overlap("ss", "ts")).select("unit")).distinct(), "spoilt")
+    clean = wide.join(spoilt, "unit", "left_anti").select("ss", "ts")
+
+    def pairs(units: DataFrame, c: str, one: str, two: str) -> DataFrame:
+        first = units.select("*", F.posexplode(c).alias("i", one))
+        return first.withColumn(two, F.explode(F.expr(f"slice({c}, i + 2, size({c}))"))).drop("i", c)
+
+    doubtful = pairs(pairs(wide.join(spoilt, "unit", "left_semi"), "ss", "a", "b"), "ts", "c", "d").select("a", "b", "c", "d")
+    each = classes.select("unit", F.explode("ts").alias("t"))
+    common = each.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t")
+    each = scratch.keep(spark, each.join(common, "t", "left_semi"), "common")
+    met = each.select("t", F.col("unit").alias("u")).join(each.select("t", F.col("unit").alias("v")), "t").where("u < v").groupBy("u", "v").agg(F.array_sort(F.collect_list("t")).alias("ts")).where(F.size("ts") > 1)
+    side = lambda u, c: classes.select(F.col("unit").alias(u), F.col("ss").alias(c))
+    crossed = met.join(side("u", "us"), "u").join(side("v", "vs"), "v").select("ts", F.explode("us").alias("x"), "vs").select("ts", "x", F.explode("vs").alias("y"))
+    crossed = pairs(crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ts"), "ts", "c", "d").select("a", "b", "c", "d")
+    boxes = scratch.keep(spark, doubtful.union(crossed), "boxes")
     extra = [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("a", "a"), ("b", "b"), ("c", "c"), ("d", "d"), ("c", "a"), ("c", "b"), ("d", "a"), ("d", "b")]
     both = F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in extra])
     bad = boxes.select("a", "b", "c", "d", F.explode(both).alias("e")).select("a", "b", "c", "d", "e.src", "e.dst").join(edges, ["src", "dst"], "left_semi")
-    return boxes.join(bad.select("a", "b", "c", "d").distinct(), ["a", "b", "c", "d"], "left_anti")
+    return clean, boxes.join(bad.select("a", "b", "c", "d"), ["a", "b", "c", "d"], "left_anti")
+
+
+def blackboxes(graph: AssemblyGraph) -> DataFrame:
+    """(a, b, c, d): induced 2x2 bicliques, a and b before c and d, without further edges or loops among the four."""
+    clean, single = _boxes(graph.edges.sparkSession, graph)
+    sources = clean.select("ts", F.posexplode("ss").alias("i", "a"), "ss").select("ts", "a", F.explode(F.expr("slice(ss, i + 2, size(ss))")).alias("b"))
+    targets = sources.select("a", "b", F.posexplode("ts").alias("i", "c"), "ts").select("a", "b", "c", F.explode(F.expr("slice(ts, i + 2, size(ts))")).alias("d"))
+    return targets.union(single)
 
 
 def blackbox_vertices(graph: AssemblyGraph) -> DataFrame:
-    return blackboxes(graph).select(F.explode(F.array("a", "b", "c", "d")).alias("vid")).distinct()
+    """(vid) of the vertices of induced 2x2 bicliques; a class's vertices are taken as they are, not by pairs."""
+    clean, single = _boxes(graph.edges.sparkSession, graph)
+    return clean.select(F.explode(F.concat("ss", "ts")).alias("vid")).union(single.select(F.explode(F.array("a", "b", "c", "d")))).distinct()
 
 
 def self_loops(graph: AssemblyGraph) -> DataFrame:

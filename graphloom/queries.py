@@ -82,6 +82,30 @@ def sq_07_annotated_dbg(spark, sf_dir):
     return d.dbg(spark, sf_dir).vertices.select("vid", "length", F.element_at("depth", 1).alias("depth"))
 
 
+def _number(kmer: str) -> Column:
+    """A k-mer's digits in base 4, read as a decimal number, modulo a prime: the same on either side."""
+    return F.translate(kmer, "ACGT", "0123").cast("long") % 1000003
+
+
+@query(
+    """SELECT src[:5] AS prefix, count(*) AS n, CAST(sum(CAST(translate(src, 'ACGT', '0123') AS BIGINT) % 1000003 * 7 + CAST(translate(dst, 'ACGT', '0123') AS BIGINT) % 1000003) AS BIGINT) AS folded
+ FROM ed GROUP BY 1""", d.SQL_DNA, d.SQL_KMERS, d.SQL_DBG,
+)
+def sq_06_dbg_edges_by_prefix(spark, sf_dir):
+    """All edges, folded by the first letters of their sources into counts and sums."""
+    return d.dbg(spark, sf_dir).edges.groupBy(F.left("src", F.lit(5)).alias("prefix")).agg(F.count("*").alias("n"), F.sum(_number("src") * 7 + _number("dst")).alias("folded"))
+
+
+@query(
+    """SELECT vid[:5] AS prefix, count(*) AS vertices, CAST(sum(n) AS BIGINT) AS depth, CAST(sum(CAST(translate(vid, 'ACGT', '0123') AS BIGINT) % 1000003 * n) AS BIGINT) AS folded FROM vx GROUP BY 1""",
+    d.SQL_DNA, d.SQL_KMERS, d.SQL_DBG,
+)
+def sq_07_annotated_dbg_by_prefix(spark, sf_dir):
+    """All vertices and their depths, folded likewise."""
+    n = F.element_at("depth", 1).cast("long")
+    return d.dbg(spark, sf_dir).vertices.groupBy(F.left("vid", F.lit(5)).alias("prefix")).agg(F.count("*").alias("vertices"), F.sum(n).alias("depth"), F.sum(_number("vid") * n).alias("folded"))
+
+
 @query("SELECT doc_id AS vid, bases FROM dna WHERE length(bases) >= 15", d.SQL_DNA)
 def sq_08_assemble_unitigs(spark, sf_dir):
     """The documents' unitigs assemble to their whole sequences."""

@@ -288,3 +288,40 @@ def test_contraction_of_a_long_path(spark):
     roots = topology.contracted(spark, topology.backlinked(path).select(F.col("src").alias("a"), F.col("dst").alias("b")), sizes)
     assert roots.agg(F.countDistinct("root"), F.count("*")).first()[:] == (1, n)
     assert len(sizes) <= 25 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+def plain_boxes(edges):
+    """Induced 2x2 bicliques by looking at all fours."""
+    own = set(edges)
+    vertices = sorted({v for e in edges for v in e})
+    out, into = defaultdict(set), set()
+    for a, b in own:
+        out[a].add(b)
+    for i, a in enumerate(vertices):
+        for b in vertices[i + 1 :]:
+            both = sorted(out[a] & out[b])
+            for j, c in enumerate(both):
+                for d in both[j + 1 :]:
+                    four = (a, b, c, d)
+                    if len(set(four)) == 4 and {(x, y) for x in four for y in four if (x, y) in own} == {(a, c), (a, d), (b, c), (b, d)}:
+                        into.add(four)
+    return into
+
+
+def test_bicliques_by_classes_of_sources(spark):
+    """Random graphs with loops and back edges, classes that cross, repeated edges; against all fours."""
+    rng = random.Random(8)
+    for n, m in ((9, 30), (12, 40), (16, 60), (7, 40)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        edges += [(100 + i, 200 + j) for i in range(3) for j in range(3)] + [(103, 200), (103, 201), (104, 201), (104, 202), (104, 300)] + edges[:3]
+        g = AssemblyGraph(None, spark.createDataFrame(edges, "src long, dst long"))
+        want = plain_boxes(edges)
+        assert {tuple(r) for r in topology.blackboxes(g).collect()} == want
+        assert {r["vid"] for r in topology.blackbox_vertices(g).collect()} == {v for f in want for v in f}
+
+
+def test_a_hub_of_many_sources(spark):
+    """100,000 sources of the same three targets: their vertices come without a row for each pair."""
+    n = 100_000
+    edges = spark.range(n).select(F.col("id").alias("src"), F.explode(F.array(*[F.lit(n + i).cast("long") for i in range(3)])).alias("dst"))
+    assert topology.blackbox_vertices(AssemblyGraph(None, edges)).count() == n + 3
