@@ -6,8 +6,8 @@ that ends at each word is tracked. One block, which most benchmarks are, needs n
 more, the hits of each block are written out and documents meet them by the hash of their text.
 
 Defined cases: a null or empty text has no words and no hit; an item without words has no
-window; an item shorter than ``window`` words is one window; repeated items are reported
-each; an empty benchmark hits nothing; rows that repeat an id, or have none, are rows of their
+window; an item shorter than ``window`` words is one window; rows that repeat an item's id count as
+one item; an empty benchmark hits nothing; rows that repeat an id, or have none, are rows of their
 own; further columns are kept.
 """
 
