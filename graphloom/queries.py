@@ -14,7 +14,7 @@ from .functions import sequence as sq
 from .jobs import apps
 from .model import AssemblyGraph
 from .operators import cluster, deconvolve, flow, results, rewrite, topology
-from .sources import fasta, kmer_depth
+from .sources import fasta, kmer_depth, kmer_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -207,6 +207,25 @@ def io_05_fasta_files(spark, sf_dir):
     return fasta.read_records(spark, path).select(F.col("header").alias("unitig"), "bases")
 
 
+def _store(spark, sf_dir):
+    """A store of all documents' k-mers in the shared folder."""
+    name = scratch.new_path(spark, "store")
+    return kmer_store.write_store(d.sequences(spark, sf_dir), d.K, name.rsplit("/", 1)[1].replace("-", "_"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), path=name)
+
+
+@query("SELECT unitig, sample, round(depth, 6) AS depth FROM cube", d.SQL_DNA, d.SQL_KMERS, d.SQL_UNITIGS, _DEPTHS)
+def io_11_store_depths(spark, sf_dir):
+    """Depths of all unitigs by a join with a store."""
+    return kmer_store.depths(spark, _store(spark, sf_dir), d.unitigs(spark, sf_dir), LANGUAGES).select("unitig", "sample", _six("depth"))
+
+
+@query("SELECT sample, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM kc GROUP BY sample", d.SQL_DNA, d.SQL_KMERS.replace(f"+ {d.K - 1}]", "+ 30]").replace(f"- {d.K - 2})", "- 29)").replace(f">= {d.K})", ">= 31)"), "kc AS (SELECT least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) AS kmer, sample, count(*) AS n FROM kms GROUP BY 1, 2)")
+def sq_04_packed_kmers(spark, sf_dir):
+    """Distinct and all k-mers of each sample at the largest k that a number holds."""
+    each = kmer_store.packed_kmers(d.sequences(spark, sf_dir), 31, "sample").groupBy("key", "kmer").agg(F.sum("n").alias("n"))
+    return each.groupBy(F.col("key").alias("sample")).agg(F.count("*").alias("n"), F.sum("n").alias("total"))
+
+
 @query("SELECT sample, round(sum(depth), 4) AS depth, count(*) AS n FROM cube GROUP BY sample", d.SQL_DNA, d.SQL_KMERS, d.SQL_UNITIGS, _DEPTHS)
 def io_11_depth_job(spark, sf_dir):
     return _depths(spark, sf_dir).groupBy("sample").agg(F.round(F.sum("depth"), 4).alias("depth"), F.count("*").alias("n"))
@@ -807,6 +826,11 @@ def cl_01_precluster(spark, sf_dir):
     return cluster.precluster(_emb(spark, sf_dir)[0], 20)
 
 
+@query()
+def cl_01_precluster_batches(spark, sf_dir):
+    return cluster.precluster_batches(spark, _emb(spark, sf_dir)[0], 20)[0].select("vid", "cluster")
+
+
 @query("SELECT cluster, CAST(s - 1 AS INTEGER) AS sample, round(sum(abs(CAST(e AS DOUBLE)) * l) / sum(l), 6) AS depth, CAST(sum(l) AS BIGINT) AS length FROM (SELECT label AS cluster, 1 + vec_id % 7 AS l, unnest(embedding) AS e, unnest(range(1, 65)) AS s FROM embeddings) GROUP BY cluster, s")
 def cl_02_cluster_depth(spark, sf_dir):
     return cluster.mean_depth(*_emb(spark, sf_dir)).select("cluster", "sample", _six("depth"), "length")
