@@ -151,29 +151,63 @@ def unitig_paths(spark: SparkSession, graph: AssemblyGraph) -> DataFrame:
     return placed.select(F.col("head").alias("path"), "rank", "vid")
 
 
-def distances(spark: SparkSession, graph: AssemblyGraph, roots: DataFrame, max_length: float | None = None, adjusted: bool = True) -> DataFrame:
+def distances(spark: SparkSession, graph: AssemblyGraph, roots: DataFrame, max_length: float | None = None, adjusted: bool = True, delta: float | None = None, written: list[int] | None = None) -> DataFrame:
     """(vid, distance) to the nearest root, over edges in either direction, for vertices in reach.
 
     An edge is as long as the vertex it leaves. ``adjusted`` distances are less the root's length,
     so that a root is at minus its length and its neighbours at 0; others have the root at 0.
-    Relaxation stops when nothing improves.
+
+    Distances are settled by buckets of ``delta`` (default: the longest edge), the nearest first. Within a bucket only the
+    front, those vertices that have just come nearer, is written each round. A settled bucket is written once. As edges lead both
+    ways, a neighbour that is settled is at most the longest edge before the bucket, so steps are held against the last buckets
+    alone. ``written`` takes the rows of each table.
     """
     weight = graph.vertices.select(F.col("vid").alias("src"), F.col("length").cast("double").alias("weight"))
     links = scratch.keep(spark, backlinked(graph.edges).distinct().join(weight, "src"), "links")
     own = graph.vertices.join(roots.select("vid").distinct(), "vid", "left_semi")
     start = own.select("vid", (-F.col("length").cast("double") if adjusted else F.lit(0.0)).alias("distance"))
-    rounds = scratch.Rounds(spark, "distances")
-    found = rounds.keep(start.withColumn("better", F.lit(True)))
-    while True:
-        front = found.where("better")
-        if front.isEmpty():
-            return found.drop("better")
-        step = links.join(front, links["src"] == front["vid"]).groupBy(F.col("dst").alias("to")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
-        if max_length is not None:
-            step = step.where(F.col("new") <= max_length)
-        both = found.join(step, found["vid"] == step["to"], "full")
-        nearer = F.col("vid").isNull() | (F.col("new") < F.col("distance"))
-        found = rounds.keep(both.select(F.coalesce("vid", "to").alias("vid"), F.least(F.coalesce("distance", "new"), F.coalesce("new", "distance")).alias("distance"), F.coalesce(nearer, F.lit(False)).alias("better")))
+    longest = links.agg(F.max("weight")).first()[0] or 0.0
+    delta = delta or longest or 1.0
+    base = scratch.new_path(spark, "distances")
+    read = lambda paths: spark.read.schema(start.schema).parquet(*paths)
+    nearest = lambda df: df.groupBy("vid").agg(F.min("distance").alias("distance"))
+
+    def write(df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        if written is not None:
+            written.append(read([path]).count())
+        return read([path])
+
+    def steps(front: DataFrame) -> DataFrame:
+        found = links.join(front, links["src"] == front["vid"]).select(F.col("dst").alias("vid"), (F.col("distance") + F.col("weight")).alias("distance"))
+        return nearest(found if max_length is None else found.where(F.col("distance") <= max_length))
+
+    waiting = write(start, f"{base}/waiting_0")
+    settled: list[tuple[str, float]] = []
+    while (least := waiting.agg(F.min("distance")).first()[0]) is not None:
+        n, end = len(settled), least + delta
+        within = (F.col("distance") < end) | (F.col("distance") <= least)
+        recent = [p for p, e in settled if e >= least - longest]
+        fronts = [f"{base}/front_{n}_0"]
+        front = write(waiting.where(within), fronts[0])
+        while True:
+            known = nearest(read(fronts + recent)).select("vid", F.col("distance").alias("known"))
+            nearer = steps(front).where(within).join(known, "vid", "left").where("known is null or distance < known").select("vid", "distance")
+            path = f"{base}/front_{n}_{len(fronts)}"
+            front = write(nearer, path)
+            if front.isEmpty():
+                break
+            fronts.append(path)
+        settled.append((f"{base}/settled/bucket_{n}", end))
+        bucket = write(nearest(read(fronts)), settled[-1][0])
+        later = waiting.where(~within).unionByName(steps(bucket).where(~within))
+        past = read(recent + [settled[-1][0]]).select("vid")
+        waiting = write(nearest(later).join(past, "vid", "left_anti"), f"{base}/waiting_{n + 1}")
+        scratch.delete(spark, f"{base}/waiting_{n}")
+        for path in [*fronts, f"{base}/front_{n}_{len(fronts)}"]:
+            scratch.delete(spark, path)
+    scratch.delete(spark, f"{base}/waiting_{len(settled)}")
+    return read([p for p, _ in settled]) if settled else start
 
 
 def pairwise_distances(spark: SparkSession, graph: AssemblyGraph, chosen: DataFrame, rounds: int | None = None) -> DataFrame:
