@@ -14,7 +14,7 @@ from .functions import sequence as sq
 from .jobs import apps
 from .model import AssemblyGraph
 from .operators import cluster, deconvolve, flow, results, rewrite, topology
-from .sources import fasta, kmer_depth, kmer_store
+from .sources import fasta, fasta_source, kmer_depth, kmer_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -207,6 +207,15 @@ def io_05_fasta_files(spark, sf_dir):
     return fasta.read_records(spark, path).select(F.col("header").alias("unitig"), "bases")
 
 
+@query("SELECT unitig, bases FROM uni", d.SQL_DNA, d.SQL_UNITIGS)
+def io_05_fasta_source(spark, sf_dir):
+    """Unitigs written and read by the data source, in partitions of 1 MB."""
+    path = scratch.new_path(spark, "fasta")
+    spark.dataSource.register(fasta_source.FastaSource)
+    d.unitigs(spark, sf_dir).select(F.col("unitig").alias("header"), "bases").write.format("fasta").mode("append").save(path)
+    return spark.read.format("fasta").option("split", 1 << 20).load(path).select(F.col("header").alias("unitig"), "bases")
+
+
 def _store(spark, sf_dir):
     """A store of all documents' k-mers in the shared folder."""
     name = scratch.new_path(spark, "store")
