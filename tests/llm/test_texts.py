@@ -269,3 +269,36 @@ def test_rows_without_an_id_are_scored(spark):
     for found in (secrets.scan(docs), licenses.scan(spark, docs), toxicity.score(spark, docs, labels), language_model.score(spark, docs)):
         assert sorted(str(r["doc_id"]) for r in found.collect()) == sorted(str(i) for i, _, _ in rows)
     assert toxicity.keep_clean(spark, docs, labels.limit(0)).count() == len(rows)
+
+
+def altered(rng, words, share):
+    """Words of which a share is replaced, left out, doubled or followed by another."""
+    out = []
+    for w in words:
+        kind = rng.random() / share
+        out += [w] if kind >= 1 else ([f"x{rng.randrange(99)}"], [], [w, w], [w, f"y{rng.randrange(99)}"])[int(kind * 4)]
+    return out
+
+
+def test_whole_license_texts_and_altered_copies(spark):
+    rng, names = random.Random(12), sorted(licenses.TEXTS)
+    rows, want = [], {}
+    for name in names:
+        words = licenses.TEXTS[name].split()
+        for share in [0, 0] + [0.08] * 20:
+            copy = altered(rng, words, share) if share else words
+            rows.append((len(rows), f"{sentence(rng, 30)}\n{' '.join(copy)}\n{sentence(rng, 30)}", "a"))
+            want[rows[-1][0]] = name, share
+    clean = [(10_000 + i, sentence(rng, 200), "a") for i in range(30)] + [(10_100, "the software and the license of this software, in no event", "a")]
+    got = {r["doc_id"]: (set(r["labels"].split(",")), r["score"]) for r in licenses.scan(spark, table(spark, rows + clean)).collect()}
+    for i, (name, share) in want.items():
+        if not share:
+            assert name in got[i][0] and got[i][1] == 1
+    # what one text is found in: itself, texts that hold it, and those with other words for the same license
+    alike = {"mit-text": {"mit-notice"}, "isc-text": {"isc"}, "bsd-2-clause-text": {"bsd-3-clause"}, "apache-2.0-notice": {"apache-2.0", "apache-2.0-header"}, "gpl-or-later-notice": {"gpl", "gpl-notice"}}
+    for i, (name, _) in want.items():
+        assert got[i][0] - {"", name} <= alike.get(name, set())
+    for name in names:
+        found = [name in got[i][0] for i, (n, share) in want.items() if n == name and share]
+        assert sum(found) >= 0.9 * len(found), (name, sum(found), len(found))
+    assert all(got[i][0] == {""} for i, _, _ in clean)
