@@ -50,7 +50,8 @@ TEMPLATES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
 }
 
-# Whole texts of licenses, without copyright lines and the numbers of lists. A text that another holds is found with it.
+# Long texts, without copyright lines and the numbers of lists: MIT, ISC, BSD 2 and zlib whole, BSL and Unlicense without their disclaimers,
+# the third clause of BSD 3, and the long notices of Apache and GPL (without its version). A text that another holds is found with it.
 TEXTS = {
     "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
