@@ -2,8 +2,10 @@
 
 Items are dealt to blocks of bounded size; Spark tasks build one automaton of each block's
 words, written out as arrays. Documents stream through one automaton at a time and the longest match
-that ends at each word is tracked. One block, which most benchmarks are, needs no shuffle; with
-more, the hits of each block are written out and documents meet them by the hash of their text.
+that ends at each word is tracked. One block, which most benchmarks are, needs no shuffle. With
+more, a filter of all windows' hashes goes first: documents that it rules out, nearly all of a corpus,
+meet no automaton and are not shuffled; the others are written out, stream through block after block, and
+meet the hits of all by the hash of their text. So the corpus is read twice, however many blocks there are.
 
 Defined cases: a null or empty text has no words and no hit; an item without words has no
 window; an item shorter than ``window`` words is one window; rows that repeat an item's id count as
@@ -30,6 +32,10 @@ from . import text as tx
 BLOCK_WORDS = 250_000
 #: Words of a long item that stay together; its parts overlap, so that each window is in one of them.
 PART_WORDS = 20_000
+#: Bits of the filter for each window at least, and in all at most (128 MB; more windows let more documents through, none is lost).
+WINDOW_BITS, MAX_FILTER_BITS = 32, 30
+#: Bits set for a window, and bits of a shard of the filter that one task makes.
+PROBES, SHARD_BITS = 8, 20
 
 
 class SuffixAutomaton:
@@ -231,11 +237,90 @@ def _item_parts(window: int):
     return run
 
 
-def automata(spark: SparkSession, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
-    """A row of arrays for each block of items, written out, and how many blocks there may be."""
+def item_parts(spark: SparkSession, benchmark: DataFrame, window: int = 10) -> tuple[DataFrame, int]:
+    """Parts of items as (item_id, n, words), written out, and their words in all."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     parts = scratch.keep(spark, items.mapInArrow(_item_parts(window), "item_id string, n long, words binary"), "items")
-    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return parts, parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+class WindowFilter:
+    """Which texts may hold a window of some item: bits set by the hashes of all windows, so that no such text is missed."""
+
+    def __init__(self, sizes: list[int], bits: int, table: np.ndarray) -> None:
+        self.sizes, self.bits, self.table = sizes, bits, table
+
+    @staticmethod
+    def probe(grams: np.ndarray, number: int, bits: int) -> np.ndarray:
+        return (grams + np.uint64(number) * (tx.mix(grams) | np.uint64(1))) >> np.uint64(64 - bits)
+
+    def holds(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For texts whose words begin at ``first``, whether one of their windows may be an item's."""
+        out = np.zeros(len(first) - 1, dtype=bool)
+        for size in self.sizes:
+            grams = tx.grams(hashes, size)
+            at = np.arange(len(grams))
+            for number in range(PROBES):
+                place = self.probe(grams, number, self.bits)
+                stay = self.table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+                grams, at = grams[stay], at[stay]
+            row = np.searchsorted(first, at, "right") - 1
+            out[row[at + size <= first[row + 1]]] = True
+        return out
+
+
+def _set_bits(window: int, bits: int):
+    """The filter's bits of a batch of parts, by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(w, np.uint64) for w in batch.column("words").to_pylist()]
+            grams = np.unique(np.concatenate([*[tx.grams(w, min(window, len(w))) for w in words], np.zeros(0, np.uint64)]))
+            place = np.unique(np.concatenate([WindowFilter.probe(grams, number, bits) for number in range(PROBES)]))
+            shard, low = (place >> np.uint64(SHARD_BITS)).astype(np.int64), (place & np.uint64((1 << SHARD_BITS) - 1)).astype("<u4")
+            lo = np.flatnonzero(np.diff(shard, prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(shard[lo]), pa.array([p.tobytes() for p in np.split(low, lo[1:])] if len(lo) else [], pa.binary())], ["shard", "places"])
+
+    return run
+
+
+def _shard(table: pa.Table) -> pa.Table:
+    own = np.zeros(1 << SHARD_BITS, dtype=bool)
+    for places in table.column("places").to_pylist():
+        own[np.frombuffer(places, "<u4")] = True
+    return pa.table({"shard": table.column("shard").slice(0, 1), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+
+def window_filter(parts: DataFrame, total: int, window: int = 10) -> WindowFilter:
+    """The filter of all windows of items with ``total`` words, made by tasks in shards of equal size."""
+    bits = min(MAX_FILTER_BITS, max(SHARD_BITS, int(WINDOW_BITS * total - 1).bit_length()))
+    sizes = sorted(r[0] for r in parts.select(F.least("n", F.lit(window))).distinct().collect())  # at most ``window`` rows
+    table = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    width = 1 << (SHARD_BITS - 3)
+    shards = parts.mapInArrow(_set_bits(window, bits), "shard long, places binary").groupBy("shard").applyInArrow(_shard, "shard long, bits binary")
+    for r in shards.toLocalIterator():  # 128 MB in all at most
+        table[r["shard"] * width : (r["shard"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+    return WindowFilter(sizes, bits, table)
+
+
+def _sieve(windows, wanted: bool):
+    """The rows that may hold a window, or those that cannot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = tx.utf8(batch.column("text"))
+            found = [np.zeros(0, dtype=bool)]
+            for lo, hi in tx.slices(at):
+                low, own = tx.LOWER[raw[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo]
+                starts, ends, first = tx.spans(low, own, tx.ALNUM)
+                found.append(windows.value.holds(tx.word_hashes(low, starts, ends), first))
+            yield batch.filter(pa.array(np.concatenate(found) == wanted))
+
+    return run
+
+
+def automata(spark: SparkSession, parts: DataFrame, total: int, window: int = 10, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
+    """A row of arrays for each block of items, written out, and how many blocks there may be."""
     blocks = max(1, -(-2 * total // block_words)) if total > block_words else 1  # twice as many as needed, as hashing deals unevenly
     dealt = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)))
 
@@ -291,28 +376,30 @@ def matched(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, finish:
     """What ``finish`` makes of documents and their matches; it gets batches of ``docs``, which has a column ``text``.
 
     A span is [first word, word after, first byte, byte after]; items are the sorted ids with windows
-    that occur. A block of items is one pass; only one block's automaton is broadcast at a time.
+    that occur. Only one block's automaton is broadcast at a time.
     """
     tx.small_batches(docs)
-    table, blocks = automata(spark, benchmark, window, block_words)
+    parts, total = item_parts(spark, benchmark, window)
+    table, blocks = automata(spark, parts, total, window, block_words)
     fetch = lambda i: [{k: v if k == "names" else bytes(v) for k, v in r.asDict().items() if k != "block"} for r in table.where(F.col("block") == i).collect()]  # noqa: E731  one row, bounded by block_words
     sent = lambda rows: spark.sparkContext.broadcast(rows[0]) if rows else None
-    if blocks > 1:
-        keyed = docs.select("text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
-        parts = []
-        for i in range(blocks - 1):
-            block = sent(fetch(i))
-            if block is not None:
-                parts.append(scratch.keep(spark, keyed.mapInArrow(_pass(block, _hits), "h1 long, h2 long, spans array<array<bigint>>, items array<string>"), "hits"))
-                block.destroy()
-        if parts:
-            all_hits = parts[0]
-            for p in parts[1:]:
-                all_hits = all_hits.union(p)
-            once = all_hits.distinct().groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("found_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("found_items"))
-            once = scratch.keep(spark, once, "found").withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
-            docs = docs.join(once, (F.xxhash64("text") == F.col("_h1")) & (F.xxhash64(F.lit(7), "text") == F.col("_h2")), "left").drop("_h1", "_h2")
-    return docs.mapInArrow(_pass(sent(fetch(blocks - 1)), finish), schema)
+    if blocks == 1:
+        return docs.mapInArrow(_pass(sent(fetch(0)), finish), schema)
+    windows = spark.sparkContext.broadcast(window_filter(parts, total, window))
+    clean = docs.mapInArrow(_sieve(windows, False), docs.schema).mapInArrow(_pass(None, finish), schema)
+    some = docs.mapInArrow(_sieve(windows, True), docs.schema).withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(7), "text")})
+    some = scratch.keep(spark, some, "suspects")
+    keyed = some.select("text", F.col("_h1").alias("h1"), F.col("_h2").alias("h2"))
+    hits = None
+    for i in range(blocks):
+        block = sent(fetch(i))
+        if block is not None:
+            own = scratch.keep(spark, keyed.mapInArrow(_pass(block, _hits), "h1 long, h2 long, spans array<array<bigint>>, items array<string>"), "hits")
+            hits = own if hits is None else hits.union(own)
+            block.destroy()
+    once = hits.distinct().groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("found_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("found_items"))
+    once = scratch.keep(spark, once, "found").withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
+    return clean.union(some.join(once, ["_h1", "_h2"], "left").drop("_h1", "_h2").mapInArrow(_pass(None, finish), schema))
 
 
 def _hit_words(spans: list) -> int:

@@ -196,6 +196,39 @@ def test_a_full_block_is_small():
     assert sum(len(v) for k, v in arrays.items() if k != "names") < 150 * len(words)
 
 
+@pytest.mark.parametrize("sizes", [[10], [1, 4, 10]])
+def test_filter_of_windows_misses_none_and_passes_few(spark, sizes):
+    rng = np.random.default_rng(9)
+    item = [rng.integers(0, 1 << 62, 400 if n == 10 else n, dtype=np.uint64) for n in sizes for _ in range(20)]
+    parts = spark.createDataFrame([(str(i), len(w), w.tobytes()) for i, w in enumerate(item)], "item_id string, n long, words binary")
+    made = decontaminate.window_filter(parts, sum(map(len, item)), 10)
+    assert made.sizes == sizes
+    clean = rng.integers(0, 1 << 62, (2000, 50), dtype=np.uint64)
+    assert made.holds(clean.ravel(), np.arange(0, clean.size + 1, 50)).sum() < 10
+    for w in item:
+        size = min(10, len(w))
+        cut = w[len(w) - size :]
+        texts = [clean[0], np.concatenate((clean[1], cut)), cut, clean[2], np.concatenate((cut[:-1], clean[3])), np.zeros(0, np.uint64)]
+        got = made.holds(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+        assert got.tolist()[:4] == [False, True, True, False] and not got[5]
+    # a window that reaches from one text into the next is in neither
+    w = item[-1]
+    assert made.holds(w[:10], np.array([0, 5, 10])).tolist() == [False, False]
+
+
+def test_documents_that_the_filter_rules_out_are_not_shuffled(spark, monkeypatch):
+    rows = [(i, f"clean {i} words that no item has at all", "a") for i in range(300)] + [(300, "x one two three four five six y", "a")]
+    items = spark.createDataFrame([(i, f"one two three four five six {i}") for i in range(30)], "item_id long, text string")
+    names = []
+    keep = decontaminate.scratch.keep
+    monkeypatch.setattr(decontaminate.scratch, "keep", lambda s, df, name: names.append((name, keep(s, df, name))) or names[-1][1])
+    out = decontaminate.contamination(spark, table(spark, rows), items, 6, 40)
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in out.collect() if r["n_hit"]} == {300: (6, 30)}
+    assert out.count() == 301
+    assert [df.count() for name, df in names if name == "suspects"] == [1]
+    assert sum(name == "hits" for name, _ in names) > 1
+
+
 def test_removed_spans(spark, odd, nothing):
     items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "only this")], "item_id long, text string")
     docs = table(spark, [(1, "x Alpha, beta gamma! y z w q r", "a"), (2, "Only this", "a"), (3, "clean text", "a"), (4, None, "a")])
