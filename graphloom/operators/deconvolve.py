@@ -25,13 +25,20 @@ from .topology import blackbox_vertices, degrees, self_loops
 Pathset = tuple[tuple[int, int], ...]
 
 
-def design_all_paths(spark: SparkSession, n: int, m: int) -> DataFrame:
-    """(row, col, value) of the 0/1 matrix with a column i * m + j for each path (i, j), rows i and n + j."""
-    cells = spark.range(n + m).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n * m - 1).cast("long"))).alias("col"))
-    hit = (F.floor(F.col("col") / m) == F.col("row")) | (F.col("col") % m + n == F.col("row"))
+def designs(shapes: DataFrame) -> DataFrame:
+    """(n, m, row, col, value) for shapes (n, m): 0/1 matrices with a column i * m + j for each path (i, j), rows i and n + j."""
+    cells = shapes.select("n", "m", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") + F.col("m") - 1).cast("long"))).alias("row"))
+    cells = cells.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") * F.col("m") - 1).cast("long"))))
+    j = F.col("col") % F.col("m")
+    hit = (raveled(F.col("row"), j, F.col("m")) == F.col("col")) | (j + F.col("n") == F.col("row"))
     return cells.withColumn("value", hit.cast("int"))
 
 
+def design_all_paths(spark: SparkSession, n: int, m: int) -> DataFrame:
+    """(row, col, value) of one shape."""
+    return designs(spark.range(1).select(F.lit(n).alias("n"), F.lit(m).alias("m"))).select("row", "col", "value")
+
+
 def raveled(i: Column, j: Column, m: Column) -> Column:
     return i * m + j
 

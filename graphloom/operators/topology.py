@@ -108,10 +108,16 @@ def weak_components(spark: SparkSession, graph: AssemblyGraph) -> DataFrame:
 
 
 def component_tables(spark: SparkSession, graph: AssemblyGraph) -> DataFrame:
-    """(component, vid, in_degree, out_degree, rank): each component's vertices by degrees, then id."""
+    """(component, vid, in_degree, out_degree, rank): each component's vertices by degrees, then id.
+
+    All vertices are numbered in one order by ranges, so a large component is the work of many tasks; its ranks
+    count from its first number.
+    """
     sub = unitig_subgraph(graph)
     table = weak_components(spark, sub).join(degrees(sub), "vid")
-    return table.withColumn("rank", F.row_number().over(Window.partitionBy("component").orderBy("in_degree", "out_degree", "vid")) - 1)
+    placed = scratch.keep(spark, scratch.numbered(spark, table, ["component", "in_degree", "out_degree", "vid"], "number", "component-tables"), "component-ranks")
+    first = placed.groupBy("component").agg(F.min("number").alias("first"))
+    return placed.join(first, "component").withColumn("rank", (F.col("number") - F.col("first")).cast("int")).drop("number", "first")
 
 
 def _doubled(spark: SparkSession, before: DataFrame) -> tuple[DataFrame, DataFrame]:

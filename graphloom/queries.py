@@ -359,14 +359,15 @@ ok AS (SELECT * FROM bx EXCEPT SELECT * FROM bad)""".replace("ON (ed.src = bx.a
 
 @query("SELECT a, b, c, d FROM ok", d.SQL_DNA, d.SQL_KMERS, d.SQL_DBG, _BOXES)
 def tp_16_motif_occurrences(spark, sf_dir):
-    """Occurrences of the induced 2x2 biclique (``topology.biclique`` is the pattern of TP-15)."""
+    """Occurrences of the induced 2x2 biclique."""
     return topology.blackboxes(d.dbg(spark, sf_dir))
 
 
 @query("SELECT a, b, c, d FROM ok", d.SQL_DNA, d.SQL_KMERS, d.SQL_DBG, _BOXES)
 def tp_15_motif_search(spark, sf_dir):
     """The same pattern by the general search."""
-    found = topology.motifs(d.dbg(spark, sf_dir), [(0, 2), (0, 3), (1, 2), (1, 3)])
+    pattern = [(r["src"], r["dst"]) for r in topology.biclique(spark, 2, 2).collect()]  # four edges
+    found = topology.motifs(d.dbg(spark, sf_dir), pattern)
     return found.select(*[F.element_at("vertices", i + 1).alias(c) for i, c in enumerate("abcd")])
 
 
@@ -610,9 +611,7 @@ sh AS (SELECT DISTINCT in_degree AS n, out_degree AS m FROM jc)"""
 def dc_01_design(spark, sf_dir):
     """Design matrices of the shapes that junctions have."""
     shapes = deconvolve.junction_classes(d.event_graph(spark, sf_dir)).select(F.col("in_degree").alias("n"), F.col("out_degree").alias("m")).distinct()
-    cells = shapes.select("n", "m", F.explode(F.sequence(F.lit(0), F.col("n") + F.col("m") - 1)).alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("n") * F.col("m") - 1)))
-    hit = (deconvolve.raveled(F.col("row"), F.col("col") % F.col("m"), F.col("m")) == F.col("col")) | (F.col("col") % F.col("m") + F.col("n") == F.col("row"))
-    return cells.withColumn("value", hit.cast("int"))
+    return deconvolve.designs(shapes)
 
 
 @query("SELECT vid, factorial(least(in_degree, out_degree)::INT) * pow(least(in_degree, out_degree), abs(in_degree - out_degree)) AS pathsets FROM jc", EVENTS, _CLASSES)

@@ -170,6 +170,79 @@ def test_models_fit_and_score(name):
         assert not MODELS[name](max_iter=2).fit(y, x).converged
 
 
+def zoomed(cost, lo, hi, points=11, shrink=0.5):
+    """Where a function of vectors is least, by ever finer grids around the best point so far."""
+    lo, hi = np.array(lo, float), np.array(hi, float)
+    best, half = (lo + hi) / 2, (hi - lo) / 2
+    while half.max() > 1e-9 * (1 + np.abs(best).max()):
+        axes = [np.linspace(b - h, b + h, points) for b, h in zip(best, half, strict=True)]
+        grid = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, len(best))
+        best, half = grid[np.argmin(cost(grid))], half * shrink
+    return best
+
+
+def normal(r, s):
+    return -((r / s) ** 2) / 2 - np.log(s * math.sqrt(2 * math.pi))
+
+
+def student(r, s, df=5.0):
+    return math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - np.log(s * math.sqrt(df * math.pi)) - (df + 1) / 2 * np.log(1 + (r / s) ** 2 / df)
+
+
+def laplace(r, s):
+    return -np.abs(r) / s - np.log(2 * s)
+
+
+def huber(r):
+    return np.where(np.abs(r) <= 1, r**2 / 2, np.abs(r) - 0.5)
+
+
+#: By model: what betas make least of an edge's residual, the density, whether all samples share a scale, the scale of the residuals.
+PLAIN = {
+    "Normal": (np.square, normal, False, lambda z: z), "NormalPooled": (np.square, normal, True, lambda z: z), "OffsetLogNormal": (np.square, normal, False, lambda z: np.log(z + 1)),
+    "Laplace": (np.abs, laplace, False, lambda z: z), "LaplacePooled": (np.abs, laplace, True, lambda z: z), "StudentsT": (np.square, student, False, lambda z: z), "Huber": (huber, normal, None, lambda z: z),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PLAIN))
+def test_fits_match_a_grid_search(name):
+    """Betas, scales and likelihood of three paths over five edges against grids of the plain formulas."""
+    rng = np.random.default_rng(12)
+    x = deconvolve.design(((0, 0), (1, 1), (2, 1)), 3, 2)
+    y = x @ rng.uniform(5, 30, (3, 2)) + rng.normal(0, 1.5, (5, 2))
+    loss, density, pooled, scaled = PLAIN[name]
+    fit = MODELS[name]().fit(y, x)
+    for s in range(2):
+        cost = lambda b, s=s: loss(scaled(y[:, s]) - scaled(np.maximum(b @ x.T, 0))).sum(-1)
+        best = zoomed(cost, [0] * 3, [60] * 3)
+        assert cost(fit.beta[:, s]) <= cost(best) * (1 + 1e-6)
+        if "Laplace" not in name:  # whose betas are not unique: any between the two edges of a path are as good
+            assert np.allclose(fit.beta[:, s], best, rtol=1e-4)
+    rest = scaled(y) - scaled(x @ fit.beta)
+    groups = [] if pooled is None else [rest.ravel()] if pooled else list(rest.T)
+    scales = [math.exp(zoomed(lambda t, r=r: -density(r, np.exp(t)).sum(-1), [-6], [6])[0]) for r in groups] or [1.0]
+    assert np.allclose(fit.scale.ravel(), np.resize(scales, 2), rtol=1e-5)
+    assert fit.loglik == pytest.approx(density(rest, np.resize(scales, 2)).sum(), rel=1e-6)
+    assert fit.n_params == 6 + len(groups)
+
+
+def test_scaled_noise_is_at_a_maximum():
+    """The scale s0 + s1 mu, both positive, and the betas: no step away from the fit gains anything."""
+    rng = np.random.default_rng(12)
+    x = deconvolve.design(((0, 0), (1, 1), (2, 1)), 3, 2)
+    y = x @ rng.uniform(5, 30, (3, 4)) + rng.normal(0, 1.5, (5, 4))
+    fit = MODELS["NormalScaled2"]().fit(y, x)
+    mu = x @ fit.beta
+    s1, s0 = np.polyfit(mu.ravel(), fit.scale.ravel(), 1)
+    assert np.allclose(s0 + s1 * mu, fit.scale) and s0 > -1e-6 and s1 > -1e-6
+    at = lambda beta, a, b: normal(y - x @ beta, a + b * (x @ beta)).sum()
+    assert fit.loglik == pytest.approx(at(fit.beta, s0, s1), rel=1e-6)
+    for _ in range(300):
+        size = 10.0 ** rng.uniform(-4, -1)
+        beta, a, b = fit.beta * (1 + size * rng.normal(size=fit.beta.shape)), s0 * math.exp(size * rng.normal()), s1 * math.exp(size * rng.normal())
+        assert at(beta, a, b) <= fit.loglik + 1e-3
+
+
 def test_search_finds_the_true_paths():
     rng = np.random.default_rng(0)
     beta = rng.uniform(10, 200, (2, 4))

@@ -9,8 +9,8 @@ from graphloom import queries
 SF = "/root/testdata/sf0.001"
 TABLES = ("events", "documents", "embeddings")
 #: One or two of each kind; all of them run at a larger size outside of the tests.
-NAMES = """sq_05_iter_kmers sq_06_dbg_edges io_04_link_edges io_08_mean_sequence_depth io_12_load_job tp_01_degrees tp_07_unitig_paths tp_12_shortest_distance tp_17_blackbox_vertices
-rw_03_batch_split rw_06_batch_merge rw_13_vector_depth fl_03_estimate_flow fl_07_depth_from_flow dc_07_enumerated_pathsets dc_13_problems rs_06_deduplicate rs_08_validate_twins rs_13_segment_positions
+NAMES = """sq_05_iter_kmers sq_06_dbg_edges io_04_link_edges io_08_mean_sequence_depth io_12_load_job tp_01_degrees tp_05_component_tables tp_07_unitig_paths tp_12_shortest_distance tp_17_blackbox_vertices
+rw_03_batch_split rw_06_batch_merge rw_13_vector_depth fl_03_estimate_flow fl_07_depth_from_flow dc_01_design dc_07_enumerated_pathsets dc_13_problems rs_06_deduplicate rs_08_validate_twins rs_13_segment_positions
 st_02_degree_stats cl_05_metadata ap_02_focus_job ap_05_info_job""".split()
 
 
