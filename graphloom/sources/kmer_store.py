@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .. import scratch
 from . import kmer_depth
 
 MAX_K = 31
@@ -122,8 +123,13 @@ def depths(spark: SparkSession, store: KmerStore, unitigs: DataFrame, samples: S
 
     Every unitig of k bases or more has a depth in each sample; unitigs that rows repeat count as one with all their k-mers.
     """
-    tally = packed_kmers(unitigs, store.k, unitig, bases).select(F.col("key").alias("unitig"), "kmer", F.col("n").alias("m"))
-    sums = tally.join(store.counts(spark), "kmer").groupBy("unitig", "sample").agg(F.sum(F.col("m") * F.col("n")).alias("total"))
-    size = unitigs.groupBy(F.col(unitig).alias("unitig")).agg(F.sum(F.greatest(F.length(bases) - (store.k - 1), F.lit(0))).alias("n_kmers")).where("n_kmers > 0")
-    grid = size.withColumn("sample", F.explode(F.array(*map(F.lit, samples))))
-    return grid.join(sums, ["unitig", "sample"], "left").select("unitig", "sample", (F.coalesce("total", F.lit(0)) / F.col("n_kmers")).alias("depth"))
+    named = scratch.keep(spark, unitigs.select(F.monotonically_increasing_id().alias("who"), F.col(unitig).alias("unitig"), F.col(bases).alias("bases")), "unitigs")
+    columns = [f"n{i}" for i in range(len(samples))]
+    # a k-mer's counts are one row, so a unitig's k-mer comes back once, under the unitig's number
+    wide = store.counts(spark).groupBy("kmer").agg(*[F.sum(F.when(F.col("sample") == F.lit(s), F.col("n"))).alias(c) for s, c in zip(samples, columns, strict=True)])
+    tally = packed_kmers(named, store.k, "who").select(F.col("key").alias("who"), "kmer", F.col("n").alias("m"))
+    sums = tally.join(wide, "kmer").groupBy("who").agg(*[F.sum(F.col("m") * F.col(c)).alias(c) for c in columns])
+    size = named.select("who", "unitig", F.greatest(F.length("bases") - (store.k - 1), F.lit(0)).alias("n_kmers")).where("n_kmers > 0")
+    whole = size.join(sums, "who", "left").groupBy("unitig").agg(F.sum("n_kmers").alias("n_kmers"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(c).alias("total")) for s, c in zip(samples, columns, strict=True)]))
+    return whole.select("unitig", "n_kmers", each.alias("e")).select("unitig", "e.sample", (F.col("e.total") / F.col("n_kmers")).alias("depth"))
