@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import build, dbg, deconvolve, topology
 from graphloom.sources import stretches
 
 OTHER = str.maketrans("ACGT", "TGCA")
@@ -54,3 +55,22 @@ def test_strands_of_packed_counts(spark):
     assert Counter(map(tuple, stretches.check_strands(turned, k, 3).collect())) == Counter(map(tuple, counts.collect()))
     with pytest.raises(Exception, match="both strands present"):
         stretches.check_strands(counts.union(turned), k, 3).collect()
+
+
+@pytest.mark.parametrize("k", [3, 4, 6])
+def test_packed_graph_is_the_graph_of_texts(spark, monkeypatch, k):
+    monkeypatch.setattr(stretches, "PIECE", 100)
+    rows = [x for x in some_sequences(k, "ACGT") if x[1]][: 6 * k] + [("a", "ACGTACGT"[:k]), ("a", "A" * 50), ("a", "AC" * 20)]
+    if k == 6:
+        rows = [(s, b[:90]) for s, b in rows]
+    df = spark.createDataFrame(rows, "sample string, bases string")
+    text, packed = build.annotated_dbg(df, k), dbg.overlaps(df, k)
+    got = lambda x, *c: sorted(map(tuple, stretches.spelled(x, k, *c).collect()))
+    want = lambda x: sorted(map(tuple, x.collect()))
+    assert got(packed.edges(), "src", "dst") == want(text.edges)
+    v = packed.graph().vertices.select("vid", F.element_at("depth", 1))
+    assert got(v, "vid") == want(text.vertices.select("vid", F.element_at("depth", 1)))
+    assert got(packed.boxes(), *"abcd") == want(topology.blackboxes(text))
+    assert got(packed.box_vertices(), "vid") == want(topology.blackbox_vertices(text))
+    assert got(packed.self_loops(), "vid") == want(topology.self_loops(text))
+    assert got(packed.identifiable_junctions(), "vid") == want(deconvolve.without_unidentifiable(text, topology.junctions(text)))
