@@ -394,3 +394,10 @@ def test_large_sets_and_blocks_give_the_same_flows(spark, monkeypatch):
                 if np.sqrt(delta @ delta) / dd.sum() < 2e-2:
                     break
         assert [results[0][0][a, b, s] for a, b in edges] == pytest.approx(f.tolist())
+
+
+def test_low_flow_edges_do_not_depend_on_the_order_of_a_sum(spark):
+    parts = [(1, 2, i, x) for i, x in enumerate([0.1, 0.2, 0.3, 59.4])]  # 59.99999999999999 or 60, as they are added
+    for rows in (parts, parts[::-1], [(1, 2, 0, 59.99999999999999)]):
+        assert flow.low_flow_edges(spark.createDataFrame(rows, "src long, dst long, sample int, flow double").coalesce(1), 60).count() == 1
+    assert flow.low_flow_edges(spark.createDataFrame([(1, 2, 0, 59.99999)], "src long, dst long, sample int, flow double"), 60).count() == 0
