@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import queries
 from graphloom.jobs import apps
 from graphloom.model import AssemblyGraph, validate
 from graphloom.operators import results, rewrite, topology
@@ -272,6 +273,8 @@ def test_twins_and_positions(spark):
     data = results.vertex_data(g)
     same = {(r["vid"], r["twin"]): r["same"] for r in results.twin_differences(results.twins(v), data).collect()}
     assert same[0, 1] and not same[1, 2]
+    compared = results.compared_twins(data)
+    assert {(r["vid"], r["twin"]): r["same"] for r in compared.collect()} == same
     deep = {tuple(r["vertices"]): (r["vid"], r["total_depth"]) for r in results.deduplicate(data).collect()}
     assert deep == {(0, 2): (2, 4.0), (1,): (1, 1.0)}
     lengths = spark.createDataFrame([("1+", 5), ("2-", 7), ("2+", 7), ("1-", 5)], "segment string, length long")
@@ -279,6 +282,12 @@ def test_twins_and_positions(spark):
     assert at[0, "1+"] == (0, 7) and at[0, "2-"] == (5, 14)
 
 
+def test_pairs_of_twins_are_not_shuffled(spark):
+    """Above the join by segments, which makes the pairs, nothing is exchanged or joined."""
+    plan = queries.QUERIES["rs_08_validate_twins"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1 and "[segments" in next(line for line in plan.splitlines() if "Join" in line)
+
+
 def test_contraction_of_a_long_path(spark):
     """A path of 10^6 vertices with shuffled ids: few rounds, and the table of links shrinks in each."""
     n = 1_000_000
