@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..model import AssemblyGraph
-from .branch import Search
+from .branch import TIE, Search
 from .models import MODELS, Model, criterion
 from .topology import blackbox_vertices, degrees, self_loops
 
@@ -181,11 +181,11 @@ class Problem:
             sides = [balanced(f, np.asarray(row["depth"], float)) for f in sides]
         self.sides, self.names = sides, names
 
-    def decide(self, paths: Pathset, model: Model) -> dict:
-        """The decision for some paths, with the numbers that the gates and reports ask for."""
+    def decide(self, paths: Pathset, model: Model, known: tuple[np.ndarray, bool] | None = None) -> dict:
+        """The decision for some paths, with the numbers that the gates and reports ask for; with betas, if they are known."""
         n, m = map(len, self.names)
         x, y = design(paths, n, m), np.concatenate(self.sides)
-        fit = model.fit(y, x)
+        fit = model.fit(y, x) if known is None else model.fitted(y, x, *known)
         residual = y - x @ fit.beta
         ends = [(self.names[0][i], self.names[1][j]) for i, j in paths]
         return {
@@ -197,6 +197,64 @@ class Problem:
         }
 
 
+class Alike:
+    """Problems of equal shape, whose candidates are all fitted together, star by star."""
+
+    def __init__(self, problems: list[Problem], model: Model) -> None:
+        self.n, self.m = map(len, problems[0].names)
+        self.sides = [np.stack([p.sides[s] for p in problems]) for s in (0, 1)]
+        self.model, self.stars = model, {}
+        self.candidates = sorted(minimal_pathsets(self.n, self.m))
+
+    def groups(self, paths: Pathset) -> dict[int, list[int]]:
+        """The longer side's edges of each edge of the shorter side."""
+        out: dict[int, list[int]] = {}
+        for i, j in paths:
+            short, long = (j, i) if self.n >= self.m else (i, j)
+            out.setdefault(short, []).append(long)
+        return out
+
+    def star(self, j: int, edges: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Betas of a group in all problems, which converged, and what it leaves unexplained."""
+        if (j, edges) not in self.stars:
+            long, short = self.sides if self.n >= self.m else self.sides[::-1]
+            y, hub = long[:, list(edges)], short[:, j]
+            beta, converged = self.model.star_betas(hub, y)
+            rest = np.concatenate([self.model.statistic(y, beta), self.model.statistic(hub, beta.sum(1))[:, None]], axis=1)
+            self.stars[j, edges] = beta, converged, rest.sum(1, keepdims=True) if self.model.additive else rest
+        return self.stars[j, edges]
+
+    def likelihoods(self) -> np.ndarray:
+        """Problems x candidates."""
+        rests = [np.concatenate([self.star(j, tuple(g))[2] for j, g in sorted(self.groups(c).items())], axis=1) for c in self.candidates]
+        if not self.model.additive:  # a model with its own search for a scale looks at one problem at a time
+            return np.array([[self.model.loglik_of(r[i : i + 1], self.n + self.m)[0] for r in rests] for i in range(len(rests[0]))])
+        return np.stack([self.model.loglik_of(r, self.n + self.m) for r in rests], axis=1)
+
+    def betas(self, row: int, paths: Pathset) -> tuple[np.ndarray, bool]:
+        """Betas of a candidate's paths in one problem, and whether they converged."""
+        at, ok = {p: i for i, p in enumerate(paths)}, True
+        out = np.zeros((len(paths), self.sides[0].shape[2]))
+        for j, edges in self.groups(paths).items():
+            beta, converged, _ = self.star(j, tuple(edges))
+            out[[at[(e, j) if self.n >= self.m else (j, e)] for e in edges]] = beta[row]
+            ok = ok and bool(converged[row])
+        return out, ok
+
+    def best(self, score: str) -> Iterator[tuple[Pathset, float]]:
+        """Each problem's best candidate and its margin to the second best; of equal ones the last in order."""
+        edges, samples = self.n + self.m, self.sides[0].shape[2]
+        k = self.model.n_params(max(self.n, self.m), samples)
+        for values in self.likelihoods().tolist():
+            values = [-math.inf if math.isnan(v) else v for v in (criterion(score, v, k, edges * samples) for v in values)]
+            top = max(values)
+            if not math.isfinite(top):
+                yield self.candidates[max(i for i, v in enumerate(values) if v == top)], -math.inf
+                continue
+            at = max(i for i, v in enumerate(values) if v >= top - TIE * (1 + abs(top)))
+            yield self.candidates[at], top - max((v for i, v in enumerate(values) if i != at), default=-math.inf)
+
+
 SOLVED = """junction long, score_margin double, converged boolean, completeness double, excess_paths int, relative_stderr array<array<double>>, absolute_stderr array<array<double>>,
 left array<long>, right array<long>, path_depth array<array<double>>, loglik double, num_params int, rmse double, mae double"""
 
@@ -207,12 +265,25 @@ BLOCK, DEALT = 64, 4096
 def solve(spark: SparkSession, found: DataFrame, model: str = "Default", score: str = "bic", balance: bool = True, swap: bool = True, **settings) -> DataFrame:
     """The decision for each problem: the best of all minimal pathsets, and its margin to the second best.
 
-    Both are exact, by branch and bound; a junction of many candidates is as many rows of work as its larger edge has
-    partners. A model that is fitted to all edges at once has no bound: its candidates are fitted one by one, in blocks.
-    Candidates of equal scores are told apart by the order of the search, which is the same in every run.
+    Both are exact. Junctions of few candidates are solved where they are, those of equal shape together; others by branch
+    and bound, as many rows of work as the junction's larger edge has partners. A model that is fitted to all edges at once
+    has no bound: its candidates are fitted one by one, in blocks. Candidates of equal scores are told apart by their order
+    or that of the search, which are the same in every run.
     """
     separable = MODELS[model](**settings).separable
 
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fitted = MODELS[model](**settings)
+        for batch in batches:
+            shapes: dict[tuple[int, ...], list[tuple[int, Problem]]] = {}
+            for r in batch.to_dict("records"):
+                p = Problem(r, balance, swap)
+                shapes.setdefault((*map(len, p.names), p.sides[0].shape[1]), []).append((r["junction"], p))
+            for rows in shapes.values():
+                alike = Alike([p for _, p in rows], fitted)
+                best = enumerate(zip(rows, alike.best(score), strict=True))
+                yield pd.DataFrame([{"junction": j, "score_margin": float(margin), **p.decide(paths, fitted, alike.betas(i, paths))} for i, ((j, p), (paths, margin)) in best])
+
     def top_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fitted = MODELS[model](**settings)
         for batch in batches:
@@ -223,7 +294,7 @@ def solve(spark: SparkSession, found: DataFrame, model: str = "Default", score:
                 y = np.concatenate(p.sides)
                 if separable:
                     k = fitted.n_params(max(n, m), y.shape[1])
-                    top = [(criterion(score, ll, k, y.size), paths) for ll, paths in Search(*p.sides, fitted).run(None if r["work"] < 0 else int(r["work"]))]
+                    top = [(criterion(score, ll, k, y.size), paths) for ll, paths in Search(*p.sides, fitted).run(int(r["work"]))]
                 else:
                     some = range(int(r["work"]) * BLOCK, min((int(r["work"]) + 1) * BLOCK, int(r["candidates"])))
                     top = sorted(((_scored(y, c, n, m, fitted, score), c) for c in (nth_pathset(i, n, m) for i in some)), key=lambda t: -t[0])[:2]
@@ -241,10 +312,19 @@ def solve(spark: SparkSession, found: DataFrame, model: str = "Default", score:
             if rows:
                 yield pd.DataFrame(rows)
 
-    sized = found.withColumn("candidates", n_minimal_pathsets(F.size("in_nb"), F.size("out_nb")))
+    candidates = n_minimal_pathsets(F.size("in_nb"), F.size("out_nb"))
+    solved = None
+    if separable:
+        found = scratch.keep(spark, found, "problems")
+        few, found = found.where(candidates <= BLOCK), found.where(candidates > BLOCK)
+        # as many tasks as there are cores, and more: rows are few bytes but much work
+        solved = few.repartition(4 * spark.sparkContext.defaultParallelism, "junction").mapInPandas(together, SOLVED)
+        if found.isEmpty():
+            return solved
+    sized = found.withColumn("candidates", candidates)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
     if separable:
-        work = sized.withColumn("work", F.explode(F.when(F.col("candidates") <= BLOCK, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.least(F.size("in_nb"), F.size("out_nb")).cast("long") - 1))))
+        work = sized.withColumn("work", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.size("in_nb"), F.size("out_nb")).cast("long") - 1)))
     else:  # in two steps, so that no row ever holds a list of all blocks
         blocks = F.ceil(F.col("candidates") / BLOCK)
         work = sized.withColumn("_some", upto(F.ceil(blocks / DEALT))).withColumn("work", F.explode(F.sequence(F.col("_some") * DEALT, F.least((F.col("_some") + 1) * DEALT, blocks.cast("long")) - 1))).drop("_some")
@@ -253,7 +333,8 @@ def solve(spark: SparkSession, found: DataFrame, model: str = "Default", score:
     # two rows of a row of work at most reach a junction's aggregate, whose state is one struct
     top = fits.groupBy("junction").agg(F.max(F.struct("value", "paths")).alias("top")).select("junction", F.col("top.value").alias("best"), F.col("top.paths").alias("paths"))
     second = fits.join(top.withColumnRenamed("paths", "chosen"), "junction").where(F.col("paths") != F.col("chosen")).groupBy("junction").agg(F.max("value").alias("second"))
-    return found.join(top, "junction").join(second, "junction", "left").fillna({"second": -math.inf}).mapInPandas(decide, SOLVED)
+    searched = found.join(top, "junction").join(second, "junction", "left").fillna({"second": -math.inf}).mapInPandas(decide, SOLVED)
+    return searched if solved is None else solved.union(searched)
 
 
 def identifiable(relative: float, absolute: float) -> Column:

@@ -99,3 +99,30 @@ def test_query_equals_enumeration_over_a_whole_table(spark):
         assert criterion("bic", got["loglik"], k, y.size) == pytest.approx(top, rel=1e-6, abs=1e-6)
         if np.isfinite(margin):
             assert got["score_margin"] == pytest.approx(margin, rel=1e-4, abs=1e-5 * (1 + abs(top)))
+
+
+@pytest.mark.parametrize("name", ["Default", "NormalPooled", "Laplace", "StudentsT"])
+def test_junctions_of_equal_shape_are_fitted_together_as_by_themselves(name):
+    rng, model = np.random.default_rng(5), MODELS[name]()
+    for n, m in [(1, 2), (2, 2), (3, 2), (2, 4)]:
+        rows = [{"in_nb": [*range(n)], "out_nb": [*range(m)], "in_flows": rng.gamma(1, 20, (n, 3)), "out_flows": rng.gamma(1, 20, (m, 3)), "depth": rng.gamma(2, 20, 3)} for _ in range(5)]
+        problems = [deconvolve.Problem(r, True, True) for r in rows]
+        for shape in {tuple(map(len, p.names)) for p in problems}:
+            some = [p for p in problems if tuple(map(len, p.names)) == shape]
+            alike = deconvolve.Alike(some, model)
+            for i, (paths, margin) in enumerate(alike.best("bic")):
+                every = deconvolve.exhaustive(*some[i].sides, model)
+                best, top, lead = deconvolve.best_of(every)
+                assert every[paths] == pytest.approx(top, rel=1e-6) and margin == pytest.approx(lead, rel=1e-4, abs=1e-5 * (1 + abs(top)))
+                assert some[i].decide(paths, model, alike.betas(i, paths))["loglik"] == pytest.approx(some[i].decide(best, model)["loglik"], rel=1e-6)
+
+
+def test_many_small_junctions_take_little_time_each():
+    """4000 junctions, two edges by two and four samples: one by one they took over a minute."""
+    rng, model = np.random.default_rng(6), MODELS["Default"]()
+    begun = time.process_time()
+    rows = [{"in_nb": [0, 1], "out_nb": [2, 3], "in_flows": rng.gamma(1, 20, (2, 4)), "out_flows": rng.gamma(1, 20, (2, 4)), "depth": rng.gamma(2, 20, 4)} for _ in range(4000)]
+    problems = [deconvolve.Problem(r, True, True) for r in rows]
+    alike = deconvolve.Alike(problems, model)
+    decided = [p.decide(paths, model, alike.betas(i, paths)) for i, (p, (paths, _)) in enumerate(zip(problems, alike.best("bic"), strict=True))]
+    assert len(decided) == 4000 and time.process_time() - begun < 20
