@@ -401,3 +401,20 @@ def test_low_flow_edges_do_not_depend_on_the_order_of_a_sum(spark):
     for rows in (parts, parts[::-1], [(1, 2, 0, 59.99999999999999)]):
         assert flow.low_flow_edges(spark.createDataFrame(rows, "src long, dst long, sample int, flow double").coalesce(1), 60).count() == 1
     assert flow.low_flow_edges(spark.createDataFrame([(1, 2, 0, 59.99999)], "src long, dst long, sample int, flow double"), 60).count() == 0
+
+
+def test_a_pass_writes_one_table(spark, monkeypatch):
+    """Samples that stop in different passes make their rounds once more within the others' next pass."""
+    written, keep = [], flow.scratch.keep
+    monkeypatch.setattr(flow.scratch, "keep", lambda spark, df, name: written.append(name) or keep(spark, df, name))
+    monkeypatch.setattr(flow, "PASS", 4)
+    edges, d, lengths = [(0, 2), (1, 2), (2, 3), (2, 4)], np.array([[10.0, 2], [1, 1], [5, 3], [2, 1], [1, 2]]), [1, 5, 2, 7, 3]
+    big = 2**60 + 1  # ids that doubles cannot tell apart
+    v = spark.createDataFrame([(big + i, lengths[i], d[i].tolist()) for i in range(5)], "vid long, length long, depth array<double>")
+    e = spark.createDataFrame([(big + a, big + b) for a, b in edges], "src long, dst long")
+    found, losses = flow.estimate(spark, e, v.select("vid", "length"), flow.long_depths(v), eps=0.0, max_iter=6, if_not_converged="ignore")
+    got = {(r["src"] - big, r["dst"] - big, r["sample"]): r["flow"] for r in found.collect()}
+    for s in (0, 1):
+        want = plain_flow(edges, d[:, s], lengths, 6)
+        assert [got[*k, s] for k in edges] == pytest.approx([want[k] for k in edges]) and len(losses[s]) == 12
+    assert written.count("pass") == 4 and not {"flow", "state"} & set(written)  # 4 and 2 rounds with either weights

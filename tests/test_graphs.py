@@ -334,3 +334,19 @@ def test_a_hub_of_many_sources(spark):
     n = 100_000
     edges = spark.range(n).select(F.col("id").alias("src"), F.explode(F.array(*[F.lit(n + i).cast("long") for i in range(3)])).alias("dst"))
     assert topology.blackbox_vertices(AssemblyGraph(None, edges)).count() == n + 3
+
+
+def test_few_vertices_are_followed_in_one_task(spark, monkeypatch):
+    """Components and paths of a small graph take one round; they are those of the rounds over the cluster."""
+    ids = [f"v{i * 7 % 31:02}" for i in range(31)]
+    pairs = [(ids[i], ids[i + 1]) for i in range(30) if i not in (9, 14, 22)] + [(ids[22], ids[15]), (ids[24], ids[29])]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    graph = AssemblyGraph(spark.createDataFrame([(i, 1) for i in ids], "vid string, length int"), edges)
+    results = []
+    for few in (topology.FEW, 0):
+        monkeypatch.setattr(topology, "FEW", few)
+        sizes = []
+        topology.contracted(spark, topology.backlinked(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")), sizes)
+        parts = sorted(map(tuple, topology.weak_components(spark, graph).collect()))
+        results.append((parts, sorted(map(tuple, topology.unitig_paths(spark, graph).collect())), len(sizes)))
+    assert results[0][:2] == results[1][:2] and results[0][2] == 1 < results[1][2]
