@@ -202,7 +202,7 @@ class Alike:
 
     def __init__(self, problems: list[Problem], model: Model) -> None:
         self.n, self.m = map(len, problems[0].names)
-        self.sides = [np.stack([p.sides[s] for p in problems]) for s in (0, 1)]
+        self.problems, self.sides = problems, [np.stack([p.sides[s] for p in problems]) for s in (0, 1)]
         self.model, self.stars = model, {}
         self.candidates = sorted(minimal_pathsets(self.n, self.m))
 
@@ -231,28 +231,56 @@ class Alike:
             return np.array([[self.model.loglik_of(r[i : i + 1], self.n + self.m)[0] for r in rests] for i in range(len(rests[0]))])
         return np.stack([self.model.loglik_of(r, self.n + self.m) for r in rests], axis=1)
 
-    def betas(self, row: int, paths: Pathset) -> tuple[np.ndarray, bool]:
-        """Betas of a candidate's paths in one problem, and whether they converged."""
-        at, ok = {p: i for i, p in enumerate(paths)}, True
-        out = np.zeros((len(paths), self.sides[0].shape[2]))
+    def betas(self, rows: int | np.ndarray, paths: Pathset) -> tuple[np.ndarray, np.ndarray]:
+        """Betas of a candidate's paths in one or some problems, and which of these converged."""
+        at, ok = {p: i for i, p in enumerate(paths)}, np.ones(np.shape(rows), bool)
+        out = np.zeros((*np.shape(rows), len(paths), self.sides[0].shape[2]))
         for j, edges in self.groups(paths).items():
             beta, converged, _ = self.star(j, tuple(edges))
-            out[[at[(e, j) if self.n >= self.m else (j, e)] for e in edges]] = beta[row]
-            ok = ok and bool(converged[row])
+            out[..., [at[(e, j) if self.n >= self.m else (j, e)] for e in edges], :] = beta[rows]
+            ok = ok & converged[rows]
         return out, ok
 
     def best(self, score: str) -> Iterator[tuple[Pathset, float]]:
-        """Each problem's best candidate and its margin to the second best; of equal ones the last in order."""
+        """``chosen`` with the candidates themselves."""
+        return ((self.candidates[at], float(margin)) for at, margin in zip(*self.chosen(score), strict=True))
+
+    def chosen(self, score: str) -> tuple[np.ndarray, np.ndarray]:
+        """Each problem's best candidate, by number, and its margin to the second best; of equal ones the last in order."""
         edges, samples = self.n + self.m, self.sides[0].shape[2]
-        k = self.model.n_params(max(self.n, self.m), samples)
-        for values in self.likelihoods().tolist():
-            values = [-math.inf if math.isnan(v) else v for v in (criterion(score, v, k, edges * samples) for v in values)]
-            top = max(values)
-            if not math.isfinite(top):
-                yield self.candidates[max(i for i, v in enumerate(values) if v == top)], -math.inf
-                continue
-            at = max(i for i, v in enumerate(values) if v >= top - TIE * (1 + abs(top)))
-            yield self.candidates[at], top - max((v for i, v in enumerate(values) if i != at), default=-math.inf)
+        loglik = self.likelihoods()
+        values = np.broadcast_to(criterion(score, loglik, self.model.n_params(max(self.n, self.m), samples), edges * samples), loglik.shape)
+        values = np.where(np.isnan(values), -math.inf, values)
+        top = values.max(1, keepdims=True)
+        clear = np.isfinite(top)
+        equal = np.where(clear, values >= top - TIE * (1 + np.abs(np.where(clear, top, 0))), values == top)
+        at = values.shape[1] - 1 - np.argmax(equal[:, ::-1], axis=1)
+        others = values.copy()
+        others[np.arange(len(at)), at] = -math.inf
+        margin = np.full(len(at), -math.inf)
+        np.subtract(top[:, 0], others.max(1), out=margin, where=clear[:, 0])
+        return at, margin
+
+    def decided(self, score: str) -> Iterator[tuple[np.ndarray, dict[str, list]]]:
+        """Rows of problems and their decisions' columns, the problems with equal candidates together."""
+        chosen, margins = self.chosen(score)
+        for c in np.unique(chosen):
+            rows, paths = np.flatnonzero(chosen == c), self.candidates[c]
+            beta, ok = self.betas(rows, paths)
+            y = np.concatenate([s[rows] for s in self.sides], axis=1)
+            x = design(paths, self.n, self.m)
+            mu = x @ beta
+            stderr, loglik = self.model.finished(y, x, beta, mu)
+            residual = y - mu
+            i, j = (list(k) for k in zip(*paths, strict=True))
+            yield rows, {
+                "score_margin": margins[rows].tolist(), "converged": ok.tolist(), "completeness": [float((x.sum(1) > 0).mean())] * len(rows), "excess_paths": [len(paths) - max(self.n, self.m)] * len(rows),
+                "relative_stderr": (stderr / (np.abs(beta) + 1)).tolist(), "absolute_stderr": stderr.tolist(),
+                "left": [[p.names[1][b] for b in j] if p.swapped else [p.names[0][a] for a in i] for p in (self.problems[r] for r in rows)],
+                "right": [[p.names[0][a] for a in i] if p.swapped else [p.names[1][b] for b in j] for p in (self.problems[r] for r in rows)],
+                "path_depth": np.maximum(beta, 0).tolist(), "loglik": loglik.tolist(), "num_params": [self.model.n_params(len(paths), y.shape[2])] * len(rows),
+                "rmse": np.sqrt(np.mean(residual**2, axis=(1, 2))).tolist(), "mae": np.mean(np.abs(residual), axis=(1, 2)).tolist(),
+            }
 
 
 SOLVED = """junction long, score_margin double, converged boolean, completeness double, excess_paths int, relative_stderr array<array<double>>, absolute_stderr array<array<double>>,
@@ -280,9 +308,8 @@ def solve(spark: SparkSession, found: DataFrame, model: str = "Default", score:
                 p = Problem(r, balance, swap)
                 shapes.setdefault((*map(len, p.names), p.sides[0].shape[1]), []).append((r["junction"], p))
             for rows in shapes.values():
-                alike = Alike([p for _, p in rows], fitted)
-                best = enumerate(zip(rows, alike.best(score), strict=True))
-                yield pd.DataFrame([{"junction": j, "score_margin": float(margin), **p.decide(paths, fitted, alike.betas(i, paths))} for i, ((j, p), (paths, margin)) in best])
+                for some, columns in Alike([p for _, p in rows], fitted).decided(score):
+                    yield pd.DataFrame({"junction": [rows[i][0] for i in some], **columns})
 
     def top_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fitted = MODELS[model](**settings)

@@ -126,3 +126,26 @@ def test_many_small_junctions_take_little_time_each():
     alike = deconvolve.Alike(problems, model)
     decided = [p.decide(paths, model, alike.betas(i, paths)) for i, (p, (paths, _)) in enumerate(zip(problems, alike.best("bic"), strict=True))]
     assert len(decided) == 4000 and time.process_time() - begun < 20
+
+
+@pytest.mark.parametrize("name", ["Default", "NormalPooled", "StudentsT", "Laplace"])
+def test_decisions_made_together_are_those_made_one_by_one(name):
+    """Columns of many junctions at once; one of them has an empty sample."""
+    rng, model = np.random.default_rng(5), MODELS[name]()
+    for n, m in ((2, 2), (1, 3), (3, 2)):
+        rows = [{"in_nb": list(range(n)), "out_nb": list(range(9, 9 + m)), "in_flows": rng.uniform(0, 60, (n, 3)).tolist(), "out_flows": rng.uniform(0, 60, (m, 3)).tolist(), "depth": [9.0, 5.0, 30.0]} for _ in range(12)]
+        for side in ("in_flows", "out_flows"):
+            rows[3][side] = [[a, b, 0.0] for a, b, _ in rows[3][side]]
+        every = [deconvolve.Problem(r, True, True) for r in rows]
+        for shape in {tuple(map(len, p.names)) for p in every}:
+            some = [p for p in every if tuple(map(len, p.names)) == shape]
+            alike = deconvolve.Alike(some, model)
+            one_by_one = [{"score_margin": margin, **p.decide(paths, model, alike.betas(i, paths))} for i, (p, (paths, margin)) in enumerate(zip(some, alike.best("bic"), strict=True))]
+            seen = set()
+            for at, columns in alike.decided("bic"):
+                for k, i in enumerate(at.tolist()):
+                    seen.add(i)
+                    assert columns.keys() == one_by_one[i].keys()
+                    for c, v in one_by_one[i].items():
+                        assert np.allclose(np.array(v, float), np.array(columns[c][k], float), rtol=1e-9, atol=1e-9), c
+            assert seen == set(range(len(some)))
