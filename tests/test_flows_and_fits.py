@@ -418,3 +418,29 @@ def test_a_pass_writes_one_table(spark, monkeypatch):
         want = plain_flow(edges, d[:, s], lengths, 6)
         assert [got[*k, s] for k in edges] == pytest.approx([want[k] for k in edges]) and len(losses[s]) == 12
     assert written.count("pass") == 4 and not {"flow", "state"} & set(written)  # 4 and 2 rounds with either weights
+
+
+def test_edges_without_others_need_no_task(spark, monkeypatch):
+    """Their flows lie between their depths, by length; a pass has only the others' rows and returns no flows."""
+    seen, dealt = [], flow._Passes._dealt
+    monkeypatch.setattr(flow._Passes, "_dealt", lambda self, samples: seen.append(self.small.count()) or dealt(self, samples))
+    edges, d, lengths = [(0, 1), (1, 2), (3, 5), (4, 5)], [4.0, 1, 6, 3, 2, 9], [1, 3, 2, 1, 1, 1]
+    v, e = parts(spark, edges, d, lengths)
+    want = plain_flow(edges, np.array(d), lengths, 40)
+    for how in (lambda **s: flow.estimate(spark, e, v.select("vid", "length"), flow.long_depths(v), **s), lambda **s: flow.estimate_vertices(spark, e, v, **s)):
+        seen.clear()
+        found, losses = how(eps=0.0, max_iter=40, if_not_converged="ignore")
+        got = {(r["src"], r["dst"]): r["flow"] for r in found.collect()}
+        assert set(seen) == {2} and [got[k] for k in edges] == pytest.approx([want[k] for k in edges])
+        assert got[0, 1] == pytest.approx(4 / 4 + 3 / 4) and got[1, 2] == pytest.approx(3 / 5 + 6 * 2 / 5)
+        between = [np.mean([d[a], d[b]]) for a, b in edges[:2]]
+        assert losses[0][0] * sum(d) == pytest.approx(np.sqrt(sum((b - 1) ** 2 for b in between) + sum(((d[a] - 1) / 2 + (9 - 2) / 4) ** 2 for a in (3, 4))))
+
+
+def test_the_least_twin_gives_its_depth(spark):
+    """Of several twins the least counts, without a row for each pair of them."""
+    rows = [(i, 1, ["a+", "b-"], [float(i)]) for i in range(3)] + [(10 + i, 1, ["b+", "a-"], [100.0 + i]) for i in range(4)] + [(20, 1, ["c+"], [7.0])]
+    v = spark.createDataFrame(rows, "vid long, length long, segments array<string>, depth array<double>")
+    out = apps.smooth(spark, AssemblyGraph(v, spark.createDataFrame([], "src long, dst long"), 3, ("x",)), symmetric=True, max_iter=1, if_not_converged="ignore").vertices
+    half = {r[0]: r[3][0] / 2 for r in rows}  # a vertex of length 1 without edges
+    assert {r["vid"]: r["depth"][0] for r in out.collect()} == pytest.approx({i: half[i] if i == 20 else (half[i] + half[10 if i < 10 else 0]) / 2 for i in half})
