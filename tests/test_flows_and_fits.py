@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from graphloom.jobs import apps
@@ -444,3 +445,18 @@ def test_the_least_twin_gives_its_depth(spark):
     out = apps.smooth(spark, AssemblyGraph(v, spark.createDataFrame([], "src long, dst long"), 3, ("x",)), symmetric=True, max_iter=1, if_not_converged="ignore").vertices
     half = {r[0]: r[3][0] / 2 for r in rows}  # a vertex of length 1 without edges
     assert {r["vid"]: r["depth"][0] for r in out.collect()} == pytest.approx({i: half[i] if i == 20 else (half[i] + half[10 if i < 10 else 0]) / 2 for i in half})
+
+
+def test_edges_without_others_are_rounded_as_in_rounds(spark):
+    """Halves of the sixth place fall as they do in the rounds' own arithmetic."""
+    rng = np.random.default_rng(5)
+    d, lengths = (rng.integers(0, 12000, 800) / 100).tolist(), rng.integers(1, 8, 800).tolist()
+    edges = [(2 * i, 2 * i + 1) for i in range(400)]
+    v, e = parts(spark, edges, d, lengths)
+    ends = {c: np.array([x[i] for x in edges]) for i, c in enumerate(("src", "dst"))}
+    block = pd.DataFrame({**ends, "sample": 0, "flow": 1.0, **{f"d_{c}": np.array(d)[x] for c, x in ends.items()}})
+    size = np.array(lengths, float)
+    block["w_src"] = size[ends["src"]] / (size[ends["src"]] + size[ends["dst"]])
+    want = {(r.src, r.dst): r.flow for r in flow._in_rounds({0: [(False, 2), (True, 2)]}, True)(block).itertuples()}
+    found, _ = flow.estimate_vertices(spark, e, v, eps=0.0, max_iter=2, if_not_converged="ignore")
+    assert {(r["src"], r["dst"]): r["flow"] for r in found.collect()} == want
