@@ -369,3 +369,11 @@ def test_spans_of_ranks_do_not_cut_segments(spark, monkeypatch):
     for span in (3, 4):
         monkeypatch.setattr(derived, "SPAN", span)
         assert read() == whole
+
+
+def test_degrees_sort_and_join_nothing(spark):
+    """Ends and vertices are counted in one aggregate; a vertex without edges has 0, an end that is no vertex has no row."""
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 9)], "src long, dst long")
+    found = topology.degrees(AssemblyGraph(spark.createDataFrame([(1,), (2,), (3,), (4,)], "vid long"), edges))
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 2), (2, 2, 1), (3, 1, 1), (4, 0, 0)]
+    assert not any(x in found._jdf.queryExecution().sparkPlan().toString() for x in ("Join", "Sort"))
