@@ -31,7 +31,7 @@ def _tallied(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = st.Tally()
-        for _, heads, tails in st.chunks(batches):
+        for _, heads, tails in st.chunks(batches, k - 1, True):
             overlaps, begins, sizes = st.expand(heads, tails, k - 1)
             if not len(overlaps):
                 continue
@@ -146,6 +146,7 @@ def overlaps(sequences: DataFrame, k: int, bases: str = "bases", both_strands: b
     rows = sequences.select(F.lit(0).cast("long").alias("who"), F.col(bases).alias("bases"))
     if both_strands:
         rows = rows.union(rows.select("who", reverse_complement(F.col("bases"))))
-    met = st.met(st.stretches(rows, k - 1, False), st.total_bases(rows))
+    tasks = st.tasks_for(rows, st.total_bases(rows))
+    met = st.met(st.stretches(rows, k - 1, False, tasks, around=True), tasks)
     found = met.mapInArrow(_tallied(k), "overlap long, before int, n0 long, n1 long, n2 long, n3 long")
     return Overlaps(scratch.keep(sequences.sparkSession, found, "overlaps"), k)

@@ -1,9 +1,9 @@
 """K-mers that travel in stretches and meet where they are counted.
 
 Neighbouring k-mers mostly have the same minimizer, the m-mer of the least hash among theirs, and go to the same task.
-So they are shuffled as one stretch of bases, packed in two numbers, instead of one by one; a task expands its stretches and
-sorts the numbers. A task has the distinct k-mers of its minimizers, 16 bytes each; the number of tasks follows the number of bases.
-Letters other than A, C, G, T end a stretch.
+So they are shuffled as one stretch of bases instead of one by one, and all stretches of a chunk that go to one task as one row of
+bytes, four bases a byte; a task expands its stretches and sorts the numbers. A task has the distinct k-mers of its minimizers,
+16 bytes each; the number of tasks follows the number of bases. Letters other than A, C, G, T end a stretch.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from .kmer_store import _CODES, MAX_K
 PIECE, CHUNK, TASK, LONGEST = 1 << 18, 1 << 21, 1 << 22, 16
 #: No base: before the first or after the last of a sequence.
 NONE = 4
-_STRETCH = "bucket int, who long, head long, tail long"
+#: Stretches that are dealt to the tasks at once, and unitigs whose sums meet in one place.
+DEALT, GROUP = 1 << 20, 1 << 16
+_PARTS = "target int, first long, part binary"
 
 
 def forward(codes: np.ndarray, k: int) -> np.ndarray:
@@ -96,23 +98,115 @@ def cut(codes: np.ndarray, k: int, both: bool, outer: np.ndarray | None = None)
     more = forward(padded, LONGEST - 1)[starts + k] >> (2 * (LONGEST - sizes)).astype(np.uint64)
     around = np.concatenate([[NONE], codes, [NONE]]).astype(np.uint64)
     tails = (more << np.uint64(11)) | (around[starts] << np.uint64(8)) | (around[starts + sizes + k] << np.uint64(5)) | sizes.astype(np.uint64)
-    return starts, (least[starts] >> np.uint32(16)).astype(np.int32), heads.view(np.int64), tails.view(np.int64)
-
-
-def stretches(rows: DataFrame, k: int, both: bool) -> DataFrame:
-    """(bucket, who, head, tail) of rows (who, bases); a long sequence goes in pieces that know the bases around them."""
+    return starts, least[starts], heads.view(np.int64), tails.view(np.int64)
+
+
+def varints(numbers: np.ndarray) -> np.ndarray:
+    """Bytes of numbers, seven bits each, the lowest first; all but a number's last byte have the highest bit."""
+    x = numbers.astype(np.uint64)
+    sizes = np.ones(len(x), np.int64)
+    for i in range(1, 10):
+        more = x >= np.uint64(1 << 7 * i)
+        if not more.any():
+            break
+        sizes += more
+    out, at = np.empty(sizes.sum(), np.uint8), np.cumsum(sizes) - sizes
+    for i in range(int(sizes.max(initial=0))):
+        own = sizes > i
+        low = ((x[own] >> np.uint64(7 * i)) & np.uint64(127)).astype(np.uint8)
+        out[at[own] + i] = low | ((sizes[own] > i + 1).astype(np.uint8) << 7)
+    return out
+
+
+def numbers(data: np.ndarray) -> np.ndarray:
+    """The numbers of ``varints``."""
+    if not len(data):
+        return np.empty(0, np.int64)
+    ends = np.flatnonzero(data < 128)
+    if len(ends) == len(data):
+        return data.astype(np.int64)
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    nth = np.arange(len(data)) - np.repeat(begins, ends + 1 - begins)
+    return np.add.reduceat((data & 127).astype(np.uint64) << (7 * nth).astype(np.uint64), begins).view(np.int64)
+
+
+def _ragged(heads: np.ndarray, tails: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bases of stretches, four a byte, and where each stretch ends; a stretch begins with a byte."""
+    heads, tails = heads.view(np.uint64), tails.view(np.uint64)
+    sizes = tails & np.uint64(31)
+    more = (tails >> np.uint64(11)) << (np.uint64(64) - np.uint64(2) * np.maximum(sizes, 2) + np.uint64(2))
+    words = np.empty((len(heads), 2), np.uint64)
+    words[:, 0] = (heads << np.uint64(64 - 2 * k)) | (more >> np.uint64(2 * k))
+    words[:, 1] = more << np.uint64(64 - 2 * k)
+    length = (sizes.astype(np.int64) + k + 2) >> 2
+    return words.byteswap().view(np.uint8)[np.arange(16) < length[:, None]], np.cumsum(length)
+
+
+def _stretched(data: np.ndarray, sizes: np.ndarray, around: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Heads and tails again."""
+    words = np.zeros((len(sizes), 16), np.uint8)
+    words[np.arange(16) < ((sizes + k + 2) >> 2)[:, None]] = data
+    words = words.view(np.uint64).byteswap()
+    sizes = sizes.astype(np.uint64)
+    more = (words[:, 0] << np.uint64(2 * k)) | (words[:, 1] >> np.uint64(64 - 2 * k))
+    more = np.where(sizes > 1, more >> (np.uint64(64) - np.uint64(2) * np.maximum(sizes, 2) + np.uint64(2)), 0)
+    tails = (more << np.uint64(11)) | (around.astype(np.uint64) << np.uint64(5)) | sizes
+    return (words[:, 0] >> np.uint64(64 - 2 * k)).view(np.int64), tails.view(np.int64)
+
+
+def _parts(hashes: np.ndarray, who: np.ndarray, heads: np.ndarray, tails: np.ndarray, k: int, tasks: int, around: bool) -> pa.RecordBatch:
+    """Stretches by task: their number, that of the next bytes, whose they are, sizes, the bases around if asked for, and bases."""
+    x = hashes.astype(np.uint32)
+    for shift, odd in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(odd)
+    targets = (((x ^ (x >> np.uint32(16))).astype(np.uint64) * np.uint64(tasks)) >> np.uint64(32)).astype(np.int32)
+    order = np.lexsort((who, targets))
+    targets, who, heads, tails = targets[order], who[order], heads[order], tails[order]
+    data, ends = _ragged(heads, tails, k)
+    sizes = ((tails & 31) - 1).astype(np.uint8)
+    beside = ((tails >> 5) & 63).astype(np.uint8)
+    steps = np.diff(who, prepend=0)
+    at = np.flatnonzero(np.concatenate(([True], targets[1:] != targets[:-1], [True]))) if len(who) else np.zeros(1, np.int64)
+    parts = []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        owners = varints(steps[lo + 1 : hi])
+        two = np.zeros(hi - lo + 1 & ~1, np.uint8)
+        two[: hi - lo] = sizes[lo:hi]
+        counts = np.array([hi - lo, len(owners)], np.uint32).tobytes()
+        parts.append(b"".join([counts, owners.tobytes(), (two[::2] << 4 | two[1::2]).tobytes(), beside[lo:hi].tobytes() if around else b"", data[ends[lo - 1] if lo else 0 : ends[hi - 1]].tobytes()]))
+    return pa.RecordBatch.from_arrays([pa.array(targets[at[:-1]]), pa.array(who[at[:-1]]), pa.array(parts, pa.binary())], names=["target", "first", "part"])
+
+
+def _unpacked(first: int, part: bytes, k: int, around: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(who, head, tail) of one row."""
+    data = np.frombuffer(part, np.uint8)
+    n, at = (int(x) for x in data[:8].view(np.uint32))
+    who = first + np.concatenate((np.zeros(1, np.int64), np.cumsum(numbers(data[8 : 8 + at]))))
+    at += 8
+    two = data[at : at + (n + 1) // 2]
+    sizes = np.stack([two >> 4, two & 15], axis=1).ravel()[:n].astype(np.int64) + 1
+    at += len(two)
+    beside = data[at : at + n] if around else np.zeros(n, np.uint8)
+    return who, *_stretched(data[at + n * around :], sizes, beside, k)
+
+
+def stretches(rows: DataFrame, k: int, both: bool, tasks: int = 1, around: bool = False) -> DataFrame:
+    """(target, first, part) of rows (who, bases); a long sequence goes in pieces that know the bases around them.
+
+    A row has the stretches that a chunk has for one of the ``tasks``, by ``who``, of which ``first`` is the least; the bases
+    ``around`` stretches go along if asked for.
+    """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be from 1 to {MAX_K}: {k}")
 
-    def emit(who: np.ndarray, sizes: np.ndarray, codes: np.ndarray, outer: np.ndarray | None = None) -> pa.RecordBatch:
+    def emit(who: np.ndarray, sizes: np.ndarray, codes: np.ndarray, outer: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         # each sequence is followed by a line's end
         joined = np.full(len(codes) + len(sizes), NONE, np.uint8)
         joined[np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)] = codes
         starts, hashes, heads, tails = cut(joined, k, both, outer)
-        owner = who[np.searchsorted(np.cumsum(sizes + 1), starts, "right")]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes.astype(np.int32), owner, heads.astype(np.int64), tails.astype(np.int64))], names=["bucket", "who", "head", "tail"])
+        return hashes, who[np.searchsorted(np.cumsum(sizes + 1), starts, "right")], heads, tails
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             who, text = batch.column(0).to_numpy(), batch.column(1).fill_null("").cast(pa.large_string())
             at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
@@ -133,7 +227,19 @@ def stretches(rows: DataFrame, k: int, both: bool) -> DataFrame:
                     yield emit(who[i : i + 1], np.array([b - a]), codes[a:b], outer)
                 i += 1
 
-    return rows.mapInArrow(run, _STRETCH)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for one in found(batches):
+            if len(one[0]):
+                held.append(one)
+                size += len(one[0])
+            if size >= DEALT:
+                yield _parts(*(np.concatenate(c) for c in zip(*held, strict=True)), k, tasks, around)
+                held, size = [], 0
+        if held:
+            yield _parts(*(np.concatenate(c) for c in zip(*held, strict=True)), k, tasks, around)
+
+    return rows.mapInArrow(run, _PARTS)
 
 
 def expand(heads: np.ndarray, tails: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,15 +290,16 @@ class Tally:
         return self.parts[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(who, head, tail) of some batches at a time."""
+def chunks(batches: Iterator[pa.RecordBatch], k: int, around: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(who, head, tail) of some rows (target, first, part) at a time."""
     held, size = [], 0
     for batch in batches:
-        held.append([batch.column(i).to_numpy() for i in (1, 2, 3)])
-        size += len(held[-1][0])
-        if size >= CHUNK // 4:
-            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-            held, size = [], 0
+        for first, part in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            held.append(_unpacked(first, part.as_buffer(), k, around))
+            size += len(held[-1][0])
+            if size >= CHUNK // 4:
+                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                held, size = [], 0
     if held:
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
@@ -213,10 +320,10 @@ def tasks_for(df: DataFrame, bases: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-bases // TASK))
 
 
-def met(rows: DataFrame, bases: int, sort: bool = False) -> DataFrame:
-    """Stretches where they meet: as many tasks as the bases ask for."""
-    dealt = rows.repartition(tasks_for(rows, bases), "bucket")
-    return dealt.sortWithinPartitions("who") if sort else dealt
+def met(rows: DataFrame, tasks: int, sort: bool = False) -> DataFrame:
+    """Stretches in the tasks that they are for; with ``sort``, those of the least ``who`` first."""
+    dealt = rows.repartitionById(tasks, "target")
+    return dealt.sortWithinPartitions("first") if sort else dealt
 
 
 def total_bases(sequences: DataFrame, bases: str = "bases") -> int:
@@ -241,7 +348,7 @@ def counts(sequences: DataFrame, k: int, sample: str | None = "sample", bases: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies: dict[int, Tally] = {}
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, k):
             for who, heads, tails in by_who(*chunk):
                 tallies.setdefault(who, Tally()).add(lesser(expand(heads, tails, k)[0], k, both))
         for who in sorted(tallies):
@@ -250,27 +357,58 @@ def counts(sequences: DataFrame, k: int, sample: str | None = "sample", bases: s
                 part = kmers[lo : lo + (1 << 16)].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), who)), pa.array(n[lo : lo + (1 << 16)])], names=["kmer", "who", "n"])
 
-    found = met(stretches(rows, k, both), total_bases(sequences, bases)).mapInArrow(run, "kmer long, who long, n long")
+    tasks = tasks_for(sequences, total_bases(sequences, bases))
+    found = met(stretches(rows, k, both, tasks), tasks).mapInArrow(run, "kmer long, who long, n long")
     if sample is None:
         return found.select("kmer", "n")
     name = F.element_at(F.array(*map(F.lit, samples)), (-F.col("who")).cast("int")) if samples else F.lit(None).cast(sequences.schema[sample].dataType)
     return found.select("kmer", name.alias("sample"), "n")
 
 
-def depths(unitigs: DataFrame, sequences: DataFrame, k: int, samples: Sequence, unitig: str = "unitig", bases: str = "bases", sample: str = "sample") -> DataFrame:
-    """(unitig, sample, depth): mean count over a unitig's k-mers, unseen ones as 0, repeated ones repeatedly.
+def _sums(who: np.ndarray, sums: np.ndarray, size: int) -> Iterator[tuple[int, bytes]]:
+    """Sums (a row each, by who in order) as groups of so many unitigs and bytes."""
+    first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+    who, sums = who[first], np.add.reduceat(sums, first, axis=0)
+    groups = who // size
+    at = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True])))
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        steps = np.diff(who[lo:hi] % size, prepend=0)
+        yield int(groups[lo]), np.concatenate([np.array([hi - lo], np.uint32).view(np.uint8), varints(np.concatenate([steps, sums[lo:hi].T.ravel()]))]).tobytes()
+
 
-    Sequences and unitigs meet by stretches; a task counts its k-mers, then goes over its unitigs' stretches, of which each gives
-    one row of sums. Every unitig of k bases or more has a depth in each sample.
+def _added(batches: Iterator[pa.RecordBatch], samples: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, places in it, sums) of rows (group, part) in the order of the groups."""
+    group, total, seen = None, np.zeros((size, samples), np.int64), np.zeros(size, bool)
+    for batch in batches:
+        for g, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if g != group:
+                if group is not None:
+                    yield group, np.flatnonzero(seen), total[seen]
+                    total[:], seen[:] = 0, False
+                group = g
+            data = np.frombuffer(part.as_buffer(), np.uint8)
+            n, values = int(data[:4].view(np.uint32)[0]), numbers(data[4:])
+            at = np.cumsum(values[:n])
+            total[at] += values[n:].reshape(samples, n).T
+            seen[at] = True
+    if group is not None:
+        yield group, np.flatnonzero(seen), total[seen]
+
+
+def totals(unitigs: DataFrame, sequences: DataFrame, k: int, samples: Sequence, unitig: str = "unitig", bases: str = "bases", sample: str = "sample") -> DataFrame:
+    """(unitig, n_kmers, n0, n1, ...): the sums of counts over a unitig's k-mers in each sample, unseen ones as 0, repeated ones repeatedly.
+
+    Sequences and unitigs meet by stretches; a task counts its k-mers, then goes over its unitigs' stretches and returns sums by
+    unitig as bytes, which meet by groups of unitigs. Every unitig of k bases or more has a row.
     """
     spark = unitigs.sparkSession
     named = scratch.keep(spark, unitigs.select(F.monotonically_increasing_id().alias("who"), F.col(unitig).alias("unitig"), F.col(bases).alias("bases")), "unitigs")
     seen = sequences.select(_code(sample, samples).alias("who"), F.col(bases).alias("bases")).where("who is not null")
-    columns = [f"n{i}" for i in range(len(samples))]
+    columns, size = [f"n{i}" for i in range(len(samples))], GROUP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies, table = [Tally() for _ in samples], None
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, k):
             early = chunk[0] < 0  # samples are before unitigs
             for who, heads, tails in by_who(*(c[early] for c in chunk)):
                 tallies[-1 - who].add(lesser(expand(heads, tails, k)[0], k, True))
@@ -285,6 +423,9 @@ def depths(unitigs: DataFrame, sequences: DataFrame, k: int, samples: Sequence,
                 for i, (kmers, n) in enumerate(ends):
                     table[np.searchsorted(known, kmers), i] = n
                 del ends
+            order = np.argsort(who, kind="stable")
+            who, heads, tails = who[order], heads[order], tails[order]
+            found = []
             for lo in range(0, len(who), CHUNK // 16):
                 some = slice(lo, lo + CHUNK // 16)
                 kmers, begins, _ = expand(heads[some], tails[some], k)
@@ -295,15 +436,30 @@ def depths(unitigs: DataFrame, sequences: DataFrame, k: int, samples: Sequence,
                 hit = at < len(known)
                 hit[hit] = known[at[hit]] == kmers[hit]
                 at[~hit] = len(known)
-                sums = np.add.reduceat(table[at], begins, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(who[some]), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(samples))]], names=["who", *columns])
-
-    rows = stretches(seen, k, True).unionByName(stretches(named.select("who", "bases"), k, True))
-    total = met(rows, total_bases(sequences, bases), sort=True).mapInArrow(run, ", ".join(["who long", *[f"{c} long" for c in columns]]))
-    sums = total.groupBy("who").agg(*[F.sum(c).alias(c) for c in columns])
-    size = named.select("who", "unitig", (F.length("bases") - (k - 1)).alias("n_kmers")).where("n_kmers > 0")
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.coalesce(F.col(c), F.lit(0)).alias("total")) for s, c in zip(samples, columns, strict=True)]))
-    return size.join(sums, "who", "left").select("unitig", "n_kmers", each.alias("e")).select("unitig", "e.sample", (F.col("e.total") / F.col("n_kmers")).alias("depth"))
+                found.append(np.add.reduceat(table[at], begins, axis=0))
+            groups, parts = zip(*_sums(who, np.concatenate(found), size), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(parts, pa.binary())], names=["group", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, at, sums in _added(batches, len(samples), size):
+            yield pa.RecordBatch.from_arrays([pa.array(group * size + at), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(samples))]], names=["who", *columns])
+
+    tasks = tasks_for(sequences, total_bases(sequences, bases))
+    rows = stretches(seen, k, True, tasks).unionByName(stretches(named.select("who", "bases"), k, True, tasks))
+    parts = met(rows, tasks, sort=True).mapInArrow(run, "group long, part binary")
+    sums = parts.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(add, ", ".join(["who long", *[f"{c} long" for c in columns]]))
+    lengths = named.select("who", "unitig", (F.length("bases") - (k - 1)).alias("n_kmers")).where("n_kmers > 0")
+    return lengths.join(sums, "who", "left").select("unitig", "n_kmers", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns])
+
+
+def depths(unitigs: DataFrame, sequences: DataFrame, k: int, samples: Sequence, unitig: str = "unitig", bases: str = "bases", sample: str = "sample") -> DataFrame:
+    """(unitig, sample, depth): mean count over a unitig's k-mers, unseen ones as 0, repeated ones repeatedly.
+
+    Every unitig of k bases or more has a depth in each sample.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"n{i}").alias("total")) for i, s in enumerate(samples)]))
+    found = totals(unitigs, sequences, k, samples, unitig, bases, sample)
+    return found.select("unitig", "n_kmers", each.alias("e")).select("unitig", "e.sample", (F.col("e.total") / F.col("n_kmers")).alias("depth"))
 
 
 _LETTERS = np.frombuffer(b"ACGT", np.uint8)

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,36 @@ def test_packed_graph_is_the_graph_of_texts(spark, monkeypatch, k):
     assert got(packed.box_vertices(), "vid") == want(topology.blackbox_vertices(text))
     assert got(packed.self_loops(), "vid") == want(topology.self_loops(text))
     assert got(packed.identifiable_junctions(), "vid") == want(deconvolve.without_unidentifiable(text, topology.junctions(text)))
+
+
+@pytest.mark.parametrize("k", [1, 2, 15, 30, 31])
+@pytest.mark.parametrize("around", [True, False])
+def test_stretches_come_back_from_bytes(k, around):
+    rng = np.random.default_rng(k)
+    codes = rng.choice(5, 5000, p=[0.24, 0.24, 0.24, 0.24, 0.04] if k < 15 else [0.25, 0.25, 0.249, 0.249, 0.002]).astype(np.uint8)
+    _, hashes, heads, tails = stretches.cut(codes, k, True)
+    who = np.sort(rng.choice([-3, -1, 5, 300, 1 << 40], len(heads)))
+    batch = stretches._parts(hashes, who, heads, tails, k, 7, around)
+    assert batch.column(0).to_pylist() == sorted(set(batch.column(0).to_pylist())) and len(heads) > 100
+    got = [x for row in batch.to_pylist() for x in zip(*stretches._unpacked(row["first"], row["part"], k, around), strict=True)]
+    bare = tails if around else tails & ~(63 << 5)
+    assert Counter(got) == Counter(zip(who, heads, bare, strict=True))
+
+
+def test_numbers_come_back_from_bytes():
+    rng = np.random.default_rng(1)
+    for want in ([], [0], [127, 128, 1 << 62], rng.integers(0, 1 << 20, 1000), [5] * 9):
+        want = np.array(want, np.int64)
+        assert stretches.numbers(stretches.varints(want)).tolist() == want.tolist()
+
+
+def test_depths_shuffle_two_bytes_a_base_at_most(spark):
+    r = random.Random(7)
+    units = [(i, "".join(r.choices("ACGT", k=114))) for i in range(5000)]
+    rows = stretches.stretches(spark.createDataFrame(units, "who long, bases string").coalesce(1), 15, True, 20)
+    assert rows.count() <= 20 and rows.agg(F.sum(F.length("part"))).first()[0] < 2 * 5000 * 114
+
+
+def test_sums_meet_by_groups_of_unitigs(spark, monkeypatch):
+    monkeypatch.setattr(stretches, "GROUP", 8)
+    test_depths_shuffle_fewer_rows_than_kmers(spark)
