@@ -95,7 +95,8 @@ class Overlaps:
         v = self.vertices().select(F.col("kmer").alias("vid"), F.lit(1).cast("long").alias("length"), F.array("kmer").alias("segments"), F.array(F.col("n").cast("double")).alias("depth"))
         return AssemblyGraph(v, self.edges(), self.k, ("all",))
 
-    def _joined(self, x: str, y: str) -> Column:
+    def joined(self, x: str, y: str) -> Column:
+        """Whether an edge leads from one k-mer to another, if both are there."""
         return F.col(x).bitwiseAND(F.lit((1 << 2 * (self.k - 1)) - 1)) == F.shiftright(F.col(y), 2)
 
     def boxes(self) -> DataFrame:
@@ -106,7 +107,7 @@ class Overlaps:
         extra = [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), *[(x, x) for x in "abcd"], ("c", "a"), ("c", "b"), ("d", "a"), ("d", "b")]
         spoilt = F.lit(False)
         for x, y in extra:
-            spoilt = spoilt | self._joined(x, y)
+            spoilt = spoilt | self.joined(x, y)
         distinct = (F.col("a") != F.col("c")) & (F.col("a") != F.col("d")) & (F.col("b") != F.col("c")) & (F.col("b") != F.col("d"))
         return four.where(distinct & ~spoilt)
 
@@ -127,7 +128,7 @@ class Overlaps:
     def self_loops(self) -> DataFrame:
         """(vid) of k-mers of one base: no others lead to themselves."""
         every = [sum(i << 2 * j for j in range(self.k - 1)) for i in range(4)]
-        return self.rows.where(F.col("overlap").isin(every)).where(F.size(self._lasts()) > 0).select(F.explode(self._lasts()).alias("vid")).where(self._joined("vid", "vid"))
+        return self.rows.where(F.col("overlap").isin(every)).where(F.size(self._lasts()) > 0).select(F.explode(self._lasts()).alias("vid")).where(self.joined("vid", "vid"))
 
     def identifiable_junctions(self) -> DataFrame:
         """(vid) of k-mers with edges on both sides and several on one, outside of bicliques and loops: one aggregate by k-mer."""

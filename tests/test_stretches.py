@@ -108,3 +108,19 @@ def test_depths_shuffle_two_bytes_a_base_at_most(spark):
 def test_sums_meet_by_groups_of_unitigs(spark, monkeypatch):
     monkeypatch.setattr(stretches, "GROUP", 8)
     test_depths_shuffle_fewer_rows_than_kmers(spark)
+
+
+@pytest.mark.parametrize("pattern", [[(0, 2), (0, 3), (1, 2), (1, 3)], [(0, 1), (1, 2), (2, 0)], [(0, 1), (1, 0)], [(0, 1), (0, 2), (2, 3)], [(1, 0), (2, 0), (3, 0)], [(0, 1), (0, 2), (1, 2)], [(0, 1), (1, 2)]])
+def test_motifs_in_blocks_are_those_of_the_edges(spark, pattern):
+    k = 4
+    df = spark.createDataFrame([x for x in some_sequences(2, "ACGT") if x[1]][:2] + [("a", "A" * 9), ("a", "AC" * 9), ("a", "ACG" * 9)], "sample string, bases string")
+    packed = dbg.overlaps(df, k)
+    got = topology.block_motifs(packed.sides(), pattern, packed.joined)
+    rows = sorted(tuple(r["vertices"]) for r in got.collect())
+    assert rows == sorted(tuple(r["vertices"]) for r in topology.motifs(packed.graph(), pattern).collect())
+    assert rows or pattern == [(0, 1), (0, 2), (1, 2)]
+    if len(pattern) == 4:  # within a block: nothing is joined or shuffled
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    with pytest.raises(ValueError, match="connected"):
+        topology.block_motifs(packed.sides(), [(0, 1), (2, 3)], packed.joined)
