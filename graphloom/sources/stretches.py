@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .. import scratch
-from .kmer_store import _CODES, MAX_K
 
+MAX_K = 31
+_CODES = np.full(256, 4, np.uint8)
+_CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 #: Bases that are packed at once, k-mers that are sorted at once, bases a task, and the most k-mers of a stretch.
 PIECE, CHUNK, TASK, LONGEST = 1 << 18, 1 << 21, 1 << 22, 16
 #: No base: before the first or after the last of a sequence.
@@ -61,6 +63,10 @@ def minimizer(k: int) -> int:
     return k // 2 + 1
 
 
+def _hashed(small: np.ndarray) -> np.ndarray:
+    return ((small * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+
+
 def cut(codes: np.ndarray, k: int, both: bool, outer: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Starts, hashes, heads and tails of the stretches of a piece; other letters have the code 4.
 
@@ -78,7 +84,7 @@ def cut(codes: np.ndarray, k: int, both: bool, outer: np.ndarray | None = None)
     small = forward(bases, m)
     if both:
         small = np.minimum(small, turned(small, m))
-    least, w, size = ((small * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32), k - m + 1, 1
+    least, w, size = _hashed(small), k - m + 1, 1
     while 2 * size <= w:
         least, size = np.minimum(least[:-size], least[size:]), 2 * size
     if size < w:
@@ -154,12 +160,26 @@ def _stretched(data: np.ndarray, sizes: np.ndarray, around: np.ndarray, k: int)
     return (words[:, 0] >> np.uint64(64 - 2 * k)).view(np.int64), tails.view(np.int64)
 
 
-def _parts(hashes: np.ndarray, who: np.ndarray, heads: np.ndarray, tails: np.ndarray, k: int, tasks: int, around: bool) -> pa.RecordBatch:
-    """Stretches by task: their number, that of the next bytes, whose they are, sizes, the bases around if asked for, and bases."""
+def _targets(hashes: np.ndarray, tasks: int) -> np.ndarray:
+    """Tasks for minimizers."""
     x = hashes.astype(np.uint32)
     for shift, odd in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
         x = (x ^ (x >> np.uint32(shift))) * np.uint32(odd)
-    targets = (((x ^ (x >> np.uint32(16))).astype(np.uint64) * np.uint64(tasks)) >> np.uint64(32)).astype(np.int32)
+    return (((x ^ (x >> np.uint32(16))).astype(np.uint64) * np.uint64(tasks)) >> np.uint64(32)).astype(np.int32)
+
+
+def targets_of(kmers: np.ndarray, k: int, tasks: int) -> np.ndarray:
+    """The tasks that ``stretches`` of both strands deal k-mers to."""
+    m, least = minimizer(k), np.full(len(kmers), 0xFFFFFFFF, np.uint32)
+    for i in range(k - m + 1):
+        small = (kmers >> np.uint64(2 * i)) & np.uint64((1 << 2 * m) - 1)
+        least = np.minimum(least, _hashed(np.minimum(small, turned(small, m))))
+    return _targets(least, tasks)
+
+
+def _parts(hashes: np.ndarray, who: np.ndarray, heads: np.ndarray, tails: np.ndarray, k: int, tasks: int, around: bool) -> pa.RecordBatch:
+    """Stretches by task: their number, that of the next bytes, whose they are, sizes, the bases around if asked for, and bases."""
+    targets = _targets(hashes, tasks)
     order = np.lexsort((who, targets))
     targets, who, heads, tails = targets[order], who[order], heads[order], tails[order]
     data, ends = _ragged(heads, tails, k)
@@ -177,7 +197,7 @@ def _parts(hashes: np.ndarray, who: np.ndarray, heads: np.ndarray, tails: np.nda
     return pa.RecordBatch.from_arrays([pa.array(targets[at[:-1]]), pa.array(who[at[:-1]]), pa.array(parts, pa.binary())], names=["target", "first", "part"])
 
 
-def _unpacked(first: int, part: bytes, k: int, around: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(first: int, part: bytes, k: int, around: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(who, head, tail) of one row."""
     data = np.frombuffer(part, np.uint8)
     n, at = (int(x) for x in data[:8].view(np.uint32))
@@ -295,7 +315,7 @@ def chunks(batches: Iterator[pa.RecordBatch], k: int, around: bool = False) -> I
     held, size = [], 0
     for batch in batches:
         for first, part in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            held.append(_unpacked(first, part.as_buffer(), k, around))
+            held.append(unpacked(first, part.as_buffer(), k, around))
             size += len(held[-1][0])
             if size >= CHUNK // 4:
                 yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
@@ -395,6 +415,48 @@ def _added(batches: Iterator[pa.RecordBatch], samples: int, size: int) -> Iterat
         yield group, np.flatnonzero(seen), total[seen]
 
 
+class Table:
+    """The counts of sorted k-mers in some samples."""
+
+    def __init__(self, ends: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.known = summed(np.concatenate([e[0] for e in ends]))[0]
+        self.counts = np.zeros((len(self.known) + 1, len(ends)), np.int64)
+        for i, (kmers, n) in enumerate(ends):
+            self.counts[np.searchsorted(self.known, kmers), i] = n
+
+    def sums(self, who: np.ndarray, heads: np.ndarray, tails: np.ndarray, k: int, size: int) -> pa.RecordBatch:
+        """(group, part) of stretches: their k-mers' counts, summed by who."""
+        order = np.argsort(who, kind="stable")
+        who, heads, tails, found = who[order], heads[order], tails[order], []
+        for lo in range(0, len(who), CHUNK // 16):
+            some = slice(lo, lo + CHUNK // 16)
+            kmers, begins, _ = expand(heads[some], tails[some], k)
+            kmers = lesser(kmers, k, True)
+            order = np.argsort(kmers)
+            at = np.empty(len(kmers), np.int64)
+            at[order] = np.searchsorted(self.known, kmers[order])
+            hit = at < len(self.known)
+            hit[hit] = self.known[at[hit]] == kmers[hit]
+            at[~hit] = len(self.known)
+            found.append(np.add.reduceat(self.counts[at], begins, axis=0))
+        groups, parts = zip(*_sums(who, np.concatenate(found), size), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(parts, pa.binary())], names=["group", "part"])
+
+
+#: What ``Table.sums`` gives.
+SUMS = "group long, part binary"
+
+
+def gathered(parts: DataFrame, tasks: int, columns: Sequence[str], size: int) -> DataFrame:
+    """(who, a column a sample) of the sums (group, part) of many tasks."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, at, sums in _added(batches, len(columns), size):
+            yield pa.RecordBatch.from_arrays([pa.array(group * size + at), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(columns))]], names=["who", *columns])
+
+    return parts.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(add, ", ".join(["who long", *[f"{c} long" for c in columns]]))
+
+
 def totals(unitigs: DataFrame, sequences: DataFrame, k: int, samples: Sequence, unitig: str = "unitig", bases: str = "bases", sample: str = "sample") -> DataFrame:
     """(unitig, n_kmers, n0, n1, ...): the sums of counts over a unitig's k-mers in each sample, unseen ones as 0, repeated ones repeatedly.
 
@@ -416,38 +478,13 @@ def totals(unitigs: DataFrame, sequences: DataFrame, k: int, samples: Sequence,
             if not len(who):
                 continue
             if table is None:
-                ends = [t.end() for t in tallies]
+                table = Table([t.end() for t in tallies])
                 tallies = []
-                known = summed(np.concatenate([e[0] for e in ends]))[0]
-                table = np.zeros((len(known) + 1, len(samples)), np.int64)
-                for i, (kmers, n) in enumerate(ends):
-                    table[np.searchsorted(known, kmers), i] = n
-                del ends
-            order = np.argsort(who, kind="stable")
-            who, heads, tails = who[order], heads[order], tails[order]
-            found = []
-            for lo in range(0, len(who), CHUNK // 16):
-                some = slice(lo, lo + CHUNK // 16)
-                kmers, begins, _ = expand(heads[some], tails[some], k)
-                kmers = lesser(kmers, k, True)
-                order = np.argsort(kmers)
-                at = np.empty(len(kmers), np.int64)
-                at[order] = np.searchsorted(known, kmers[order])
-                hit = at < len(known)
-                hit[hit] = known[at[hit]] == kmers[hit]
-                at[~hit] = len(known)
-                found.append(np.add.reduceat(table[at], begins, axis=0))
-            groups, parts = zip(*_sums(who, np.concatenate(found), size), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(parts, pa.binary())], names=["group", "part"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, at, sums in _added(batches, len(samples), size):
-            yield pa.RecordBatch.from_arrays([pa.array(group * size + at), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(samples))]], names=["who", *columns])
+            yield table.sums(who, heads, tails, k, size)
 
     tasks = tasks_for(sequences, total_bases(sequences, bases))
     rows = stretches(seen, k, True, tasks).unionByName(stretches(named.select("who", "bases"), k, True, tasks))
-    parts = met(rows, tasks, sort=True).mapInArrow(run, "group long, part binary")
-    sums = parts.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(add, ", ".join(["who long", *[f"{c} long" for c in columns]]))
+    sums = gathered(met(rows, tasks, sort=True).mapInArrow(run, SUMS), tasks, columns, size)
     lengths = named.select("who", "unitig", (F.length("bases") - (k - 1)).alias("n_kmers")).where("n_kmers > 0")
     return lengths.join(sums, "who", "left").select("unitig", "n_kmers", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns])
 

@@ -82,6 +82,29 @@ def test_store_gives_mean_depths_without_a_shuffle_of_its_counts(spark):
         kmer_store.write_store(spark.createDataFrame(seqs, "sample string, bases string"), k, store.table)
 
 
+def test_parts_of_a_store_meet_unitigs_as_rows(spark, monkeypatch):
+    k, r = 7, random.Random(4)
+    monkeypatch.setattr(kmer_store, "PART", 300)  # many parts, and several turns a part
+    monkeypatch.setattr(kmer_store, "MEET", 500)
+    seqs = [(r.choice(["x", "y", None]), "".join(r.choices("ACGT", k=200))) for _ in range(20)]
+    store = new_store(spark, spark.createDataFrame(seqs, "sample string, bases string"), k)
+    counts = Counter((s, x) for s, b in seqs for x in lesser_kmers(b, k))
+    assert {(row["sample"], row["kmer"]): row["n"] for row in store.counts(spark).collect()} == {(s, number(x)): n for (s, x), n in counts.items()}
+    assert store.parts == 14 and spark.table(store.table).count() <= 3 * store.parts < len(counts) / 9
+    units = [(str(i), b[i : i + 60]) for i, (_, b) in enumerate(seqs)] + [("0", seqs[0][1][:30]), ("none", None)]
+    want = {}
+    for s in "yx":
+        for u in {u for u, b in units if b}:
+            own = [x for v, b in units if u == v for x in lesser_kmers(b, k)]
+            want[u, s] = sum(counts[s, x] for x in own) / len(own)
+    out = kmer_store.depths(spark, store, spark.createDataFrame(units, "unitig string, bases string"), ["y", "x"])
+    assert {(row["unitig"], row["sample"]): row["depth"] for row in out.collect()} == pytest.approx(want)
+    rows = [("".join(x), "x", 2) for x in {min(x, x[::-1].translate(OTHER)) for x in ("".join(r.choices("ACGT", k=k)) for _ in range(500))}]
+    taken = new_store(spark, spark.createDataFrame(rows, "kmer string, sample string, n long"), k, kmer_store.import_store)
+    alike = new_store(spark, spark.createDataFrame([("x", x) for x, _, _ in rows] * 2, "sample string, bases string"), k)
+    assert sorted(map(tuple, taken.counts(spark).collect())) == sorted(map(tuple, alike.counts(spark).collect())) and taken.parts > 1
+
+
 def test_import_of_counts(spark):
     rows = [("ACGTT", "x", 2), ("TTTTT", "x", 3), ("TTTTT", "y", 4), ("ACGTT", "x", 1)]
     store = new_store(spark, spark.createDataFrame(rows, "kmer string, sample string, n long"), 5, kmer_store.import_store)

@@ -86,7 +86,7 @@ def test_stretches_come_back_from_bytes(k, around):
     who = np.sort(rng.choice([-3, -1, 5, 300, 1 << 40], len(heads)))
     batch = stretches._parts(hashes, who, heads, tails, k, 7, around)
     assert batch.column(0).to_pylist() == sorted(set(batch.column(0).to_pylist())) and len(heads) > 100
-    got = [x for row in batch.to_pylist() for x in zip(*stretches._unpacked(row["first"], row["part"], k, around), strict=True)]
+    got = [x for row in batch.to_pylist() for x in zip(*stretches.unpacked(row["first"], row["part"], k, around), strict=True)]
     bare = tails if around else tails & ~(63 << 5)
     assert Counter(got) == Counter(zip(who, heads, bare, strict=True))
 
