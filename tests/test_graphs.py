@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import derived, queries
+from graphloom import derived, queries, scratch
 from graphloom.jobs import apps
 from graphloom.model import AssemblyGraph, validate
 from graphloom.operators import results, rewrite, topology
@@ -265,6 +265,23 @@ def test_loops_neighbours_and_components(spark):
     assert {(r["vid"], r["component"]) for r in topology.weak_components(spark, g).where("vid in (3, 5, 8)").collect()} == {(3, 0), (5, 4), (8, 8)}
 
 
+def test_compared_twins_meet_in_lists(spark, monkeypatch):
+    rng = random.Random(6)
+    names = [["1+", "2-"], ["2+", "1-"], ["3+", "3-"], ["4+"], None]
+    rows = [(i, 2, names[min(i // 100, 4)], [float(rng.randrange(3))]) for i in range(330)] + [(400, 2, names[4], [1.0])]
+    v = spark.createDataFrame(rows, "vid long, length long, segments array<string>, depth array<double>")
+    edges = [(rng.randrange(330), rng.randrange(330)) for _ in range(300)] + [(5, 6), (5, 6), (7, 7), (990, 8)]
+    g = AssemblyGraph(v, spark.createDataFrame(edges, "src long, dst long"), 3, ("s",))
+    data = results.vertex_data(g).drop("in_neighbors", "out_neighbors")
+    plain = lambda df: sorted((tuple(r) for r in df.select(sorted(data.columns)).collect()), key=str)
+    assert plain(results.comparable(g)) == plain(data)
+    kept, keep = [], scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda *a: kept.append(keep(*a)) or kept[-1])
+    got = sorted(tuple(r) for r in results.compared_twins(data).collect())
+    assert got == sorted(tuple(r) for r in results.twin_differences(results.twins(v), data).collect())
+    assert len(got) == 2 * 100 * 100 + 100 * 100 and kept[-1].count() <= 4 * results.LISTS and len(kept[-1].columns) == 2
+
+
 def test_twins_and_positions(spark):
     v = spark.createDataFrame([(0, 4, ["1+", "2-"], [1.0]), (1, 4, ["2+", "1-"], [1.0]), (2, 4, ["1+", "2-"], [3.0])], "vid long, length long, segments array<string>, depth array<double>")
     g = AssemblyGraph(v, spark.createDataFrame([(0, 1)], "src long, dst long"), 3, ("s",))
