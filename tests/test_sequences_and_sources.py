@@ -2,6 +2,8 @@
 
 import random
 import time
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +222,12 @@ def test_assembled_bases_are_shuffled_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     above = plan.split("Join")[0]
     assert above.count("Exchange") == 1 and [tuple(r) for r in found.collect()] == [(0, "AACCGG")]
+
+
+def test_load_keeps_bases_in_a_third_of_a_byte(spark):
+    r = random.Random(2)
+    rows = [(f"{i} LN:i:514 KC:i:1 km:f:1.0", "".join(r.choices("ACGT", k=514))) for i in range(2000)]
+    _, unitigs = apps.load(spark, spark.createDataFrame(rows, "header string, bases string"), 15)
+    assert {x["unitig"]: x["bases"] for x in unitigs.collect()} == {h.split()[0]: b for h, b in rows}
+    files = [Path(urlparse(f).path) for f in unitigs.inputFiles()]
+    assert sum(f.stat().st_size for f in files) < 2000 * 514 * 0.34
