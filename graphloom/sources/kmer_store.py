@@ -198,7 +198,7 @@ def depths(spark: SparkSession, store: KmerStore, unitigs: DataFrame, samples: S
     Every unitig of k bases or more has a depth in each sample; unitigs that rows repeat count as one with all their k-mers. A part
     is one row, and so are the unitigs' stretches that it meets; they return sums.
     """
-    named = scratch.keep(spark, unitigs.select(F.monotonically_increasing_id().alias("who"), F.col(unitig).alias("unitig"), F.col(bases).alias("bases")), "unitigs")
+    named = scratch.keep(spark, unitigs.select(F.monotonically_increasing_id().alias("who"), F.col(unitig).alias("unitig"), F.col(bases).alias("bases")), "unitigs", "zstd")
     wanted, k, size = list(dict.fromkeys(samples)), store.k, stretches.GROUP
     columns = [f"n{i}" for i in range(len(wanted))]
     total = stretches.total_bases(named)

@@ -464,7 +464,7 @@ def totals(unitigs: DataFrame, sequences: DataFrame, k: int, samples: Sequence,
     unitig as bytes, which meet by groups of unitigs. Every unitig of k bases or more has a row.
     """
     spark = unitigs.sparkSession
-    named = scratch.keep(spark, unitigs.select(F.monotonically_increasing_id().alias("who"), F.col(unitig).alias("unitig"), F.col(bases).alias("bases")), "unitigs")
+    named = scratch.keep(spark, unitigs.select(F.monotonically_increasing_id().alias("who"), F.col(unitig).alias("unitig"), F.col(bases).alias("bases")), "unitigs", "zstd")
     seen = sequences.select(_code(sample, samples).alias("who"), F.col(bases).alias("bases")).where("who is not null")
     columns, size = [f"n{i}" for i in range(len(samples))], GROUP
 

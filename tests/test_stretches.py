@@ -2,11 +2,14 @@
 
 import random
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import scratch
 from graphloom.operators import build, dbg, deconvolve, topology
 from graphloom.sources import stretches
 
@@ -124,3 +127,13 @@ def test_motifs_in_blocks_are_those_of_the_edges(spark, pattern):
         assert "Exchange" not in plan and "Join" not in plan
     with pytest.raises(ValueError, match="connected"):
         topology.block_motifs(packed.sides(), [(0, 1), (2, 3)], packed.joined)
+
+
+def test_depths_keep_bases_in_a_third_of_a_byte(spark, monkeypatch):
+    r = random.Random(3)
+    units = [(i, "".join(r.choices("ACGT", k=514))) for i in range(2000)]
+    kept, keep = [], scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda *a: kept.append(keep(*a)) or kept[-1])
+    df = spark.createDataFrame(units, "unitig long, bases string")
+    stretches.depths(df, df.select(F.lit("x").alias("sample"), "bases"), 15, ["x"])
+    assert sum(Path(urlparse(f).path).stat().st_size for f in kept[0].inputFiles()) < 2000 * 514 * 0.34
