@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from .stretches import _CODES, MAX_K
 
 #: Bases that are packed at once; longer sequences go in pieces that overlap by k - 1.
 PIECE = 1 << 20
-#: K-mers a part, about, and bases of unitigs that meet a part at once.
-PART, MEET = 1 << 20, 1 << 31
+#: K-mers a part, about, bases of unitigs that meet a part at once, and samples that a task counts at once.
+PART, MEET, WIDE = 1 << 20, 1 << 31, 32
 
 
 def pack(bases: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +197,10 @@ def depths(spark: SparkSession, store: KmerStore, unitigs: DataFrame, samples: S
     """(unitig, sample, depth): mean count over a unitig's k-mers, unseen ones as 0, repeated ones repeatedly.
 
     Every unitig of k bases or more has a depth in each sample; unitigs that rows repeat count as one with all their k-mers. A part
-    is one row, and so are the unitigs' stretches that it meets; they return sums.
+    is one row, and so are the unitigs' stretches that it meets; they return sums. Of many samples some are done at a time.
     """
+    if len(samples) > WIDE:
+        return reduce(DataFrame.union, [depths(spark, store, unitigs, samples[i : i + WIDE], unitig, bases) for i in range(0, len(samples), WIDE)])
     named = scratch.keep(spark, unitigs.select(F.monotonically_increasing_id().alias("who"), F.col(unitig).alias("unitig"), F.col(bases).alias("bases")), "unitigs", "zstd")
     wanted, k, size = list(dict.fromkeys(samples)), store.k, stretches.GROUP
     columns = [f"n{i}" for i in range(len(wanted))]

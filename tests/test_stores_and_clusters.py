@@ -86,6 +86,7 @@ def test_parts_of_a_store_meet_unitigs_as_rows(spark, monkeypatch):
     k, r = 7, random.Random(4)
     monkeypatch.setattr(kmer_store, "PART", 300)  # many parts, and several turns a part
     monkeypatch.setattr(kmer_store, "MEET", 500)
+    monkeypatch.setattr(kmer_store, "WIDE", 1)
     seqs = [(r.choice(["x", "y", None]), "".join(r.choices("ACGT", k=200))) for _ in range(20)]
     store = new_store(spark, spark.createDataFrame(seqs, "sample string, bases string"), k)
     counts = Counter((s, x) for s, b in seqs for x in lesser_kmers(b, k))
@@ -99,6 +100,9 @@ def test_parts_of_a_store_meet_unitigs_as_rows(spark, monkeypatch):
             want[u, s] = sum(counts[s, x] for x in own) / len(own)
     out = kmer_store.depths(spark, store, spark.createDataFrame(units, "unitig string, bases string"), ["y", "x"])
     assert {(row["unitig"], row["sample"]): row["depth"] for row in out.collect()} == pytest.approx(want)
+    empty = new_store(spark, spark.createDataFrame([], "sample string, bases string"), k)
+    none = kmer_store.depths(spark, empty, spark.createDataFrame(units, "unitig string, bases string"), ["y"])
+    assert empty.counts(spark).count() == 0 and {(row["unitig"], row["depth"]) for row in none.collect()} == {(u, 0.0) for u, b in units if b}
     rows = [("".join(x), "x", 2) for x in {min(x, x[::-1].translate(OTHER)) for x in ("".join(r.choices("ACGT", k=k)) for _ in range(500))}]
     taken = new_store(spark, spark.createDataFrame(rows, "kmer string, sample string, n long"), k, kmer_store.import_store)
     alike = new_store(spark, spark.createDataFrame([("x", x) for x, _, _ in rows] * 2, "sample string, bases string"), k)
